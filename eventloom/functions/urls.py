@@ -7,6 +7,8 @@ Internationalised host names and shortened or non-decimal IPv4 forms are refused
 
 from __future__ import annotations
 
+from functools import cache
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -37,40 +39,36 @@ def with_url(df: DataFrame, text: str, output: str) -> DataFrame:
     addresses pass as they are; the others are taken apart in one stage and put
     together in the next.
     """
-    given = F.col(text)
-    cleaned = F.when(given.isNotNull() & ~given.rlike(_TIDY), _cleaned(given))
-    parts = F.col("_url")
-    authority = F.col("_authority")
-    return (
-        df.withColumn("_url", cleaned)
-        .withColumn(
-            "_url",
-            F.when(
-                parts.isNotNull(),
-                F.struct(
-                    F.lower(F.regexp_extract(parts, _SCHEME, 1)).alias("scheme"),
-                    F.when(parts.rlike(_PARTS), F.regexp_extract(parts, _PARTS, 1)).alias("authority"),
-                    F.translate(F.regexp_extract(parts, _PARTS, 2), "\\", "/").alias("path"),
-                    F.regexp_extract(parts, _PARTS, 3).alias("query"),
-                    F.regexp_extract(parts, _PARTS, 4).alias("fragment"),
-                ),
-            ),
-        )
-        .withColumn(
-            "_authority",
-            F.when(
-                parts.authority.rlike(_AUTHORITY),
-                F.struct(
-                    F.regexp_replace(F.regexp_extract(parts.authority, _AUTHORITY, 1), r":\z", "").alias("user"),
-                    _host(F.lower(F.regexp_extract(parts.authority, _AUTHORITY, 2))).alias("host"),
-                    F.regexp_extract(parts.authority, _AUTHORITY, 3).alias("port"),
-                ),
-            ),
-        )
-        .withColumn(output, F.when(parts.isNull(), given).otherwise(_rebuilt(parts, authority)))
-        .withColumn(f"{output}_problem", _problem(given, F.col(output), parts.scheme))
-        .drop("_url", "_authority")
+    stages = _stages(text, output)
+    for name, column in stages:
+        df = df.withColumn(name, column)
+    return df.drop("_url", "_authority")
+
+
+@cache
+def _stages(text: str, output: str) -> list[tuple[str, Column]]:
+    given, parts, authority = F.col(text), F.col("_url"), F.col("_authority")
+    taken_apart = F.struct(
+        F.lower(F.regexp_extract(parts, _SCHEME, 1)).alias("scheme"),
+        F.when(parts.rlike(_PARTS), F.regexp_extract(parts, _PARTS, 1)).alias("authority"),
+        F.translate(F.regexp_extract(parts, _PARTS, 2), "\\", "/").alias("path"),
+        F.regexp_extract(parts, _PARTS, 3).alias("query"),
+        F.regexp_extract(parts, _PARTS, 4).alias("fragment"),
+    )
+    whole = parts.authority
+    user = F.regexp_replace(F.regexp_extract(whole, _AUTHORITY, 1), r":\z", "")
+    peer = F.struct(
+        user.alias("user"),
+        _host(F.lower(F.regexp_extract(whole, _AUTHORITY, 2))).alias("host"),
+        F.regexp_extract(whole, _AUTHORITY, 3).alias("port"),
     )
+    return [
+        ("_url", F.when(given.isNotNull() & ~given.rlike(_TIDY), _cleaned(given))),
+        ("_url", F.when(parts.isNotNull(), taken_apart)),
+        ("_authority", F.when(whole.rlike(_AUTHORITY), peer)),
+        (output, F.when(parts.isNull(), given).otherwise(_rebuilt(parts, authority))),
+        (f"{output}_problem", _problem(given, F.col(output), parts.scheme)),
+    ]
 
 
 def _problem(text: Column, normalized: Column, scheme: Column) -> Column:

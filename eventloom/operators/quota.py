@@ -172,11 +172,11 @@ def anchor_windows(
                     identity = name
                     opened = None if pd.isna(carried) else int(carried)
                 before.append(opened)
-                start = bucket * span
+                start = int(bucket) * span
                 earliest = 0 if opened is None else opened + span - start
                 position = int(np.searchsorted(offsets, earliest))
                 if position < len(offsets):
-                    opened = int(start + offsets[position])
+                    opened = start + int(offsets[position])
                     within.append(opened)
                 else:
                     within.append(None)

@@ -1,7 +1,7 @@
 """Field, time and consistency rules of a raw event.
 
 `check_events` reads each raw item once and adds, in stages that Spark keeps as
-separate projections,
+separate projections (kinds, values, rules, lists),
 
 * `event`  - the typed and normalised reading (struct), and
 * `errors` - `array<struct<loc, type, msg>>`, empty for a valid event.
@@ -12,6 +12,7 @@ Rows only: no shuffle and no Python.
 from __future__ import annotations
 
 from functools import cache
+from typing import NamedTuple
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -199,24 +200,23 @@ def split_fields(items: DataFrame) -> DataFrame:
     )
 
 
-def read_fields(items: DataFrame, settings: Settings) -> DataFrame:
-    """Typed readings (`_v`, `_page_url`) and per-field errors (`_e`) of split items."""
+class _Stages(NamedTuple):
+    """The columns of each validation stage, in order."""
+
+    kinds: Column
+    values: Column
+    rules: Column
+    field_errors: Column
+    errors: Column
+    event: Column
+
+
+@cache
+def _stages(settings: Settings) -> _Stages:
+    """Built once per settings: there are many expressions, and they never differ."""
     variants = {name: F.col(f"_f.{name}") for name in TOP_FIELDS[:4]}
     variants |= {name: F.col(f"_p.{name}") for name in PROPERTY_NAMES}
-    kinds = items.withColumn(
-        "_k", F.struct(*[lax.kind_of(variant).alias(name) for name, variant in variants.items()])
-    )
-
     readers = {"timestamp": lax.read_time, "price": lax.read_float, "quantity": lax.read_int}
-    values = {
-        name: readers.get(name, lax.read_text)(variant, F.col(f"_k.{name}"))
-        for name, variant in variants.items()
-    }
-    read = with_url(
-        kinds.withColumn("_v", F.struct(*[value.alias(name) for name, value in values.items()])),
-        "_v.page_url",
-        "_page_url",
-    )
 
     def kind(name: str) -> Column:
         return F.col(f"_k.{name}")
@@ -227,21 +227,14 @@ def read_fields(items: DataFrame, settings: Settings) -> DataFrame:
     def inner(name: str) -> str:
         return f"properties.{name}"
 
-    rules = [
-        _text_rule("user_id", kind("user_id"), value("user_id"), None, None),
-        _text_rule("session_id", kind("session_id"), value("session_id"), None, None),
-        _event_type_rule(F.col("_f.event_type").isNotNull(), value("event_type")),
-        _timestamp_rule(
-            F.col("_f.timestamp").isNotNull(),
-            kind("timestamp"),
-            value("timestamp"),
-            F.col("received_at"),
-            settings,
-        ),
-        F.when(F.col("_f.properties").isNull(), failure("properties", "missing")).when(
-            F.col("_p").isNull(), failure("properties", "model_attributes_type")
-        ),
-    ]
+    kinds = F.struct(*[lax.kind_of(variant).alias(name) for name, variant in variants.items()])
+    values = F.struct(
+        *[
+            readers.get(name, lax.read_text)(variant, kind(name)).alias(name)
+            for name, variant in variants.items()
+        ]
+    )
+
     of_property = {"page_url": _url_rule(inner("page_url"), kind("page_url"), F.col("_page_url_problem"))}
     for name, low, high in TEXT_BOUNDS:
         of_property[name] = _text_rule(inner(name), kind(name), value(name), low, high)
@@ -249,13 +242,49 @@ def read_fields(items: DataFrame, settings: Settings) -> DataFrame:
         of_property[name] = _pattern_rule(inner(name), kind(name), value(name), pattern)
     of_property["price"] = _price_rule(inner("price"), kind("price"), value("price"))
     of_property["quantity"] = _quantity_rule(inner("quantity"), kind("quantity"), value("quantity"))
-    rules += [of_property[name] for name in PROPERTY_NAMES]
+    no_properties = F.when(F.col("_f.properties").isNull(), failure("properties", "missing")).when(
+        F.col("_p").isNull(), failure("properties", "model_attributes_type")
+    )
+    has_time = F.col("_f.timestamp").isNotNull()
+    rules = [
+        _text_rule("user_id", kind("user_id"), value("user_id"), None, None),
+        _text_rule("session_id", kind("session_id"), value("session_id"), None, None),
+        _event_type_rule(F.col("_f.event_type").isNotNull(), value("event_type")),
+        _timestamp_rule(has_time, kind("timestamp"), value("timestamp"), F.col("received_at"), settings),
+        no_properties,
+        *[of_property[name] for name in PROPERTY_NAMES],
+    ]
 
-    not_object = F.col("_f").isNull()
-    listed = F.array_compact(F.array(*[rule.cast(ERROR) for rule in rules]))
-    return read.withColumn(
-        "_e",
-        F.when(not_object, F.array(failure("", "model_attributes_type"))).otherwise(listed),
+    # The rules are a stage of their own: a list function would evaluate all of
+    # them without code generation, and most events break none.
+    names = [f"r{n}" for n in range(len(rules))]
+    broken = [F.col(f"_r.{name}") for name in names]
+    field_errors = (
+        F.when(F.col("_f").isNull(), F.array(failure("", "model_attributes_type").cast(ERROR)))
+        .when(F.coalesce(*broken).isNotNull(), F.array_compact(F.array(*broken)))
+        .otherwise(F.array().cast(f"array<{ERROR}>"))
+    )
+
+    # Cross-field rules run only when every field is fine.
+    cross = consistency_rule(
+        value("event_type"), value("product_id"), value("price"), value("quantity")
+    ).cast(ERROR)
+    errors = F.when((F.size("_e") == 0) & cross.isNotNull(), F.array(cross)).otherwise(F.col("_e"))
+
+    converted = {
+        "page_url": F.col("_page_url"),
+        "price": minor_units(value("price")),
+        "quantity": value("quantity").try_cast("int"),
+    }
+    properties = F.struct(*[converted.get(name, value(name)).alias(name) for name in PROPERTY_NAMES])
+    top = [value(name).alias(name) for name in TOP_FIELDS[:4]]
+    return _Stages(
+        kinds=kinds,
+        values=values,
+        rules=F.struct(*[rule.cast(ERROR).alias(name) for name, rule in zip(names, rules)]),
+        field_errors=field_errors,
+        errors=errors.alias("errors"),
+        event=F.struct(*top, properties.alias("properties")).alias("event"),
     )
 
 
@@ -265,29 +294,15 @@ def check_events(items: DataFrame, settings: Settings, computed: tuple[str, ...]
     `computed` names columns of `items` that were derived from the body too, so
     that filters on them do not derive them again.
     """
-    read = read_fields(split_fields(items), settings)
-    cross = consistency_rule(
-        F.col("_v.event_type"),
-        F.col("_v.product_id"),
-        F.col("_v.price"),
-        F.col("_v.quantity"),
-    ).cast(ERROR)
-    # Cross-field rules run only when every field is fine.
-    errors = F.when(F.size("_e") > 0, F.col("_e")).otherwise(F.array_compact(F.array(cross)))
-    converted = {
-        "page_url": F.col("_page_url"),
-        "price": minor_units(F.col("_v.price")),
-        "quantity": F.col("_v.quantity").try_cast("int"),
-    }
-    properties = F.struct(
-        *[converted.get(name, F.col(f"_v.{name}")).alias(name) for name in PROPERTY_NAMES]
-    )
-    event = F.struct(
-        *[F.col(f"_v.{name}").alias(name) for name in TOP_FIELDS[:4]],
-        properties.alias("properties"),
+    stages = _stages(settings)
+    read = split_fields(items).withColumn("_k", stages.kinds).withColumn("_v", stages.values)
+    judged = (
+        with_url(read, "_v.page_url", "_page_url")
+        .withColumn("_r", stages.rules)
+        .withColumn("_e", stages.field_errors)
     )
     kept = [name for name in items.columns if name != "item"]
-    checked = read.select(*kept, errors.alias("errors"), event.alias("event"))
+    checked = judged.select(*kept, stages.errors, stages.event)
     return fenced(checked, "errors", "event", *computed)
 
 

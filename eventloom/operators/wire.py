@@ -2,12 +2,15 @@
 
 from __future__ import annotations
 
+from functools import cache
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from eventloom.functions.ids import canonical_uuid
 from eventloom.functions.times import iso_text, parse_wire_time
 from eventloom.model import EVENT_COLUMNS, EVENT_TYPES, PROPERTIES
+from eventloom.plans.fence import fenced
 
 # Error types and their prefix in dead letters.
 DECODE_ERROR = "deserialization"
@@ -32,30 +35,29 @@ def decode_messages(messages: DataFrame) -> DataFrame:
     Keeps the messages' columns.  Values are taken as they are: ranges and text
     lengths were checked before the log.
     """
+    failed = messages
+    for name, column in _decode_stages():
+        failed = failed.withColumn(name, column)
+    return fenced(failed.drop("_doc", "_f", "_p", "_v"), "error", "event")
+
+
+@cache
+def _decode_stages() -> list[tuple[str, Column]]:
     fields = ",".join(f"`{name}`:variant" for name in EVENT_COLUMNS)
     inner = ",".join(f"`{name}`:variant" for name in PROPERTIES.names)
-    split = (
-        messages.withColumn("_doc", F.try_parse_json(F.col("data").cast("string")))
-        .withColumn("_f", F.try_variant_get("_doc", "$", f"struct<{fields}>"))
-        .withColumn("_p", F.try_variant_get("_f.properties", "$", f"struct<{inner}>"))
-    )
 
     def text(name: str) -> Column:
         return F.try_variant_get(f"_f.{name}", "$", "string")
 
-    read = split.withColumn(
-        "_v",
-        F.struct(
-            canonical_uuid(text("event_id")).alias("event_id"),
-            canonical_uuid(text("project_id")).alias("project_id"),
-            text("user_id").alias("user_id"),
-            text("session_id").alias("session_id"),
-            F.when(text("event_type").isin(EVENT_TYPES), text("event_type")).alias("event_type"),
-            parse_wire_time(text("timestamp")).alias("timestamp"),
-            parse_wire_time(text("created_at")).alias("created_at"),
-        ),
+    values = F.struct(
+        canonical_uuid(text("event_id")).alias("event_id"),
+        canonical_uuid(text("project_id")).alias("project_id"),
+        text("user_id").alias("user_id"),
+        text("session_id").alias("session_id"),
+        F.when(text("event_type").isin(EVENT_TYPES), text("event_type")).alias("event_type"),
+        parse_wire_time(text("timestamp")).alias("timestamp"),
+        parse_wire_time(text("created_at")).alias("created_at"),
     )
-
     properties = F.struct(
         *[
             F.try_variant_get(f"_p.{field.name}", "$", field.dataType.simpleString()).alias(field.name)
@@ -68,11 +70,14 @@ def decode_messages(messages: DataFrame) -> DataFrame:
             for name in EVENT_COLUMNS
         ]
     )
-    error = _decode_error()
-    failed = read.withColumn("error", error).withColumn(
-        "event", F.when(F.col("error").isNull(), event)
-    )
-    return failed.drop("_doc", "_f", "_p", "_v")
+    return [
+        ("_doc", F.try_parse_json(F.col("data").cast("string"))),
+        ("_f", F.try_variant_get("_doc", "$", f"struct<{fields}>")),
+        ("_p", F.try_variant_get("_f.properties", "$", f"struct<{inner}>")),
+        ("_v", values),
+        ("error", _decode_error()),
+        ("event", F.when(F.col("error").isNull(), event)),
+    ]
 
 
 def _decode_error() -> Column:

@@ -32,22 +32,17 @@ def sized_items(requests: DataFrame, settings: Settings) -> DataFrame:
     such a list, so all other requests take a branch without a shuffle.
     """
     limit = settings.max_batch
-    items = _checked_items(requests, settings)
-    regular = items.where(F.col("raw_items") <= limit).withColumn("oversized", F.lit(False))
-
+    # Not fenced, so the filter on it reaches the unparsed bodies.
     long_body = (F.col("kind") == "batch") & (F.length("body") > _SHORTEST_EVENT * limit)
-    long_lists = _checked_items(requests.where(long_body), settings).where(
-        F.col("raw_items") > limit
-    )
+    opened = open_requests(parse_bodies(requests.withColumn("long_body", long_body)))
+    items = check_events(opened, settings, ("unreadable", "request_errors", "raw_items", "pos"))
+
+    regular = items.where(F.col("raw_items") <= limit).withColumn("oversized", F.lit(False))
+    long_lists = items.where(F.col("long_body") & (F.col("raw_items") > limit))
     counts = long_lists.groupBy("request_id").agg(
         (F.count_if(is_valid()) > limit).alias("oversized")
     )
-    return regular.unionByName(long_lists.join(counts, "request_id"))
-
-
-def _checked_items(requests: DataFrame, settings: Settings) -> DataFrame:
-    derived = ("unreadable", "request_errors", "raw_items", "pos")
-    return check_events(open_requests(parse_bodies(requests)), settings, derived)
+    return regular.unionByName(long_lists.join(counts, "request_id")).drop("long_body")
 
 
 def metered(requests: DataFrame, settings: Settings) -> DataFrame:

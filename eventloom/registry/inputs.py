@@ -12,6 +12,7 @@ from eventloom.model import EVENT_COLUMNS, PROPERTIES
 from eventloom.operators.wire import encode_events
 from eventloom.plans.ingest import accepted_events, outcomes
 from eventloom.plans.scratch import fresh_path
+from eventloom.plans.spread import spread
 from eventloom.settings import Settings
 from eventloom.sources.store import append_events, read_events
 
@@ -29,7 +30,7 @@ def as_of() -> Column:
 
 def events_table(spark: SparkSession, sf_dir: str) -> DataFrame:
     events = spark.read.parquet(f"{sf_dir}/events.parquet")
-    return with_mapping(events)
+    return with_mapping(spread(events))
 
 
 def with_mapping(events: DataFrame) -> DataFrame:
