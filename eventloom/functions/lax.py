@@ -84,7 +84,7 @@ def diagnose_int(kind: Column, read: Column) -> Column:
     return (
         F.when(given(kind) & read.isNull(), unread)
         .when((kind != "STRING") & infinite, "finite_number")
-        .when(read != F.floor(read), "int_from_float")
+        .when(read != F.rint(read), "int_from_float")
     )
 
 

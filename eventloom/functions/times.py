@@ -19,7 +19,7 @@ def from_epoch(number: Column) -> Column:
     """Seconds, or milliseconds beyond the watershed; null past year 9999."""
     seconds = F.when(F.abs(number) > _EPOCH_WATERSHED, number / 1000).otherwise(number)
     return F.when(
-        F.abs(seconds) < _LAST_SECOND, F.timestamp_micros(F.rint(seconds * 1_000_000).cast("long"))
+        F.abs(seconds) < _LAST_SECOND, F.timestamp_micros(F.rint(seconds * 1_000_000).try_cast("long"))
     )
 
 

@@ -136,7 +136,8 @@ def revenue(events: DataFrame) -> DataFrame:
         .agg(
             F.count("*").alias("purchases"),
             F.sum(properties.quantity).alias("units"),
-            F.sum(properties.price * properties.quantity).alias("revenue"),
+            # The log does not bound prices; an overflow must not fail the job.
+            F.try_sum(F.try_multiply(properties.price, properties.quantity)).alias("revenue"),
         )
     )
 

@@ -16,7 +16,7 @@ from pyspark.sql import types as T
 
 from eventloom.operators.quota import admit, anchor_windows, clock_window
 from eventloom.settings import Settings
-from eventloom.sources.store import _existing
+from eventloom.sources.store import existing_table
 
 GROUP = ["identity", "window_start"]
 ORDER = ["received_at", "request_id"]
@@ -25,6 +25,7 @@ _LEDGER = T.StructType(
         T.StructField("identity", T.StringType()),
         T.StructField("window_start", T.TimestampType()),
         T.StructField("used", T.LongType()),
+        T.StructField("window_day", T.DateType()),
         T.StructField("batch_id", T.LongType()),
     ]
 )
@@ -44,14 +45,18 @@ def quota_batch(
     """
     spark = requests.sparkSession
     seconds = settings.quota_window_seconds
-    earlier = _existing(spark, ledger, _LEDGER)
+    earlier = existing_table(spark, ledger, _LEDGER)
     if earlier is None:
         earlier = spark.createDataFrame([], _LEDGER)
     else:
         # Only windows that can still matter to these requests.
         first = requests.agg(F.min("received_at")).first()[0]
         floor = F.lit(first) - F.make_dt_interval(secs=F.lit(2 * seconds))
-        earlier = earlier.where((F.col("batch_id") < batch_id) & (F.col("window_start") > floor))
+        earlier = earlier.where(
+            (F.col("window_day") >= F.to_date(floor))
+            & (F.col("batch_id") < batch_id)
+            & (F.col("window_start") > floor)
+        )
     used = earlier.groupBy(*GROUP).agg(F.sum("used").alias("_used"))
 
     if anchored:
@@ -66,21 +71,22 @@ def quota_batch(
     )
     judged = admit(remaining, GROUP, ORDER, "_left").drop("_used", "_left")
 
-    _write(judged, decisions, batch_id)
+    _write(judged, decisions, batch_id, [])
     written = spark.read.parquet(decisions).where(F.col("batch_id") == batch_id)
     use = (
         written.where(F.col("identity").isNotNull())
         .groupBy(*GROUP)
         .agg(F.count_if("admitted").alias("used"))
     )
-    _write(use, ledger, batch_id)
+    dated = use.withColumn("window_day", F.to_date("window_start"))
+    _write(dated, ledger, batch_id, ["window_day"])
 
 
-def _write(rows: DataFrame, path: str, batch_id: int) -> None:
+def _write(rows: DataFrame, path: str, batch_id: int, partitions: list[str]) -> None:
     (
         rows.withColumn("batch_id", F.lit(batch_id).cast("long"))
         .write.mode("overwrite")
         .option("partitionOverwriteMode", "dynamic")
-        .partitionBy("batch_id")
+        .partitionBy(*partitions, "batch_id")
         .parquet(path)
     )
