@@ -160,4 +160,4 @@ def test_times_are_utc(spark):
 
 def test_no_python_in_validation(spark):
     plan = check_events(items_of(spark, [raw_event()]), SETTINGS)._jdf.queryExecution().toString()
-    assert "Python" not in plan.replace("LogicalRDD", "") or "EvalPython" not in plan
+    assert "EvalPython" not in plan and "InPandas" not in plan
