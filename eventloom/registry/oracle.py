@@ -130,18 +130,18 @@ SELECT event_id::VARCHAR AS request_id, coalesce(identity, '-') AS identity,
 FROM ranked"""
 
 ANCHORED_QUOTA = f"""WITH RECURSIVE {IDENTIFIED},
-arrivals AS (SELECT *, date_trunc('millisecond', ts) AS at FROM identified WHERE identity IS NOT NULL),
+arrivals AS (SELECT *, date_trunc('millisecond', ts) AS came FROM identified WHERE identity IS NOT NULL),
 anchors(identity, opened) AS (
-  SELECT identity, min(at) FROM arrivals GROUP BY identity
+  SELECT identity, min(came) FROM arrivals GROUP BY identity
   UNION ALL
-  SELECT a.identity, min(r.at) FROM anchors a JOIN arrivals r
-    ON r.identity = a.identity AND r.at >= a.opened + INTERVAL 6 HOUR
+  SELECT a.identity, min(r.came) FROM anchors a JOIN arrivals r
+    ON r.identity = a.identity AND r.came >= a.opened + INTERVAL 6 HOUR
   GROUP BY a.identity
 ),
 ranked AS (
   SELECT r.*, a.opened, row_number() OVER (PARTITION BY r.identity, a.opened
       ORDER BY r.ts, r.event_id::VARCHAR) AS place
-  FROM arrivals r ASOF JOIN anchors a ON r.identity = a.identity AND r.at >= a.opened
+  FROM arrivals r ASOF JOIN anchors a ON r.identity = a.identity AND r.came >= a.opened
 )
 SELECT event_id::VARCHAR AS request_id, identity, {text('opened')} AS window_start,
   CASE WHEN place <= {quota_case(2, 4, 6, 3)} THEN 1 ELSE 0 END::BIGINT AS admitted
