@@ -1,10 +1,14 @@
 """Lenient typed readings of an untrusted JSON value.
 
-Each type has a reader, from the value as a variant and its kind (`kind_of`) to
-the typed value, and a diagnosis, which names the error type of a value that
-could not be read (null when there is none).  A diagnosis refers to the value
-already read, so that a plan computes it once.  An absent value and an explicit
-null both read as null without an error; required fields add their own check.
+A value comes as its text and its *odd kind*: null for a value of the kind the
+field expects (and for an absent one), else what it is instead - STRING, BIGINT,
+DECIMAL(..), DOUBLE, BOOLEAN, VOID (an explicit null), ARRAY<..> or OBJECT<..>.
+Ordinary events have no odd kinds, so they cost next to nothing to carry.
+
+Each type has a reader, to the typed value, and a diagnosis, which names the
+error type of a value that could not be read (null when there is none) from the
+value already read.  An absent value and an explicit null both read as null
+without an error; required fields add their own check.
 """
 
 from __future__ import annotations
@@ -22,21 +26,25 @@ _FLOAT = (
 )
 
 
-def kind_of(value: Column) -> Column:
-    """STRING, BIGINT, DECIMAL(..), DOUBLE, BOOLEAN, VOID, ARRAY<..>, OBJECT<..>."""
-    return F.schema_of_variant(value)
+def _is_number(kind: Column) -> Column:
+    return kind.isin("BIGINT", "DOUBLE") | kind.startswith("DECIMAL")
 
 
-def given(kind: Column) -> Column:
-    return kind.isNotNull() & (kind != "VOID")
+def odd_for_text(value: Column) -> Column:
+    """Odd kind of a variant where text is expected."""
+    kind = F.schema_of_variant(value)
+    return F.when(kind != "STRING", kind)
 
 
-def _is_number(kind: Column) -> Column:
-    return kind.isin("BIGINT", "DOUBLE") | kind.startswith("DECIMAL")
+def odd_for_number(value: Column) -> Column:
+    """Odd kind of a variant where a number is expected."""
+    kind = F.schema_of_variant(value)
+    return F.when(~_is_number(kind), kind)
 
 
-def _numeric(kind: Column) -> Column:
-    return _is_number(kind) | (kind == "BOOLEAN")
+def wrong(odd: Column) -> Column:
+    """Whether there is a value, and of another kind."""
+    return odd.isNotNull() & (odd != "VOID")
 
 
 def _trimmed(text: Column) -> Column:
@@ -48,56 +56,53 @@ def _plain(text: Column, pattern: str) -> Column:
     return F.when(_trimmed(text).rlike(pattern), F.replace(_trimmed(text), F.lit("_"), F.lit("")))
 
 
-def read_text(value: Column, kind: Column) -> Column:
-    return F.when(kind == "STRING", F.try_variant_get(value, "$", "string"))
-
+def read_text(text: Column, odd: Column) -> Column:
+    return F.when(odd.isNull(), text)
 
-def diagnose_text(kind: Column) -> Column:
-    return F.when(given(kind) & (kind != "STRING"), "string_type")
 
-
-def _read_number(value: Column, kind: Column, pattern: str) -> Column:
-    return F.when(_numeric(kind), F.try_variant_get(value, "$", "double")).when(
-        kind == "STRING", _plain(F.try_variant_get(value, "$", "string"), pattern).try_cast("double")
+def _read_number(text: Column, odd: Column, pattern: str) -> Column:
+    return (
+        F.when(odd.isNull(), text.try_cast("double"))
+        .when(odd == "STRING", _plain(text, pattern).try_cast("double"))
+        .when(odd == "BOOLEAN", F.when(text == "true", 1.0).otherwise(0.0))
     )
 
 
-def read_float(value: Column, kind: Column) -> Column:
-    return _read_number(value, kind, _FLOAT)
+def read_float(text: Column, odd: Column) -> Column:
+    return _read_number(text, odd, _FLOAT)
 
 
-def diagnose_float(kind: Column, read: Column) -> Column:
+def diagnose_float(odd: Column, read: Column) -> Column:
     return F.when(
-        given(kind) & read.isNull(),
-        F.when(kind == "STRING", "float_parsing").otherwise("float_type"),
+        wrong(odd) & read.isNull(),
+        F.when(odd == "STRING", "float_parsing").otherwise("float_type"),
     )
 
 
-def read_int(value: Column, kind: Column) -> Column:
+def read_int(text: Column, odd: Column) -> Column:
     """Whole number as a double, exact over the accepted range."""
-    return _read_number(value, kind, _INT)
+    return _read_number(text, odd, _INT)
 
 
-def diagnose_int(kind: Column, read: Column) -> Column:
-    unread = F.when(kind == "STRING", "int_parsing").otherwise("int_type")
-    infinite = F.isnan(read) | (F.abs(read) == float("inf"))
+def diagnose_int(odd: Column, read: Column) -> Column:
+    unread = F.when(odd == "STRING", "int_parsing").otherwise("int_type")
     return (
-        F.when(given(kind) & read.isNull(), unread)
-        .when((kind != "STRING") & infinite, "finite_number")
+        F.when(wrong(odd) & read.isNull(), unread)
+        .when(odd.isNull() & (F.abs(read) == float("inf")), "finite_number")
         .when(read != F.rint(read), "int_from_float")
     )
 
 
-def read_time(value: Column, kind: Column) -> Column:
-    return F.when(
-        kind == "STRING", times.parse_edge_time(F.try_variant_get(value, "$", "string"))
-    ).when(_is_number(kind), times.from_epoch(F.try_variant_get(value, "$", "double")))
+def read_time(text: Column, odd: Column) -> Column:
+    return F.when(odd.isNull(), times.parse_edge_time(text)).when(
+        _is_number(odd), times.from_epoch(text.try_cast("double"))
+    )
 
 
-def diagnose_time(kind: Column, read: Column) -> Column:
+def diagnose_time(odd: Column, read: Column) -> Column:
     return F.when(
         read.isNull(),
-        F.when(kind == "STRING", "datetime_from_date_parsing")
-        .when(_is_number(kind), "datetime_parsing")
+        F.when(odd.isNull(), "datetime_from_date_parsing")
+        .when(_is_number(odd), "datetime_parsing")
         .otherwise("datetime_type"),
     )

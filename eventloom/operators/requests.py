@@ -14,7 +14,7 @@ def parse_bodies(requests: DataFrame) -> DataFrame:
 
 
 def open_requests(requests: DataFrame) -> DataFrame:
-    """One row per item, with `pos`, `item`, `raw_items` and `request_errors`.
+    """One row per item: `pos`, `item`, `item_text`, `raw_items` and `request_errors`.
 
     A single request is its own only item.  A batch without a usable list gives
     one row whose `request_errors` say why; an empty list gives one row without
@@ -22,11 +22,13 @@ def open_requests(requests: DataFrame) -> DataFrame:
     """
     is_batch = F.col("kind") == "batch"
     envelope = F.when(is_batch, F.try_variant_get("doc", "$", "struct<events:variant>"))
-    opened = requests.withColumn("_envelope", envelope).withColumn(
-        "_items",
-        F.when(is_batch, F.try_variant_get("_envelope.events", "$", "array<variant>")).otherwise(
-            F.array("doc")
-        ),
+    listed = F.try_variant_get("_envelope.events", "$", "array<variant>")
+    texts = F.from_json("body", "struct<events:array<string>>").getField("events")
+    opened = requests.withColumn("_envelope", envelope).withColumns(
+        {
+            "_items": F.when(is_batch, listed).otherwise(F.array("doc")),
+            "_texts": F.when(is_batch, texts).otherwise(F.array("body")),
+        }
     )
     bad_json = F.when(
         F.trim(F.coalesce("body", F.lit(""))) == "", failure("", "missing")
@@ -37,11 +39,14 @@ def open_requests(requests: DataFrame) -> DataFrame:
         .when(F.col("_envelope.events").isNull(), failure("events", "missing"))
         .when(F.col("_items").isNull(), failure("events", "list_type"))
     )
+    problem = F.coalesce(bad_json, bad_envelope)
     kept = [name for name in requests.columns if name not in ("body", "doc")]
     return opened.select(
         *kept,
         bad_json.isNotNull().alias("unreadable"),
-        F.array_compact(F.array(F.coalesce(bad_json, bad_envelope))).alias("request_errors"),
+        F.when(problem.isNotNull(), F.array(problem))
+        .otherwise(F.array().cast(f"array<{ERROR}>"))
+        .alias("request_errors"),
         F.coalesce(F.size("_items"), F.lit(0)).alias("raw_items"),
-        F.posexplode_outer("_items").alias("pos", "item"),
-    )
+        F.posexplode_outer(F.arrays_zip("_items", "_texts")).alias("pos", "_pair"),
+    ).select("*", F.col("_pair._items").alias("item"), F.col("_pair._texts").alias("item_text")).drop("_pair")

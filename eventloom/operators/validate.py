@@ -1,7 +1,7 @@
 """Field, time and consistency rules of a raw event.
 
 `check_events` reads each raw item once and adds, in stages that Spark keeps as
-separate projections (kinds, values, rules, lists),
+separate projections (fields, kinds, values, rules, lists),
 
 * `event`  - the typed and normalised reading (struct), and
 * `errors` - `array<struct<loc, type, msg>>`, empty for a valid event.
@@ -88,8 +88,8 @@ def _message_map() -> Column:
 # --- one rule per field; each gives an error struct or null -------------------
 
 
-def _text_rule(loc: str, kind: Column, value: Column, low: int | None, high: int | None) -> Column:
-    checks = [F.when(lax.diagnose_text(kind).isNotNull(), failure(loc, "string_type"))]
+def _text_rule(loc: str, odd: Column, value: Column, low: int | None, high: int | None) -> Column:
+    checks = [F.when(lax.wrong(odd), failure(loc, "string_type"))]
     size = F.length(value)
     if low is not None:
         plural = "" if low == 1 else "s"
@@ -101,38 +101,38 @@ def _text_rule(loc: str, kind: Column, value: Column, low: int | None, high: int
     return F.coalesce(*checks)
 
 
-def _pattern_rule(loc: str, kind: Column, value: Column, pattern: str) -> Column:
+def _pattern_rule(loc: str, odd: Column, value: Column, pattern: str) -> Column:
     # `$` would also match before a final line feed.
     anchored = rf"\A{pattern[1:-1]}\z"
     message = f"String should match pattern '{pattern}'"
     return F.coalesce(
-        F.when(lax.diagnose_text(kind).isNotNull(), failure(loc, "string_type")),
+        F.when(lax.wrong(odd), failure(loc, "string_type")),
         F.when(~value.rlike(anchored), failure(loc, "string_pattern_mismatch", message)),
     )
 
 
-def _url_rule(loc: str, kind: Column, problem: Column) -> Column:
+def _url_rule(loc: str, odd: Column, problem: Column) -> Column:
     return F.coalesce(
-        F.when(lax.given(kind) & (kind != "STRING"), failure(loc, "url_type")),
+        F.when(lax.wrong(odd), failure(loc, "url_type")),
         _typed_failure(loc, problem),
     )
 
 
-def _price_rule(loc: str, kind: Column, value: Column) -> Column:
+def _price_rule(loc: str, odd: Column, value: Column) -> Column:
     above = f"Input should be less than or equal to {MAX_PRICE}"
     return F.coalesce(
-        _typed_failure(loc, lax.diagnose_float(kind, value)),
+        _typed_failure(loc, lax.diagnose_float(odd, value)),
         # NaN orders above every number, so it fails here.
         F.when(value > MAX_PRICE, failure(loc, "less_than_equal", above)),
         F.when(value <= 0, failure(loc, "greater_than", "Input should be greater than 0")),
     )
 
 
-def _quantity_rule(loc: str, kind: Column, value: Column) -> Column:
+def _quantity_rule(loc: str, odd: Column, value: Column) -> Column:
     above = f"Input should be less than or equal to {MAX_QUANTITY}"
     below = "Input should be greater than or equal to 1"
     return F.coalesce(
-        _typed_failure(loc, lax.diagnose_int(kind, value)),
+        _typed_failure(loc, lax.diagnose_int(odd, value)),
         F.when(value > MAX_QUANTITY, failure(loc, "less_than_equal", above)),
         F.when(value < 1, failure(loc, "greater_than_equal", below)),
     )
@@ -156,11 +156,11 @@ def time_rule(timestamp: Column, received_at: Column, settings: Settings) -> Col
 
 
 def _timestamp_rule(
-    present: Column, kind: Column, value: Column, received_at: Column, settings: Settings
+    present: Column, odd: Column, value: Column, received_at: Column, settings: Settings
 ) -> Column:
     return F.when(~present, failure("timestamp", "missing")).otherwise(
         F.coalesce(
-            _typed_failure("timestamp", lax.diagnose_time(kind, value)),
+            _typed_failure("timestamp", lax.diagnose_time(odd, value)),
             time_rule(value, received_at, settings),
         )
     )
@@ -191,32 +191,60 @@ def consistency_rule(event_type: Column, product_id: Column, price: Column, quan
 # --- the operator -------------------------------------------------------------
 
 
-def split_fields(items: DataFrame) -> DataFrame:
-    """Take an item's declared keys apart; unknown keys are ignored."""
-    top = ",".join(f"`{name}`:variant" for name in TOP_FIELDS)
-    inner = ",".join(f"`{name}`:variant" for name in PROPERTY_NAMES)
-    return items.withColumn("_f", F.try_variant_get("item", "$", f"struct<{top}>")).withColumn(
-        "_p", F.try_variant_get("_f.properties", "$", f"struct<{inner}>")
-    )
-
-
 class _Stages(NamedTuple):
     """The columns of each validation stage, in order."""
 
-    kinds: Column
-    values: Column
-    rules: Column
-    field_errors: Column
+    fields: dict[str, Column]
+    inner: dict[str, Column]
+    kinds: dict[str, Column]
+    values: dict[str, Column]
+    rules: dict[str, Column]
+    lists: dict[str, Column]
     errors: Column
     event: Column
 
 
 @cache
 def _stages(settings: Settings) -> _Stages:
-    """Built once per settings: there are many expressions, and they never differ."""
+    """Built once per settings: there are many expressions, and they never differ.
+
+    An item is read twice, each for what it does best: as a variant, which tells
+    kinds and absence apart, and with a schema of texts, which gets all values
+    in one pass.
+    """
+    top_variants = ",".join(f"`{name}`:variant" for name in TOP_FIELDS)
+    inner_variants = ",".join(f"`{name}`:variant" for name in PROPERTY_NAMES)
+    inner_texts = ",".join(f"`{name}`:string" for name in PROPERTY_NAMES)
+    top_texts = ",".join(f"`{name}`:string" for name in TOP_FIELDS[:4])
+    texts = f"struct<{top_texts},properties:struct<{inner_texts}>>"
+    fields = {
+        "_f": F.try_variant_get("item", "$", f"struct<{top_variants}>"),
+        "_t": F.from_json("item_text", texts),
+    }
+    inner_fields = {"_p": F.try_variant_get("_f.properties", "$", f"struct<{inner_variants}>")}
+
     variants = {name: F.col(f"_f.{name}") for name in TOP_FIELDS[:4]}
     variants |= {name: F.col(f"_p.{name}") for name in PROPERTY_NAMES}
+    numbers = ("price", "quantity")
+    odd_kinds = [
+        (lax.odd_for_number if name in numbers else lax.odd_for_text)(variant).alias(name)
+        for name, variant in variants.items()
+    ]
+    present = F.struct(
+        F.col("_f").isNotNull().alias("item"),
+        *[F.col(f"_f.{name}").isNotNull().alias(name) for name in TOP_FIELDS[2:]],
+        F.col("_p").isNotNull().alias("property_object"),
+    )
+
     readers = {"timestamp": lax.read_time, "price": lax.read_float, "quantity": lax.read_int}
+    given_texts = {name: F.col(f"_t.{name}") for name in TOP_FIELDS[:4]}
+    given_texts |= {name: F.col(f"_t.properties.{name}") for name in PROPERTY_NAMES}
+    values = F.struct(
+        *[
+            readers.get(name, lax.read_text)(text, F.col(f"_k.{name}")).alias(name)
+            for name, text in given_texts.items()
+        ]
+    )
 
     def kind(name: str) -> Column:
         return F.col(f"_k.{name}")
@@ -224,17 +252,12 @@ def _stages(settings: Settings) -> _Stages:
     def value(name: str) -> Column:
         return F.col(f"_v.{name}")
 
+    def has(name: str) -> Column:
+        return F.col(f"_has.{name}")
+
     def inner(name: str) -> str:
         return f"properties.{name}"
 
-    kinds = F.struct(*[lax.kind_of(variant).alias(name) for name, variant in variants.items()])
-    values = F.struct(
-        *[
-            readers.get(name, lax.read_text)(variant, kind(name)).alias(name)
-            for name, variant in variants.items()
-        ]
-    )
-
     of_property = {"page_url": _url_rule(inner("page_url"), kind("page_url"), F.col("_page_url_problem"))}
     for name, low, high in TEXT_BOUNDS:
         of_property[name] = _text_rule(inner(name), kind(name), value(name), low, high)
@@ -242,27 +265,30 @@ def _stages(settings: Settings) -> _Stages:
         of_property[name] = _pattern_rule(inner(name), kind(name), value(name), pattern)
     of_property["price"] = _price_rule(inner("price"), kind("price"), value("price"))
     of_property["quantity"] = _quantity_rule(inner("quantity"), kind("quantity"), value("quantity"))
-    no_properties = F.when(F.col("_f.properties").isNull(), failure("properties", "missing")).when(
-        F.col("_p").isNull(), failure("properties", "model_attributes_type")
+    no_properties = F.when(~has("properties"), failure("properties", "missing")).when(
+        ~has("property_object"), failure("properties", "model_attributes_type")
     )
-    has_time = F.col("_f.timestamp").isNotNull()
     rules = [
         _text_rule("user_id", kind("user_id"), value("user_id"), None, None),
         _text_rule("session_id", kind("session_id"), value("session_id"), None, None),
-        _event_type_rule(F.col("_f.event_type").isNotNull(), value("event_type")),
-        _timestamp_rule(has_time, kind("timestamp"), value("timestamp"), F.col("received_at"), settings),
+        _event_type_rule(has("event_type"), value("event_type")),
+        _timestamp_rule(has("timestamp"), kind("timestamp"), value("timestamp"), F.col("received_at"), settings),
         no_properties,
         *[of_property[name] for name in PROPERTY_NAMES],
     ]
 
-    # The rules are a stage of their own: a list function would evaluate all of
-    # them without code generation, and most events break none.
+    # A stage of their own, so that the list below computes none twice.  Higher-order
+    # functions stay out of it: they would end code generation for the whole stage.
     names = [f"r{n}" for n in range(len(rules))]
     broken = [F.col(f"_r.{name}") for name in names]
+    none = F.array().cast(f"array<{ERROR}>")
     field_errors = (
-        F.when(F.col("_f").isNull(), F.array(failure("", "model_attributes_type").cast(ERROR)))
-        .when(F.coalesce(*broken).isNotNull(), F.array_compact(F.array(*broken)))
-        .otherwise(F.array().cast(f"array<{ERROR}>"))
+        F.when(~has("item"), F.array(failure("", "model_attributes_type").cast(ERROR)))
+        .when(
+            F.coalesce(*broken).isNotNull(),
+            F.concat(*[F.when(rule.isNotNull(), F.array(rule)).otherwise(none) for rule in broken]),
+        )
+        .otherwise(none)
     )
 
     # Cross-field rules run only when every field is fine.
@@ -279,10 +305,12 @@ def _stages(settings: Settings) -> _Stages:
     properties = F.struct(*[converted.get(name, value(name)).alias(name) for name in PROPERTY_NAMES])
     top = [value(name).alias(name) for name in TOP_FIELDS[:4]]
     return _Stages(
-        kinds=kinds,
-        values=values,
-        rules=F.struct(*[rule.cast(ERROR).alias(name) for name, rule in zip(names, rules)]),
-        field_errors=field_errors,
+        fields=fields,
+        inner=inner_fields,
+        kinds={"_k": F.struct(*odd_kinds), "_has": present},
+        values={"_v": values},
+        rules={"_r": F.struct(*[rule.cast(ERROR).alias(name) for name, rule in zip(names, rules)])},
+        lists={"_e": field_errors},
         errors=errors.alias("errors"),
         event=F.struct(*top, properties.alias("properties")).alias("event"),
     )
@@ -291,19 +319,27 @@ def _stages(settings: Settings) -> _Stages:
 def check_events(items: DataFrame, settings: Settings, computed: tuple[str, ...] = ()) -> DataFrame:
     """Add `event` and `errors` to rows with `item` (variant) and `received_at`.
 
+    `item_text`, the item as JSON text, is taken from `items` where given.
     `computed` names columns of `items` that were derived from the body too, so
     that filters on them do not derive them again.
     """
     stages = _stages(settings)
-    read = split_fields(items).withColumn("_k", stages.kinds).withColumn("_v", stages.values)
+    kept = [name for name in items.columns if name not in ("item", "item_text")]
+    if "item_text" not in items.columns:
+        items = items.withColumn("item_text", F.to_json("item"))
+    read = (
+        items.withColumns(stages.fields)
+        .withColumns(stages.inner)
+        .withColumns(stages.kinds)
+        .withColumns(stages.values)
+        .drop("item", "item_text", "_f", "_p", "_t")
+    )
     judged = (
         with_url(read, "_v.page_url", "_page_url")
-        .withColumn("_r", stages.rules)
-        .withColumn("_e", stages.field_errors)
+        .withColumns(stages.rules)
+        .withColumns(stages.lists)
     )
-    kept = [name for name in items.columns if name != "item"]
-    checked = judged.select(*kept, stages.errors, stages.event)
-    return fenced(checked, "errors", "event", *computed)
+    return fenced(judged.select(*kept, stages.errors, stages.event), "errors", "event", *computed)
 
 
 def is_valid() -> Column:

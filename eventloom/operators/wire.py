@@ -38,18 +38,28 @@ def decode_messages(messages: DataFrame) -> DataFrame:
     failed = messages
     for name, column in _decode_stages():
         failed = failed.withColumn(name, column)
-    return fenced(failed.drop("_doc", "_f", "_p", "_v"), "error", "event")
+    return fenced(failed.drop("_doc", "_f", "_t", "_has", "_v"), "error", "event")
 
 
 @cache
 def _decode_stages() -> list[tuple[str, Column]]:
     fields = ",".join(f"`{name}`:variant" for name in EVENT_COLUMNS)
-    inner = ",".join(f"`{name}`:variant" for name in PROPERTIES.names)
+    bad_properties = F.col("_f.properties").isNotNull() & (
+        F.try_variant_get("_f.properties", "$", "struct<x:variant>").isNull()
+    )
+    present = F.struct(
+        F.col("_doc").isNotNull().alias("json"),
+        F.col("_f").isNotNull().alias("object"),
+        bad_properties.alias("bad_properties"),
+        *[F.col(f"_f.{name}").isNotNull().alias(name) for name in EVENT_COLUMNS],
+    )
+    texts = ",".join(f"`{name}`:string" for name in EVENT_COLUMNS if name != "properties")
+    values = f"struct<{texts},properties:{PROPERTIES.simpleString()}>"
 
     def text(name: str) -> Column:
-        return F.try_variant_get(f"_f.{name}", "$", "string")
+        return F.col(f"_t.{name}")
 
-    values = F.struct(
+    read = F.struct(
         canonical_uuid(text("event_id")).alias("event_id"),
         canonical_uuid(text("project_id")).alias("project_id"),
         text("user_id").alias("user_id"),
@@ -58,12 +68,9 @@ def _decode_stages() -> list[tuple[str, Column]]:
         parse_wire_time(text("timestamp")).alias("timestamp"),
         parse_wire_time(text("created_at")).alias("created_at"),
     )
-    properties = F.struct(
-        *[
-            F.try_variant_get(f"_p.{field.name}", "$", field.dataType.simpleString()).alias(field.name)
-            for field in PROPERTIES
-        ]
-    )
+    # Absent properties read as an empty object.
+    nothing = F.struct(*[F.lit(None).cast(f.dataType).alias(f.name) for f in PROPERTIES])
+    properties = F.coalesce(text("properties"), nothing)
     event = F.struct(
         *[
             (properties if name == "properties" else F.col(f"_v.{name}")).alias(name)
@@ -72,9 +79,10 @@ def _decode_stages() -> list[tuple[str, Column]]:
     )
     return [
         ("_doc", F.try_parse_json(F.col("data").cast("string"))),
+        ("_t", F.from_json(F.col("data").cast("string"), values)),
         ("_f", F.try_variant_get("_doc", "$", f"struct<{fields}>")),
-        ("_p", F.try_variant_get("_f.properties", "$", f"struct<{inner}>")),
-        ("_v", values),
+        ("_has", present),
+        ("_v", read),
         ("error", _decode_error()),
         ("event", F.when(F.col("error").isNull(), event)),
     ]
@@ -82,23 +90,22 @@ def _decode_stages() -> list[tuple[str, Column]]:
 
 def _decode_error() -> Column:
     """First thing wrong with a message, in the order it is read."""
-    bad_properties = F.col("_f.properties").isNotNull() & F.col("_p").isNull()
     error = (
         F.when(F.length(F.coalesce("data", F.lit(b""))) == 0, EMPTY_MESSAGE)
-        .when(F.col("_doc").isNull(), PREFIX + "message is not valid JSON")
-        .when(F.col("_f").isNull(), PREFIX + "message is not an object")
-        .when(bad_properties, PREFIX + "properties is not an object")
+        .when(~F.col("_has.json"), PREFIX + "message is not valid JSON")
+        .when(~F.col("_has.object"), PREFIX + "message is not an object")
+        .when(F.col("_has.bad_properties"), PREFIX + "properties is not an object")
     )
     for name in ["timestamp", "created_at", "event_id", "project_id", "event_type"]:
         missing, broken = f"{PREFIX}'{name}'", _broken(name)
-        error = error.when(F.col(f"_f.{name}").isNull(), missing).when(
+        error = error.when(~F.col(f"_has.{name}"), missing).when(
             F.col(f"_v.{name}").isNull(), broken
         )
     return error
 
 
 def _broken(name: str) -> Column:
-    raw = F.coalesce(F.try_variant_get(f"_f.{name}", "$", "string"), F.lit("None"))
+    raw = F.coalesce(F.col(f"_t.{name}"), F.lit("None"))
     if name in ("event_id", "project_id"):
         return F.lit(PREFIX + "badly formed hexadecimal UUID string")
     if name == "event_type":

@@ -84,7 +84,8 @@ def _batch_outcomes(spark: SparkSession, sf_dir: str, settings=SETTINGS) -> Data
 
 def _checked(spark: SparkSession, sf_dir: str) -> DataFrame:
     requests = inputs.single_requests(events_table(spark, sf_dir))
-    return check_events(requests.withColumn("item", F.try_parse_json("body")), SETTINGS)
+    items = requests.withColumn("item", F.try_parse_json("body")).withColumnRenamed("body", "item_text")
+    return check_events(items, SETTINGS)
 
 
 def _event_columns(events: DataFrame) -> DataFrame:
@@ -352,7 +353,10 @@ def validate_props(spark, sf_dir):
         F.lit('{"event_type":"page_view","timestamp":"'), time, F.lit('","properties":{'), chosen, F.lit("}}")
     )
     items = events_table(spark, sf_dir).select(
-        "event_id", as_of().alias("received_at"), F.try_parse_json(body).alias("item")
+        "event_id",
+        as_of().alias("received_at"),
+        F.try_parse_json(body).alias("item"),
+        body.alias("item_text"),
     )
     return check_events(items, SETTINGS).select(
         "event_id",

@@ -38,7 +38,7 @@ class Settings:
         return f"wk_{self.environment}"
 
 
-# Options that change results, so they are set on whatever session is handed in.
+# Options that results or plans depend on, set on whatever session is handed in.
 SESSION_OPTIONS = {
     "spark.sql.session.timeZone": "UTC",
     # A repeated JSON key keeps its last value, in objects and in merged maps.
@@ -46,6 +46,10 @@ SESSION_OPTIONS = {
     "spark.sql.variant.allowDuplicateKeys": "true",
     # A deep LIMIT/OFFSET page is sorted on the cluster, not in the driver.
     "spark.sql.execution.topKSortFallbackThreshold": "100000",
+    # The validation stages are wide but simple, so let them be generated as one;
+    # where the code gets too long for the JIT compiler, split it instead.
+    "spark.sql.codegen.maxFields": "300",
+    "spark.sql.codegen.hugeMethodLimit": "8000",
 }
 
 
