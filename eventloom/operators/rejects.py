@@ -30,10 +30,9 @@ def reject_records(outcomes: DataFrame) -> DataFrame:
     `disposition` is `dropped` for a bad item that its batch survives and
     `rejected` otherwise.
     """
-    at = F.when(F.col("kind") == "batch", F.concat(F.lit("body.events."), F.col("pos"))).otherwise(
-        F.lit("body")
-    )
-    place = F.coalesce(at, F.lit("body"))
+    # A batch's own failures concern its list; a dropped item's are its own.
+    dropped = F.col("disposition") == "dropped"
+    place = F.when(dropped, F.concat(F.lit("body.events."), F.col("pos"))).otherwise("body")
 
     def located(error: Column) -> Column:
         return error.withField(

@@ -41,12 +41,18 @@ def open_requests(requests: DataFrame) -> DataFrame:
     )
     problem = F.coalesce(bad_json, bad_envelope)
     kept = [name for name in requests.columns if name not in ("body", "doc")]
-    return opened.select(
+    # Judged before the list is opened: a column computed from the list after that
+    # would carry the whole list along with each of its items.
+    judged = opened.select(
         *kept,
         bad_json.isNotNull().alias("unreadable"),
         F.when(problem.isNotNull(), F.array(problem))
         .otherwise(F.array().cast(f"array<{ERROR}>"))
         .alias("request_errors"),
         F.coalesce(F.size("_items"), F.lit(0)).alias("raw_items"),
-        F.posexplode_outer(F.arrays_zip("_items", "_texts")).alias("pos", "_pair"),
-    ).select("*", F.col("_pair._items").alias("item"), F.col("_pair._texts").alias("item_text")).drop("_pair")
+        F.arrays_zip("_items", "_texts").alias("_pairs"),
+    )
+    passed = [name for name in judged.columns if name != "_pairs"]
+    return judged.select(*passed, F.posexplode_outer("_pairs").alias("pos", "_pair")).select(
+        *passed, "pos", F.col("_pair._items").alias("item"), F.col("_pair._texts").alias("item_text")
+    )

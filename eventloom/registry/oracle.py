@@ -91,8 +91,12 @@ BATCHED = f"""{MAPPED},
 placed AS (
   SELECT *, row_number() OVER (PARTITION BY batch ORDER BY event_id) - 1 AS pos FROM judged
 ),
+sized AS (
+  SELECT *, count(*) FILTER (valid) OVER (PARTITION BY batch) > 500 AS oversized FROM placed
+),
 items AS (
-  SELECT *, {key('batch', 'pos')} AS event_key, valid AND tenant_code IS NULL AS taken FROM placed
+  SELECT *, {key('batch', 'pos')} AS event_key, valid AND NOT oversized AND tenant_code IS NULL AS taken
+  FROM sized
 )"""
 
 
@@ -202,10 +206,12 @@ refused AS (
   FROM items WHERE NOT valid OR tenant_code IS NOT NULL
   UNION ALL
   SELECT batch, pos::BIGINT, CASE WHEN valid THEN 'rejected' ELSE 'dropped' END,
-    CASE WHEN valid THEN tenant_code ELSE 'ValidationError' END,
-    CASE WHEN valid THEN tenant_message ELSE 'Validation Error' END,
-    {placed_errors("'body.events.' || pos::VARCHAR")}
-  FROM items WHERE NOT valid OR tenant_code IS NOT NULL
+    CASE WHEN valid AND NOT oversized THEN tenant_code ELSE 'ValidationError' END,
+    CASE WHEN valid AND NOT oversized THEN tenant_message ELSE 'Validation Error' END,
+    CASE WHEN valid AND oversized
+      THEN 'body.events|too_long|List should have at most 500 items after validation'
+      ELSE {placed_errors("'body.events.' || pos::VARCHAR")} END
+  FROM items WHERE NOT taken
 )"""
 
 ISO = "strftime(ts, '%Y-%m-%dT%H:%M:%S') || CASE WHEN microsecond(ts) % 1000000 = 0 THEN '' ELSE strftime(ts, '.%f') END || '+00:00'"
@@ -270,11 +276,12 @@ FROM accepted GROUP BY ALL""",
   CASE WHEN valid AND tenant_code IS NULL THEN {SINGLE_KEY} ELSE '' END AS event_id FROM judged""",
         "ingest_batch": f"""WITH {BATCHED}, batches AS (
   SELECT batch, any_value(tenant_code) AS tenant_code, count(*) FILTER (taken) AS n_accepted,
-    count(*) FILTER (NOT valid) AS n_dropped, count(*) FILTER (valid) AS n_valid FROM items GROUP BY batch)
+    count(*) FILTER (NOT valid) AS n_dropped,
+    count(*) FILTER (valid) NOT BETWEEN 1 AND 500 AS bad_size FROM items GROUP BY batch)
 SELECT batch AS request_id,
-  CASE WHEN n_valid = 0 THEN 422 WHEN tenant_code = 'UnauthorizedError' THEN 401
+  CASE WHEN bad_size THEN 422 WHEN tenant_code = 'UnauthorizedError' THEN 401
     WHEN tenant_code = 'NotFoundError' THEN 404 ELSE 202 END::BIGINT AS http_status,
-  CASE WHEN n_valid = 0 THEN 'ValidationError' ELSE coalesce(tenant_code, 'accepted') END AS result,
+  CASE WHEN bad_size THEN 'ValidationError' ELSE coalesce(tenant_code, 'accepted') END AS result,
   n_accepted, n_dropped, n_accepted AS n_ids FROM batches""",
         "batch_receipts": f"""WITH {BATCHED} SELECT batch AS request_id, 'accepted' AS status,
   string_agg(event_key, ',' ORDER BY pos) AS event_ids FROM items WHERE taken GROUP BY batch""",
@@ -391,7 +398,8 @@ ORDER BY ts, event_key LIMIT 100 OFFSET 20""",
         "events_slice": f"""{STORED} WHERE mtype = 'purchase'
   AND ts >= TIMESTAMP '2024-01-10 06:00:00' AND ts < TIMESTAMP '2024-01-12 18:00:00'""",
         "accepted_events": f"WITH {BATCHED}, log AS (SELECT *, {project('user_id % 25')} AS project_id,"
-        f" CASE WHEN user_id % 2 = 0 THEN {SINGLE_KEY} ELSE event_key END AS log_key FROM items WHERE taken) "
+        f" CASE WHEN user_id % 2 = 0 THEN {SINGLE_KEY} ELSE event_key END AS log_key FROM items"
+        " WHERE taken OR (user_id % 2 = 0 AND valid AND tenant_code IS NULL)) "
         + event_columns("log", "log_key"),
         "stream_consume": f"WITH {MAPPED} {TYPED} WHERE mapped.{ON_LOG}",
         "stream_store": f"WITH {MAPPED} {TYPED} WHERE mapped.{ON_LOG}",

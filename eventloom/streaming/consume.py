@@ -16,6 +16,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
 from eventloom.operators.wire import dead_letters, decode_messages, decoded_events
+from eventloom.plans.spread import spread
 from eventloom.sources.store import append_dead_letters, append_events
 
 # Fixed value: dead-letter error type of an event whose project is unknown.
@@ -38,7 +39,7 @@ def store_batch(
     With `projects` given, events of unknown projects become dead letters
     instead of failing the batch.
     """
-    decoded = decode_messages(messages)
+    decoded = decode_messages(spread(messages))
     if projects is not None:
         decoded = _mark_orphans(decoded, projects)
     decoded = decoded.persist(StorageLevel.MEMORY_AND_DISK)
