@@ -7,6 +7,8 @@ duplicate check and retention touch only the days they concern.
 
 from __future__ import annotations
 
+from datetime import date
+
 from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -45,23 +47,29 @@ def first_copies(events: DataFrame, order: str | None = None) -> DataFrame:
 
 
 def append_events(
-    events: DataFrame, path: str, batch_id: int, order: str | None = None, prune_dates: bool = True
+    events: DataFrame,
+    path: str,
+    batch_id: int,
+    order: str | None = None,
+    prune_dates: bool = True,
+    days: tuple[date, date] | None = None,
 ) -> None:
     """Store the events whose ids are not stored yet.
 
     Copies of an event are redeliveries of one message and share its time, so
     only the stored days that the batch spans are searched.  With
-    `prune_dates=False` all days are.
+    `prune_dates=False` all days are.  A caller that knows the first and last
+    day passes them as `days`, which saves a pass over `events` to find them.
     """
     fresh = first_copies(events, order).withColumn("event_date", F.to_date("timestamp"))
     earlier = existing_table(events.sparkSession, path, _STORED)
     if earlier is not None:
         earlier = earlier.where(F.col("batch_id") != batch_id)
         if prune_dates:
-            span = events.agg(
-                F.min(F.to_date("timestamp")).alias("low"), F.max(F.to_date("timestamp")).alias("high")
+            low, high = days or events.agg(
+                F.min(F.to_date("timestamp")), F.max(F.to_date("timestamp"))
             ).first()
-            earlier = earlier.where(F.col("event_date").between(span.low, span.high))
+            earlier = earlier.where(F.col("event_date").between(low, high))
         fresh = fresh.join(earlier.select("event_id"), "event_id", "left_anti")
     _write(fresh.select(*EVENT_COLUMNS, "event_date"), path, batch_id, PARTITIONS, ["project_id", "timestamp"])
 

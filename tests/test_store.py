@@ -110,6 +110,21 @@ def test_store_ignores_known_ids(spark, folder):
     assert {int(row.event_id[-3:]): row.batch_id for row in stored.collect()} == {1: 0, 2: 0, 3: 1}
 
 
+def test_known_days_are_taken(spark, folder):
+    path = folder("store")
+    day = NOW.date()
+    for batch_id in (0, 1):
+        store.append_events(events_of(spark, [event(1), event(2)]), path, batch_id, days=(day, day))
+    assert store.read_events(spark, path).count() == 2
+
+
+def test_an_empty_batch_stores_nothing(spark, folder):
+    path = folder("store")
+    store.append_events(events_of(spark, [event(1)]), path, 0)
+    store.append_events(events_of(spark, []), path, 1)
+    assert store.read_events(spark, path).count() == 1
+
+
 def test_first_copy_wins(spark):
     frame = events_of(spark, [event(1, event_type=kind) for kind in ("b", "a", "c")])
     order = F.when(F.col("event_type") == "c", "m1").otherwise("m2")
