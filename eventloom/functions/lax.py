@@ -19,10 +19,13 @@ from pyspark.sql import functions as F
 from eventloom.functions import times
 
 _DIGITS = r"[0-9](?:_?[0-9])*"
-_INT = rf"\A[+-]?{_DIGITS}(?:\.0+)?\z"
+_INT = rf"\A\s*[+-]?{_DIGITS}(?:\.0+)?\s*\z"
+_EXPONENT = r"(?:[eE][+-]?[0-9]+)?"
+# Blanks around it and `_` between its digits do not go together in a float.
 _FLOAT = (
-    rf"\A[+-]?(?:{_DIGITS}(?:\.(?:{_DIGITS})?)?|\.{_DIGITS})(?:[eE][+-]?[0-9]+)?\z"
-    r"|(?i)\A[+-]?(?:inf|infinity|nan)\z"
+    rf"\A\s*[+-]?(?:[0-9]+(?:\.[0-9]*)?|\.[0-9]+){_EXPONENT}\s*\z"
+    rf"|\A[+-]?(?:{_DIGITS}(?:\.(?:{_DIGITS})?)?|\.{_DIGITS}){_EXPONENT}\z"
+    r"|(?i)\A\s*[+-]?(?:inf|infinity|nan)\s*\z"
 )
 
 
@@ -42,18 +45,24 @@ def odd_for_number(value: Column) -> Column:
     return F.when(~_is_number(kind), kind)
 
 
+def odd_for_int(value: Column) -> Column:
+    """Odd kind of a variant where a whole number is expected.
+
+    A number written with an exponent counts as odd, for its own size error.
+    """
+    kind = F.schema_of_variant(value)
+    return F.when((kind != "BIGINT") & ~kind.startswith("DECIMAL"), kind)
+
+
 def wrong(odd: Column) -> Column:
     """Whether there is a value, and of another kind."""
     return odd.isNotNull() & (odd != "VOID")
 
 
-def _trimmed(text: Column) -> Column:
-    return F.regexp_replace(text, r"\A[\s\x85\p{Z}]+|[\s\x85\p{Z}]+\z", "")
-
-
 def _plain(text: Column, pattern: str) -> Column:
     """Number text without blanks around it and `_` between digits, if it is one."""
-    return F.when(_trimmed(text).rlike(pattern), F.replace(_trimmed(text), F.lit("_"), F.lit("")))
+    # `(?U)` lets `\s` match every Unicode blank.
+    return F.when(text.rlike(f"(?U){pattern}"), F.regexp_replace(text, r"(?U)[_\s]", ""))
 
 
 def read_text(text: Column, odd: Column) -> Column:
@@ -62,7 +71,7 @@ def read_text(text: Column, odd: Column) -> Column:
 
 def _read_number(text: Column, odd: Column, pattern: str) -> Column:
     return (
-        F.when(odd.isNull(), text.try_cast("double"))
+        F.when(odd.isNull() | (odd == "DOUBLE"), text.try_cast("double"))
         .when(odd == "STRING", _plain(text, pattern).try_cast("double"))
         .when(odd == "BOOLEAN", F.when(text == "true", 1.0).otherwise(0.0))
     )
@@ -88,7 +97,8 @@ def diagnose_int(odd: Column, read: Column) -> Column:
     unread = F.when(odd == "STRING", "int_parsing").otherwise("int_type")
     return (
         F.when(wrong(odd) & read.isNull(), unread)
-        .when(odd.isNull() & (F.abs(read) == float("inf")), "finite_number")
+        .when((odd == "DOUBLE") & (F.abs(read) == float("inf")), "finite_number")
+        .when((odd == "DOUBLE") & (F.abs(read) >= 2.0**63), "int_parsing_size")
         .when(read != F.rint(read), "int_from_float")
     )
 

@@ -10,9 +10,9 @@ _LAST_SECOND = 253_402_300_800  # 10000-01-01
 
 _USUAL = r"\A\d{4}-\d\d-\d\dT\d\d:\d\d:\d\d(\.\d{1,6})?(Z|\+00:00)?\z"
 _CLOCK = r"(\d\d:\d\d)(?::(\d\d)(?:[.,](\d+))?)?"
-_OFFSET = r"([Zz]|[+-](?:[01]\d|2[0-3]):?[0-5]\d)?"
+_OFFSET = r"([Zz]|[+\u2212-](?:[01]\d|2[0-3]):?[0-5]\d)?"
 EDGE_ISO = rf"\A(\d{{4}}-\d\d-\d\d)(?:[Tt _]{_CLOCK}{_OFFSET})?\z"
-NUMBER = r"\A[+-]?\d+(\.\d+)?\z"
+NUMBER = r"\A[+-]?\d+(\.\d*)?\z"
 
 
 def from_epoch(number: Column) -> Column:
@@ -49,7 +49,7 @@ def instant(
     minutes = F.when(digits == "", F.lit(0)).otherwise(
         F.substring(digits, 1, 2).try_cast("int") * 60 + F.substring(digits, 3, 2).try_cast("int")
     )
-    ahead = F.when(offset.startswith("-"), -minutes).otherwise(minutes)
+    ahead = F.when(offset.rlike(r"\A[\u2212-]"), -minutes).otherwise(minutes)
     return F.timestamp_add("MINUTE", -ahead, local.try_cast("timestamp"))
 
 

@@ -1,8 +1,8 @@
 """Page addresses: http(s) check and normalisation.
 
 Scheme and host are lower-cased, a default port is dropped, an empty path
-becomes `/`, dot segments are resolved and unsafe characters percent-encoded.
-Internationalised host names and shortened or non-decimal IPv4 forms are refused.
+becomes `/`, dot segments are resolved, unsafe characters percent-encoded and
+numeric hosts written as dotted quads.  Internationalised host names are refused.
 """
 
 from __future__ import annotations
@@ -20,13 +20,12 @@ _TIDY = (
     r"/(?!\.|.*/\.)[A-Za-z0-9/_~.-]*(?:\?[A-Za-z0-9=&_%.~+-]*)?\z"
 )
 _SCHEME = r"(?s)\A([A-Za-z][A-Za-z0-9+.-]*):.*"
-_PARTS = r"(?s)\A(?i:https?):[/\\]*([^/\\?#]*)([^?#]*)(\?[^#]*)?(#.*)?\z"
+_PARTS = r"(?s)\A(?i:https?|ftp):[/\\]*([^/\\?#]*)([^?#]*)(\?[^#]*)?(#.*)?\z"
 _AUTHORITY = r"(?s)\A(?:(.*)@)?(\[[0-9A-Fa-f:.]+\]|[^:@\[\]]+)(?::(\d*))?\z"
 _HOST_OK = r"\A[!$&'()*+,;=a-z0-9._~\[\]:-]+\z"
-_OCTET = r"(?:25[0-5]|2[0-4]\d|1\d\d|[1-9]?\d)"
-_DOTTED_QUAD = rf"\A{_OCTET}(?:\.{_OCTET}){{3}}\z"
 _NUMERIC_TAIL = r"(?:\A|\.)(?:\d+|0x[0-9a-f]*)\.?\z"
 _DOT_SEGMENT = r"(?i)(?:\A|/)(?:\.|%2e){1,2}(?:/|\z)"
+_USER_UNSAFE = r"""[^\x21-\x7e]|["<>`{}#?/:;=@\[\\\]^|]"""
 _PATH_UNSAFE = r"""[^\x21-\x7e]|["<>`{}]"""
 _QUERY_UNSAFE = r"""[^\x21-\x7e]|["<>']"""
 _FRAGMENT_UNSAFE = r"""[^\x21-\x7e]|["<>`]"""
@@ -42,7 +41,7 @@ def with_url(df: DataFrame, text: str, output: str) -> DataFrame:
     stages = _stages(text, output)
     for name, column in stages:
         df = df.withColumn(name, column)
-    return df.drop("_url", "_authority")
+    return df.drop("_url", "_authority", "_host", "_rebuilt")
 
 
 @cache
@@ -55,10 +54,12 @@ def _stages(text: str, output: str) -> list[tuple[str, Column]]:
         F.regexp_extract(parts, _PARTS, 3).alias("query"),
         F.regexp_extract(parts, _PARTS, 4).alias("fragment"),
     )
-    whole = parts.authority
-    user = F.regexp_replace(F.regexp_extract(whole, _AUTHORITY, 1), r":\z", "")
+    whole, peer_host = parts.authority, authority.host
+    sender = F.regexp_extract(whole, _AUTHORITY, 1)
+    name = _escaped(F.substring_index(sender, ":", 1), _USER_UNSAFE)
+    secret = _escaped(F.regexp_extract(sender, r"(?s)\A[^:]*:(.*)\z", 1), _USER_UNSAFE)
     peer = F.struct(
-        user.alias("user"),
+        F.when(secret == "", name).otherwise(F.concat_ws(":", name, secret)).alias("user"),
         _host(F.lower(F.regexp_extract(whole, _AUTHORITY, 2))).alias("host"),
         F.regexp_extract(whole, _AUTHORITY, 3).alias("port"),
     )
@@ -66,15 +67,21 @@ def _stages(text: str, output: str) -> list[tuple[str, Column]]:
         ("_url", F.when(given.isNotNull() & ~given.rlike(_TIDY), _cleaned(given))),
         ("_url", F.when(parts.isNotNull(), taken_apart)),
         ("_authority", F.when(whole.rlike(_AUTHORITY), peer)),
-        (output, F.when(parts.isNull(), given).otherwise(_rebuilt(parts, authority))),
-        (f"{output}_problem", _problem(given, F.col(output), parts.scheme)),
+        ("_host", F.when(peer_host.rlike(_NUMERIC_TAIL), _ipv4(peer_host)).otherwise(peer_host)),
+        ("_rebuilt", _rebuilt(parts, authority, F.col("_host"))),
+        (output, F.when(parts.isNull(), given).when(parts.scheme != "ftp", F.col("_rebuilt"))),
+        (f"{output}_problem", _problem(given, F.col(output), F.col("_rebuilt"), parts.scheme)),
     ]
 
 
-def _problem(text: Column, normalized: Column, scheme: Column) -> Column:
-    foreign = F.when(~scheme.isin("", "http", "https"), "url_scheme").otherwise("url_parsing")
-    return F.when(F.length(text) > MAX_URL, "url_too_long").when(
-        text.isNotNull() & normalized.isNull(), foreign
+def _problem(text: Column, output: Column, rebuilt: Column, scheme: Column) -> Column:
+    """A scheme whose addresses have another form is refused for the scheme alone."""
+    foreign = ~scheme.isin("", "http", "https", "ftp")
+    return (
+        F.when(F.length(text) > MAX_URL, "url_too_long")
+        .when(text.isNull() | output.isNotNull(), F.lit(None).cast("string"))
+        .when(foreign | rebuilt.isNotNull(), "url_scheme")
+        .otherwise("url_parsing")
     )
 
 
@@ -88,12 +95,49 @@ def _host(text: Column) -> Column:
     return F.when(text.contains("%"), decoded).otherwise(text)
 
 
-def _rebuilt(parts: Column, authority: Column) -> Column:
-    host, port = authority.host, authority.port.try_cast("int")
+def _ipv4(host: Column) -> Column:
+    """Dotted quad of a host that ends in a number, null when it is no address.
+
+    One to four numbers, decimal, octal (`0..`) or hexadecimal (`0x..`); the last
+    one fills the bytes that the others leave.
+    """
+    texts = F.split(F.regexp_replace(host, r"\.\z", ""), r"\.")
+
+    def number(part: Column) -> Column:
+        return (
+            F.when(part.rlike(r"\A0x[0-9a-f]*\z"), F.conv(F.concat(F.lit("0"), F.substring(part, 3, 99)), 16, 10))
+            .when(part.rlike(r"\A0[0-7]+\z"), F.conv(part, 8, 10))
+            .when(part.rlike(r"\A(?:0|[1-9]\d*)\z"), part)
+            .try_cast("long")
+        )
+
+    numbers = F.transform(texts, number)
+    leading = F.slice(numbers, F.lit(1), F.size(texts) - 1)
+    last = F.element_at(numbers, -1)
+    room = F.pow(F.lit(256.0), F.lit(5) - F.size(texts))
+    valid = (
+        (F.size(texts) <= 4)
+        & F.forall(numbers, lambda n: n.isNotNull())
+        & F.forall(leading, lambda n: n <= 255)
+        & (last < room)
+    )
+    places = F.aggregate(
+        leading,
+        F.struct(F.lit(0).cast("long").alias("sum"), F.lit(1 << 24).cast("long").alias("unit")),
+        lambda kept, n: F.struct(
+            (kept.sum + n * kept.unit).alias("sum"), F.shiftright(kept.unit, 8).alias("unit")
+        ),
+    )
+    address = places.getField("sum") + last
+    quad = [F.shiftright(address, shift).bitwiseAND(F.lit(255)).cast("string") for shift in (24, 16, 8, 0)]
+    return F.when(valid, F.concat_ws(".", *quad))
+
+
+def _rebuilt(parts: Column, authority: Column, host: Column) -> Column:
+    port = authority.port.try_cast("int")
     standard = F.when(parts.scheme == "http", 80).otherwise(443)
     valid = (
         host.rlike(_HOST_OK)
-        & (~host.rlike(_NUMERIC_TAIL) | host.rlike(_DOTTED_QUAD))
         & ((authority.port == "") | (port <= 65535))
     )
     path = F.when(parts.path.rlike(_DOT_SEGMENT), _resolved(parts.path)).otherwise(parts.path)

@@ -47,6 +47,7 @@ MESSAGES = {
     "float_parsing": "Input should be a valid number, unable to parse string as a number",
     "int_type": "Input should be a valid integer",
     "int_parsing": "Input should be a valid integer, unable to parse string as an integer",
+    "int_parsing_size": "Unable to parse input string as an integer, exceeded maximum size",
     "int_from_float": "Input should be a valid integer, got a number with a fractional part",
     "finite_number": "Input should be a finite number",
     "url_type": "URL input should be a string or URL",
@@ -225,9 +226,9 @@ def _stages(settings: Settings) -> _Stages:
 
     variants = {name: F.col(f"_f.{name}") for name in TOP_FIELDS[:4]}
     variants |= {name: F.col(f"_p.{name}") for name in PROPERTY_NAMES}
-    numbers = ("price", "quantity")
+    odd = {"price": lax.odd_for_number, "quantity": lax.odd_for_int}
     odd_kinds = [
-        (lax.odd_for_number if name in numbers else lax.odd_for_text)(variant).alias(name)
+        odd.get(name, lax.odd_for_text)(variant).alias(name)
         for name, variant in variants.items()
     ]
     present = F.struct(

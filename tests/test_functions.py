@@ -41,6 +41,14 @@ URLS = [
     ("https://a%41.com/", "https://aa.com/"),
     ("https://1.2.3.4/", "https://1.2.3.4/"),
     ("https://a.com./", "https://a.com./"),
+    ("http://127.1/", "http://127.0.0.1/"),
+    ("https://0x7f.1/", "https://127.0.0.1/"),
+    ("http://1", "http://0.0.0.1/"),
+    ("http://01.2.3.4.", "http://1.2.3.4/"),
+    ("http://1.2.3.4.5", "url_parsing"),
+    ("http://a.1", "url_parsing"),
+    ("http://u@v@a.com", "http://u%40v@a.com/"),
+    ("ftp://a b", "url_parsing"),
     ("http://localhost", "http://localhost/"),
     ("https://a.com/?", "https://a.com/?"),
     ("https://a.com/#", "https://a.com/#"),

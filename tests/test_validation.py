@@ -85,7 +85,7 @@ RULES = [
                  (10001, [(P + "quantity", "less_than_equal")]), (3.5, [(P + "quantity", "int_from_float")]),
                  ("3.5", [(P + "quantity", "int_parsing")]), ("3.", [(P + "quantity", "int_parsing")]),
                  ("1e2", [(P + "quantity", "int_parsing")]), ({}, [(P + "quantity", "int_type")]),
-                 (10**30, [(P + "quantity", "less_than_equal")]), ("99999999999999999999", [(P + "quantity", "less_than_equal")])),
+                 (10**30, [(P + "quantity", "less_than_equal")]), (1e300, [(P + "quantity", "int_parsing_size")]), ("99999999999999999999", [(P + "quantity", "less_than_equal")])),
     # address
     *of_property("page_url", ("https://a.com/x", []), ("a.com", [(P + "page_url", "url_parsing")]),
                  ("ftp://a.com", [(P + "page_url", "url_scheme")]), ("", [(P + "page_url", "url_parsing")]),
