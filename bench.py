@@ -1,8 +1,8 @@
 """Time the headline queries; prints one JSON line.
 
 `BENCH_SF_DIR` names the tables (default /root/testdata/sf0.1) and `BENCH_CPUS`
-the cores.  Every query runs to completion once, after one small untimed run of
-the write path that warms the JVM up.
+the cores.  Every query runs to completion once, after small untimed runs of the
+write paths that warm the JVM up.
 """
 
 from __future__ import annotations
@@ -67,7 +67,8 @@ def main() -> None:
     registered = queries()
     small = os.path.join(os.path.dirname(SF_DIR.rstrip("/")), "sf0.001")
     if os.path.isdir(small):
-        run(registered["ingest_store"], spark, small)
+        for name in ("ingest_store", "ingest_batch", "stream_consume"):
+            run(registered[name], spark, small)
 
     seconds = {name: run(registered[name], spark, SF_DIR) for name in HEADLINE}
     events = spark.read.parquet(f"{SF_DIR}/events.parquet").count()
