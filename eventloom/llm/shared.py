@@ -59,3 +59,8 @@ def batches_of(table: pa.Table, rows: int = 10_000) -> Iterator[pa.RecordBatch]:
 
 def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/documents.parquet")
+
+
+def fold(doc_id, parts: int):
+    """CRC-32 of the id as text, modulo `parts`; a null id counts as an empty text."""
+    return F.crc32(F.coalesce(F.col(doc_id).cast("string"), F.lit("")).cast("binary")) % parts
