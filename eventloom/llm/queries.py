@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from eventloom.llm import byte_bpe, exact_dedup, packing, quality, toxicity
+from eventloom.llm import byte_bpe, exact_dedup, jaccard, packing, quality, toxicity
 from eventloom.llm.shared import documents
 
 
@@ -33,6 +33,10 @@ def op8_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack_documents(documents(spark, sf_dir), path, public_tokenizers.PATTERN)
 
 
+def op9_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return jaccard.near_duplicates(documents(spark, sf_dir))
+
+
 def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return toxicity.classify(documents(spark, sf_dir), labels(spark, sf_dir))
 
@@ -43,12 +47,13 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op6_quality": op6_quality,
         "op7_exact_dedup": op7_exact_dedup,
         "op8_best_fit_packing": op8_best_fit_packing,
+        "op9_jaccard": op9_jaccard,
         "op10_toxicity": op10_toxicity,
     }
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op7_exact_dedup": EXACT}
+    return {"op7_exact_dedup": EXACT, "op9_jaccard": JACCARD}
 
 
 EXACT = """
@@ -57,3 +62,29 @@ FROM (SELECT doc_id, coalesce(text, '') AS body, max(doc_id) OVER (PARTITION BY
              count(*) OVER (PARTITION BY coalesce(text, '')) AS group_size
       FROM documents)
 """
+
+JACCARD = r"""
+WITH RECURSIVE split AS (
+  SELECT doc_id, list_filter(
+    string_split_regex(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+                       '[\x20\x09-\x0D]+'), lambda x: x <> '') AS w
+  FROM documents),
+sets AS (
+  SELECT doc_id, CASE
+    WHEN len(w) = 0 THEN []
+    WHEN len(w) < 3 THEN [array_to_string(w, ' ')]
+    ELSE list_distinct(list_transform(range(1, len(w) - 1), lambda i: concat(w[i], ' ', w[i + 1], ' ', w[i + 2])))
+  END AS grams FROM split),
+grams AS (SELECT doc_id, len(grams) AS n, unnest(grams) AS g FROM sets),
+common AS (
+  SELECT a.doc_id AS a, b.doc_id AS b, a.n AS na, b.n AS nb, count(*) AS c
+  FROM grams a JOIN grams b ON a.g = b.g AND a.doc_id < b.doc_id
+  WHERE 100 * least(a.n, b.n) >= 90 * greatest(a.n, b.n)
+  GROUP BY ALL),
+links AS (SELECT a, b FROM common WHERE 100 * c >= 90 * (na + nb - c)),
+edges AS (SELECT a, b FROM links UNION ALL SELECT b, a FROM links),
+reach AS (
+  SELECT doc_id AS a, doc_id AS b FROM documents
+  UNION SELECT reach.a, edges.b FROM reach JOIN edges ON reach.b = edges.a)
+SELECT doc_id, len(grams) AS n_shingles, (SELECT min(b) FROM reach WHERE a = doc_id) AS component_id FROM sets
+"""
