@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from eventloom.llm import byte_bpe, exact_dedup, jaccard, packing, quality, toxicity
+from eventloom.llm import byte_bpe, exact_dedup, jaccard, packing, quality, sentence_spans, top_k, toxicity
 from eventloom.llm.shared import documents
 
 
@@ -16,6 +16,14 @@ def op1_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return byte_bpe.encode_documents(documents(spark, sf_dir), path, public_tokenizers.PATTERN)
 
 
+def op2_top_k(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return top_k.top_k(spark.read.parquet(f"{sf_dir}/embeddings.parquet"), lambda id_: id_ % 50 == 0)
+
+
+def op5_sentence_spans(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return sentence_spans.without_repeats(documents(spark, sf_dir))
+
+
 def labels(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/labels.parquet")
 
@@ -44,6 +52,8 @@ def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op1_byte_bpe": op1_byte_bpe,
+        "op2_top_k": op2_top_k,
+        "op5_sentence_spans": op5_sentence_spans,
         "op6_quality": op6_quality,
         "op7_exact_dedup": op7_exact_dedup,
         "op8_best_fit_packing": op8_best_fit_packing,
@@ -53,7 +63,12 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op7_exact_dedup": EXACT, "op9_jaccard": JACCARD}
+    return {
+        "op2_top_k": TOP_K,
+        "op5_sentence_spans": SPANS,
+        "op7_exact_dedup": EXACT,
+        "op9_jaccard": JACCARD,
+    }
 
 
 EXACT = """
@@ -88,3 +103,39 @@ reach AS (
   UNION SELECT reach.a, edges.b FROM reach JOIN edges ON reach.b = edges.a)
 SELECT doc_id, len(grams) AS n_shingles, (SELECT min(b) FROM reach WHERE a = doc_id) AS component_id FROM sets
 """
+
+TOP_K = """
+WITH fine AS (
+  SELECT vec_id, list_transform(embedding, lambda x: CAST(floor(CAST(x AS DOUBLE) * 256) AS BIGINT)) AS v
+  FROM embeddings
+  WHERE vec_id IS NOT NULL AND len(embedding) > 0 AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0),
+scored AS (
+  SELECT q.vec_id AS query_id, c.vec_id AS vec_id,
+         CAST(list_sum(list_transform(list_zip(q.v, c.v), lambda p: p[1] * p[2])) AS BIGINT) AS score
+  FROM fine q, fine c WHERE q.vec_id % 50 = 0 AND q.vec_id <> c.vec_id),
+placed AS (
+  SELECT *, CAST(row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS INTEGER) AS rank FROM scored)
+SELECT query_id, rank, vec_id, score FROM placed WHERE rank <= 5
+"""
+
+SPANS = r"""
+WITH split AS (
+  SELECT doc_id, regexp_extract_all(coalesce(text, ''), '[^.!?\n]*[.!?]+\n*|[^.!?\n]+\n*|\n+') AS parts FROM documents),
+sentences AS (
+  SELECT doc_id, generate_subscripts(parts, 1) AS pos, unnest(parts) AS part FROM split),
+plain AS (
+  SELECT *, regexp_replace(part, '^[\x20\x09-\x0D]+|[\x20\x09-\x0D]+$', '', 'g') AS t,
+         len(list_filter(string_split_regex(part, '[\x20\x09-\x0D]+'), lambda x: x <> '')) AS n
+  FROM sentences),
+spans AS (
+  SELECT doc_id, pos, [t, (lead(t) OVER o), (lead(t, 2) OVER o)] AS span, n + (lead(n) OVER o) + (lead(n, 2) OVER o) AS words
+  FROM plain WINDOW o AS (PARTITION BY doc_id ORDER BY pos)),
+later AS (
+  SELECT doc_id, pos, row_number() OVER (PARTITION BY span ORDER BY doc_id, pos) AS nth FROM spans WHERE words >= 10),
+gone AS (
+  SELECT DISTINCT doc_id, pos + k AS pos FROM later, (SELECT unnest([0, 1, 2]) AS k) WHERE nth > 1)
+SELECT split.doc_id, len(parts) AS n_sentences, count(gone.pos) AS n_removed,
+       coalesce(string_agg(part, '' ORDER BY plain.pos) FILTER (WHERE gone.pos IS NULL), '') AS text
+FROM split LEFT JOIN plain USING (doc_id) LEFT JOIN gone ON gone.doc_id = plain.doc_id AND gone.pos = plain.pos
+GROUP BY split.doc_id, parts
+"""
