@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from eventloom.llm import byte_bpe, exact_dedup, jaccard, packing, quality, sentence_spans, top_k, toxicity
+from eventloom.llm import byte_bpe, exact_dedup, jaccard, language_model, packing, quality, sentence_spans, top_k, toxicity
 from eventloom.llm.shared import documents
 
 
@@ -20,6 +20,10 @@ def op2_top_k(spark: SparkSession, sf_dir: str) -> DataFrame:
     return top_k.top_k(spark.read.parquet(f"{sf_dir}/embeddings.parquet"), lambda id_: id_ % 50 == 0)
 
 
+def op4_language_model(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return language_model.score_documents(documents(spark, sf_dir))
+
+
 def op5_sentence_spans(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sentence_spans.without_repeats(documents(spark, sf_dir))
 
@@ -53,6 +57,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op1_byte_bpe": op1_byte_bpe,
         "op2_top_k": op2_top_k,
+        "op4_language_model": op4_language_model,
         "op5_sentence_spans": op5_sentence_spans,
         "op6_quality": op6_quality,
         "op7_exact_dedup": op7_exact_dedup,
