@@ -7,7 +7,18 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from eventloom.llm import byte_bpe, exact_dedup, jaccard, language_model, packing, quality, sentence_spans, top_k, toxicity
+from eventloom.llm import (
+    byte_bpe,
+    exact_dedup,
+    jaccard,
+    language_model,
+    packing,
+    quality,
+    sentence_spans,
+    suffix_dedup,
+    top_k,
+    toxicity,
+)
 from eventloom.llm.shared import documents
 
 
@@ -20,6 +31,10 @@ def op2_top_k(spark: SparkSession, sf_dir: str) -> DataFrame:
     return top_k.top_k(spark.read.parquet(f"{sf_dir}/embeddings.parquet"), lambda id_: id_ % 50 == 0)
 
 
+def op3_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return suffix_dedup.deduplicated(documents(spark, sf_dir))
+
+
 def op4_language_model(spark: SparkSession, sf_dir: str) -> DataFrame:
     return language_model.score_documents(documents(spark, sf_dir))
 
@@ -57,6 +72,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op1_byte_bpe": op1_byte_bpe,
         "op2_top_k": op2_top_k,
+        "op3_suffix_dedup": op3_suffix_dedup,
         "op4_language_model": op4_language_model,
         "op5_sentence_spans": op5_sentence_spans,
         "op6_quality": op6_quality,
@@ -70,6 +86,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 def oracle_sql() -> dict[str, str]:
     return {
         "op2_top_k": TOP_K,
+        "op3_suffix_dedup": SUFFIXES,
         "op5_sentence_spans": SPANS,
         "op7_exact_dedup": EXACT,
         "op9_jaccard": JACCARD,
@@ -144,3 +161,25 @@ SELECT split.doc_id, len(parts) AS n_sentences, count(gone.pos) AS n_removed,
 FROM split LEFT JOIN plain USING (doc_id) LEFT JOIN gone ON gone.doc_id = plain.doc_id AND gone.pos = plain.pos
 GROUP BY split.doc_id, parts
 """
+
+SUFFIXES = """
+WITH bytes AS (SELECT doc_id, hex(encode(coalesce(text, ''))) AS h, octet_length(encode(coalesce(text, ''))) AS n FROM documents),
+parts AS (SELECT doc_id, n, c, substr(h, 2 * c + 1, 198) AS h FROM (SELECT *, unnest(range(0, n, 50)) AS c FROM bytes)),
+places AS (SELECT doc_id, n, c + k AS p, k, h FROM (SELECT *, unnest(range(0, 50)) AS k FROM parts) WHERE c + k < n),
+each AS (
+  SELECT doc_id, p, substr(h, 2 * k + 1, 2) AS b, CASE WHEN p + 50 <= n THEN substr(h, 2 * k + 1, 100) END AS s FROM places),
+firsts AS (SELECT s, min(doc_id) AS first_doc FROM each WHERE s IS NOT NULL GROUP BY s HAVING min(doc_id) < max(doc_id)),
+marked AS (
+  SELECT each.doc_id, p, b,
+         coalesce(max(CASE WHEN first_doc < each.doc_id THEN p END) OVER (
+           PARTITION BY each.doc_id ORDER BY p ROWS BETWEEN 49 PRECEDING AND CURRENT ROW), -1) >= 0 AS gone
+  FROM each LEFT JOIN firsts ON each.s = firsts.s),
+edged AS (SELECT *, gone AND NOT coalesce(lag(gone) OVER (PARTITION BY doc_id ORDER BY p), false) AS edge FROM marked),
+summed AS (
+  SELECT doc_id, count(*) FILTER (WHERE gone) AS removed, count(*) FILTER (WHERE edge) AS spans,
+         string_agg(b, '' ORDER BY p) FILTER (WHERE NOT gone) AS kept
+  FROM edged GROUP BY doc_id)
+SELECT doc_id, n AS n_bytes, coalesce(removed, 0) AS n_removed, coalesce(spans, 0) AS n_spans,
+       sha256(unhex(coalesce(kept, ''))) AS kept_sha256
+FROM bytes LEFT JOIN summed USING (doc_id)
+"""
