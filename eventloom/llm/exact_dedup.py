@@ -196,6 +196,8 @@ def exact_groups(docs: DataFrame, table_bytes: int = TABLE_BYTES) -> DataFrame:
 
 
 def without_copies(docs: DataFrame) -> DataFrame:
-    """The rows that stay, with all their columns; of repeated rows with one doc_id, all stay."""
-    kept = exact_groups(docs).where("kept").select(F.col("doc_id").alias("_kept")).distinct()
-    return docs.join(kept, F.col("doc_id").cast("long").eqNullSafe(F.col("_kept")), "left_semi")
+    """The rows that stay, with all their columns; of rows that repeat doc_id and text, all stay."""
+    kept = exact_groups(docs).where("kept").select(F.col("doc_id").alias("_kept"), "text_sha256").distinct()
+    digest = F.sha2(F.coalesce(F.col("text"), F.lit("")).cast("binary"), 256)
+    same = F.col("doc_id").cast("long").eqNullSafe(F.col("_kept")) & (digest == F.col("text_sha256"))
+    return docs.join(kept, same, "left_semi")

@@ -42,14 +42,30 @@ def fit(docs: DataFrame, labels: DataFrame, label: str, rows: int, longest: int,
     return train(encoded(examples.column("text")), (truth > 0).astype(np.int64), shape, how)
 
 
+def chances(model: Model, texts: list[bytes]) -> np.ndarray:
+    """The probability of class 1 of each text."""
+    return 1 / (1 + np.exp(-np.clip(model.log_odds(texts), -500, 500)))
+
+
+def kept(docs: DataFrame, model: Model, threshold: float) -> DataFrame:
+    """The rows whose text reaches the threshold, with all their columns; nothing is shuffled."""
+    shared = docs.sparkSession.sparkContext.broadcast(model)
+
+    def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for block in blocks(batches, BLOCK_BYTES):
+            fine = chances(shared.value, encoded(block.column("text"))) >= threshold
+            yield from block.filter(pa.array(fine)).to_batches(max_chunksize=2_000)
+
+    return docs.mapInArrow(run, docs.schema)
+
+
 def score(docs: DataFrame, model: Model, threshold: float) -> DataFrame:
     """The probability of class 1 for every whole text."""
     shared = docs.sparkSession.sparkContext.broadcast(model)  # its size is fixed by the number of buckets
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for block in blocks(batches, BLOCK_BYTES):
-            odds = np.clip(shared.value.log_odds(encoded(block.column("text"))), -500, 500)
-            chance = 1 / (1 + np.exp(-odds))
+            chance = chances(shared.value, encoded(block.column("text")))
             out = {
                 "doc_id": block.column("doc_id").combine_chunks(),
                 "held_out": block.column("held_out").combine_chunks(),

@@ -14,7 +14,6 @@ than doc_id and text are never read.
 from __future__ import annotations
 
 from pyspark.sql import DataFrame
-from pyspark.sql import functions as F
 
 from eventloom.llm import labelled
 from eventloom.llm.subword import Model, Shape, Training
@@ -41,5 +40,4 @@ def classify(docs: DataFrame, labels: DataFrame) -> DataFrame:
 
 def accepted(docs: DataFrame, labels: DataFrame) -> DataFrame:
     """The rows predicted to be of quality, with all their columns."""
-    kept = classify(docs, labels).where("predicted = 1").select(F.col("doc_id").alias("_kept")).distinct()
-    return docs.join(kept, F.col("doc_id").cast("long").eqNullSafe(F.col("_kept")), "left_semi")
+    return labelled.kept(docs, fit(docs, labels), THRESHOLD)

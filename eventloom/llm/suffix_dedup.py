@@ -35,6 +35,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_schema
 
 from eventloom.llm.shared import texts_of
 from eventloom.llm.words import encoded, mix
@@ -337,8 +338,8 @@ def sorted_bucket(rows: pa.Table) -> Iterator[dict]:
             yield {"block": of["block"][i], "row": blob(r[hit], "<i4"), "pos": blob(p[hit], "<i8"), "mask": blob(own[hit], "<i8")}
 
 
-def cut(block: pa.Table, found: pa.Table, texts: bool) -> Iterator[dict]:
-    """Per document, what is left without the bytes that repeated strings cover."""
+def cut(block: pa.Table, found: pa.Table) -> Iterator[dict]:
+    """Per document, what is left without the bytes that repeated strings cover; in the block's own order of texts."""
     if not block.num_rows:
         return
     own = Block.of(block)
@@ -358,14 +359,33 @@ def cut(block: pa.Table, found: pa.Table, texts: bool) -> Iterator[dict]:
         removed = int(flags.sum())
         kept = np.frombuffer(text, np.uint8)[~flags].tobytes() if removed else text
         edges = int(flags[0]) + int((flags[1:] & ~flags[:-1]).sum()) if removed else 0
-        out = {
+        yield {
+            "line": int(own.order[i]),
             "doc_id": ids[own.order[i]],
             "n_bytes": len(text),
             "n_removed": removed,
             "n_spans": edges,
-            "kept_sha256": hashlib.sha256(kept).hexdigest(),
+            "kept": kept,
         }
-        yield out | {"kept": kept} if texts else out
+
+
+def digests(block: pa.Table, found: pa.Table) -> pa.Table:
+    rows = ({**x, "kept_sha256": hashlib.sha256(x["kept"]).hexdigest()} for x in cut(block, found))
+    return as_table(rows, arrow(RESULT))
+
+
+def cleaned(block: pa.Table, found: pa.Table, schema: pa.Schema) -> pa.Table:
+    """The block's rows with all their columns and what is left of their texts."""
+    rows = list(cut(block, found))
+    if not rows:
+        return schema.empty_table()
+    others = block.column("others").combine_chunks().take(pa.array([x["line"] for x in rows]))
+    texts = [x["kept"].decode("utf-8", "ignore") for x in rows]
+    columns = {name: others.field(name) for name in (x.name for x in others.type)}
+    columns["text"] = pa.array(texts, pa.string())
+    if "n_chars" in columns:
+        columns["n_chars"] = pa.array(map(len, texts), pa.int64())
+    return pa.table({name: columns[name] for name in schema.names}).cast(schema)
 
 
 def as_table(rows: Iterator[dict], schema: pa.Schema) -> pa.Table:
@@ -397,25 +417,51 @@ def split_points(texts: DataFrame, buckets: int, documents: int) -> np.ndarray:
     return np.unique(values[np.arange(1, buckets) * len(values) // buckets]) if len(values) else values
 
 
-def deduplicated(docs: DataFrame, texts: bool = False, hot: int = HOT) -> DataFrame:
-    """Per document: its bytes, those that go, their runs, and the digest of what stays; `texts` adds what stays."""
-    spark = docs.sparkSession
-    plain = texts_of(docs)
-    size = plain.agg(F.count("*").alias("n"), F.sum(F.octet_length("text")).alias("bytes")).first()
-    total = size.bytes or 0
-    blocks = max(1, -(-total // BLOCK_BYTES))
-    buckets = int(min(BUCKETS, max(1, -(-total // BUCKET_BYTES))))
-    splitters = spark.sparkContext.broadcast(split_points(plain, buckets, size.n))  # GRAM bytes a bucket
-    by_block = plain.withColumn("block", F.pmod(F.xxhash64("doc_id"), F.lit(blocks)).cast("int")).groupBy("block")
+def found_in(plain: DataFrame, blocks: int, buckets: int, documents: int, hot: int) -> DataFrame:
+    """The repeated strings of each block. `plain`: doc_id, text and block."""
+    splitters = plain.sparkSession.sparkContext.broadcast(split_points(plain, buckets, documents))  # GRAM bytes a bucket
     gram_ddl, told_ddl = "bucket int, block int, grams binary, sizes binary", "block int, grams binary, hot binary"
-    result = RESULT + (", kept binary" if texts else "")
-
+    by_block = plain.groupBy("block")
     grams = by_block.applyInArrow(lambda x: as_table(own_grams(x, buckets), arrow(gram_ddl)), gram_ddl)
     told = grams.groupBy("bucket").applyInArrow(lambda x: as_table(shared_grams(x, hot), arrow(told_ddl)), told_ddl)
-    sent_ = by_block.cogroup(told.groupBy("block")).applyInArrow(
+    chosen = by_block.cogroup(told.groupBy("block")).applyInArrow(
         lambda x, y: as_table(sent_anchors(x, y, splitters.value, buckets), arrow(ANCHORS)), ANCHORS
     )
-    found = sent_.groupBy("bucket").applyInArrow(lambda x: as_table(sorted_bucket(x), arrow(FOUND)), FOUND)
-    return by_block.cogroup(found.groupBy("block")).applyInArrow(
-        lambda x, y: as_table(cut(x, y, texts), arrow(result)), result
+    return chosen.groupBy("bucket").applyInArrow(lambda x: as_table(sorted_bucket(x), arrow(FOUND)), FOUND)
+
+
+def in_blocks(docs: DataFrame) -> tuple[DataFrame, dict[str, int]]:
+    """doc_id, text and block of all documents; how many blocks, buckets and documents there are."""
+    plain = texts_of(docs)
+    size = plain.agg(F.count("*").alias("n"), F.sum(F.octet_length("text")).alias("bytes")).first()
+    blocks = max(1, -(-(size.bytes or 0) // BLOCK_BYTES))
+    buckets = min(BUCKETS, max(1, -(-(size.bytes or 0) // BUCKET_BYTES)))
+    placed = plain.withColumn("block", F.pmod(F.xxhash64("doc_id"), F.lit(blocks)).cast("int"))
+    return placed, {"blocks": blocks, "buckets": int(buckets), "documents": size.n}
+
+
+def deduplicated(docs: DataFrame, hot: int = HOT) -> DataFrame:
+    """Per document: its bytes, those that go, their runs, and the digest of what stays.
+
+    All three steps on blocks deal the texts out alike, so Spark shuffles them once and reads them again.
+    """
+    plain, sizes = in_blocks(docs)
+    found = found_in(plain, hot=hot, **sizes)
+    return plain.groupBy("block").cogroup(found.groupBy("block")).applyInArrow(digests, RESULT)
+
+
+def without_repeats(docs: DataFrame, hot: int = HOT) -> DataFrame:
+    """All rows with all their columns, text being what stays, and n_chars, if there, its length.
+
+    Where a cut falls into a character, the rest of the character goes too. A null text becomes an empty one.
+    """
+    plain, sizes = in_blocks(docs)
+    found = found_in(plain, hot=hot, **sizes)
+    others = F.struct(*[F.col(f"`{x}`") for x in docs.columns if x != "text"]).alias("others")
+    key = F.col("doc_id").cast("long").alias("doc_id")
+    rows = docs.select(key, F.coalesce(F.col("text"), F.lit("")).alias("text"), others)
+    rows = rows.withColumn("block", F.pmod(F.xxhash64("doc_id"), F.lit(sizes["blocks"])).cast("int"))
+    schema = to_arrow_schema(docs.schema)
+    return rows.groupBy("block").cogroup(found.groupBy("block")).applyInArrow(
+        lambda x, y: cleaned(x, y, schema), docs.schema
     )
