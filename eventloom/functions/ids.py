@@ -12,12 +12,16 @@ def event_key(received_at: Column, request_id: Column, position: Column) -> Colu
     It is a function of where the event came from, so a replay of the same
     source rows yields the same ids, while a client's retry (a new request)
     does not collide.  Layout: 48 bits of milliseconds, the version, 12 bits of
-    position so that ids sort in batch order, the variant, then hash bits.
+    position so that ids sort in batch order, the variant, then hash bits.  From
+    position 4095 on the 12 bits are full, and 32 bits behind the variant go on
+    counting, so ids sort in batch order at any position.
     """
     digest = F.sha2(F.concat_ws(":", request_id, position.cast("string")), 256)
     millis = F.lpad(F.lower(F.hex(F.unix_millis(received_at))), 12, "0")
-    order = F.lpad(F.lower(F.hex(F.pmod(position, F.lit(4096)))), 3, "0")
+    order = F.lpad(F.lower(F.hex(F.least(position, F.lit(4095)))), 3, "0")
     variant = F.substring(F.lit("89ab"), _quarter(digest), F.lit(1))
+    beyond = F.lpad(F.lower(F.hex(position - 4095)), 8, "0")
+    far = position >= 4095
     return F.concat(
         F.substring(millis, 1, 8),
         F.lit("-"),
@@ -25,10 +29,10 @@ def event_key(received_at: Column, request_id: Column, position: Column) -> Colu
         F.lit("-7"),
         order,
         F.lit("-"),
-        variant,
-        F.substring(digest, 2, 3),
+        F.when(far, "8").otherwise(variant),
+        F.when(far, F.substring(beyond, 1, 3)).otherwise(F.substring(digest, 2, 3)),
         F.lit("-"),
-        F.substring(digest, 5, 12),
+        F.when(far, F.concat(F.substring(beyond, 4, 5), F.substring(digest, 5, 7))).otherwise(F.substring(digest, 5, 12)),
     )
 
 

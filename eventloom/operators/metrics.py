@@ -12,8 +12,21 @@ def processed_total(stored: DataFrame) -> DataFrame:
     return stored.agg(F.count("*").alias("events_processed"))
 
 
-def errors_by_type(letters: DataFrame) -> DataFrame:
-    return letters.groupBy("error_type").agg(F.count("*").alias("errors"))
+# Fixed value: error type of a micro-batch that failed as a whole.
+BATCH_FAILED = "batch_processing_failed"
+
+
+def errors_by_type(letters: DataFrame, failures: DataFrame | None = None) -> DataFrame:
+    """Dead letters by type; with `failures` (a row per failed micro-batch), these as well."""
+    types = letters.select("error_type")
+    if failures is not None:
+        types = types.unionByName(failures.select(F.lit(BATCH_FAILED).alias("error_type")))
+    return types.groupBy("error_type").agg(F.count("*").alias("errors"))
+
+
+def batch_durations(reports: DataFrame) -> DataFrame:
+    """Cumulative histogram of how long micro-batches took, from the health reports."""
+    return histogram_le(reports, F.col("duration_seconds"))
 
 
 def dead_letter_size(letters: DataFrame) -> DataFrame:

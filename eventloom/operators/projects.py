@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from eventloom.functions.text import strip
@@ -40,22 +40,27 @@ def check_projects(candidates: DataFrame) -> DataFrame:
 def judge_projects(candidates: DataFrame, existing: DataFrame) -> DataFrame:
     """Add `code` (null = to be stored) to candidates.
 
-    Names and ids are unique: the earliest candidate of a name wins, and none
-    does when the name is taken already.  A clash is an unexpected error, as the
-    service does not foresee it.
+    Names and ids are unique: the earliest candidate of an id wins, then of those
+    the earliest of a name, and none does when the id or the name is taken already.
+    Of equal rows one wins.  A clash is an unexpected error, as the service does
+    not foresee it.
     """
     checked = check_projects(candidates)
-    order = F.struct("created_at", "project_id")
-    usable = checked.where(F.size("errors") == 0)
+    # Ids are given by the service, so a repeated one is rare; a number tells the rows of one apart.
+    order = F.struct("created_at", "name", "plan", "api_key")
+    same_id = Window.partitionBy("project_id", F.size("errors") > 0).orderBy(order)
+    numbered = checked.withColumn("_nth", F.row_number().over(same_id))
     taken = existing.groupBy("name").agg(F.lit(True).alias("_taken"))
-    first = usable.groupBy("name").agg(F.min(order).alias("_first"))
     stored_ids = existing.groupBy("project_id").agg(F.lit(True).alias("_stored"))
-    judged = (
-        checked.join(first, "name", "left").join(taken, "name", "left").join(stored_ids, "project_id", "left")
-    )
-    clash = F.col("_taken").isNotNull() | F.col("_stored").isNotNull() | (order != F.col("_first"))
+    looked_up = numbered.join(taken, "name", "left").join(stored_ids, "project_id", "left")
+    own_id = (F.col("_nth") == 1) & F.col("_stored").isNull()
+    earliest = F.struct("created_at", "project_id")
+    usable = looked_up.where((F.size("errors") == 0) & own_id)
+    first = usable.groupBy("name").agg(F.min(earliest).alias("_first"))
+    judged = looked_up.join(first, "name", "left")
+    clash = F.col("_taken").isNotNull() | ~own_id | (earliest != F.col("_first"))
     code = F.when(F.size("errors") > 0, "ValidationError").when(clash, "UnexpectedError")
-    return judged.withColumn("code", code).drop("_first", "_taken", "_stored")
+    return judged.withColumn("code", code).drop("_first", "_taken", "_stored", "_nth")
 
 
 def new_projects(judged: DataFrame) -> DataFrame:

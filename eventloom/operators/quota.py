@@ -16,7 +16,6 @@ from pyspark.sql import functions as F
 
 from eventloom.functions.text import strip
 from eventloom.operators.tenants import key_problem
-from eventloom.plans.scratch import measured
 from eventloom.settings import Settings
 
 RANKED_PER_TASK = 1_000_000
@@ -79,8 +78,7 @@ def admit(
     """Add `admitted`: whether a row is among its group's first `limit` rows.
 
     `limit` is a column that is constant within a group.  Rows whose first
-    `group` column is null are admitted; they are not metered.  The cutoff of
-    every exceeded group is computed when this is called.
+    `group` column is null are admitted; they are not metered.
     """
     metered = requests.where(F.col(group[0]).isNotNull())
     exceeded = (
@@ -106,10 +104,7 @@ def admit(
         .where(F.col("_rank") == F.col("_limit"))
         .select(*group, key.alias("_last"))
     )
-    cutoffs = measured(
-        exceeded.select(*group, F.lit(True).alias("_exceeded")).join(last_admitted, group, "left"),
-        "quota-cutoffs",
-    )
+    cutoffs = exceeded.select(*group, F.lit(True).alias("_exceeded")).join(last_admitted, group, "left")
     decided = F.col("_exceeded").isNull() | F.coalesce(key <= F.col("_last"), F.lit(False))
     return (
         requests.join(cutoffs, group, "left")

@@ -6,6 +6,7 @@ from functools import cache
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructField
 
 from eventloom.functions.ids import canonical_uuid
 from eventloom.functions.times import iso_text, parse_wire_time
@@ -15,8 +16,12 @@ from eventloom.plans.fence import fenced
 # Error types and their prefix in dead letters.
 DECODE_ERROR = "deserialization"
 EMPTY_MESSAGE = "empty_message_data"
+ORPHAN = "orphan_event"
 PREFIX = "DeserializationError: "
 
+# The largest numbers that the columns hold exactly.
+NUMBERS = {"price": 2**53, "quantity": 2**31 - 1}
+
 
 def encode_events(events: DataFrame) -> DataFrame:
     """Events to messages: JSON text with every key present, times as ISO text."""
@@ -32,18 +37,22 @@ def encode_events(events: DataFrame) -> DataFrame:
 def decode_messages(messages: DataFrame) -> DataFrame:
     """Messages to events, with `error` set and `event` null where that fails.
 
-    Keeps the messages' columns.  Values are taken as they are: ranges and text
-    lengths were checked before the log.
+    Keeps the messages' columns and adds `error_type`.  Ranges and text lengths
+    were checked before the log and are taken as they are, but a property that is
+    there and has not the kind of its column is an error rather than a null.
     """
     failed = messages
     for name, column in _decode_stages():
         failed = failed.withColumn(name, column)
-    return fenced(failed.drop("_doc", "_f", "_t", "_has", "_v"), "error", "event")
+    kept = fenced(failed.drop("_doc", "_f", "_p", "_t", "_has", "_v"), "error", "event")
+    kind = F.when(F.col("error") == EMPTY_MESSAGE, EMPTY_MESSAGE).when(F.col("error").isNotNull(), DECODE_ERROR)
+    return kept.withColumn("error_type", kind)
 
 
 @cache
 def _decode_stages() -> list[tuple[str, Column]]:
     fields = ",".join(f"`{name}`:variant" for name in EVENT_COLUMNS)
+    given = ",".join(f"`{field.name}`:variant" for field in PROPERTIES)
     bad_properties = F.col("_f.properties").isNotNull() & (
         F.try_variant_get("_f.properties", "$", "struct<x:variant>").isNull()
     )
@@ -71,6 +80,16 @@ def _decode_stages() -> list[tuple[str, Column]]:
     # Absent properties read as an empty object.
     nothing = F.struct(*[F.lit(None).cast(f.dataType).alias(f.name) for f in PROPERTIES])
     properties = F.coalesce(text("properties"), nothing)
+    # Whole numbers may come with a fraction of zero, which the typed reading refuses.
+    numbers = {
+        field.name: F.try_variant_get(f"_p.{field.name}", "$", "double").cast(field.dataType)
+        for field in PROPERTIES
+        if field.name in NUMBERS
+    }
+    properties = F.when(
+        text("properties").isNotNull(),
+        F.struct(*[F.coalesce(properties[f.name], numbers.get(f.name, F.lit(None))).alias(f.name) for f in PROPERTIES]),
+    ).otherwise(nothing)
     event = F.struct(
         *[
             (properties if name == "properties" else F.col(f"_v.{name}")).alias(name)
@@ -81,6 +100,7 @@ def _decode_stages() -> list[tuple[str, Column]]:
         ("_doc", F.try_parse_json(F.col("data").cast("string"))),
         ("_t", F.from_json(F.col("data").cast("string"), values)),
         ("_f", F.try_variant_get("_doc", "$", f"struct<{fields}>")),
+        ("_p", F.try_variant_get("_f.properties", "$", f"struct<{given}>")),
         ("_has", present),
         ("_v", read),
         ("error", _decode_error()),
@@ -101,9 +121,24 @@ def _decode_error() -> Column:
         error = error.when(~F.col(f"_has.{name}"), missing).when(
             F.col(f"_v.{name}").isNull(), broken
         )
+    for field in PROPERTIES:
+        error = error.when(_mistyped(field), f"{PREFIX}properties.{field.name} has the wrong type")
     return error
 
 
+def _mistyped(field: StructField) -> Column:
+    """A property that is there, not null, and no text, or no whole number in range."""
+    value = F.col(f"_p.{field.name}")
+    kind = F.schema_of_variant(value)
+    if field.name not in NUMBERS:
+        wrong = kind != "STRING"
+    else:
+        number = F.try_variant_get(value, "$", "double")
+        whole = kind.rlike("^(BIGINT|DECIMAL|DOUBLE|FLOAT)") & (number == F.floor(number))
+        wrong = ~F.coalesce(whole & (F.abs(number) <= NUMBERS[field.name]), F.lit(False))
+    return value.isNotNull() & ~F.is_variant_null(value) & wrong
+
+
 def _broken(name: str) -> Column:
     raw = F.coalesce(F.col(f"_t.{name}"), F.lit("None"))
     if name in ("event_id", "project_id"):
@@ -119,11 +154,10 @@ def decoded_events(decoded: DataFrame) -> DataFrame:
 
 def dead_letters(decoded: DataFrame) -> DataFrame:
     """Undecodable and empty messages with their bytes kept as they came."""
-    error_type = F.when(F.col("error") == EMPTY_MESSAGE, EMPTY_MESSAGE).otherwise(DECODE_ERROR)
     return decoded.where(F.col("error").isNotNull()).select(
         F.col("msg_id").alias("original_msg_id"),
         "error",
-        error_type.alias("error_type"),
+        "error_type",
         F.current_timestamp().alias("failed_at"),
         F.col("data").alias("raw_data"),
     )

@@ -8,7 +8,7 @@ check, which looks only at bodies long enough to break the limit.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from eventloom.functions.ids import event_key
@@ -29,20 +29,22 @@ def sized_items(requests: DataFrame, settings: Settings) -> DataFrame:
     """Checked items with `oversized`: whether their batch has too many valid ones.
 
     Only a list longer than the limit can break it, and only a long body can hold
-    such a list, so all other requests take a branch without a shuffle.
+    so many valid events, so all other requests take a branch without a shuffle.
+    Every item takes exactly one of the two branches.
     """
     limit = settings.max_batch
     # Not fenced, so the filter on it reaches the unparsed bodies.
     long_body = (F.col("kind") == "batch") & (F.length("body") > _SHORTEST_EVENT * limit)
+    long_body = F.coalesce(long_body, F.lit(False))
     opened = open_requests(parse_bodies(requests.withColumn("long_body", long_body)))
     items = check_events(opened, settings, ("unreadable", "request_errors", "raw_items", "pos"))
 
-    regular = items.where(F.col("raw_items") <= limit).withColumn("oversized", F.lit(False))
-    long_lists = items.where(F.col("long_body") & (F.col("raw_items") > limit))
-    counts = long_lists.groupBy("request_id").agg(
-        (F.count_if(is_valid()) > limit).alias("oversized")
-    )
-    return regular.unionByName(long_lists.join(counts, "request_id")).drop("long_body")
+    long_list = F.col("long_body") & (F.col("raw_items") > limit)
+    regular = items.where(~long_list).withColumn("oversized", F.lit(False))
+    # A window holds the items of one body, which one task has opened before.
+    valid = F.count_if(is_valid()).over(Window.partitionBy("request_id"))
+    long_lists = items.where(long_list).withColumn("oversized", valid > limit)
+    return regular.unionByName(long_lists).drop("long_body")
 
 
 def metered(requests: DataFrame, settings: Settings) -> DataFrame:

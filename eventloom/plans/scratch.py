@@ -5,7 +5,7 @@ from __future__ import annotations
 import tempfile
 import uuid
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import SparkSession
 
 FOLDER_OPTION = "spark.checkpoint.dir"
 
@@ -19,25 +19,14 @@ def shared_folder(spark: SparkSession) -> str:
     folder = spark.conf.get(FOLDER_OPTION, None)
     if folder:
         return folder
-    if not spark.sparkContext.master.startswith("local"):
+    context = spark.sparkContext
+    if not context.master.startswith("local"):
         raise ValueError(f"set {FOLDER_OPTION} to a folder all executors can reach")
-    folder = tempfile.mkdtemp(prefix="eventloom-")
-    spark.conf.set(FOLDER_OPTION, folder)
-    return folder
+    if not context._jsc.sc().getCheckpointDir().isDefined():
+        context.setCheckpointDir(tempfile.mkdtemp(prefix="eventloom-"))
+    return context._jsc.sc().getCheckpointDir().get()
 
 
 def fresh_path(spark: SparkSession, label: str) -> str:
     """A path nothing has been written to yet."""
     return f"{shared_folder(spark).rstrip('/')}/{label}-{uuid.uuid4().hex}"
-
-
-def measured(df: DataFrame, label: str) -> DataFrame:
-    """Write `df` and read it back, so that Spark plans with its real size.
-
-    An aggregate's size is unknown until it has run, and a join planned without
-    it shuffles the large side first and only then learns that it need not have.
-    With the size known, Spark's own threshold picks broadcast or sort-merge.
-    """
-    path = fresh_path(df.sparkSession, label)
-    df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)

@@ -213,15 +213,32 @@ def messages(mapped: DataFrame) -> DataFrame:
     )
 
 
+# The days that the parts of the streamed log begin on.
+STREAM_PARTS = ["2024-01-08", "2024-01-16", "2024-01-24"]
+
+_streamed: dict[tuple[str, str], str] = {}
+
+
+def stream_part(ts: Column) -> Column:
+    """The number of the part an event comes in, which is its micro-batch."""
+    return sum((F.when(ts >= F.lit(day).cast("timestamp"), 1).otherwise(0) for day in STREAM_PARTS), F.lit(0))
+
+
 def stream_events(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The events table as a stream of files."""
-    schema = spark.read.parquet(f"{sf_dir}/events.parquet").schema
-    files = (
-        spark.readStream.schema(schema)
-        .option("pathGlobFilter", "events.parquet")
-        .option("maxFilesPerTrigger", SETTINGS.files_per_trigger)
-        .parquet(sf_dir)
-    )
+    """The events table as a stream of several micro-batches, in order of time.
+
+    Its parts are written one after the other, once per session, and read one per
+    micro-batch.
+    """
+    key = (spark.sparkContext.applicationId, sf_dir)
+    events = spark.read.parquet(f"{sf_dir}/events.parquet")
+    if key not in _streamed:
+        path = fresh_path(spark, "streamed")
+        part = stream_part(F.col("ts").cast("timestamp"))
+        for number in range(len(STREAM_PARTS) + 1):
+            events.where(part == number).write.parquet(f"{path}/part={number}")
+        _streamed[key] = path
+    files = spark.readStream.schema(events.schema).option("maxFilesPerTrigger", 1).parquet(f"{_streamed[key]}/*")
     return with_mapping(files)
 
 

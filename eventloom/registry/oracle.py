@@ -405,9 +405,10 @@ ORDER BY ts, event_key LIMIT 100 OFFSET 20""",
         "stream_store": f"WITH {MAPPED} {TYPED} WHERE mapped.{ON_LOG}",
         "stream_dedup": f"WITH {MAPPED} {TYPED} WHERE mapped.{ON_LOG}",
         "stream_quota": FIXED_QUOTA,
-        "stream_health": """SELECT 0::BIGINT AS batch_id,
+        "stream_health": """SELECT
+  ((ts >= '2024-01-08')::INT + (ts >= '2024-01-16')::INT + (ts >= '2024-01-24')::INT)::BIGINT AS batch_id,
   sum(CASE WHEN event_id % 20 = 3 THEN 2 ELSE 1 END)::BIGINT AS messages,
-  count(*) FILTER (event_id % 50 = 19) AS empty_messages FROM events""",
+  count(*) FILTER (event_id % 50 = 19) AS empty_messages FROM events GROUP BY 1""",
         "dead_letters": """SELECT event_id || '-0' AS original_msg_id,
   CASE event_id % 50 WHEN 9 THEN 'DeserializationError: message is not valid JSON'
     ELSE 'empty_message_data' END AS error,

@@ -565,7 +565,7 @@ def key_of_request(request_id: str) -> str:
 
 @registered("event_by_id")
 def event_lookup(spark, sf_dir):
-    return _event_columns(store.event_by_id(stored_events(spark, sf_dir), key_of_request("1")))
+    return _event_columns(store.event_by_id(stored_events(spark, sf_dir), key_of_request("1"), SETTINGS))
 
 
 @registered("events_slice")

@@ -1,13 +1,13 @@
-"""The event store: Parquet, partitioned by event date and writing batch.
+"""The event store: Parquet, partitioned by writing batch and event date.
 
-A batch owns its `batch_id` partitions and overwrites only those, so replaying
-it leaves the store as it was.  Partitioning by date lets time slices, the
-duplicate check and retention touch only the days they concern.
+A batch owns its `batch_id` folder and replaces it as a whole, so replaying it,
+even with fewer rows, leaves only what the replay holds.  Partitioning by date
+lets time slices and retention touch only the days they concern.
 """
 
 from __future__ import annotations
 
-from datetime import date
+from datetime import date, datetime, timedelta, timezone
 
 from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -16,13 +16,13 @@ from pyspark.sql import types as T
 
 from eventloom.functions.jsonmerge import merged
 from eventloom.model import DEAD_LETTER, EVENT, EVENT_COLUMNS, PROPERTIES
+from eventloom.settings import Settings
 
 
 class NotFoundError(LookupError):
     """A point lookup found nothing."""
 
 
-PARTITIONS = ["event_date", "batch_id"]
 _STORED = T.StructType(
     [*EVENT.fields, T.StructField("event_date", T.DateType()), T.StructField("batch_id", T.LongType())]
 )
@@ -51,51 +51,43 @@ def append_events(
     path: str,
     batch_id: int,
     order: str | None = None,
-    prune_dates: bool = True,
     days: tuple[date, date] | None = None,
 ) -> None:
-    """Store the events whose ids are not stored yet.
+    """Store the events whose ids are not stored yet, under whatever day.
 
-    Copies of an event are redeliveries of one message and share its time, so
-    only the stored days that the batch spans are searched.  With
-    `prune_dates=False` all days are.  A caller that knows the first and last
-    day passes them as `days`, which saves a pass over `events` to find them.
+    A caller who knows that copies of an event share its time, as redeliveries
+    of one message do, may pass the first and last day of the batch as `days`:
+    then only those days are searched.
     """
     fresh = first_copies(events, order).withColumn("event_date", F.to_date("timestamp"))
     earlier = existing_table(events.sparkSession, path, _STORED)
     if earlier is not None:
         earlier = earlier.where(F.col("batch_id") != batch_id)
-        if prune_dates:
-            low, high = days or events.agg(
-                F.min(F.to_date("timestamp")), F.max(F.to_date("timestamp"))
-            ).first()
-            earlier = earlier.where(F.col("event_date").between(low, high))
+        if days is not None:
+            earlier = earlier.where(F.col("event_date").between(*days))
         fresh = fresh.join(earlier.select("event_id"), "event_id", "left_anti")
-    _write(fresh.select(*EVENT_COLUMNS, "event_date"), path, batch_id, PARTITIONS, ["project_id", "timestamp"])
+    _write(fresh.select(*EVENT_COLUMNS, "event_date"), path, batch_id, ["event_date"], ["project_id", "timestamp"])
 
 
 def append_dead_letters(letters: DataFrame, path: str, batch_id: int) -> None:
-    _write(letters, path, batch_id, ["batch_id"])
+    _write(letters, path, batch_id)
 
 
 def _write(
-    rows: DataFrame, path: str, batch_id: int, partitions: list[str], cluster: list[str] | None = None
+    rows: DataFrame, path: str, batch_id: int, partitions: list[str] | None = None, cluster: list[str] | None = None
 ) -> None:
-    """Overwrite this batch's partitions, with files of an even size.
+    """Replace this batch's folder, with files of an even size.
 
     The rebalance hint lets adaptive execution split a large day over several
     files and merge small ones.  Files sorted by `cluster` have narrow row-group
     statistics for it, so reads by those columns skip most of a file.
     """
-    stamped = rows.withColumn("batch_id", F.lit(batch_id).cast("long"))
-    (
-        stamped.hint("rebalance", *partitions)
-        .sortWithinPartitions(*partitions, *(cluster or []))
-        .write.mode("overwrite")
-        .option("partitionOverwriteMode", "dynamic")
-        .partitionBy(*partitions)
-        .parquet(path)
-    )
+    by = [*(partitions or []), *(cluster or [])]
+    even = rows.hint("rebalance", *(partitions or []))
+    even = even.sortWithinPartitions(*by) if by else even
+    writer = even.write.mode("overwrite").option("partitionOverwriteMode", "static")
+    writer = writer.partitionBy(*partitions) if partitions else writer
+    writer.parquet(f"{path.rstrip('/')}/batch_id={int(batch_id)}")
 
 
 def existing_table(spark: SparkSession, path: str, schema: T.StructType) -> DataFrame | None:
@@ -132,8 +124,32 @@ def project_page(events: DataFrame, project_id: str, limit: int = 100, offset: i
     )
 
 
-def event_by_id(events: DataFrame, event_id: str) -> DataFrame:
-    return events.where(F.col("event_id") == event_id).select(*EVENT_COLUMNS)
+def page_after(
+    events: DataFrame, project_id: str, after: tuple[datetime, str] | None = None, limit: int = 100
+) -> DataFrame:
+    """The page behind an event, given by its time and id: no row before it is sorted or moved."""
+    own = events.where(F.col("project_id") == project_id)
+    if after is not None:
+        at, event_id = F.lit(after[0]).cast("timestamp"), F.lit(after[1])
+        later = (F.col("timestamp") > at) | ((F.col("timestamp") == at) & (F.col("event_id") > event_id))
+        own = own.where((F.col("event_date") >= F.to_date(at)) & later)
+    return own.select(*EVENT_COLUMNS).orderBy("timestamp", "event_id").limit(limit)
+
+
+def event_by_id(events: DataFrame, event_id: str, settings: Settings | None = None) -> DataFrame:
+    """The event of an id.  With `settings`, only the days it may lie on are read.
+
+    An id given by this engine carries the time of receipt, and an accepted event
+    lies within the acceptance window around it.  Without `settings`, ids from
+    elsewhere are found as well.
+    """
+    found = events.where(F.col("event_id") == event_id)
+    if settings is not None:
+        received = datetime.fromtimestamp(int(event_id.replace("-", "")[:12], 16) / 1000, timezone.utc)
+        first = received - timedelta(days=settings.max_age_days)
+        last = received + timedelta(minutes=settings.max_future_minutes, milliseconds=1)
+        found = found.where(F.col("event_date").between(first.date(), last.date()))
+    return found.select(*EVENT_COLUMNS)
 
 
 def get_event(events: DataFrame, event_id: str):

@@ -15,13 +15,10 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
-from eventloom.operators.wire import dead_letters, decode_messages, decoded_events
+from eventloom.operators.wire import ORPHAN, dead_letters, decode_messages, decoded_events
 from eventloom.plans.spread import spread
 from eventloom.sources.store import append_dead_letters, append_events
 
-# Fixed value: dead-letter error type of an event whose project is unknown.
-ORPHAN = "orphan_event"
-
 
 def observed(messages: DataFrame) -> DataFrame:
     """Count what passes, per micro-batch, for the query's progress reports."""
@@ -55,7 +52,12 @@ def _mark_orphans(decoded: DataFrame, projects: DataFrame) -> DataFrame:
     joined = decoded.join(known, F.col("event.project_id") == F.col("_known"), "left")
     orphan = F.col("error").isNull() & F.col("_known").isNull()
     message = F.concat(F.lit("Project by id "), F.col("event.project_id"), F.lit(" not found"))
-    return joined.withColumn("error", F.when(orphan, message).otherwise(F.col("error"))).drop("_known")
+    return joined.withColumns(
+        {
+            "error_type": F.when(orphan, ORPHAN).otherwise(F.col("error_type")),
+            "error": F.when(orphan, message).otherwise(F.col("error")),
+        }
+    ).drop("_known")
 
 
 def consume(
@@ -91,8 +93,10 @@ def start(
 def without_duplicates(events: DataFrame, max_age_days: int = 30) -> DataFrame:
     """Streaming alternative to the store's duplicate check, with bounded state.
 
-    An id is remembered for as long as the acceptance window is wide.
+    An id is remembered for as long as the acceptance window is wide.  Age is
+    counted by `created_at`, the time of receipt: a sender sets `timestamp`, and a
+    single event from the far future would make all others late.
     """
-    return events.withWatermark("timestamp", f"{max_age_days} days").dropDuplicatesWithinWatermark(
+    return events.withWatermark("created_at", f"{max_age_days} days").dropDuplicatesWithinWatermark(
         ["event_id"]
     )

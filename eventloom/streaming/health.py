@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Iterable
+from datetime import datetime, timezone
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -23,6 +24,14 @@ HEALTH = T.StructType(
     ]
 )
 
+FAILURE = T.StructType(
+    [
+        T.StructField("query_id", T.StringType()),
+        T.StructField("failed_at", T.StringType()),
+        T.StructField("message", T.StringType()),
+    ]
+)
+
 
 def health_rows(spark: SparkSession, progresses: Iterable[StreamingQueryProgress]) -> DataFrame:
     """One row per report: rows, observed counts, duration and source backlog.
@@ -49,11 +58,15 @@ def _row(progress: StreamingQueryProgress) -> tuple:
 
 
 class HealthLog(StreamingQueryListener):
-    """Appends every report of every query to a table, as it arrives."""
+    """Appends every report of every query to a table, as it arrives.
+
+    With `failures`, a query that a failing micro-batch ends adds a row there.
+    """
 
-    def __init__(self, spark: SparkSession, path: str) -> None:
+    def __init__(self, spark: SparkSession, path: str, failures: str | None = None) -> None:
         self._spark = spark
         self._path = path
+        self._failures = failures
 
     def onQueryStarted(self, event) -> None:
         pass
@@ -65,7 +78,9 @@ class HealthLog(StreamingQueryListener):
         pass
 
     def onQueryTerminated(self, event) -> None:
-        pass
+        if self._failures and event.exception:
+            row = (str(event.id), datetime.now(timezone.utc).isoformat(), event.exception)
+            self._spark.createDataFrame([row], FAILURE).write.mode("append").parquet(self._failures)
 
 
 def backlog(health: DataFrame) -> DataFrame:

@@ -132,11 +132,11 @@ def test_first_copy_wins(spark):
     assert [row.event_type for row in kept] == ["c"]
 
 
-def test_an_id_stored_under_another_day_is_found_on_request(spark, folder):
+def test_an_id_stored_under_another_day_is_found(spark, folder):
     path = folder("store")
     store.append_events(events_of(spark, [event(1)]), path, 0)
     moved = events_of(spark, [event(1, at=NOW - seconds(5 * 86_400))])
-    store.append_events(moved, path, 1, prune_dates=False)
+    store.append_events(moved, path, 1)
     assert store.read_events(spark, path).count() == 1
 
 
