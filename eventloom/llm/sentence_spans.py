@@ -26,7 +26,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from eventloom.llm.chunks import _AS_IS, _OTHER
-from eventloom.llm.shared import blocks, texts_of
+from eventloom.llm.shared import blocks, stored, texts_of
 from eventloom.llm.words import encoded, hashed, mix
 
 SPAN = 3
@@ -119,7 +119,8 @@ def without_repeats(docs: DataFrame, span: int = SPAN, words: int = WORDS) -> Da
 
     found = spans(docs, span, words)
     repeated = found.groupBy("hi", "lo").agg(F.min("doc_id").alias("low"), F.max("doc_id").alias("high"))
-    repeated = repeated.where("low < high").select("hi", "lo", "low")
+    # written first, so that the join has plain sides and adaptive execution can split a hot span
+    repeated = stored(repeated.where("low < high").select("hi", "lo", "low"), "spans")
     later = found.join(repeated, ["hi", "lo"]).where("doc_id > low").distinct()
     later = later.groupBy(F.col("doc_id").alias("_id")).agg(F.collect_list(F.struct("hi", "lo")).alias("later"))
     texts = texts_of(docs)
