@@ -32,6 +32,21 @@ def creation_identity(client_ip: Column) -> Column:
     return F.concat(F.lit("project_create:"), F.coalesce(client_ip, F.lit("unknown")))
 
 
+def creation_quota(creations: DataFrame, settings: Settings) -> DataFrame:
+    """Meter project creations per peer address; adds `identity`, `quota`, `window_start`, `admitted`.
+
+    Senders with a key of the right form are not metered.
+    """
+    anonymous = key_problem(F.col("api_key"), settings).isNotNull()
+    identified = creations.withColumns(
+        {
+            "identity": F.when(anonymous, creation_identity(F.col("client_ip"))),
+            "quota": F.lit(settings.quota_project_create),
+        }
+    )
+    return fixed_window_quota(identified, settings)
+
+
 def plan_limit(plan: Column, settings: Settings) -> Column:
     limits = F.create_map(
         F.lit("free"),

@@ -13,34 +13,26 @@ from pyspark.sql import functions as F
 
 SALT = "_salt"
 
-# A key is hot from this share of the rows on, which bounds the number of hot
-# keys by 1 / HOT_SHARE, and never below HOT_ROWS, which one task takes easily.
-HOT_SHARE = 0.01
+# A key is hot from so many rows on as one task takes easily, whatever its share
+# of all rows.  The sketch names the MOST largest keys at most.
 HOT_ROWS = 1_000_000
+MOST = 1_000
 SALTS = 64
-_TRACKED = 10_000
+_TRACKED = 20_000
 
 
 def hot_keys(df: DataFrame, keys: list[str], hot_rows: int = HOT_ROWS) -> Column:
-    """Hashes of the hot keys, as a scalar subquery of at most 1 / HOT_SHARE entries.
+    """Hashes of the hot keys, as a scalar subquery of at most `MOST` entries.
 
     A sketch finds them in one pass without a shuffle by key.  Its error cannot
     harm a result: any choice of salted keys gives the same join.
     """
-    entries = int(1 / HOT_SHARE)
     return (
         df.select(F.xxhash64(*keys).alias("_key"))
-        .agg(
-            F.expr(f"approx_top_k(_key, {entries}, {_TRACKED})").alias("_top"),
-            (F.count("*") * HOT_SHARE).alias("_share"),
-        )
+        .agg(F.expr(f"approx_top_k(_key, {MOST}, {_TRACKED})").alias("_top"))
         .select(
             F.transform(
-                F.filter(
-                    "_top",
-                    lambda entry: (entry["count"] >= F.col("_share")) & (entry["count"] >= hot_rows),
-                ),
-                lambda entry: entry["item"],
+                F.filter("_top", lambda entry: entry["count"] >= hot_rows), lambda entry: entry["item"]
             )
         )
         .scalar()

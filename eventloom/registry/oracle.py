@@ -361,6 +361,13 @@ SELECT event_id, user_id::VARCHAR AS user_id,
 FROM identified""",
         "quota_fixed_window": FIXED_QUOTA,
         "quota_anchored_window": ANCHORED_QUOTA,
+        "quota_project_create": """WITH attempts AS (SELECT event_id, ts, date_trunc('day', ts) AS day,
+    CASE WHEN event_id % 2 = 0 AND user_id % 40 NOT IN (11, 13) THEN NULL
+      ELSE 'project_create:10.0.0.' || (user_id % 16) END AS identity FROM events),
+  ranked AS (SELECT *, row_number() OVER (PARTITION BY identity, day ORDER BY ts, event_id::VARCHAR) AS nth FROM attempts)
+SELECT event_id::VARCHAR AS request_id, coalesce(identity, '-') AS identity,
+  CASE WHEN identity IS NULL THEN '-' ELSE strftime(day::TIMESTAMP, '%Y-%m-%d %H:%M:%S.%f') END AS window_start,
+  CASE WHEN identity IS NULL OR nth <= 5 THEN 1 ELSE 0 END::BIGINT AS admitted FROM ranked""",
         "orphan_events": f"WITH {MAPPED} {TYPED} WHERE user_id % 25 >= 23",
         "cascade_delete": f"{STORED} WHERE (user_id % 25) % 5 <> 0",
         "project_load": f"""WITH base AS (SELECT n_nationkey AS n, n_name AS name,
@@ -394,6 +401,8 @@ FROM read""",
         + "SELECT strftime(ts, '%Y-%m-%d') AS day, count(*) AS events FROM accepted GROUP BY ALL",
         "events_page": f"""{STORED} WHERE project_id = '00000000-0000-7000-8000-000000000003'
 ORDER BY ts, event_key LIMIT 100 OFFSET 20""",
+        "events_page_after": f"""{STORED} WHERE project_id = '00000000-0000-7000-8000-000000000003'
+  AND ts >= TIMESTAMP '2024-01-10 12:00:00' ORDER BY ts, event_key LIMIT 50""",
         "event_by_id": f"{STORED} WHERE accepted.event_id = 1",
         "events_slice": f"""{STORED} WHERE mtype = 'purchase'
   AND ts >= TIMESTAMP '2024-01-10 06:00:00' AND ts < TIMESTAMP '2024-01-12 18:00:00'""",

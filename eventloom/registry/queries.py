@@ -5,6 +5,7 @@ from __future__ import annotations
 import hashlib
 from collections.abc import Callable
 from dataclasses import replace
+from datetime import datetime, timezone
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -25,6 +26,7 @@ from eventloom.registry import inputs
 from eventloom.registry.inputs import SETTINGS, as_of, events_table, stored_events
 from eventloom.settings import configure
 from eventloom.sources import store
+from eventloom.sources.dimension import remove_projects
 from eventloom.streaming import consume, health
 from eventloom.streaming.quota import quota_batch
 
@@ -445,6 +447,14 @@ def quota_fixed_window(spark, sf_dir):
     return _decisions(quota.fixed_window_quota(identified, DAY_QUOTA))
 
 
+@registered("quota_project_create")
+def quota_project_create(spark, sf_dir):
+    """Every event as an attempt to create a project, half of them without a key."""
+    requests = inputs.metered_requests(events_table(spark, sf_dir))
+    keyless = F.when(F.col("request_id").cast("long") % 2 == 0, F.col("api_key"))
+    return _decisions(quota.creation_quota(requests.withColumn("api_key", keyless), DAY_QUOTA))
+
+
 @registered("quota_anchored_window")
 def quota_anchored_window(spark, sf_dir):
     identified = quota.with_quota_identity(_resolved(spark, sf_dir), ANCHORED_QUOTA)
@@ -460,8 +470,13 @@ def orphan_events(spark, sf_dir):
 
 @registered("cascade_delete")
 def cascade_delete(spark, sf_dir):
+    """A store of two batches, rewritten without every fifth project."""
+    path, events = fresh_path(spark, "store"), stored_events(spark, sf_dir)
+    for batch_id in (0, 1):
+        store.append_events(events.where(F.dayofmonth("timestamp") % 2 == batch_id), path, batch_id)
     removed = inputs.projects(spark, sf_dir).where(F.substring("project_id", -12, 12).cast("int") % 5 == 0)
-    return _event_columns(tenants.without_projects(stored_events(spark, sf_dir), removed))
+    remove_projects(removed, path, fresh_path(spark, "staging"))
+    return _event_columns(store.read_events(spark, path))
 
 
 @registered("project_load")
@@ -563,6 +578,14 @@ def key_of_request(request_id: str) -> str:
     return f"018d5cd0-bc00-7000-{variant}{digest[1:4]}-{digest[4:16]}"
 
 
+@registered("events_page_after")
+def events_page_after(spark, sf_dir):
+    """The page that follows a time, whatever number of events precedes it."""
+    after = (datetime(2024, 1, 10, 12, tzinfo=timezone.utc), "")
+    page = store.page_after(stored_events(spark, sf_dir), "00000000-0000-7000-8000-000000000003", after, limit=50)
+    return _event_columns(page)
+
+
 @registered("event_by_id")
 def event_lookup(spark, sf_dir):
     return _event_columns(store.event_by_id(stored_events(spark, sf_dir), key_of_request("1"), SETTINGS))

@@ -7,9 +7,12 @@ classpath; the options are passed through and nothing else changes.
 
 from __future__ import annotations
 
+from typing import Any
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
+from pyspark.sql.streaming import StreamingQuery
 
 from eventloom.model import MESSAGE, REQUEST
 from eventloom.settings import Settings
@@ -58,11 +61,30 @@ def stream_kafka(spark: SparkSession, options: dict[str, str]) -> DataFrame:
     )
 
 
+def as_messages(encoded: DataFrame) -> DataFrame:
+    return encoded.select(F.col("event_id").alias("msg_id"), F.encode("data", "utf-8").alias("data"))
+
+
 def write_messages(encoded: DataFrame, path: str) -> None:
     """Append encoded events to a file-based log."""
-    encoded.select(F.col("event_id").alias("msg_id"), F.encode("data", "utf-8").alias("data")).write.mode(
-        "append"
-    ).parquet(path)
+    as_messages(encoded).write.mode("append").parquet(path)
+
+
+def publish(
+    encoded: DataFrame, path: str, checkpoint: str, trigger: dict[str, Any] | None = None
+) -> StreamingQuery:
+    """Append a stream of encoded events to a file-based log, each micro-batch once."""
+    writer = as_messages(encoded).writeStream.format("parquet").option("path", path)
+    return writer.option("checkpointLocation", checkpoint).trigger(**(trigger or {"availableNow": True})).start()
+
+
+def publish_kafka(
+    encoded: DataFrame, servers: str, topic: str, checkpoint: str, trigger: dict[str, Any] | None = None
+) -> StreamingQuery:
+    """Append a stream of encoded events to a topic, keyed by event id; a replay may repeat records."""
+    records = as_messages(encoded).select(F.col("msg_id").alias("key"), F.col("data").alias("value"))
+    writer = records.writeStream.format("kafka").options(**{"kafka.bootstrap.servers": servers, "topic": topic})
+    return writer.option("checkpointLocation", checkpoint).trigger(**(trigger or {"availableNow": True})).start()
 
 
 def _reader(reader, format: str, schema: T.StructType):

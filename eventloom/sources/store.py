@@ -66,14 +66,20 @@ def append_events(
         if days is not None:
             earlier = earlier.where(F.col("event_date").between(*days))
         fresh = fresh.join(earlier.select("event_id"), "event_id", "left_anti")
-    _write(fresh.select(*EVENT_COLUMNS, "event_date"), path, batch_id, ["event_date"], ["project_id", "timestamp"])
+    replace_events(fresh, path, batch_id)
+
+
+def replace_events(events: DataFrame, path: str, batch_id: int) -> None:
+    """Make `events`, with their `event_date`, all that a batch holds."""
+    kept = events.select(*EVENT_COLUMNS, "event_date")
+    replace_batch(kept, path, batch_id, ["event_date"], ["project_id", "timestamp"])
 
 
 def append_dead_letters(letters: DataFrame, path: str, batch_id: int) -> None:
-    _write(letters, path, batch_id)
+    replace_batch(letters, path, batch_id)
 
 
-def _write(
+def replace_batch(
     rows: DataFrame, path: str, batch_id: int, partitions: list[str] | None = None, cluster: list[str] | None = None
 ) -> None:
     """Replace this batch's folder, with files of an even size.

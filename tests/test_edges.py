@@ -10,12 +10,14 @@ from test_store import event, events_of, messages_of, wire
 from test_streams import ONE_FILE, put
 
 from eventloom.functions.ids import event_key
+from eventloom.model import EVENT, PROJECT
 from eventloom.operators import metrics
 from eventloom.operators.projects import judge_projects
+from eventloom.operators.quota import creation_quota
 from eventloom.operators.rejects import reject_records
-from eventloom.operators.wire import dead_letters, decode_messages, decoded_events
+from eventloom.operators.wire import dead_letters, decode_messages, decoded_events, encode_events
 from eventloom.plans.ingest import accepted_events, outcomes, receipts
-from eventloom.sources import raw, store
+from eventloom.sources import dimension, raw, store
 from eventloom.streaming import consume, health
 
 
@@ -171,6 +173,53 @@ def test_repeated_project_ids_are_refused(spark):
     ]
 
 
+def test_projects_are_stored_once(spark, folder):
+    rows = [("p1", "alpha", "free", "k1", NOW), ("p2", "beta", "pro", "k2", NOW), ("p3", "ab", "pro", "k3", NOW)]
+    frame = spark.createDataFrame(rows, PROJECT)
+    for batch_id in (0, 0, 1):
+        judged = dimension.load_projects(frame, folder("projects"), batch_id)
+    codes = {row.project_id: row.code for row in judged.collect()}
+    assert codes == {"p1": "UnexpectedError", "p2": "UnexpectedError", "p3": "ValidationError"}
+    assert sorted(row.project_id for row in dimension.read_projects(spark, folder("projects")).collect()) == ["p1", "p2"]
+
+
+def test_removed_projects_lose_their_events(spark, folder, monkeypatch):
+    path, other = folder("store"), KNOWN[:-1] + "2"
+    store.append_events(events_of(spark, [event(1), event(2, project=other)]), path, 0)
+    store.append_events(events_of(spark, [event(3, project=other)]), path, 1)
+    store.append_events(events_of(spark, [event(4)]), path, 2)
+    removed = spark.createDataFrame([(other,)], "project_id string")
+    with monkeypatch.context() as patch:
+
+        def fail(*_):
+            raise RuntimeError("lost after staging")
+
+        patch.setattr(dimension, "replace_events", fail)
+        with pytest.raises(RuntimeError):
+            dimension.remove_projects(removed, path, folder("staging"))
+    dimension.remove_projects(removed, path, folder("staging"))
+    found = {(row.event_id[-1], row.batch_id) for row in store.read_events(spark, path).collect()}
+    assert found == {("1", 0), ("4", 2)}
+
+
+def test_a_stream_is_published(spark, folder):
+    events_of(spark, [event(n, event_type="purchase") for n in range(3)]).write.parquet(folder("events"))
+    stream = spark.readStream.schema(EVENT).parquet(folder("events"))
+    raw.publish(encode_events(stream), folder("log"), folder("checkpoint")).awaitTermination()
+    found = decoded_events(decode_messages(raw.read_messages(spark, folder("log"))))
+    assert sorted(row.event_id[-1] for row in found.collect()) == ["0", "1", "2"]
+
+
+def test_creations_are_metered_by_peer(spark):
+    rows = [request(str(n), {}, api_key=None, ip="1.1.1.1" if n < 7 else None, forwarded=str(n)) for n in range(9)]
+    rows.append(request("keyed", {}, api_key="wk_test_anything", ip="1.1.1.1"))
+    judged = creation_quota(requests_of(spark, rows), SETTINGS)
+    refused = {row.request_id for row in judged.where("NOT admitted").collect()}
+    assert refused == {"5", "6"}
+    identities = {row.identity for row in judged.collect()}
+    assert identities == {"project_create:1.1.1.1", "project_create:unknown", None}
+
+
 def test_batch_durations_and_failures(spark):
     reports = spark.createDataFrame(
         [("q", 0, "t", 5, 5, 0, 0.04, None), ("q", 1, "t", 5, 5, 0, 0.7, None), ("q", 2, "t", 5, 5, 0, 20.0, None)],
