@@ -20,7 +20,7 @@ from eventloom.llm.subword import Model, Shape, Training
 ROWS = 6_000
 LONGEST = 32 << 10
 THRESHOLD = 0.5
-WINDOW = 16
+WINDOW = 4
 SHAPE = Shape(window=WINDOW)
 TRAINING = Training(weight=3.0)
 
