@@ -33,6 +33,7 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
+import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.pandas.types import to_arrow_schema
@@ -127,7 +128,12 @@ class Block:
 
 
 def blob(x: np.ndarray, kind: str) -> bytes:
-    return np.ascontiguousarray(x.astype(kind)).tobytes()
+    """Numbers on their way through a shuffle: neighbours are sorted and much alike, so they compress well."""
+    return zstandard.ZstdCompressor(level=1).compress(np.ascontiguousarray(x.astype(kind)).tobytes()) if len(x) else b""
+
+
+def numbers(x: bytes, kind: str) -> np.ndarray:
+    return np.frombuffer(zstandard.ZstdDecompressor().decompress(x) if x else b"", kind)
 
 
 def own_grams(block: pa.Table, buckets: int) -> Iterator[dict]:
@@ -142,14 +148,14 @@ def own_grams(block: pa.Table, buckets: int) -> Iterator[dict]:
     for b in range(buckets):
         part = order[cuts[b] : cuts[b + 1]]
         if len(part):
-            yield {"bucket": b, "block": number, "grams": grams[part].tobytes(), "sizes": size[part].tobytes()}
+            yield {"bucket": b, "block": number, "grams": grams[part].tobytes(), "sizes": blob(size[part], "u1")}
 
 
 def shared_grams(rows: pa.Table, hot: int) -> Iterator[dict]:
     """For each block, its grams that other blocks have, and those of them that are hot anywhere."""
     blocks = rows.column("block").to_pylist()
     grams = [np.frombuffer(x, np.uint64) for x in rows.column("grams").to_pylist()]
-    sizes = [np.frombuffer(x, np.uint8) for x in rows.column("sizes").to_pylist()]
+    sizes = [numbers(x, "u1") for x in rows.column("sizes").to_pylist()]
     distinct, at, counts = np.unique(np.concatenate(grams), return_inverse=True, return_counts=True)
     total = np.bincount(at, np.exp2(np.concatenate(sizes).astype(np.float64)), len(distinct))
     several, many = distinct[counts > 1], distinct[total > hot]
@@ -235,7 +241,7 @@ def sent(
     if len(gone):
         yield {
             "bucket": number % buckets, "block": number, "known": True, "around": b"", "left": b"", "right": b"", "doc": b"",
-            "row": blob(row[gone], "<i4"), "pos": blob(pos[gone], "<i8"), "mask": blob(mask[gone], "<i8"),
+            "row": blob(row[gone], "<i4"), "pos": blob(pos[gone], "<i4"), "mask": blob(mask[gone], "<i8"),
         }
     kept = order[~later]
     if string:
@@ -254,7 +260,7 @@ def sent(
         yield {
             "bucket": int(which[part[0]]), "block": number, "known": False, "around": blob(around[own_part], "u1"),
             "left": blob(left[own_part], "u1"), "right": blob(right[own_part], "u1"), "doc": blob(own.docs[row[own_part]], "<i8"),
-            "row": blob(row[own_part], "<i4"), "pos": blob(pos[own_part], "<i8"), "mask": b"",
+            "row": blob(row[own_part], "<i4"), "pos": blob(pos[own_part], "<i4"), "mask": b"",
         }
 
 
@@ -323,11 +329,12 @@ def sorted_bucket(rows: pa.Table) -> Iterator[dict]:
     fresh = [i for i, passed in enumerate(known) if not passed]
     if not fresh:
         return
-    row, pos = ([np.frombuffer(of[c][i], kind) for i in fresh] for c, kind in (("row", "<i4"), ("pos", "<i8")))
-    left, right, doc = (
-        np.concatenate([np.frombuffer(of[c][i], kind) for i in fresh]) for c, kind in (("left", "u1"), ("right", "u1"), ("doc", "<i8"))
+    row, pos = ([numbers(of[c][i], "<i4") for i in fresh] for c in ("row", "pos"))
+    left, right, doc, around = (
+        np.concatenate([numbers(of[c][i], kind) for i in fresh])
+        for c, kind in (("left", "u1"), ("right", "u1"), ("doc", "<i8"), ("around", "u1"))
     )
-    around = np.frombuffer(b"".join([of["around"][i] for i in fresh]), np.uint8).reshape(-1, WIDTH)
+    around = around.reshape(-1, WIDTH)
     mask = repeated(around, left, right, doc)
     begin = 0
     for i, r, p in zip(fresh, row, pos, strict=True):
@@ -335,7 +342,7 @@ def sorted_bucket(rows: pa.Table) -> Iterator[dict]:
         begin += len(r)
         hit = own != 0
         if hit.any():
-            yield {"block": of["block"][i], "row": blob(r[hit], "<i4"), "pos": blob(p[hit], "<i8"), "mask": blob(own[hit], "<i8")}
+            yield {"block": of["block"][i], "row": blob(r[hit], "<i4"), "pos": blob(p[hit], "<i4"), "mask": blob(own[hit], "<i8")}
 
 
 def cut(block: pa.Table, found: pa.Table) -> Iterator[dict]:
@@ -346,8 +353,8 @@ def cut(block: pa.Table, found: pa.Table) -> Iterator[dict]:
     n = len(own.data)
     cover = np.zeros(n + 1, dtype=np.int32)
     for r, p, m in zip(*(found.column(c).to_pylist() for c in ("row", "pos", "mask")), strict=True):
-        start = own.starts[np.frombuffer(r, "<i4")] + np.frombuffer(p, "<i8")
-        bits = np.frombuffer(m, "<i8")
+        start = own.starts[numbers(r, "<i4")] + numbers(p, "<i4")
+        bits = numbers(m, "<i8")
         for o in range(LEFT + 1):
             at = start[(bits >> o) & 1 == 1] - o
             np.add.at(cover, at, 1)
