@@ -5,6 +5,7 @@ from __future__ import annotations
 import tempfile
 import uuid
 from collections.abc import Iterable, Iterator
+from contextlib import contextmanager
 
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
@@ -28,14 +29,37 @@ def shared_folder(spark: SparkSession) -> str:
     return spark.sparkContext._jsc.sc().getCheckpointDir().get()
 
 
+_recorded: list[list[str]] = []
+
+
 def stored(frame: DataFrame, what: str) -> DataFrame:
     """The frame, written to the shared folder and read back: later steps neither repeat nor lose its work."""
     spark = frame.sparkSession
     path = f"{shared_folder(spark)}/{what}-{uuid.uuid4().hex}"
     frame.write.option("compression", "zstd").parquet(path)
+    if _recorded:
+        _recorded[-1].append(path)
     return spark.read.schema(frame.schema).parquet(path)
 
 
+@contextmanager
+def recorded() -> Iterator[list[str]]:
+    """The paths that `stored` writes to meanwhile."""
+    _recorded.append([])
+    try:
+        yield _recorded[-1]
+    finally:
+        _recorded.pop()
+
+
+def delete(spark: SparkSession, paths: list[str]) -> None:
+    """Remove what `stored` has written, once all that reads it is written itself."""
+    context = spark.sparkContext
+    for path in paths:
+        place = context._jvm.org.apache.hadoop.fs.Path(path)
+        place.getFileSystem(context._jsc.hadoopConfiguration()).delete(place, True)
+
+
 def blocks(batches: Iterable[pa.RecordBatch], size: int) -> Iterator[pa.Table]:
     """Arrow batches gathered, or cut, to about `size` bytes each; the order of rows stays."""
     held: list[pa.RecordBatch] = []
