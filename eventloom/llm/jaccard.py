@@ -37,7 +37,7 @@ from eventloom.llm.graph import components
 from eventloom.llm.shared import blocks, stored, texts_of
 from eventloom.llm.words import encoded, mix, words
 
-BLOCK_BYTES = 16 << 20
+BLOCK_BYTES = 8 << 20
 #: Bytes of text for each bucket of signatures.
 BUCKET_BYTES = 8 << 20
 #: Classes of a group that are compared at once.
@@ -193,7 +193,7 @@ def packed(sigs: np.ndarray, keys: np.ndarray, buckets: int, known: bool) -> Ite
     yield from pa.table(out).to_batches(max_chunksize=64)
 
 
-def sets_of(docs: DataFrame, of: DataFrame, groups: DataFrame, width: int) -> DataFrame:
+def sets_of(docs: DataFrame, classes: DataFrame, groups: DataFrame, width: int) -> DataFrame:
     """Size, sketch and shingles of every class in a group, from its document of the smallest id."""
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -208,7 +208,7 @@ def sets_of(docs: DataFrame, of: DataFrame, groups: DataFrame, width: int) -> Da
             yield from pa.table(out).to_batches(max_chunksize=500)
 
     needed = groups.select("key").distinct()
-    chosen = of.join(needed, "key").groupBy("key").agg(F.min("doc_id").alias("_doc"))
+    chosen = classes.join(needed, "key").select(F.col("first").alias("_doc"))
     texts = texts_of(docs).join(chosen, F.col("doc_id").eqNullSafe(F.col("_doc")))
     sets = texts.mapInArrow(run, "key long, n long, sketch binary, shingles binary")
     return sets.dropDuplicates(["key"])
@@ -225,9 +225,10 @@ def close_pairs(groups: DataFrame, sets: DataFrame, bands: Bands, roots: DataFra
     else:
         members_ = members_.join(roots.withColumnRenamed("node", "key"), "key", "left")
         members_ = members_.withColumn("root", F.coalesce("root", "key"))
-        mixed = members_.groupBy("sig").agg(F.min("root").alias("_low"), F.max("root").alias("_high"))
-        members_ = members_.join(mixed.where("_low <> _high").select("sig"), "sig", "left_semi")
-    sizes = members_.groupBy("sig").agg(F.ceil(F.count("*") / CHUNK).cast("int").alias("chunks"))
+    # written first, so that the join has plain sides and adaptive execution can split a hot signature
+    chunks = F.ceil(F.count("*") / CHUNK).cast("int").alias("chunks")
+    sizes = members_.groupBy("sig").agg(chunks, F.min("root").alias("_low"), F.max("root").alias("_high"))
+    sizes = stored(sizes.where("_low <> _high").select("sig", "chunks"), "sizes")
     members_ = members_.join(sizes, "sig").withColumn("own", F.pmod(F.xxhash64("key"), "chunks").cast("int"))
     members_ = members_.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("chunks") - 1)))
     members_ = members_.withColumns({"low": F.least("own", "other"), "high": F.greatest("own", "other")})
@@ -338,20 +339,23 @@ def near_duplicates(docs: DataFrame, width: int = 3, percent: int = 90) -> DataF
     """Per document: the size of its set, and the smallest doc_id that links lead to, itself included."""
     bands = Bands(percent)
     of = stored(members(docs, width), "members")
+    classes = stored(of.where("key IS NOT NULL").groupBy("key").agg(F.min("doc_id").alias("first")), "classes")
     total = texts_of(docs).agg(F.sum(F.octet_length("text"))).first()[0] or 0
     shared = stored(shared_signatures(docs, width, percent, max(16, total // BUCKET_BYTES)), "signatures")
-    alike = shared.groupBy("sig").agg(F.count("*").alias("m"), F.sum(F.xxhash64("key") % (1 << 40)).alias("h"), F.bit_xor("key").alias("x"))
-    one = alike.groupBy("m", "h", "x").agg(F.min("sig").alias("sig")).select("sig")
+    content = [F.count("*").alias("m"), F.sum(F.xxhash64("key") % (1 << 40)).alias("h"), F.bit_xor("key").alias("x")]
+    one = shared.groupBy("sig").agg(*content).groupBy("m", "h", "x").agg(F.min("sig").alias("sig")).select("sig")
     groups = stored(shared.join(one, "sig", "left_semi"), "groups")
-    sets = stored(sets_of(docs, of, groups, width), "sets")
+    sets = stored(sets_of(docs, classes, groups, width), "sets")
     links = stored(verified(stored(close_pairs(groups, sets, bands), "pairs"), sets, percent), "verified")
     roots = components(links)
     more = verified(stored(close_pairs(groups, sets, bands, roots), "pairs"), sets, percent)
     roots = components(links.union(stored(more, "verified")))
-    placed = of.join(roots.withColumnRenamed("node", "key"), "key", "left")
+    # the aggregates are written, so that both joins have plain sides and a hot class or component can be split
+    placed = classes.join(roots.withColumnRenamed("node", "key"), "key", "left")
     placed = placed.withColumn("root", F.coalesce("root", "key"))
-    smallest = placed.where("root IS NOT NULL").groupBy("root").agg(F.min("doc_id").alias("_first"))
-    return placed.join(smallest, "root", "left").select(
+    smallest = stored(placed.groupBy("root").agg(F.min("first").alias("_first")), "smallest")
+    answers = stored(placed.join(smallest, "root").select("key", "_first"), "answers")
+    return of.join(answers, "key", "left").select(
         "doc_id", "n_shingles", F.coalesce("_first", "doc_id").alias("component_id")
     )
 
