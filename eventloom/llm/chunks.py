@@ -54,7 +54,7 @@ class Pieces:
     change a result.
     """
 
-    def __init__(self, pattern: str, encode: Callable[[list[str]], list[bytes]], limit: int = 500_000):
+    def __init__(self, pattern: str, encode: Callable[[list[str]], list[bytes]], limit: int = 200_000):
         import regex
 
         self._split, self.encode, self.limit = regex.compile(pattern).findall, encode, limit

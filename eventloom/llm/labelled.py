@@ -14,7 +14,7 @@ from eventloom.llm.subword import Model, Shape, Training, train
 from eventloom.llm.words import encoded
 
 FOLDS = 5
-BLOCK_BYTES = 8 << 20
+BLOCK_BYTES = 2 << 20
 SCHEMA = "doc_id long, held_out boolean, score double, predicted int"
 
 

@@ -41,7 +41,7 @@ ROWS = 1 << 15
 ROUNDS = 2
 BATCH = 16_384
 RATE = 0.4
-BLOCK_BYTES = 16 << 20
+BLOCK_BYTES = 8 << 20
 #: Rows of weights that are summed together.
 PART = 1024
 END = np.uint64(0xA5A5_0F0F_3C3C_9696)
@@ -161,7 +161,7 @@ def trained(docs: DataFrame, counts: Counts) -> np.ndarray:
             now, prior = begin.copy(), own.prior.astype(np.float32)
             squares = np.ones(begin.shape, dtype=np.float32)
             used = np.zeros(len(begin), dtype=bool)
-            for block in blocks(batches, BLOCK_BYTES // 4):
+            for block in blocks(batches, BLOCK_BYTES // 2):
                 token, tails, sizes = tokens(encoded(block.column("text")))
                 rows, truth = features(token, sizes), own.classes(token, tails)
                 for i in range(0, len(token), BATCH):
