@@ -6,6 +6,9 @@ each share is packed online: a fixed number of open bins, found through a bitset
 the open bin with the least room that still holds it; where none does, a bin opens, and beyond the fixed number the
 fullest closes first. Only the bins still open at a share's end are left less than full by the split in shares.
 
+Where a text holds an added token of the vocabulary (`<|endoftext|>`), that is its own id, as the `tokenizers` library has
+it by default; what stands between added tokens is tokenized each for itself.
+
 Null and empty texts are the closing id alone, one piece of length 1. Repeated rows are packed each for itself, an
 empty table gives an empty result, and other columns are ignored. Documents longer than the capacity are cut into
 full pieces; the first takes what is over.
@@ -14,6 +17,7 @@ full pieces; the first takes what is over.
 from __future__ import annotations
 
 import json
+import re
 import struct
 import zlib
 from collections.abc import Iterable, Iterator
@@ -43,11 +47,28 @@ def letters() -> dict[str, int]:
     return {chr(b): b for b in shown} | {chr(0x100 + i): b for i, b in enumerate(hidden)}
 
 
+class Added:
+    """The ids of texts in which added tokens have ids of their own; of those that begin at one place the longest counts."""
+
+    def __init__(self, plain: Pieces, added: dict[bytes, int]):
+        self.plain, self.of = plain, {x: struct.pack("<I", n) for x, n in added.items()}
+        self.split = re.compile(b"(%s)" % b"|".join(map(re.escape, sorted(added, key=len, reverse=True)))).split
+
+    def ids(self, texts: list[bytes]) -> list[bytes]:
+        """The ids of each whole text."""
+        parts = [self.split(x) for x in texts]  # every second part is an added token
+        coded = iter(self.plain.ids([x for own in parts for x in own[::2]]))
+        return [
+            b"".join([self.of[x] if k % 2 else next(coded) for k, x in enumerate(own)]) if len(own) > 1 else next(coded)
+            for own in parts
+        ]
+
+
 _ENCODERS: dict[tuple[str, str], Pieces] = {}
 
 
 def encoder(path: str, pattern: str) -> Pieces:
-    """Ids by the vocabulary of a `tokenizers` file, without special tokens; one for each Python worker.
+    """Ids by the vocabulary of a `tokenizers` file, added tokens as ordinary text; one for each Python worker.
 
     The ids of a byte-level vocabulary are in merge order, which is all that the rank-based encoder needs; its own
     library would take five times as long for the same ids.
@@ -69,18 +90,33 @@ def encoder(path: str, pattern: str) -> Pieces:
     return _ENCODERS[path, pattern]
 
 
+def whole_encoder(path: str, pattern: str) -> Pieces | Added:
+    """Ids by the vocabulary and the added tokens of a `tokenizers` file."""
+    with open(path, encoding="utf-8") as file:
+        added = json.load(file)["added_tokens"]
+    if odd := [x["content"] for x in added if x["single_word"] or x["lstrip"] or x["rstrip"] or x["normalized"]]:
+        raise ValueError(f"added tokens that depend on what is around them are not supported: {odd}")
+    plain = encoder(path, pattern)
+    return Added(plain, {x["content"].encode(): x["id"] for x in added}) if added else plain
+
+
 def cuts(length: int, capacity: int) -> list[tuple[int, int]]:
     """Start and length of the pieces of a document of so many tokens."""
     first = length % capacity or min(length, capacity)
     return [(0, first), *((start, capacity) for start in range(first, length, capacity))]
 
 
-def document_pieces(docs: DataFrame, path: str, pattern: str, end: int = 0, capacity: int = CAPACITY) -> DataFrame:
-    """One row per piece, with the CRC of its ids; `copy` tells repeated rows of a doc_id apart."""
+def document_pieces(
+    docs: DataFrame, path: str, pattern: str, end: int = 0, capacity: int = CAPACITY, added: bool = False
+) -> DataFrame:
+    """One row per piece, with the CRC of its ids; `copy` tells repeated rows of a doc_id apart.
+
+    `added`: whether added tokens in texts have their own ids; otherwise they are ordinary text.
+    """
     closing = np.array([end], "<u4").tobytes()
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        own = encoder(path, pattern)
+        own = (whole_encoder if added else encoder)(path, pattern)
         for block in blocks(batches, BLOCK_BYTES):
             rows: list[tuple] = []
             for doc, copy, ids in zip(
@@ -168,4 +204,4 @@ def pack(pieces: DataFrame, capacity: int = CAPACITY, open_bins: int = OPEN_BINS
 
 def pack_documents(docs: DataFrame, path: str, pattern: str, **options) -> DataFrame:
     """Tokenize, cut and pack all documents."""
-    return pack(stored(document_pieces(docs, path, pattern), "pieces"), **options)
+    return pack(stored(document_pieces(docs, path, pattern, added=True), "pieces"), **options)

@@ -146,3 +146,16 @@ def test_pack_documents(awkward, empty, tokenizer, share):
     total = sum(x.length for x in rows)
     assert share == 7 or len(places) <= 1.1 * total / 64 + 1
     assert packing.pack_documents(empty, VOCABULARY, PATTERN).count() == 0
+
+
+def test_added_tokens_have_their_own_ids(spark):
+    rng = random.Random(4)
+    parts = ["<|endoftext|>", "<|endoftext|>", "<|endoftext", "|>", "<", " ", "  ", "\n", "a", " b", "'s", "é", "日"]
+    texts = ["".join(rng.choices(parts, k=rng.randint(0, 12))) for _ in range(1000)] + ["a <|endoftext|> b"]
+    plain = Tokenizer.from_file(VOCABULARY)
+    expected = [plain.encode(x, add_special_tokens=False).ids for x in texts]
+    found = packing.whole_encoder(VOCABULARY, PATTERN).ids([x.encode() for x in texts])
+    assert [np.frombuffer(x, "<u4").tolist() for x in found] == expected
+    rows = packing.pack_documents(spark.createDataFrame(enumerate(texts), "doc_id long, text string"), VOCABULARY, PATTERN)
+    crcs = {(x.doc_id, x.length, x.ids_crc32) for x in rows.collect()}
+    assert crcs == {(i, len(x) + 1, zlib.crc32(np.array([*x, 0], "<u4").tobytes())) for i, x in enumerate(expected)}
