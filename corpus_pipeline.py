@@ -1,7 +1,8 @@
 """From raw documents to packed training sequences, in five stages.
 
 Each stage works on all that the one before kept, is written as Parquet to the shared folder, and read again. All but
-the last return the columns of documents. The first stage is learned, so SQL can't give the result.
+the last return the columns of documents. The three that remove repeats tell rows apart by doc_id and text, not by
+doc_id alone, so that copies go also where they share a doc_id or have none. The first stage is learned, so SQL can't give the result.
 
 As a stage begins when the result of the one before has been written, it first deletes the intermediates that the
 earlier one left in the shared folder.
@@ -57,7 +58,7 @@ def near_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 @staged
 def suffix_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Strings of 50 bytes that an earlier document holds are cut out."""
-    return suffix_dedup.without_repeats(docs)
+    return suffix_dedup.by_row(docs)
 
 
 @staged

@@ -25,7 +25,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from eventloom.llm.shared import blocks, stored, texts_of
+from eventloom.llm.shared import MARKS, blocks, chosen, stored, texts_of
 
 BLOCK_BYTES = 16 << 20
 #: Bytes of text that a bucket's table may hold.
@@ -196,8 +196,10 @@ def exact_groups(docs: DataFrame, table_bytes: int = TABLE_BYTES) -> DataFrame:
 
 
 def without_copies(docs: DataFrame) -> DataFrame:
-    """The rows that stay, with all their columns; of rows that repeat doc_id and text, all stay."""
-    kept = exact_groups(docs).where("kept").select(F.col("doc_id").alias("_kept"), "text_sha256").distinct()
-    digest = F.sha2(F.coalesce(F.col("text"), F.lit("")).cast("binary"), 256)
-    same = F.col("doc_id").cast("long").eqNullSafe(F.col("_kept")) & (digest == F.col("text_sha256"))
-    return docs.join(kept, same, "left_semi")
+    """One row of each group, with all its columns; of rows that repeat doc_id and text, any one."""
+    kept = exact_groups(docs).where("kept").select(
+        F.col("doc_id").isNull().alias("_null"),
+        F.coalesce("doc_id", F.lit(0)).alias("_id"),
+        F.unhex("text_sha256").alias("_digest"),
+    )
+    return chosen(docs, kept.select(MARKS).distinct())

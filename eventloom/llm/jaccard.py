@@ -34,7 +34,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from eventloom.llm.graph import components
-from eventloom.llm.shared import blocks, stored, texts_of
+from eventloom.llm.shared import MARKS, blocks, chosen, marked, stored, texts_of
 from eventloom.llm.words import encoded, mix, words
 
 BLOCK_BYTES = 8 << 20
@@ -121,8 +121,9 @@ def sketch(own: np.ndarray) -> bytes:
     return np.packbits(odd.astype(np.uint8), bitorder="little").tobytes()
 
 
-def members(docs: DataFrame, width: int) -> DataFrame:
-    """Per document: the size of its set, and its class (null for an empty set)."""
+def members(docs: DataFrame, width: int, marks: bool = False) -> DataFrame:
+    """Per document: the size of its set, and its class (null for an empty set); with its marks, if asked for."""
+    more = MARKS if marks else []
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for block in blocks(batches, BLOCK_BYTES):
@@ -132,9 +133,13 @@ def members(docs: DataFrame, width: int) -> DataFrame:
                 "n_shingles": pa.array([len(x) for x in sets], pa.int64()),
                 "key": pa.array([set_key(x) if len(x) else None for x in sets], pa.int64()),
             }
+            out |= {x: block.column(x).combine_chunks() for x in more}
             yield from pa.table(out).to_batches(max_chunksize=10_000)
 
-    return texts_of(docs).mapInArrow(run, "doc_id long, n_shingles long, key long")
+    texts, schema = texts_of(docs), "doc_id long, n_shingles long, key long"
+    if marks:
+        texts, schema = marked(texts), f"{schema}, _null boolean, _id long, _digest binary"
+    return texts.mapInArrow(run, schema)
 
 
 def shared_signatures(docs: DataFrame, width: int, percent: int, buckets: int) -> DataFrame:
@@ -335,10 +340,9 @@ def verified(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     return pairs.join(left, "a").join(right, "b").select("a", "b", "left", "right").mapInArrow(run, "a long, b long")
 
 
-def near_duplicates(docs: DataFrame, width: int = 3, percent: int = 90) -> DataFrame:
-    """Per document: the size of its set, and the smallest doc_id that links lead to, itself included."""
+def linked(docs: DataFrame, of: DataFrame, width: int, percent: int) -> DataFrame:
+    """Per class: its smallest doc_id, and a class that names its component. `of`: the members, written."""
     bands = Bands(percent)
-    of = stored(members(docs, width), "members")
     classes = stored(of.where("key IS NOT NULL").groupBy("key").agg(F.min("doc_id").alias("first")), "classes")
     total = texts_of(docs).agg(F.sum(F.octet_length("text"))).first()[0] or 0
     shared = stored(shared_signatures(docs, width, percent, max(16, total // BUCKET_BYTES)), "signatures")
@@ -350,9 +354,15 @@ def near_duplicates(docs: DataFrame, width: int = 3, percent: int = 90) -> DataF
     roots = components(links)
     more = verified(stored(close_pairs(groups, sets, bands, roots), "pairs"), sets, percent)
     roots = components(links.union(stored(more, "verified")))
-    # the aggregates are written, so that both joins have plain sides and a hot class or component can be split
     placed = classes.join(roots.withColumnRenamed("node", "key"), "key", "left")
-    placed = placed.withColumn("root", F.coalesce("root", "key"))
+    return placed.withColumn("root", F.coalesce("root", "key"))
+
+
+def near_duplicates(docs: DataFrame, width: int = 3, percent: int = 90) -> DataFrame:
+    """Per document: the size of its set, and the smallest doc_id that links lead to, itself included."""
+    of = stored(members(docs, width), "members")
+    placed = linked(docs, of, width, percent)
+    # the aggregates are written, so that both joins have plain sides and a hot class or component can be split
     smallest = stored(placed.groupBy("root").agg(F.min("first").alias("_first")), "smallest")
     answers = stored(placed.join(smallest, "root").select("key", "_first"), "answers")
     return of.join(answers, "key", "left").select(
@@ -361,7 +371,13 @@ def near_duplicates(docs: DataFrame, width: int = 3, percent: int = 90) -> DataF
 
 
 def one_of_each(docs: DataFrame, width: int = 5, percent: int = 80) -> DataFrame:
-    """The rows of the smallest doc_id of each group, with all their columns; of repeated such rows, all stay."""
-    found = near_duplicates(docs, width, percent)
-    kept = found.where("doc_id <=> component_id").select(F.col("doc_id").alias("_kept")).distinct()
-    return docs.join(kept, F.col("doc_id").cast("long").eqNullSafe(F.col("_kept")), "left_semi")
+    """One row of each group, with all its columns: that of the smallest doc_id, null last, and then the smallest digest.
+
+    Rows without words link with nothing and stay, but one of those that repeat doc_id and text.
+    """
+    of = stored(members(docs, width, marks=True), "members")
+    first = F.min(F.struct(*MARKS)).alias("first")
+    classes = stored(of.where("key IS NOT NULL").groupBy("key").agg(first), "firsts")
+    placed = linked(docs, of, width, percent).select("key", "root")
+    kept = placed.join(classes, "key").groupBy("root").agg(F.min("first").alias("first")).select("first.*")
+    return chosen(docs, kept.union(of.where("key IS NULL").select(MARKS)))

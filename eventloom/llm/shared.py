@@ -17,6 +17,24 @@ def texts_of(docs: DataFrame) -> DataFrame:
     return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(F.col("text"), F.lit("")).alias("text"))
 
 
+#: What tells rows apart: whether doc_id is null, doc_id, and the digest of the text.
+MARKS = ["_null", "_id", "_digest"]
+
+
+def marked(docs: DataFrame) -> DataFrame:
+    """The rows with `MARKS`, which are never null; their order is that of doc_id, null last, and of digests."""
+    own = F.col("doc_id").cast("long")
+    digest = F.unhex(F.sha2(F.coalesce(F.col("text"), F.lit("")).cast("binary"), 256))
+    return docs.withColumns({"_null": own.isNull(), "_id": F.coalesce(own, F.lit(0)), "_digest": digest})
+
+
+def chosen(docs: DataFrame, marks: DataFrame) -> DataFrame:
+    """The rows whose marks are there, with all their columns; of rows with the same marks, one."""
+    # repeated rows go first, which combines before the shuffle; the join then needs no other shuffle of the texts
+    rows = marked(docs).dropDuplicates(MARKS).join(marks.select(MARKS), MARKS, "left_semi")
+    return rows.select([F.col(f"`{x}`") for x in docs.columns])
+
+
 def shared_folder(spark: SparkSession) -> str:
     """The folder that driver and executors share; one is made only where the session names none, as in tests."""
     folder = spark.conf.get("spark.checkpoint.dir", None)

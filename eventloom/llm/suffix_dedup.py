@@ -38,7 +38,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.pandas.types import to_arrow_schema
 
-from eventloom.llm.shared import texts_of
+from eventloom.llm.shared import marked, stored, texts_of
 from eventloom.llm.words import encoded, mix
 
 LENGTH = 50
@@ -457,18 +457,34 @@ def deduplicated(docs: DataFrame, hot: int = HOT) -> DataFrame:
     return plain.groupBy("block").cogroup(found.groupBy("block")).applyInArrow(digests, RESULT)
 
 
-def without_repeats(docs: DataFrame, hot: int = HOT) -> DataFrame:
+def by_row(docs: DataFrame, hot: int = HOT) -> DataFrame:
+    """As `without_repeats`, but each row is a document of its own, also where others have its doc_id or none has one.
+
+    Rows of one doc_id come in the order of their digests, those without one before all others.
+    """
+    repeated = docs.groupBy(F.col("doc_id").cast("long").alias("doc_id")).count().where("count > 1")
+    if repeated.isEmpty():
+        return without_repeats(docs, hot)  # each row is one anyway
+    order = [F.desc("_null"), "_id", "_digest"]
+    rows = marked(docs).orderBy(*order).withColumn("_number", F.monotonically_increasing_id()).drop("_null", "_id", "_digest")
+    return without_repeats(stored(rows, "numbered"), hot, "_number")  # written, so that each row keeps its number
+
+
+def without_repeats(docs: DataFrame, hot: int = HOT, number: str = "doc_id") -> DataFrame:
     """All rows with all their columns, text being what stays, and n_chars, if there, its length.
 
     Where a cut falls into a character, the rest of the character goes too. A null text becomes an empty one.
+    `number`: the column that tells documents apart and gives their order; other than doc_id, it is not returned.
     """
-    plain, sizes = in_blocks(docs)
+    key = F.col(number).cast("long").alias("doc_id")
+    plain, sizes = in_blocks(docs.select(key, "text"))
     found = found_in(plain, hot=hot, **sizes)
-    others = F.struct(*[F.col(f"`{x}`") for x in docs.columns if x != "text"]).alias("others")
-    key = F.col("doc_id").cast("long").alias("doc_id")
+    kept = [x for x in docs.columns if x == "doc_id" or x != number]
+    others = F.struct(*[F.col(f"`{x}`") for x in kept if x != "text"]).alias("others")
+    result = docs.select([F.col(f"`{x}`") for x in kept]).schema
     rows = docs.select(key, F.coalesce(F.col("text"), F.lit("")).alias("text"), others)
     rows = rows.withColumn("block", F.pmod(F.xxhash64("doc_id"), F.lit(sizes["blocks"])).cast("int"))
-    schema = to_arrow_schema(docs.schema)
+    schema = to_arrow_schema(result)
     return rows.groupBy("block").cogroup(found.groupBy("block")).applyInArrow(
-        lambda x, y: cleaned(x, y, schema), docs.schema
+        lambda x, y: cleaned(x, y, schema), result
     )
