@@ -10,10 +10,13 @@ from pyspark.sql import DataFrame, SparkSession
 import corpus_pipeline
 from eventloom.llm import (
     byte_bpe,
+    decontamination,
     exact_dedup,
     jaccard,
     language_model,
+    lexical_search,
     packing,
+    periodic_runs,
     quality,
     sentence_spans,
     suffix_dedup,
@@ -69,6 +72,22 @@ def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return toxicity.classify(documents(spark, sf_dir), labels(spark, sf_dir))
 
 
+def benchmark(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return spark.read.parquet(f"{sf_dir}/benchmark.parquet")
+
+
+def op11_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return decontamination.report(documents(spark, sf_dir), benchmark(spark, sf_dir))
+
+
+def op12_lexical_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return lexical_search.search(documents(spark, sf_dir), benchmark(spark, sf_dir))
+
+
+def op13_periodic_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return periodic_runs.run_report(documents(spark, sf_dir), plant=True)
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op1_byte_bpe": op1_byte_bpe,
@@ -81,6 +100,9 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op8_best_fit_packing": op8_best_fit_packing,
         "op9_jaccard": op9_jaccard,
         "op10_toxicity": op10_toxicity,
+        "op11_decontamination": op11_decontamination,
+        "op12_lexical_search": op12_lexical_search,
+        "op13_periodic_runs": op13_periodic_runs,
         "pipeline": corpus_pipeline.run,
     }
 
@@ -93,6 +115,8 @@ def oracle_sql() -> dict[str, str]:
         "op5_sentence_spans": SPANS,
         "op7_exact_dedup": EXACT,
         "op9_jaccard": JACCARD,
+        "op11_decontamination": LEAKS,
+        "op12_lexical_search": RANKED,
     }
 
 
@@ -186,3 +210,62 @@ SELECT doc_id, n AS n_bytes, coalesce(removed, 0) AS n_removed, coalesce(spans,
        sha256(unhex(coalesce(kept, ''))) AS kept_sha256
 FROM bytes LEFT JOIN summed USING (doc_id)
 """
+
+LEAKS = r"""
+WITH split AS (
+  SELECT doc_id, regexp_extract_all(
+    translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+    '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS w
+  FROM documents),
+items AS (
+  SELECT coalesce(CAST(item_id AS VARCHAR), '') AS item_id, regexp_extract_all(
+    translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+    '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS w
+  FROM benchmark),
+windows AS (
+  SELECT DISTINCT item_id, least(len(w), 10) AS k, unnest(list_transform(
+    range(1, greatest(len(w) - 10, 0) + 2), lambda s: array_to_string(w[s:s + least(len(w), 10) - 1], ' '))) AS g
+  FROM items WHERE len(w) > 0),
+words AS (SELECT doc_id, generate_subscripts(w, 1) AS p, unnest(w) AS word FROM split),
+ahead AS (
+  SELECT doc_id, p, list(word) OVER (PARTITION BY doc_id ORDER BY p ROWS BETWEEN CURRENT ROW AND 9 FOLLOWING) AS next
+  FROM words),
+grams AS (
+  SELECT doc_id, p, k, array_to_string(next[1:k], ' ') AS g
+  FROM ahead, (SELECT DISTINCT k FROM windows) WHERE len(next) >= k),
+found AS (SELECT doc_id, p, k, item_id FROM grams JOIN windows USING (k, g)),
+hits AS (SELECT doc_id, count(DISTINCT q) AS n FROM (SELECT doc_id, unnest(range(p, p + k)) AS q FROM found) GROUP BY doc_id),
+named AS (
+  SELECT doc_id, count(*) AS n, string_agg(item_id, ',' ORDER BY item_id) AS ids
+  FROM (SELECT DISTINCT doc_id, item_id FROM found) GROUP BY doc_id)
+SELECT doc_id, len(w) AS n_words, coalesce(hits.n, 0) AS n_hit, coalesce(named.n, 0) AS n_items,
+       sha256(coalesce(ids, '')) AS items_sha256, coalesce(hits.n, 0) > 0 AS contaminated
+FROM split LEFT JOIN hits USING (doc_id) LEFT JOIN named USING (doc_id)
+"""
+
+RANKED = r"""
+WITH split AS (
+  SELECT doc_id, regexp_extract_all(
+    translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+    '[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+') AS w
+  FROM documents),
+wanted AS (
+  SELECT DISTINCT item_id, unnest(regexp_extract_all(
+    translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+    '[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+')) AS term
+  FROM benchmark),
+known AS (SELECT count(*) AS docs, CAST(sum(len(w)) AS BIGINT) AS total FROM split WHERE len(w) > 0),
+sized AS (SELECT doc_id, 10 + (90 * len(w) * docs) // total AS m, w FROM split, known WHERE len(w) > 0),
+counted AS (
+  SELECT doc_id, m, term, count(*) AS tf FROM (SELECT doc_id, m, unnest(w) AS term FROM sized) GROUP BY ALL),
+weights AS (
+  SELECT term, CAST(floor(1000 * ln(CAST(2 * docs + 2 AS DOUBLE) / CAST(2 * df + 1 AS DOUBLE))) AS BIGINT) AS weight
+  FROM (SELECT term, count(*) AS df FROM counted GROUP BY term), known),
+scored AS (
+  SELECT item_id, doc_id, CAST(sum(weight * ((1000000000 * tf) // (1000 * tf + 8 * m))) AS BIGINT) AS score
+  FROM wanted JOIN counted USING (term) JOIN weights USING (term) GROUP BY item_id, doc_id),
+placed AS (
+  SELECT *, CAST(row_number() OVER (PARTITION BY item_id ORDER BY score DESC, doc_id) AS INTEGER) AS rank
+  FROM scored WHERE score > 0)
+SELECT item_id, rank, doc_id, score FROM placed WHERE rank <= 10
+"""
