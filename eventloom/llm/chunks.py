@@ -11,20 +11,20 @@ from collections.abc import Callable
 
 import numpy as np
 
-from eventloom.llm.words import hashed
+from eventloom.llm.words import alike, hashed
 
 #: Bytes that are no white space and begin none in UTF-8: after a space, these open a piece.
 _OPENS = np.ones(256, dtype=bool)
 _OPENS[[*range(0x09, 0x0E), *range(0x1C, 0x21), 0xC2, 0xE1, 0xE2, 0xE3]] = False
 _AS_IS = np.arange(256, dtype=np.uint8)
-#: For a second, independent hash of a piece.
-_OTHER = np.random.Generator(np.random.PCG64(1)).integers(0, 1 << 62, 256, dtype=np.uint64)
+#: Longer pieces and words are not cached.
+_CACHED = 256
 
 
 def distinct_pieces(texts: list[bytes]) -> tuple[list[bytes], np.ndarray, np.ndarray]:
     """The distinct pieces of some texts, the piece number of each place, and how many places each text has.
 
-    Pieces are the same if two 64-bit hashes are.
+    Pieces of the same hash are compared byte by byte; should any differ, pieces are told apart by their bytes alone.
     """
     lengths = np.fromiter(map(len, texts), np.int64, len(texts))
     begin = np.cumsum(lengths) - lengths
@@ -36,30 +36,36 @@ def distinct_pieces(texts: list[bytes]) -> tuple[list[bytes], np.ndarray, np.nda
     starts = np.flatnonzero(opens)
     ends = np.append(starts[1:], len(data))
     counts = np.diff(np.searchsorted(starts, np.append(begin, len(data))))
-    key, other = hashed(data, starts, ends, _AS_IS), hashed(data, starts, ends, _OTHER)
-    order = np.lexsort((other, key)) if len(key) else np.empty(0, np.int64)
+    key = hashed(data, starts, ends, _AS_IS)
+    order = np.argsort(key, kind="stable")
     new = np.ones(len(order), dtype=bool)
-    new[1:] = (key[order[1:]] != key[order[:-1]]) | (other[order[1:]] != other[order[:-1]])
+    new[1:] = key[order[1:]] != key[order[:-1]]
     number = np.empty(len(order), dtype=np.int64)
     number[order] = np.cumsum(new) - 1
     one = order[new]
-    return [whole[a:b] for a, b in zip(starts[one].tolist(), ends[one].tolist(), strict=True)], number, counts
+    if alike(data, starts, ends, one[number]):
+        return [whole[a:b] for a, b in zip(starts[one].tolist(), ends[one].tolist(), strict=True)], number, counts
+    numbers: dict[bytes, int] = {}
+    for k, (a, b) in enumerate(zip(starts.tolist(), ends.tolist(), strict=True)):
+        number[k] = numbers.setdefault(whole[a:b], len(numbers))
+    return list(numbers), number, counts
 
 
 class Pieces:
     """The ids of texts as little-endian 32-bit integers, block by block.
 
     New pieces of a block are split into words by the public pattern; `encode` gets the distinct new words and returns
-    their ids. Once more than `limit` pieces or words are held, both caches start anew; they only save work and never
-    change a result.
+    their ids. Pieces and words of up to 256 bytes are cached. Once the caches hold about `limit` bytes, they start anew;
+    they only save work and never change a result.
     """
 
-    def __init__(self, pattern: str, encode: Callable[[list[str]], list[bytes]], limit: int = 200_000):
+    def __init__(self, pattern: str, encode: Callable[[list[str]], list[bytes]], limit: int = 96 << 20):
         import regex
 
         self._split, self.encode, self.limit = regex.compile(pattern).findall, encode, limit
         self.pieces: dict[bytes, bytes] = {}
         self.words: dict[str, bytes] = {}
+        self.held = 0
 
     def split(self, piece: str) -> list[str]:
         """The matches of the pattern; a space and ASCII letters, alone or before a comma or stop, need no search."""
@@ -73,16 +79,22 @@ class Pieces:
     def ids(self, texts: list[bytes]) -> list[bytes]:
         """The ids of each whole text."""
         distinct, number, counts = distinct_pieces(texts)
-        if max(len(self.pieces), len(self.words)) > self.limit:
-            self.pieces, self.words = {}, {}
-        cache, words = self.pieces, self.words
-        fresh = [x for x in distinct if x not in cache]
+        if self.held > self.limit:
+            self.pieces, self.words, self.held = {}, {}, 0
+        pieces, words = {}, {}  # those of this block that are new
+        fresh = [x for x in distinct if x not in self.pieces]
         split = [self.split(x.decode("utf-8", "replace")) for x in fresh]
-        new = list({w for x in split for w in x if w not in words})
+        new = list({w for x in split for w in x if w not in self.words})
         words.update(zip(new, self.encode(new), strict=True))
+        known = self.words
         for piece, own in zip(fresh, split, strict=True):
-            cache[piece] = words[own[0]] if len(own) == 1 else b"".join([words[w] for w in own])
-        coded = [cache[x] for x in distinct]
+            pieces[piece] = b"".join([words[w] if w in words else known[w] for w in own])
+        coded = [pieces[x] if x in pieces else self.pieces[x] for x in distinct]
+        for cache, found in ((self.pieces, pieces), (self.words, words)):
+            for x, ids in found.items():
+                if len(x) <= _CACHED:
+                    cache[x] = ids
+                    self.held += len(x) + len(ids) + 200
         sizes = np.fromiter(map(len, coded), np.int64, len(coded)) // 4
         firsts = np.cumsum(sizes) - sizes
         table = np.frombuffer(b"".join(coded), dtype="<u4")

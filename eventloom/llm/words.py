@@ -1,32 +1,83 @@
 """Words of many texts at once, as numpy arrays.
 
-A word is a maximal run of bytes other than space and 0x09-0x0D, with A-Z lower-cased. Words are told apart by a
-64-bit hash of their bytes and length; two different words of a corpus with V words share one with a chance of about
-V * V / 2**65. Nothing here depends on the process, so every task gives a word the same hash.
+A word is a maximal run of bytes other than space and 0x09-0x0D, with A-Z lower-cased. Words are told apart by a hash of
+62 bits: two polynomials in their bytes modulo a prime, at two fixed places, with a random value for each letter, and
+their length. Two given different spans of n bytes share it with a chance of at most (n / 2**31)**2 over the choice of
+places, and of about 2**-62 if they have nothing to do with these. Nothing here depends on the process, so every task
+gives a word the same hash.
 """
 
 from __future__ import annotations
 
+from functools import cache
+
 import numpy as np
 
-_BASE = 0x9E3779B97F4A7C15
-_INVERSE = pow(_BASE, -1, 1 << 64)
 _LOWER = np.arange(256, dtype=np.uint8)
 _LOWER[65:91] += 32
 _SPACE = np.zeros(256, dtype=bool)
 _SPACE[[0x20, 0x09, 0x0A, 0x0B, 0x0C, 0x0D]] = True
-_POWERS: dict[str, np.ndarray] = {}
-
-
-def _powers(n: int) -> tuple[np.ndarray, np.ndarray]:
-    """The first n powers of the base and of its inverse, modulo 2**64."""
-    if len(_POWERS.get("base", ())) < n:
-        size = 1 << max(16, (n - 1).bit_length())
-        for name, base in (("base", _BASE), ("inverse", _INVERSE)):
-            factors = np.full(size, base, dtype=np.uint64)
-            factors[0] = 1
-            _POWERS[name] = np.multiply.accumulate(factors)
-    return _POWERS["base"][:n], _POWERS["inverse"][:n]
+_PRIME = (1 << 31) - 1
+_P = np.uint64(_PRIME)
+#: Bytes whose running sums are held at once.
+_STEP = 1 << 16
+
+
+def _fold(x: np.ndarray) -> np.ndarray:
+    """Values below 2**63 modulo the prime, but that the prime itself and one more may stay."""
+    x = (x & _P) + (x >> np.uint64(31))
+    return (x & _P) + (x >> np.uint64(31))
+
+
+class _Polynomial:
+    """A place where polynomials are evaluated, with its powers and their inverses, and the letters' values."""
+
+    def __init__(self, seed: int):
+        draw = np.random.Generator(np.random.PCG64(seed))
+        self.base = int(draw.integers(1 << 20, _PRIME))
+        self.letters = draw.integers(1, _PRIME, 256).astype(np.uint64)
+        self.powers = self._table(self.base)
+        self.inverse = pow(self.base, -1, _PRIME)
+        self.inverses = self._table(self.inverse)
+
+    @staticmethod
+    def _table(base: int) -> np.ndarray:
+        out = np.ones(1, dtype=np.uint64)
+        while len(out) < _STEP:
+            out = np.concatenate([out, _fold(out * np.uint64(pow(base, len(out), _PRIME)))])
+        return out
+
+    def sums(self, data: np.ndarray, letters: np.ndarray, *places: np.ndarray) -> list[np.ndarray]:
+        """The polynomial of all bytes before each place, for some ascending lists of places."""
+        value = self.letters[letters]
+        out = [np.empty(len(x), dtype=np.uint64) for x in places]
+        carry, factor, step = 0, 1, pow(self.base, _STEP, _PRIME)
+        running = np.zeros(_STEP + 1, dtype=np.uint64)
+        for at in range(0, len(data) + 1, _STEP):
+            own = value[data[at : at + _STEP]] * self.powers[: len(data) - at]
+            np.cumsum((own & _P) + (own >> np.uint64(31)), out=running[1 : len(own) + 1])
+            for where, sums in zip(places, out, strict=True):
+                low, high = np.searchsorted(where, (at, at + _STEP))
+                here = _fold(running[where[low:high] - at])
+                sums[low:high] = _fold(here * np.uint64(factor) + np.uint64(carry))
+            carry = (carry + factor * int(running[len(own)])) % _PRIME
+            factor = factor * step % _PRIME
+        return out
+
+    def values(self, data: np.ndarray, letters: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
+        before, upto = self.sums(data, letters, starts, ends)
+        back = pow(self.inverse, _STEP, _PRIME)
+        far = [1]
+        for _ in range(int(starts[-1]) // _STEP):
+            far.append(far[-1] * back % _PRIME)
+        shift = _fold(self.inverses[starts % _STEP] * np.array(far, np.uint64)[starts // _STEP])
+        x = _fold(_fold(upto + np.uint64(2 * _PRIME) - before) * shift)
+        return np.where(x >= _P, x - _P, x)
+
+
+@cache
+def _polynomials(seed: int) -> tuple[_Polynomial, _Polynomial]:
+    return _Polynomial(2 * seed + 1), _Polynomial(2 * seed + 2)
 
 
 def mix(x: np.ndarray) -> np.ndarray:
@@ -56,21 +107,51 @@ def spans(data: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return edges[0::2], edges[1::2]
 
 
-def hashed(data: np.ndarray, starts: np.ndarray, ends: np.ndarray, letters: np.ndarray = _LOWER) -> np.ndarray:
-    """A 64-bit hash of each span, by differences of one running polynomial; `letters` gives each byte's value."""
+def hashed(
+    data: np.ndarray, starts: np.ndarray, ends: np.ndarray, letters: np.ndarray = _LOWER, seed: int = 0
+) -> np.ndarray:
+    """A hash of each span, in ascending order; `letters` gives the byte that counts for each, `seed` another hash.
+
+    Besides 8 bytes a span, no more is held than the running sums of a fixed number of bytes.
+    """
     out = np.empty(len(starts), dtype=np.uint64)
-    step = 1 << 18  # words at a time, so that the running sums stay small
+    step = 1 << 18  # spans at a time
+    one, two = _polynomials(seed)
     for i in range(0, len(starts), step):
         a, b = starts[i : i + step], ends[i : i + step]
         low, high = int(a[0]), int(b[-1])
-        base, inverse = _powers(high - low + 1)
-        sums = np.zeros(high - low + 1, dtype=np.uint64)
-        np.cumsum((letters[data[low:high]].astype(np.uint64) + np.uint64(1)) * base[: high - low], out=sums[1:])
-        x = (sums[b - low] - sums[a - low]) * inverse[a - low]
+        own = data[low:high]
+        a, b = a - low, b - low
+        x = one.values(own, letters, a, b) << np.uint64(31) | two.values(own, letters, a, b)
         out[i : i + step] = mix(x + (b - a).astype(np.uint64) * np.uint64(0xD6E8FEB86659FD93))
     return out
 
 
+def alike(data: np.ndarray, starts: np.ndarray, ends: np.ndarray, first: np.ndarray) -> bool:
+    """Whether every span has the bytes of another one, whose number `first` has."""
+    lengths = ends - starts
+    if (lengths != lengths[first]).any():
+        return False
+    other = np.flatnonzero(first != np.arange(len(first)))
+    for i in other[lengths[other] > _STEP].tolist():
+        at = starts[first[i]]
+        if not np.array_equal(data[starts[i] : ends[i]], data[at : at + lengths[i]]):
+            return False
+    other = other[lengths[other] <= _STEP]
+    upto = np.cumsum(lengths[other])
+    i = 0
+    while i < len(other):  # about a million bytes at once
+        end = max(i + 1, int(np.searchsorted(upto, (upto[i - 1] if i else 0) + (1 << 20), side="right")))
+        some = other[i:end]
+        each = lengths[some]
+        within = np.arange(int(each.sum())) - np.repeat(np.cumsum(each) - each, each)
+        own, theirs = np.repeat(starts[some], each), np.repeat(starts[first[some]], each)
+        if (data[own + within] != data[theirs + within]).any():
+            return False
+        i = end
+    return True
+
+
 def words(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
     """The hash of every word, and how many words each text has."""
     data, begin = joined(texts)
