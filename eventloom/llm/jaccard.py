@@ -138,7 +138,7 @@ def members(docs: DataFrame, width: int, marks: bool = False) -> DataFrame:
 
     texts, schema = texts_of(docs), "doc_id long, n_shingles long, key long"
     if marks:
-        texts, schema = marked(texts), f"{schema}, _null boolean, _id long, _digest binary"
+        texts, schema = marked(texts).select("_row.*", *MARKS), f"{schema}, _null boolean, _id long, _digest binary"
     return texts.mapInArrow(run, schema)
 
 

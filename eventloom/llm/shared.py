@@ -22,17 +22,28 @@ MARKS = ["_null", "_id", "_digest"]
 
 
 def marked(docs: DataFrame) -> DataFrame:
-    """The rows with `MARKS`, which are never null; their order is that of doc_id, null last, and of digests."""
+    """`MARKS`, which are never null, and the row as one struct `_row`, so that its columns clash with none.
+
+    The order of marks is that of doc_id, null last, and of digests.
+    """
     own = F.col("doc_id").cast("long")
     digest = F.unhex(F.sha2(F.coalesce(F.col("text"), F.lit("")).cast("binary"), 256))
-    return docs.withColumns({"_null": own.isNull(), "_id": F.coalesce(own, F.lit(0)), "_digest": digest})
+    row = F.struct(*[F.col(f"`{x}`") for x in docs.columns])
+    return docs.select(own.isNull().alias("_null"), F.coalesce(own, F.lit(0)).alias("_id"), digest.alias("_digest"), row.alias("_row"))
 
 
 def chosen(docs: DataFrame, marks: DataFrame) -> DataFrame:
     """The rows whose marks are there, with all their columns; of rows with the same marks, one."""
     # repeated rows go first, which combines before the shuffle; the join then needs no other shuffle of the texts
-    rows = marked(docs).dropDuplicates(MARKS).join(marks.select(MARKS), MARKS, "left_semi")
-    return rows.select([F.col(f"`{x}`") for x in docs.columns])
+    return marked(docs).dropDuplicates(MARKS).join(marks.select(MARKS), MARKS, "left_semi").select("_row.*")
+
+
+def free_name(frame: DataFrame, name: str) -> str:
+    """A name that no column of the frame has, whatever its case."""
+    taken = {x.lower() for x in frame.columns}
+    while name in taken:
+        name += "_"
+    return name
 
 
 def shared_folder(spark: SparkSession) -> str:

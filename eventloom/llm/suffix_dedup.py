@@ -38,7 +38,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.pandas.types import to_arrow_schema
 
-from eventloom.llm.shared import marked, stored, texts_of
+from eventloom.llm.shared import free_name, marked, stored, texts_of
 from eventloom.llm.words import encoded, mix
 
 LENGTH = 50
@@ -465,9 +465,10 @@ def by_row(docs: DataFrame, hot: int = HOT) -> DataFrame:
     repeated = docs.groupBy(F.col("doc_id").cast("long").alias("doc_id")).count().where("count > 1")
     if repeated.isEmpty():
         return without_repeats(docs, hot)  # each row is one anyway
-    order = [F.desc("_null"), "_id", "_digest"]
-    rows = marked(docs).orderBy(*order).withColumn("_number", F.monotonically_increasing_id()).drop("_null", "_id", "_digest")
-    return without_repeats(stored(rows, "numbered"), hot, "_number")  # written, so that each row keeps its number
+    number = free_name(docs, "number")
+    rows = marked(docs).orderBy(F.desc("_null"), "_id", "_digest").withColumn("_number", F.monotonically_increasing_id())
+    rows = rows.select("_row.*", F.col("_number").alias(number))
+    return without_repeats(stored(rows, "numbered"), hot, number)  # written, so that each row keeps its number
 
 
 def without_repeats(docs: DataFrame, hot: int = HOT, number: str = "doc_id") -> DataFrame:
