@@ -4,6 +4,7 @@ import duckdb
 import pytest
 
 import __spark_entry__ as entry
+from eventloom.registry import oracle, queries
 
 SF = "/root/testdata/sf0.001"
 TABLES = ["events", "nation"]
@@ -24,10 +25,12 @@ def normal(frame):
 
 
 def test_every_query_has_sql():
-    assert set(entry.queries()) == set(entry.oracle_sql())
+    assert set(queries.queries()) == set(oracle.oracle_sql())
+    assert set(queries.queries()) <= set(entry.queries())
+    assert set(entry.oracle_sql()) <= set(entry.queries())
 
 
-@pytest.mark.parametrize("name", list(entry.queries()))
+@pytest.mark.parametrize("name", list(queries.queries()))
 def test_query(spark, database, name):
     ours = entry.queries()[name](spark, SF).toPandas()
     theirs = database.execute(entry.oracle_sql()[name]).df()
