@@ -169,24 +169,41 @@ SELECT query_id, rank, vec_id, score FROM placed WHERE rank <= 5
 
 SPANS = r"""
 WITH split AS (
-  SELECT doc_id, regexp_extract_all(coalesce(text, ''), '[^.!?\n]*[.!?]+\n*|[^.!?\n]+\n*|\n+') AS parts FROM documents),
-sentences AS (
-  SELECT doc_id, generate_subscripts(parts, 1) AS pos, unnest(parts) AS part FROM split),
+  SELECT doc_id, regexp_extract_all(coalesce(text, ''), '[^.!?,;:\n]*[.!?,;:]+\n*|[^.!?,;:\n]+\n*|\n+') AS parts FROM documents),
 plain AS (
   SELECT *, regexp_replace(part, '^[\x20\x09-\x0D]+|[\x20\x09-\x0D]+$', '', 'g') AS t,
          len(list_filter(string_split_regex(part, '[\x20\x09-\x0D]+'), lambda x: x <> '')) AS n
-  FROM sentences),
-spans AS (
-  SELECT doc_id, pos, [t, (lead(t) OVER o), (lead(t, 2) OVER o)] AS span, n + (lead(n) OVER o) + (lead(n, 2) OVER o) AS words
-  FROM plain WINDOW o AS (PARTITION BY doc_id ORDER BY pos)),
+  FROM (SELECT doc_id, generate_subscripts(parts, 1) AS at, unnest(parts) AS part FROM split)),
+sentences AS (
+  SELECT doc_id, at, t, CAST(n AS BIGINT) AS n, row_number() OVER o AS pos, CAST(sum(n) OVER o AS BIGINT) AS upto
+  FROM plain WHERE n > 0 WINDOW o AS (PARTITION BY doc_id ORDER BY at)),
+sizes AS (SELECT doc_id, count(*) AS many, list(t ORDER BY pos) AS texts FROM sentences GROUP BY doc_id),
+ends AS (
+  SELECT a.doc_id, a.pos AS first, greatest(b.pos, a.pos + 1) AS last
+  FROM (SELECT doc_id, pos, upto - n + 12 AS want FROM sentences) a
+  ASOF JOIN sentences b ON a.doc_id = b.doc_id AND a.want <= b.upto),
+starts AS (
+  SELECT a.doc_id, least(b.pos, a.pos - 1) AS first, a.pos AS last
+  FROM (SELECT doc_id, pos, upto - 12 AS want FROM sentences) a
+  ASOF JOIN (SELECT doc_id, pos, upto - n AS before FROM sentences) b ON a.doc_id = b.doc_id AND a.want >= b.before),
+bounds AS (
+  SELECT doc_id, first, last FROM ends JOIN sizes USING (doc_id) WHERE last <= many
+  UNION SELECT doc_id, first, last FROM starts WHERE first >= 1),
+runs AS (
+  SELECT * FROM bounds UNION ALL
+  SELECT doc_id, 1, many FROM sizes WHERE doc_id NOT IN (SELECT doc_id FROM bounds)),
 later AS (
-  SELECT doc_id, pos, row_number() OVER (PARTITION BY span ORDER BY doc_id, pos) AS nth FROM spans WHERE words >= 10),
-gone AS (
-  SELECT DISTINCT doc_id, pos + k AS pos FROM later, (SELECT unnest([0, 1, 2]) AS k) WHERE nth > 1)
-SELECT split.doc_id, len(parts) AS n_sentences, count(gone.pos) AS n_removed,
-       coalesce(string_agg(part, '' ORDER BY plain.pos) FILTER (WHERE gone.pos IS NULL), '') AS text
-FROM split LEFT JOIN plain USING (doc_id) LEFT JOIN gone ON gone.doc_id = plain.doc_id AND gone.pos = plain.pos
-GROUP BY split.doc_id, parts
+  SELECT doc_id, first, last,
+         row_number() OVER (PARTITION BY list_slice(texts, first, last) ORDER BY doc_id, first) AS nth
+  FROM runs JOIN sizes USING (doc_id)),
+gone AS (SELECT DISTINCT doc_id, unnest(range(first, last + 1)) AS pos FROM later WHERE nth > 1),
+flagged AS (
+  SELECT plain.doc_id, plain.at, part, sentences.pos IS NOT NULL AS worded, gone.pos IS NOT NULL AS out
+  FROM plain LEFT JOIN sentences ON sentences.doc_id = plain.doc_id AND sentences.at = plain.at
+  LEFT JOIN gone ON gone.doc_id = plain.doc_id AND gone.pos = sentences.pos)
+SELECT split.doc_id, count(*) FILTER (WHERE worded) AS n_sentences, count(*) FILTER (WHERE out) AS n_removed,
+       coalesce(string_agg(part, '' ORDER BY at) FILTER (WHERE NOT out), '') AS text
+FROM split LEFT JOIN flagged USING (doc_id) GROUP BY split.doc_id
 """
 
 SUFFIXES = """

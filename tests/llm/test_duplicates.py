@@ -247,27 +247,40 @@ def test_multikey_order():
         assert a[:n] == b[:n] and (n == 21 or a[n] != b[n])
 
 
-def sentences_brute(rows, span, words):
-    parts = {}
+def every_run(own, least, words):
+    """All runs of sentences, not only the shortest ones: first, behind the last, and content."""
+    found = []
+    for i in range(len(own)):
+        for j in range(i + least, len(own) + 1):
+            if sum(len(x.split()) for x in own[i:j]) >= words:
+                found.append((i, j, tuple(own[i:j])))
+    return found or ([(0, len(own), tuple(own))] if own else [])
+
+
+def sentences_brute(rows, least, words):
+    split = {text: sentence_spans.SENTENCE.findall(text.encode()) for _, text in rows}
+    worded = {text: [x.strip() for x in own if x.split()] for text, own in split.items()}
+    holders = defaultdict(set)
     for doc, text in rows:
-        parts.setdefault((doc, text), sentence_spans.SENTENCE.findall(text.encode()))
-    seen_in = defaultdict(set)
-    for (doc, text), own in parts.items():
-        for i in range(len(own) - span + 1):
-            key = tuple(x.strip() for x in own[i : i + span])
-            if sum(len(x.split()) for x in key) >= words:
-                seen_in[key].add(doc)
+        for _, _, key in every_run(worded[text], least, words):
+            holders[key].add(doc)
     out = Counter()
     for doc, text in rows:
-        own, gone, seen = parts[doc, text], set(), set()
-        for i in range(len(own) - span + 1):
-            key = tuple(x.strip() for x in own[i : i + span])
-            others = [d for d in seen_in[key] if d is not None]
-            if key in seen or (doc is not None and others and doc > min(others) and key in seen_in):
-                gone |= set(range(i, i + span))
-            if sum(len(x.split()) for x in key) >= words:
-                seen.add(key)
-        out[doc, len(own), len(gone), b"".join(x for i, x in enumerate(own) if i not in gone).decode()] += 1
+        gone, seen = set(), set()
+        for i, j, key in every_run(worded[text], least, words):
+            others = [d for d in holders[key] if d is not None]
+            if key in seen or (doc is not None and doc > min(others)):
+                gone |= set(range(i, j))
+            seen.add(key)
+        kept, k = [], 0
+        for part in split[text]:
+            if not part.split():
+                kept.append(part)
+            else:
+                if k not in gone:
+                    kept.append(part)
+                k += 1
+        out[doc, len(worded[text]), len(gone), b"".join(kept).decode()] += 1
     return out
 
 
@@ -281,8 +294,11 @@ def test_repeated_sentences(spark, awkward, empty):
             at = rng.randint(0, 30)
             own += [x + ". " for x in pool[at : at + 6]]
         rows.append((i, "".join(own)))
+    passage = " ".join(f"p{k}" for k in range(30)) + ", " + " ".join(f"q{k}" for k in range(25))
+    rows += [(600 + k, f"start {k} {passage} and end {k}.") for k in range(3)]  # of two sentences, both joined to others
+    rows += [(700, "short."), (701, "short. "), (702, " \n \n short.\n\n \n"), (703, ",,, ... ::")]
     rows += [(500, rows[3][1] * 2), (501, rows[3][1])] + [(1000 + d if d is not None else None, t) for d, t in pairs(awkward)]
     frame = spark.createDataFrame(rows, "doc_id long, text string")
     found = sentence_spans.without_repeats(frame).collect()
-    assert Counter(map(tuple, found)) == sentences_brute(rows, sentence_spans.SPAN, sentence_spans.WORDS)
+    assert Counter(map(tuple, found)) == sentences_brute(rows, sentence_spans.LEAST, sentence_spans.WORDS)
     assert sentence_spans.without_repeats(empty).count() == 0
