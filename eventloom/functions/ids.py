@@ -42,6 +42,26 @@ def _quarter(digest: Column) -> Column:
     return F.pmod(digit, F.lit(4)) + F.lit(1)
 
 
+# Days that a time-ordered id may carry, and the number of slots of all other ids.
+_FIRST_MILLIS = 946_684_800_000  # 2000-01-01
+_END_MILLIS = 4_102_444_800_000  # 2100-01-01
+HASH_SLOTS = 8
+
+
+def id_slot(event_id: Column) -> Column:
+    """The part of a store that an id belongs to, from the id alone, so that equal ids share it.
+
+    A version-7 id belongs to its day of receipt (`d20240131`); one of another
+    version, or with a time out of bounds, to one of `HASH_SLOTS` parts by hash.
+    """
+    millis = F.conv(F.concat(F.substring(event_id, 1, 8), F.substring(event_id, 10, 4)), 16, 10).try_cast("long")
+    ordered = event_id.rlike(r"\A[0-9a-f]{8}-[0-9a-f]{4}-7[0-9a-f]{3}-")
+    dated = ordered & (millis >= _FIRST_MILLIS) & (millis < _END_MILLIS)
+    return F.when(dated, F.concat(F.lit("d"), F.date_format(F.timestamp_millis(millis), "yyyyMMdd"))).otherwise(
+        F.concat(F.lit("h"), F.pmod(F.xxhash64(event_id), F.lit(HASH_SLOTS)).cast("string"))
+    )
+
+
 def canonical_uuid(text: Column) -> Column:
     """Lower-case hyphenated form, or null when `text` is no UUID.
 

@@ -7,14 +7,11 @@ those in two steps so that a single huge window is spread over many tasks.
 
 from __future__ import annotations
 
-from collections.abc import Iterator
-
-import numpy as np
-import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from eventloom.functions.text import strip
+from eventloom.operators.anchors import opened
 from eventloom.operators.tenants import key_problem
 from eventloom.settings import Settings
 
@@ -143,72 +140,19 @@ def anchored_window_quota(requests: DataFrame, settings: Settings) -> DataFrame:
 
 
 def anchor_windows(
-    requests: DataFrame, seconds: int, open_windows: DataFrame | None = None
+    requests: DataFrame, seconds: int, open_windows: DataFrame | None = None, **split: int
 ) -> DataFrame:
     """Add `window_start` for anchored windows, at millisecond resolution.
 
-    Window openings are sequential per identity, so what one task walks must not
-    grow with the traffic.  Requests are first reduced to the distinct
-    milliseconds per identity and clock bucket of one window's length; a bucket
-    holds at most one opening.  The walk streams over these buckets in order and
-    keeps only the current opening.  `open_windows` (identity, opened) carries
-    openings over from earlier data.
+    What is walked in order is the distinct milliseconds of an identity, those of a
+    busy one by many tasks (`operators.anchors`, which `split` is handed on to).
+    `open_windows` (identity, opened) carries openings over from earlier data.
     """
-    span = seconds * 1000
-    millis = F.unix_millis("received_at")
-    bucketed = requests.withColumns(
-        {"_millis": millis, "_bucket": F.floor(millis / span).cast("long")}
-    )
-    offset = (F.col("_millis") - F.col("_bucket") * span).cast("int")
-    buckets = (
-        bucketed.where(F.col("identity").isNotNull())
-        .groupBy("identity", "_bucket")
-        .agg(F.sort_array(F.collect_set(offset)).alias("_offsets"))
-    )
-    if open_windows is None:
-        buckets = buckets.withColumn("_opened", F.lit(None).cast("long"))
-    else:
-        carried = open_windows.select("identity", F.col("opened").alias("_opened"))
-        buckets = buckets.join(carried, "identity", "left")
-
-    def walk(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        identity, opened = None, None
-        for batch in batches:
-            before, within = [], []
-            for name, bucket, offsets, carried in zip(
-                batch["identity"], batch["_bucket"], batch["_offsets"], batch["_opened"]
-            ):
-                if name != identity:
-                    identity = name
-                    opened = None if pd.isna(carried) else int(carried)
-                before.append(opened)
-                start = int(bucket) * span
-                earliest = 0 if opened is None else opened + span - start
-                position = int(np.searchsorted(offsets, earliest))
-                if position < len(offsets):
-                    opened = start + int(offsets[position])
-                    within.append(opened)
-                else:
-                    within.append(None)
-            yield pd.DataFrame(
-                {
-                    "identity": batch["identity"],
-                    "_bucket": batch["_bucket"],
-                    "_before": pd.array(before, dtype="Int64"),
-                    "_within": pd.array(within, dtype="Int64"),
-                }
-            )
-
-    openings = (
-        buckets.repartition("identity")
-        .sortWithinPartitions("identity", "_bucket")
-        .mapInPandas(walk, "identity string, _bucket long, _before long, _within long")
-    )
-    start = F.when(F.col("_millis") >= F.col("_within"), F.col("_within")).otherwise(
-        F.col("_before")
-    )
+    timed = requests.withColumn("_millis", F.unix_millis("received_at"))
+    times = timed.where(F.col("identity").isNotNull()).select("identity", F.col("_millis").alias("millis")).distinct()
+    starts = opened(times, seconds * 1000, open_windows, **split)
     return (
-        bucketed.join(openings, ["identity", "_bucket"], "left")
-        .withColumn("window_start", F.timestamp_millis(start))
-        .drop("_millis", "_bucket", "_before", "_within")
+        timed.join(starts.withColumnRenamed("millis", "_millis"), ["identity", "_millis"], "left")
+        .withColumn("window_start", F.timestamp_millis("opened"))
+        .drop("_millis", "opened")
     )

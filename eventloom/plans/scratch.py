@@ -5,7 +5,7 @@ from __future__ import annotations
 import tempfile
 import uuid
 
-from pyspark.sql import SparkSession
+from pyspark.sql import DataFrame, SparkSession
 
 FOLDER_OPTION = "spark.checkpoint.dir"
 
@@ -30,3 +30,10 @@ def shared_folder(spark: SparkSession) -> str:
 def fresh_path(spark: SparkSession, label: str) -> str:
     """A path nothing has been written to yet."""
     return f"{shared_folder(spark).rstrip('/')}/{label}-{uuid.uuid4().hex}"
+
+
+def written(frame: DataFrame, label: str) -> DataFrame:
+    """The frame, written to the shared folder and read back: what follows neither repeats nor loses its work."""
+    path = fresh_path(frame.sparkSession, label)
+    frame.write.parquet(path)
+    return frame.sparkSession.read.schema(frame.schema).parquet(path)

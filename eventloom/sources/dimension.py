@@ -9,15 +9,17 @@ from pyspark.sql import types as T
 from eventloom.model import EVENT_COLUMNS, PROJECT
 from eventloom.operators.projects import judge_projects, new_projects
 from eventloom.operators.tenants import without_projects
-from eventloom.sources.store import existing_table, read_events, replace_batch, replace_events
+from eventloom.sources.folders import Folders
+from eventloom.sources.store import ID_FILTER, SLOT, STORED, evenly, existing_table, read_events, replace_batch
 
-_STORED = T.StructType([*PROJECT.fields, T.StructField("batch_id", T.LongType())])
-_AFFECTED = T.StructType([T.StructField("batch_id", T.LongType())])
+_PROJECTS = T.StructType([*PROJECT.fields, T.StructField("batch_id", T.LongType())])
+_PART = ["batch_id", *SLOT]
+_AFFECTED = T.StructType([field for field in STORED.fields if field.name in _PART])
 
 
 def read_projects(spark: SparkSession, path: str) -> DataFrame:
-    stored = existing_table(spark, path, _STORED)
-    return spark.createDataFrame([], _STORED) if stored is None else stored
+    stored = existing_table(spark, path, _PROJECTS)
+    return spark.createDataFrame([], _PROJECTS) if stored is None else stored
 
 
 def load_projects(candidates: DataFrame, path: str, batch_id: int) -> DataFrame:
@@ -32,22 +34,29 @@ def load_projects(candidates: DataFrame, path: str, batch_id: int) -> DataFrame:
 
 
 def remove_projects(removed: DataFrame, path: str, staging: str) -> None:
-    """Rewrite the batches of the event store that hold events of the removed projects, without these.
+    """Rewrite the parts of the event store that hold events of the removed projects, without these.
 
-    What stays of those batches is written to `staging` first, then replaces them one
-    by one; others are not touched.  A run that broke off is finished by calling it
-    again with the same `staging`, which must be empty or new otherwise.
+    A part is a day of a slot of a batch.  What stays of such parts is written to
+    `staging` first, and then over them in one job, whatever their number; parts of
+    which nothing stays are removed.  Others are not touched.  A run that broke off
+    is finished by calling it again with the same `staging`, which must be empty or
+    new otherwise.
     """
-    spark = removed.sparkSession
+    spark, path = removed.sparkSession, path.rstrip("/")
     affected = existing_table(spark, f"{staging}/affected", _AFFECTED)
     if affected is None:
         events = read_events(spark, path)
         gone = removed.select("project_id").distinct()
-        found = events.join(gone, "project_id", "left_semi").select("batch_id").distinct()
-        kept = without_projects(events.join(found, "batch_id", "left_semi"), gone)
-        kept.select(*EVENT_COLUMNS, "event_date", "batch_id").write.mode("overwrite").parquet(f"{staging}/kept")
+        found = events.join(gone, "project_id", "left_semi").select(*_PART).distinct()
+        kept = without_projects(events.join(found, _PART, "left_semi"), gone)
+        kept.select(*EVENT_COLUMNS, *_PART).write.mode("overwrite").partitionBy(*_PART).parquet(f"{staging}/kept")
         found.write.parquet(f"{staging}/affected")
         affected = spark.read.schema(_AFFECTED).parquet(f"{staging}/affected")
-    kept = spark.read.parquet(f"{staging}/kept")
-    for row in affected.toLocalIterator():
-        replace_events(kept.where(F.col("batch_id") == row.batch_id).drop("batch_id"), path, row.batch_id)
+    kept = existing_table(spark, f"{staging}/kept", STORED).select(*EVENT_COLUMNS, *_PART)
+    writer = evenly(kept, _PART, ["project_id", "timestamp"], ID_FILTER)
+    writer.mode("overwrite").option("partitionOverwriteMode", "dynamic").parquet(path)
+    # names of folders only; no event passes the driver
+    emptied = affected.join(kept.select(*_PART).distinct(), _PART, "left_anti")
+    folders = Folders(spark)
+    for part in emptied.toLocalIterator():
+        folders.delete(f"{path}/" + "/".join(f"{name}={part[name]}" for name in _PART))

@@ -1,31 +1,49 @@
-"""The event store: Parquet, partitioned by writing batch and event date.
+"""The event store: Parquet, partitioned by writing batch, id slot and event date.
 
 A batch owns its `batch_id` folder and replaces it as a whole, so replaying it,
-even with fewer rows, leaves only what the replay holds.  Partitioning by date
-lets time slices and retention touch only the days they concern.
+even with fewer rows, leaves only what the replay holds.  The slot is a function
+of the id (`functions.ids.id_slot`), so copies of an event share it under
+whatever day they come, and the duplicate check reads the slots of the batch
+only.  Partitioning by date lets time slices and retention touch only the days
+they concern.  Files carry Bloom filters on the id, by which lookups skip row
+groups.
 """
 
 from __future__ import annotations
 
+import uuid
 from datetime import date, datetime, timedelta, timezone
 
 from pyspark.errors import AnalysisException
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, DataFrameWriter, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from eventloom.functions.ids import id_slot
 from eventloom.functions.jsonmerge import merged
 from eventloom.model import DEAD_LETTER, EVENT, EVENT_COLUMNS, PROPERTIES
 from eventloom.settings import Settings
+from eventloom.sources.folders import Folders
 
 
 class NotFoundError(LookupError):
     """A point lookup found nothing."""
 
 
-_STORED = T.StructType(
-    [*EVENT.fields, T.StructField("event_date", T.DateType()), T.StructField("batch_id", T.LongType())]
+SLOT = ["id_slot", "event_date"]
+STORED = T.StructType(
+    [
+        *EVENT.fields,
+        T.StructField("batch_id", T.LongType()),
+        T.StructField("id_slot", T.StringType()),
+        T.StructField("event_date", T.DateType()),
+    ]
 )
+# Adaptive filters take the size that a row group's ids need.
+ID_FILTER = {
+    "parquet.bloom.filter.enabled#event_id": "true",
+    "parquet.bloom.filter.adaptive.enabled": "true",
+}
 _DEAD = T.StructType([*DEAD_LETTER.fields, T.StructField("batch_id", T.LongType())])
 
 
@@ -55,24 +73,40 @@ def append_events(
 ) -> None:
     """Store the events whose ids are not stored yet, under whatever day.
 
-    A caller who knows that copies of an event share its time, as redeliveries
-    of one message do, may pass the first and last day of the batch as `days`:
-    then only those days are searched.
+    Only the slots that the batch's ids belong to are searched: at most one per
+    day of receipt and a few for other ids, so their list is small.  A caller who
+    knows that copies of an event share its time, as redeliveries of one message
+    do, may pass the first and last day of the batch as `days`: then only those
+    days of the slots are searched.
     """
-    fresh = first_copies(events, order).withColumn("event_date", F.to_date("timestamp"))
-    earlier = existing_table(events.sparkSession, path, _STORED)
-    if earlier is not None:
-        earlier = earlier.where(F.col("batch_id") != batch_id)
-        if days is not None:
-            earlier = earlier.where(F.col("event_date").between(*days))
-        fresh = fresh.join(earlier.select("event_id"), "event_id", "left_anti")
-    replace_events(fresh, path, batch_id)
+    fresh = first_copies(events, order).withColumns(
+        {"id_slot": id_slot(F.col("event_id")), "event_date": F.to_date("timestamp")}
+    )
+    earlier = existing_table(events.sparkSession, path, STORED)
+    if earlier is None:
+        replace_events(fresh, path, batch_id)
+        return
+    fresh = fresh.persist()  # read twice: for its slots, and to be stored
+    try:
+        slots = [row.id_slot for row in fresh.select("id_slot").distinct().collect()]
+        earlier = known_ids(earlier, slots, days).where(F.col("batch_id") != batch_id)
+        replace_events(fresh.join(earlier, ["id_slot", "event_id"], "left_anti"), path, batch_id)
+    finally:
+        fresh.unpersist()
+
+
+def known_ids(stored: DataFrame, slots: list[str], days: tuple[date, date] | None = None) -> DataFrame:
+    """Stored ids with their slot and batch; other slots, and other days than given, are not read."""
+    stored = stored.where(F.col("id_slot").isin(slots))
+    if days is not None:
+        stored = stored.where(F.col("event_date").between(*days))
+    return stored.select("id_slot", "event_id", "batch_id")
 
 
 def replace_events(events: DataFrame, path: str, batch_id: int) -> None:
-    """Make `events`, with their `event_date`, all that a batch holds."""
-    kept = events.select(*EVENT_COLUMNS, "event_date")
-    replace_batch(kept, path, batch_id, ["event_date"], ["project_id", "timestamp"])
+    """Make `events`, with their slot and date, all that a batch holds."""
+    kept = events.select(*EVENT_COLUMNS, *SLOT)
+    replace_batch(kept, path, batch_id, SLOT, ["project_id", "timestamp"], ID_FILTER)
 
 
 def append_dead_letters(letters: DataFrame, path: str, batch_id: int) -> None:
@@ -80,20 +114,42 @@ def append_dead_letters(letters: DataFrame, path: str, batch_id: int) -> None:
 
 
 def replace_batch(
-    rows: DataFrame, path: str, batch_id: int, partitions: list[str] | None = None, cluster: list[str] | None = None
+    rows: DataFrame,
+    path: str,
+    batch_id: int,
+    partitions: list[str] | None = None,
+    cluster: list[str] | None = None,
+    options: dict[str, str] | None = None,
 ) -> None:
     """Replace this batch's folder, with files of an even size.
 
-    The rebalance hint lets adaptive execution split a large day over several
+    The new folder is written beside (readers of the store skip names that begin
+    with `_`) and swapped in when it is complete, so a run that breaks off leaves
+    the old one.
+    """
+    path = path.rstrip("/")
+    beside = f"{path}/_staged-{uuid.uuid4().hex}"
+    evenly(rows, partitions, cluster, options).parquet(beside)
+    Folders(rows.sparkSession).swap_in(beside, f"{path}/batch_id={int(batch_id)}")
+
+
+def evenly(
+    rows: DataFrame,
+    partitions: list[str] | None = None,
+    cluster: list[str] | None = None,
+    options: dict[str, str] | None = None,
+) -> DataFrameWriter:
+    """A writer of files of an even size.
+
+    The rebalance hint lets adaptive execution split a large partition over several
     files and merge small ones.  Files sorted by `cluster` have narrow row-group
     statistics for it, so reads by those columns skip most of a file.
     """
     by = [*(partitions or []), *(cluster or [])]
     even = rows.hint("rebalance", *(partitions or []))
     even = even.sortWithinPartitions(*by) if by else even
-    writer = even.write.mode("overwrite").option("partitionOverwriteMode", "static")
-    writer = writer.partitionBy(*partitions) if partitions else writer
-    writer.parquet(f"{path.rstrip('/')}/batch_id={int(batch_id)}")
+    writer = even.write.options(**(options or {}))
+    return writer.partitionBy(*partitions) if partitions else writer
 
 
 def existing_table(spark: SparkSession, path: str, schema: T.StructType) -> DataFrame | None:
@@ -110,8 +166,8 @@ def existing_table(spark: SparkSession, path: str, schema: T.StructType) -> Data
 
 def read_events(spark: SparkSession, path: str) -> DataFrame:
     """All stored events; empty when nothing has been stored."""
-    stored = existing_table(spark, path, _STORED)
-    return spark.createDataFrame([], _STORED) if stored is None else stored
+    stored = existing_table(spark, path, STORED)
+    return spark.createDataFrame([], STORED) if stored is None else stored
 
 
 def read_dead_letters(spark: SparkSession, path: str) -> DataFrame:
@@ -143,25 +199,27 @@ def page_after(
 
 
 def event_by_id(events: DataFrame, event_id: str, settings: Settings | None = None) -> DataFrame:
-    """The event of an id.  With `settings`, only the days it may lie on are read.
+    """The event of an id, from the one slot that it belongs to.
 
-    An id given by this engine carries the time of receipt, and an accepted event
-    lies within the acceptance window around it.  Without `settings`, ids from
-    elsewhere are found as well.
+    With `settings`, only the days it may lie on are read as well: an id given by
+    this engine carries the time of receipt, and an accepted event lies within the
+    acceptance window around it.  Without `settings`, ids from elsewhere are found
+    as well, by the Bloom filters of their slot's files.
     """
-    found = events.where(F.col("event_id") == event_id)
+    found = events
     if settings is not None:
         received = datetime.fromtimestamp(int(event_id.replace("-", "")[:12], 16) / 1000, timezone.utc)
         first = received - timedelta(days=settings.max_age_days)
         last = received + timedelta(minutes=settings.max_future_minutes, milliseconds=1)
         found = found.where(F.col("event_date").between(first.date(), last.date()))
+    found = found.where((F.col("id_slot") == id_slot(F.lit(event_id))) & (F.col("event_id") == event_id))
     return found.select(*EVENT_COLUMNS)
 
 
 def get_event(events: DataFrame, event_id: str):
     """The event as a row; raises `NotFoundError` when there is none."""
     found = event_by_id(events, event_id).first()
-    if found is None:
+    if found is None:  # fixed value: the text reported for an unknown id
         raise NotFoundError(f"Event by id {event_id} not found")
     return found
 

@@ -194,7 +194,7 @@ def test_removed_projects_lose_their_events(spark, folder, monkeypatch):
         def fail(*_):
             raise RuntimeError("lost after staging")
 
-        patch.setattr(dimension, "replace_events", fail)
+        patch.setattr(dimension, "evenly", fail)
         with pytest.raises(RuntimeError):
             dimension.remove_projects(removed, path, folder("staging"))
     dimension.remove_projects(removed, path, folder("staging"))
@@ -202,6 +202,24 @@ def test_removed_projects_lose_their_events(spark, folder, monkeypatch):
     assert found == {("1", 0), ("4", 2)}
 
 
+def test_projects_are_removed_from_parts_in_one_job(spark, folder):
+    path, other = folder("store"), KNOWN[:-1] + "2"
+    day = seconds(86_400)
+    for batch_id in range(6):
+        rows = [event(10 * batch_id + k, project=other if k == batch_id else KNOWN, at=NOW - k * day) for k in range(4)]
+        rows.append(event(10 * batch_id + 9, project=KNOWN, at=NOW))
+        store.append_events(events_of(spark, rows), path, batch_id)
+    files = {x.split("file:")[-1] for x in store.read_events(spark, path).inputFiles()}
+    removed = spark.createDataFrame([(other,), (other,), ("none",)], "project_id string")
+    dimension.remove_projects(removed, path, folder("staging"))
+    left = store.read_events(spark, path)
+    assert left.count() == 26 and left.where(F.col("project_id") == other).count() == 0
+    after = {x.split("file:")[-1] for x in left.inputFiles()}
+    assert len(files - after) == 4  # days 0 to 3 of batches 0 to 3; the others' files are the same
+    assert all(f"batch_id={x.split('batch_id=')[1][0]}/" in x for x in files - after)
+    assert len(after - files) == 1  # only the day that another event shares was written anew
+
+
 def test_a_stream_is_published(spark, folder):
     events_of(spark, [event(n, event_type="purchase") for n in range(3)]).write.parquet(folder("events"))
     stream = spark.readStream.schema(EVENT).parquet(folder("events"))

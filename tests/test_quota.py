@@ -1,6 +1,8 @@
 import random
 from dataclasses import replace
+from datetime import timezone
 
+import pytest
 from conftest import NOW, SETTINGS, seconds
 from pyspark.sql import functions as F
 
@@ -87,6 +89,35 @@ def test_anchored_windows_match_a_plain_loop(spark):
         assert {r.request_id: r.window_start for r in windowed.collect()} == starts
 
 
+@pytest.mark.parametrize(("length", "span"), [(1_000, 300), (20_000, 2_000), (60_000, 2_000), (250_000, 9_000)])
+def test_a_busy_identity_is_walked_in_segments(spark, length, span):
+    """Segments shorter than, as long as and longer than a window, with and without a window open before."""
+    rows = traffic(1200, span, 4, length)
+    _, starts = by_anchored_windows(rows)
+    frame = spark.createDataFrame(rows, SCHEMA)
+    windowed = anchor_windows(frame, 60, most=50, length=length)
+    assert {r.request_id: r.window_start for r in windowed.collect()} == starts
+    half = NOW + seconds(span / 2)
+    opened = {}
+    for request_id, identity, at, _ in sorted(rows, key=lambda r: (r[2], r[0])):
+        if at < half:
+            opened[identity] = starts[request_id]
+    carried = [(k, int(v.replace(tzinfo=timezone.utc).timestamp() * 1000)) for k, v in opened.items()]
+    later = frame.where(F.col("received_at") >= F.lit(half))
+    windowed = anchor_windows(later, 60, spark.createDataFrame(carried, "identity string, opened long"), most=50, length=length)
+    assert {r.request_id: r.window_start for r in windowed.collect()} == {r[0]: starts[r[0]] for r in rows if r[2] >= half}
+
+
+def test_no_task_walks_a_busy_identity_alone(spark):
+    rows = [(f"r{n}", "busy" if n % 5 else f"i{n % 3}", NOW + seconds(n), 5) for n in range(2_000)]
+    frame = spark.createDataFrame(rows, SCHEMA)
+    windowed = anchor_windows(frame, 60, most=100, length=100_000).where("identity = 'busy'")
+    plan = windowed._jdf.queryExecution().optimizedPlan().toString()
+    dealt = [line.split("RepartitionByExpression")[1] for line in plan.splitlines() if "RepartitionByExpression" in line]
+    assert dealt and all("segment" in line for line in dealt)
+    assert windowed.select("window_start").distinct().count() == 2_000 // 60 + 1
+
+
 def test_micro_batches_carry_their_use_over(spark, folder):
     rows = sorted(traffic(1500, 400, 3), key=lambda r: (r[2], r[0]))
     for anchored, expected in [(False, by_fixed_windows(rows)), (True, by_anchored_windows(rows)[0])]:

@@ -140,6 +140,77 @@ def test_an_id_stored_under_another_day_is_found(spark, folder):
     assert store.read_events(spark, path).count() == 1
 
 
+def plan_of(frame):
+    return frame._jdf.queryExecution().executedPlan().toString()
+
+
+def id_of(day, n, version=7):
+    millis = f"{int((NOW - seconds(day * 86_400)).timestamp() * 1000):012x}"
+    return f"{millis[:8]}-{millis[8:]}-{version}000-8000-{n:012d}"
+
+
+def with_id(event_id, **changes):
+    return (event_id, *event(1, **changes)[1:])
+
+
+def test_only_slots_of_the_batch_are_searched(spark, folder, monkeypatch):
+    path = folder("store")
+    store.append_events(events_of(spark, [with_id(id_of(day, n)) for day in range(5) for n in range(3)]), path, 0)
+    joined = []
+    monkeypatch.setattr(store, "replace_events", lambda rows, *_: joined.append(rows))
+    store.append_events(events_of(spark, [with_id(id_of(2, 1)), with_id(id_of(2, 7))]), path, 1)
+    plan = plan_of(joined[0])
+    pruned = [x.split("]")[0] for x in plan.split("PartitionFilters: [")[1:]]
+    assert any("id_slot" in x and "d20240129" in x for x in pruned)
+    assert all("d20240130" not in x and "d20240128" not in x for x in pruned)
+    assert [row.event_id for row in joined[0].collect()] == [id_of(2, 7)]
+    monkeypatch.undo()
+    found = {row.id_slot for row in store.read_events(spark, path).collect()}
+    assert found == {"d20240127", "d20240128", "d20240129", "d20240130", "d20240131"}
+
+
+def test_slots_of_other_ids(spark, folder):
+    path = folder("store")
+    ids = [id_of(0, 1, version=4), f"{0:08x}-0000-7000-8000-{1:012d}", "ffffffff-ffff-7000-8000-000000000001", "anything"]
+    for batch_id in range(2):
+        rows = [with_id(x, at=NOW - seconds(batch_id * 86_400)) for x in ids for _ in range(batch_id + 1)]
+        store.append_events(events_of(spark, rows), path, batch_id)
+    stored = store.read_events(spark, path)
+    assert sorted(row.event_id for row in stored.collect()) == sorted(ids)
+    assert all(row.id_slot[0] == "h" for row in stored.collect())
+    for x in ids:
+        assert store.get_event(stored, x).event_id == x
+
+
+def test_a_lookup_skips_row_groups_by_the_filters_of_their_ids(spark, folder):
+    path = folder("store")
+    ids = [id_of(0, 7919 * n % 1_000_003, version=4) for n in range(40_000)]
+    rows = spark.createDataFrame([(x,) for x in ids], "event_id string")
+    full = events_of(spark, [event(1)]).drop("event_id").crossJoin(rows).select(*EVENT.fieldNames())
+    for batch_id in range(4):
+        store.append_events(full.where(F.pmod(F.hash("event_id"), F.lit(4)) == batch_id), path, batch_id)
+    found = store.event_by_id(store.read_events(spark, path), ids[5])
+    assert found.count() == 1
+    found.collect()
+    scan = found._jdf.queryExecution().executedPlan()
+    while scan.children().size():
+        scan = scan.children().apply(0)
+    read = scan.metrics().apply("numOutputRows").value()
+    assert 1 <= read <= 4_000  # of 5,000 in the slot, spread over four batches, few row groups can hold it
+    assert "id_slot" in plan_of(found).split("PartitionFilters:")[1].split("]")[0]
+
+
+def test_a_failed_write_leaves_the_batch_as_it_was(spark, folder):
+    path = folder("store")
+    store.append_events(events_of(spark, [event(1)]), path, 0)
+    bad = events_of(spark, [event(2)]).withColumn("user_id", F.raise_error(F.lit("lost")).cast("string"))
+    with pytest.raises(Exception, match="lost"):
+        store.append_events(bad, path, 0)
+    assert [row.event_id for row in store.read_events(spark, path).collect()] == [event(1)[0]]
+    store.append_events(events_of(spark, [event(3)]), path, 0)
+    assert [row.event_id for row in store.read_events(spark, path).collect()] == [event(3)[0]]
+
+
 def test_reads(spark, folder):
     path = folder("store")
     other = KNOWN[:-1] + "2"
