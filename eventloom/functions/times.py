@@ -73,8 +73,33 @@ _WIRE_ISO = (
 )
 
 
+# A week date, wholly extended or wholly basic; without a day it is a Monday.
+_WEEK = r"\A(\d{4})(?:-W(\d\d)(?:-(\d))?|W(\d\d)(\d)?)(?=\z|[^0-9-]|-[^0-9])"
+
+
+def week_date(text: Column) -> Column:
+    """The calendar date `yyyy-MM-dd` of a leading week date (`2024-W05-3`); null for a week or day that is none."""
+
+    def piece(*numbers: int) -> Column:
+        return F.concat(*[F.regexp_extract(text, _WEEK, n) for n in numbers])
+
+    year, week = piece(1).try_cast("int"), piece(2, 4).try_cast("int")
+    day = F.when(piece(3, 5) == "", F.lit(1)).otherwise(piece(3, 5).try_cast("int"))
+    fourth = F.make_date(year, F.lit(1), F.lit(4))  # lies in the first week of its year
+    found = F.date_add(fourth, (week - 1) * 7 + day - 1 - F.weekday(fourth))
+    # the 53rd week of a shorter year is the first of the next one
+    right = day.between(1, 7) & (F.weekofyear(found) == week) & (year > 0)
+    return F.when(text.rlike(_WEEK) & right, F.date_format(found, "yyyy-MM-dd"))
+
+
 def parse_wire_time(text: Column) -> Column:
     """Time text of a wire message; null when it cannot be read."""
+    # a week date goes on as the calendar date it stands for
+    dated = F.concat(week_date(text), F.regexp_replace(text, _WEEK, ""))
+    return _wire_time(F.when(text.rlike(_WEEK), dated).otherwise(text))
+
+
+def _wire_time(text: Column) -> Column:
 
     def piece(n: int) -> Column:
         return F.regexp_extract(text, _WIRE_ISO, n)

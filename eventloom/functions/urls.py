@@ -2,7 +2,9 @@
 
 Scheme and host are lower-cased, a default port is dropped, an empty path
 becomes `/`, dot segments are resolved, unsafe characters percent-encoded and
-numeric hosts written as dotted quads.  Internationalised host names are refused.
+numeric hosts written as dotted quads.  Internationalised host names are mapped and
+written in Punycode by the JVM's own IDNA; only characters whose mapping differs
+between IDNA versions (sharp s, final sigma, joiners) are refused.
 """
 
 from __future__ import annotations
@@ -23,6 +25,8 @@ _SCHEME = r"(?s)\A([A-Za-z][A-Za-z0-9+.-]*):.*"
 _PARTS = r"(?s)\A(?i:https?|ftp):[/\\]*([^/\\?#]*)([^?#]*)(\?[^#]*)?(#.*)?\z"
 _AUTHORITY = r"(?s)\A(?:(.*)@)?(\[[0-9A-Fa-f:.]+\]|[^:@\[\]]+)(?::(\d*))?\z"
 _HOST_OK = r"\A[!$&'()*+,;=a-z0-9._~\[\]:-]+\z"
+_FOREIGN = r"[^\x00-\x7f]"
+_DEVIATING = "[\u00df\u1e9e\u03c2\u200c\u200d]"
 _NUMERIC_TAIL = r"(?:\A|\.)(?:\d+|0x[0-9a-f]*)\.?\z"
 _DOT_SEGMENT = r"(?i)(?:\A|/)(?:\.|%2e){1,2}(?:/|\z)"
 _USER_UNSAFE = r"""[^\x21-\x7e]|["<>`{}#?/:;=@\[\\\]^|]"""
@@ -92,7 +96,11 @@ def _cleaned(text: Column) -> Column:
 
 def _host(text: Column) -> Column:
     decoded = F.lower(F.try_url_decode(F.replace(text, F.lit("+"), F.lit("%2B"))))
-    return F.when(text.contains("%"), decoded).otherwise(text)
+    plain = F.when(text.contains("%"), decoded).otherwise(text)
+    # 1: also code points that were assigned after the tables of IDNA
+    ascii_ = F.try_reflect(F.lit("java.net.IDN"), F.lit("toASCII"), plain, F.lit(1))
+    foreign = plain.rlike(_FOREIGN)
+    return F.when(foreign & ~plain.rlike(_DEVIATING), F.lower(ascii_)).when(~foreign, plain)
 
 
 def _ipv4(host: Column) -> Column:

@@ -34,9 +34,20 @@ def dead_letter_size(letters: DataFrame) -> DataFrame:
 
 
 def consumer_lag(appended: DataFrame, processed: DataFrame) -> DataFrame:
-    """Messages on the log that have not been consumed."""
-    unread = appended.select("msg_id").join(processed.select("msg_id"), "msg_id", "left_anti")
-    return unread.agg(F.count("*").alias("lag"))
+    """Messages on the log that have not been consumed, by high-water marks.
+
+    Both have `source` (a partition or file of the log) and `offset`, counted from 0 within it, and are read in this order;
+    what remains is the distance of the marks, so no message is looked up.  Either may also be the marks themselves.
+    """
+    ends = appended.groupBy("source").agg(F.max("offset").alias("_end"))
+    marks = processed.groupBy("source").agg(F.max("offset").alias("_mark"))
+    both = ends.select("source", "_end", F.lit(None).cast("long").alias("_mark")).unionByName(
+        marks.select("source", F.lit(None).cast("long").alias("_end"), "_mark")
+    )
+    behind = both.groupBy("source").agg(
+        F.greatest(F.coalesce(F.max("_end"), F.lit(-1)) - F.coalesce(F.max("_mark"), F.lit(-1)), F.lit(0)).alias("_n")
+    )
+    return behind.agg(F.coalesce(F.sum("_n"), F.lit(0)).alias("lag"))
 
 
 def histogram_le(df: DataFrame, value: Column, bounds: list[float] = DURATION_BUCKETS) -> DataFrame:

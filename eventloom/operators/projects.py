@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from eventloom.functions.text import strip
@@ -45,22 +45,29 @@ def judge_projects(candidates: DataFrame, existing: DataFrame) -> DataFrame:
     Of equal rows one wins.  A clash is an unexpected error, as the service does
     not foresee it.
     """
-    checked = check_projects(candidates)
-    # Ids are given by the service, so a repeated one is rare; a number tells the rows of one apart.
-    order = F.struct("created_at", "name", "plan", "api_key")
-    same_id = Window.partitionBy("project_id", F.size("errors") > 0).orderBy(order)
-    numbered = checked.withColumn("_nth", F.row_number().over(same_id))
+    names = candidates.columns
+    # Equal rows go on as one with their number, which combines before the shuffle.
+    several = candidates.groupBy(*names).agg(F.count("*").alias("_copies"))
+    checked = check_projects(several).withColumn("_bad", F.size("errors") > 0)
+    # Ids are given by the service, so a repeated one is rare; the least row of an id is found without an order of all.
+    row = F.struct("created_at", "name", "plan", "api_key")
+    least = checked.groupBy("project_id", "_bad").agg(F.min(row).alias("_least"))
+    least = least.withColumnsRenamed({"project_id": "_id", "_bad": "_is_bad"})
     taken = existing.groupBy("name").agg(F.lit(True).alias("_taken"))
     stored_ids = existing.groupBy("project_id").agg(F.lit(True).alias("_stored"))
-    looked_up = numbered.join(taken, "name", "left").join(stored_ids, "project_id", "left")
-    own_id = (F.col("_nth") == 1) & F.col("_stored").isNull()
+    same = F.col("project_id").eqNullSafe(F.col("_id")) & (F.col("_bad") == F.col("_is_bad"))
+    placed = checked.join(least, same, "left")
+    looked_up = placed.join(taken, "name", "left").join(stored_ids, "project_id", "left")
+    own_id = row.eqNullSafe(F.col("_least")) & F.col("_stored").isNull()
     earliest = F.struct("created_at", "project_id")
-    usable = looked_up.where((F.size("errors") == 0) & own_id)
+    usable = looked_up.where(~F.col("_bad") & own_id)
     first = usable.groupBy("name").agg(F.min(earliest).alias("_first"))
     judged = looked_up.join(first, "name", "left")
     clash = F.col("_taken").isNotNull() | ~own_id | (earliest != F.col("_first"))
-    code = F.when(F.size("errors") > 0, "ValidationError").when(clash, "UnexpectedError")
-    return judged.withColumn("code", code).drop("_first", "_taken", "_stored", "_nth")
+    code = F.when(F.col("_bad"), "ValidationError").when(clash, "UnexpectedError")
+    copies = judged.withColumn("_nth", F.explode(F.sequence(F.lit(1), F.col("_copies"))))
+    code = F.when((F.col("_nth") > 1) & ~F.col("_bad"), "UnexpectedError").otherwise(code)
+    return copies.select(*names, "errors", "empty_name", code.alias("code"))
 
 
 def new_projects(judged: DataFrame) -> DataFrame:

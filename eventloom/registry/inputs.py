@@ -136,9 +136,9 @@ def single_requests(mapped: DataFrame) -> DataFrame:
     )
 
 
-def batch_requests(mapped: DataFrame) -> DataFrame:
-    """Events of a user's day in one envelope, in source order."""
-    raw = raw_bodies(mapped)
+def batch_requests(mapped: DataFrame, raw: DataFrame | None = None) -> DataFrame:
+    """Events of a user's day in one envelope, in source order; `raw` may have other texts of the events."""
+    raw = raw_bodies(mapped) if raw is None else raw
     grouped = raw.groupBy("batch", "api_key", "user_id").agg(
         F.sort_array(F.collect_list(F.struct("event_id", "raw"))).alias("_raws")
     )

@@ -214,6 +214,30 @@ refused AS (
   FROM items WHERE NOT taken
 )"""
 
+# Requests of one instant, admitted by request id; the quota step looks keys up first.
+METERED = f"""WITH {BATCHED},
+requests AS (
+  SELECT event_id::VARCHAR AS request_id, user_id, tenant_code, valid::INT AS n_valid FROM judged WHERE user_id % 2 = 0
+  UNION ALL
+  SELECT batch, user_id, tenant_code, count(*) FILTER (valid) FROM judged WHERE user_id % 2 = 1
+  GROUP BY batch, user_id, tenant_code),
+identified AS (
+  SELECT *, CASE WHEN tenant_code = 'UnauthorizedError' THEN 'ip:10.0.0.' || (user_id % 16)
+      WHEN tenant_code IS NULL THEN 'project:' || {project('user_id % 25')} END AS identity,
+    CASE WHEN tenant_code = 'UnauthorizedError' THEN -1 ELSE (user_id % 25) % 3 END AS tier
+  FROM requests),
+ranked AS (SELECT *, row_number() OVER (PARTITION BY identity ORDER BY request_id) AS place FROM identified),
+decided AS (
+  SELECT *, CASE WHEN tenant_code = 'NotFoundError' THEN tenant_code
+      WHEN place > {quota_case(5, 10, 20, 10)} THEN 'RateLimitExceededError'
+      WHEN n_valid NOT BETWEEN 1 AND 500 THEN 'ValidationError'
+      ELSE tenant_code END AS code
+  FROM ranked)
+SELECT request_id, CASE coalesce(code, '') WHEN 'NotFoundError' THEN 404 WHEN 'RateLimitExceededError' THEN 429
+    WHEN 'ValidationError' THEN 422 WHEN 'UnauthorizedError' THEN 401 ELSE 202 END::BIGINT AS http_status,
+  coalesce(code, 'accepted') AS result, CASE WHEN code IS NULL THEN n_valid ELSE 0 END::BIGINT AS n_accepted
+FROM decided"""
+
 ISO = "strftime(ts, '%Y-%m-%dT%H:%M:%S') || CASE WHEN microsecond(ts) % 1000000 = 0 THEN '' ELSE strftime(ts, '.%f') END || '+00:00'"
 WIRE = f"""'{{"event_id":"' || {project('event_id')} || '","project_id":"' || {project('user_id % 25')}
   || '","user_id":"' || uid || '","session_id":"' || session || '","event_type":"' || mtype
@@ -406,6 +430,38 @@ ORDER BY ts, event_key LIMIT 100 OFFSET 20""",
         "event_by_id": f"{STORED} WHERE accepted.event_id = 1",
         "events_slice": f"""{STORED} WHERE mtype = 'purchase'
   AND ts >= TIMESTAMP '2024-01-10 06:00:00' AND ts < TIMESTAMP '2024-01-12 18:00:00'""",
+        "batch_junk_items": f"""WITH {BATCHED} SELECT batch AS request_id,
+  sum(1 + event_id % 4)::BIGINT AS n_items, count(*) FILTER (valid) AS n_valid,
+  CASE WHEN count(*) FILTER (valid) > 3 THEN 'too_long' ELSE 'ok' END AS verdict FROM items GROUP BY batch""",
+        "ingest_metered": METERED,
+        "normalize_week_dates": f"""SELECT event_id, CASE WHEN event_id % 5 = 4 THEN '-' ELSE {text('''CASE event_id % 5
+  WHEN 2 THEN date_trunc('week', ts)::TIMESTAMP WHEN 3 THEN date_trunc('second', ts) - INTERVAL 1 HOUR
+  ELSE date_trunc('day', ts)::TIMESTAMP END''')} END AS event_time FROM events""",
+        "validate_hosts": f"""WITH {MAPPED} SELECT event_id,
+  CASE event_id % 8
+    WHEN 0 THEN 'https://xn--bcher-kva.example/' || k
+    WHEN 1 THEN 'https://xn--bcher-kva.example/' || k
+    WHEN 2 THEN 'https://xn--bcher-kva.example/' || k
+    WHEN 3 THEN 'https://xn--r8jz45g.xn--zckzah/' || k
+    WHEN 4 THEN 'https://user@xn--e1afmkfd.xn--p1ai:8080/' || k
+    WHEN 5 THEN 'https://10.0.0.1/' || k
+    ELSE '-' END AS url,
+  CASE WHEN event_id % 8 < 6 THEN 'ok' ELSE 'url_parsing' END AS problem FROM mapped""",
+        "stream_quota_anchored": ANCHORED_QUOTA,
+        "stream_quota_state": FIXED_QUOTA,
+        "stream_lag": """SELECT count(*) FILTER (ts >= '2024-01-24') AS lag,
+  count(*) FILTER (ts < '2024-01-24' AND event_id % 50 IN (9, 19)) AS dlq_size FROM events""",
+        "stream_orphans": f"""WITH sent AS (SELECT *, unnest(CASE WHEN event_id % 20 = 3 THEN [0, 1] ELSE [0] END) AS copy
+  FROM events)
+SELECT event_id || '-' || copy AS original_msg_id,
+  CASE event_id % 50 WHEN 9 THEN 'DeserializationError: message is not valid JSON' WHEN 19 THEN 'empty_message_data'
+    ELSE 'Project by id ' || {project('user_id % 25')} || ' not found' END AS error,
+  CASE event_id % 50 WHEN 9 THEN 'deserialization' WHEN 19 THEN 'empty_message_data' ELSE 'orphan_event' END AS error_type
+FROM sent WHERE event_id % 50 IN (9, 19) OR user_id % 25 >= 23""",
+        "metrics_failures": """SELECT CASE event_id % 50 WHEN 9 THEN 'deserialization'
+  ELSE 'empty_message_data' END AS error_type, count(*) AS errors
+FROM events WHERE event_id % 50 IN (9, 19) GROUP BY ALL
+UNION ALL SELECT 'batch_processing_failed', 1::BIGINT""",
         "accepted_events": f"WITH {BATCHED}, log AS (SELECT *, {project('user_id % 25')} AS project_id,"
         f" CASE WHEN user_id % 2 = 0 THEN {SINGLE_KEY} ELSE event_key END AS log_key FROM items"
         " WHERE taken OR (user_id % 2 = 0 AND valid AND tenant_code IS NULL)) "

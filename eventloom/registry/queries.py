@@ -7,6 +7,7 @@ from collections.abc import Callable
 from dataclasses import replace
 from datetime import datetime, timezone
 
+from pyspark.errors import StreamingQueryException
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -16,7 +17,7 @@ from eventloom.functions.money import minor_units
 from eventloom.functions.urls import with_url
 from eventloom.model import PROPERTY_NAMES, REJECT_STATUS
 from eventloom.operators import analytics, metrics, quota, tenants
-from eventloom.operators.projects import judge_projects, project_by_key
+from eventloom.operators.projects import project_by_key
 from eventloom.operators.rejects import default_message, reject_records, status_of
 from eventloom.operators.validate import check_events, consistency_rule, time_rule
 from eventloom.operators.wire import decode_messages, decoded_events, encode_events
@@ -26,9 +27,11 @@ from eventloom.registry import inputs
 from eventloom.registry.inputs import SETTINGS, as_of, events_table, stored_events
 from eventloom.settings import configure
 from eventloom.sources import store
-from eventloom.sources.dimension import remove_projects
+from eventloom.sources.dimension import load_projects, read_projects, remove_projects
 from eventloom.streaming import consume, health
+from eventloom.streaming.meter import metered_stream
 from eventloom.streaming.quota import quota_batch
+from eventloom.streaming.state import state_on_disk
 
 Query = Callable[[SparkSession, str], DataFrame]
 _registry: dict[str, Query] = {}
@@ -165,6 +168,36 @@ def batch_size_check(spark, sf_dir):
     )
 
 
+@registered("batch_junk_items")
+def batch_junk_items(spark, sf_dir):
+    """Verdict per batch whose events are each followed by short items that are none, at the low limit."""
+    raw = inputs.raw_bodies(events_table(spark, sf_dir))
+    junk = F.concat(F.col("raw"), F.repeat(F.lit(",1"), (F.col("event_id") % 4).cast("int")))
+    requests = inputs.batch_requests(events_table(spark, sf_dir), raw.withColumn("raw", junk))
+    judged = outcomes(requests, inputs.projects(spark, sf_dir), SMALL_BATCHES)
+    too_long = F.max(F.try_element_at("errors.type", F.lit(1)) == "too_long")
+    return judged.groupBy("request_id").agg(
+        F.count("*").alias("n_items"),
+        F.count_if(F.col("disposition") != "dropped").alias("n_valid"),
+        F.when(too_long, "too_long").otherwise("ok").alias("verdict"),
+    )
+
+
+@registered("ingest_metered")
+def ingest_metered(spark, sf_dir):
+    """The write path with quotas on: even users post singly, odd ones in batches, all in one window."""
+    mapped = events_table(spark, sf_dir)
+    alone = inputs.single_requests(mapped.where(F.col("user_id") % 2 == 0))
+    together = inputs.batch_requests(mapped.where(F.col("user_id") % 2 == 1))
+    judged = outcomes(alone.unionByName(together), inputs.projects(spark, sf_dir), DAY_QUOTA)
+    return receipts(judged).select(
+        "request_id",
+        F.coalesce(status_of(F.col("code")), F.lit(202)).cast("long").alias("http_status"),
+        F.coalesce("status", "code").alias("result"),
+        "n_accepted",
+    )
+
+
 @registered("accepted_events")
 def accepted_events_log(spark, sf_dir):
     """Single and batch requests feed one log: even users post singly, odd ones in batches."""
@@ -255,6 +288,25 @@ def normalize_ts(spark, sf_dir):
     )
 
 
+@registered("normalize_week_dates")
+def normalize_week_dates(spark, sf_dir):
+    """Four spellings of the event's week date, and one that is none, by event id."""
+    ts, form = F.col("ts"), F.col("event_id") % 5
+    day = F.weekday(ts) + 1
+    year = F.year(F.date_add(F.to_date(ts), F.lit(3) - F.weekday(ts)))
+    week = F.lpad(F.weekofyear(ts).cast("string"), 2, "0")
+    text = (
+        F.when(form == 0, F.concat(year, F.lit("-W"), week, F.lit("-"), day))
+        .when(form == 1, F.concat(year, F.lit("W"), week, day))
+        .when(form == 2, F.concat(year, F.lit("-W"), week))
+        .when(form == 3, F.concat(year, F.lit("W"), week, day, F.date_format(ts, "'T'HH:mm:ss'+01:00'")))
+        .otherwise(F.concat(year, F.lit("-W53-"), day))
+    )
+    return events_table(spark, sf_dir).select(
+        "event_id", F.coalesce(_text(times.parse_wire_time(text)), F.lit("-")).alias("event_time")
+    )
+
+
 @registered("quota_identity")
 def quota_identity(spark, sf_dir):
     n, k = F.col("event_id"), F.col("k")
@@ -393,6 +445,29 @@ def validate_url(spark, sf_dir):
     )
 
 
+@registered("validate_hosts")
+def validate_hosts(spark, sf_dir):
+    """Internationalised host names, by event id."""
+    k = F.col("k").cast("string")
+    forms = [
+        F.concat(F.lit("https://bücher.example/"), k),
+        F.concat(F.lit("https://BÜCHER.example/"), k),
+        F.concat(F.lit("https://b%C3%BCcher.example/"), k),
+        F.concat(F.lit("https://例え。テスト/"), k),
+        F.concat(F.lit("https://user@пример.рф:8080/"), k),
+        F.concat(F.lit("https://１０.0.0.1/"), k),
+        F.concat(F.lit("https://straße.example/"), k),
+        F.concat(F.lit("https://shop."), F.repeat(F.lit("ü"), 70), F.lit(".example/"), k),
+    ]
+    address = F.element_at(F.array(*forms), (F.col("event_id") % len(forms) + 1).cast("int"))
+    given = events_table(spark, sf_dir).select("event_id", address.alias("address"))
+    return with_url(given, "address", "url").select(
+        "event_id",
+        F.coalesce("url", F.lit("-")).alias("url"),
+        F.coalesce("url_problem", F.lit("ok")).alias("problem"),
+    )
+
+
 @registered("validate_consistency")
 def validate_consistency(spark, sf_dir):
     n = F.col("event_id")
@@ -464,8 +539,7 @@ def quota_anchored_window(spark, sf_dir):
 @registered("orphan_events")
 def orphan_events(spark, sf_dir):
     events = inputs.typed_events(events_table(spark, sf_dir))
-    known = inputs.projects(spark, sf_dir).where(F.col("name").rlike(r"^NATION_([0-9]|1[0-9]|2[0-2])$"))
-    return _event_columns(tenants.orphans(events, known))
+    return _event_columns(tenants.orphans(events, _known_projects(spark, sf_dir)))
 
 
 @registered("cascade_delete")
@@ -497,12 +571,14 @@ def project_load(spark, sf_dir):
         base, 300, name=F.concat(F.lit(" \t"), "name", F.lit(" two\n")), plan=F.lit(None).cast("string")
     )
     candidates = base.unionByName(clashing).unionByName(short_name).unionByName(odd_plan).unionByName(padded)
-    stored = base.limit(0)
-    return judge_projects(candidates, stored).select(
+    path = fresh_path(spark, "projects")
+    judged = load_projects(candidates, path, batch_id=0)
+    kept = read_projects(spark, path).select("project_id", F.lit("stored").alias("_kept"))
+    return judged.join(kept, "project_id", "left").select(
         "project_id",
         "name",
         "plan",
-        F.coalesce("code", F.lit("stored")).alias("outcome"),
+        F.coalesce("code", "_kept", F.lit("lost")).alias("outcome"),
         _error_texts("errors").alias("errors"),
     )
 
@@ -604,15 +680,21 @@ def events_slice(spark, sf_dir):
 
 
 class _Consumed:
-    """A finished run of the consumer over the events table."""
+    """A finished run of the consumer over the events table, its health written by a listener."""
 
-    def __init__(self, spark: SparkSession, sf_dir: str) -> None:
+    def __init__(self, spark: SparkSession, sf_dir: str, projects: DataFrame | None = None) -> None:
         self.events = fresh_path(spark, "consumed")
         self.letters = fresh_path(spark, "dead-letters")
-        stream = inputs.messages(inputs.stream_events(spark, sf_dir))
-        query = consume.consume(stream, self.events, self.letters, fresh_path(spark, "checkpoint"))
-        query.awaitTermination()
-        self.progress = list(query.recentProgress)
+        self.health = fresh_path(spark, "health")
+        listener = health.HealthLog(spark, self.health)
+        spark.streams.addListener(listener)
+        try:
+            stream = inputs.messages(inputs.stream_events(spark, sf_dir))
+            query = consume.consume(stream, self.events, self.letters, fresh_path(spark, "checkpoint"), projects)
+            query.awaitTermination()
+            spark.sparkContext._jsc.sc().listenerBus().waitUntilEmpty()  # reports come after the batches they are on
+        finally:
+            spark.streams.removeListener(listener)
 
 
 _runs: dict[tuple[str, str], _Consumed] = {}
@@ -658,37 +740,115 @@ def stream_dedup(spark, sf_dir):
     path = fresh_path(spark, "distinct")
     stream = inputs.messages(inputs.stream_events(spark, sf_dir))
     distinct = consume.without_duplicates(decoded_events(decode_messages(stream)))
-    query = (
-        distinct.writeStream.format("parquet")
-        .option("path", path)
-        .option("checkpointLocation", fresh_path(spark, "checkpoint"))
-        .trigger(availableNow=True)
-        .start()
-    )
-    query.awaitTermination()
+    _to_parquet(spark, distinct, path)
     return _event_columns(spark.read.parquet(path))
 
 
-@registered("stream_quota")
-def stream_quota(spark, sf_dir):
-    decisions, ledger = fresh_path(spark, "decisions"), fresh_path(spark, "ledger")
+def _to_parquet(spark: SparkSession, rows: DataFrame, path: str) -> None:
+    """Run a stream to its end; its state is kept on disk."""
+    writer = rows.writeStream.format("parquet").option("path", path)
+    writer = writer.option("checkpointLocation", fresh_path(spark, "checkpoint")).trigger(availableNow=True)
+    with state_on_disk(spark):
+        query = writer.start()
+    query.awaitTermination()
+
+
+def _identified_stream(spark: SparkSession, sf_dir: str, settings) -> DataFrame:
     requests = inputs.metered_requests(inputs.stream_events(spark, sf_dir))
-    resolved = tenants.resolve_tenants(requests, inputs.projects(spark, sf_dir), DAY_QUOTA)
-    identified = quota.with_quota_identity(resolved, DAY_QUOTA)
+    resolved = tenants.resolve_tenants(requests, inputs.projects(spark, sf_dir), settings)
+    return quota.with_quota_identity(resolved, settings)
+
+
+def _ledger_decisions(spark: SparkSession, sf_dir: str, settings, anchored: bool) -> DataFrame:
+    decisions, ledger = fresh_path(spark, "decisions"), fresh_path(spark, "ledger")
 
     def judge(batch: DataFrame, batch_id: int) -> None:
-        quota_batch(batch, batch_id, decisions, ledger, DAY_QUOTA)
+        quota_batch(batch, batch_id, decisions, ledger, settings, anchored)
 
+    identified = _identified_stream(spark, sf_dir, settings)
     consume.start(identified, judge, fresh_path(spark, "checkpoint")).awaitTermination()
     return _decisions(spark.read.parquet(decisions))
 
 
+@registered("stream_quota")
+def stream_quota(spark, sf_dir):
+    return _ledger_decisions(spark, sf_dir, DAY_QUOTA, anchored=False)
+
+
+@registered("stream_quota_anchored")
+def stream_quota_anchored(spark, sf_dir):
+    """Windows that open at a first request, carried over from one micro-batch to the next."""
+    return _ledger_decisions(spark, sf_dir, ANCHORED_QUOTA, anchored=True)
+
+
+@registered("stream_quota_state")
+def stream_quota_state(spark, sf_dir):
+    """The decisions of `stream_quota` by keyed operator state instead of a ledger."""
+    path = fresh_path(spark, "decisions")
+    _to_parquet(spark, metered_stream(_identified_stream(spark, sf_dir, DAY_QUOTA), DAY_QUOTA), path)
+    return _decisions(spark.read.parquet(path))
+
+
 @registered("stream_health")
 def stream_health(spark, sf_dir):
-    reports = health.health_rows(spark, _consumed(spark, sf_dir).progress)
+    reports = health.reported(spark, _consumed(spark, sf_dir).health)
     return reports.select("batch_id", "messages", "empty_messages")
 
 
+@registered("stream_lag")
+def stream_lag(spark, sf_dir):
+    """The last part of the log comes after the consumer has stopped; dead letters are those of the others."""
+    log, letters = fresh_path(spark, "log"), fresh_path(spark, "dead-letters")
+    checkpoint = fresh_path(spark, "checkpoint")
+    given = spark.read.parquet(f"{sf_dir}/events.parquet")
+    part = inputs.stream_part(F.col("ts").cast("timestamp"))
+    given.where(part < 3).write.parquet(f"{log}/part=0")
+    files = inputs.with_mapping(spark.readStream.schema(given.schema).parquet(f"{log}/*"))
+    consume.consume(inputs.messages(files), fresh_path(spark, "consumed"), letters, checkpoint).awaitTermination()
+    given.where(part == 3).write.parquet(f"{log}/part=1")
+    lag = health.unread(spark.read.schema(given.schema).parquet(f"{log}/*"), checkpoint)
+    return lag.crossJoin(metrics.dead_letter_size(store.read_dead_letters(spark, letters)))  # one row each
+
+
+def _known_projects(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return inputs.projects(spark, sf_dir).where(F.col("name").rlike(r"^NATION_([0-9]|1[0-9]|2[0-2])$"))
+
+
+@registered("stream_orphans")
+def stream_orphans(spark, sf_dir):
+    """Dead letters of a run in which the projects of some events are unknown."""
+    run = _Consumed(spark, sf_dir, _known_projects(spark, sf_dir))
+    return store.read_dead_letters(spark, run.letters).select("original_msg_id", "error", "error_type")
+
+
+@registered("metrics_failures")
+def metrics_failures(spark, sf_dir):
+    """Dead letters by type, with a micro-batch that failed as a whole before it was replayed."""
+    stream, failures = inputs.messages(inputs.stream_events(spark, sf_dir)), fresh_path(spark, "failures")
+    events, letters, checkpoint = (fresh_path(spark, x) for x in ("consumed", "dead-letters", "checkpoint"))
+    listener = health.HealthLog(spark, fresh_path(spark, "health"), failures)
+    spark.streams.addListener(listener)
+
+    def lost(batch: DataFrame, batch_id: int) -> None:
+        if batch_id == 2:
+            raise RuntimeError("lost")
+        consume.store_batch(batch, batch_id, events, letters)
+
+    def kept(batch: DataFrame, batch_id: int) -> None:
+        consume.store_batch(batch, batch_id, events, letters)
+
+    try:
+        try:
+            consume.start(stream, lost, checkpoint).awaitTermination()
+        except StreamingQueryException:
+            pass  # as a worker that is lost and started again
+        consume.start(stream, kept, checkpoint).awaitTermination()
+        spark.sparkContext._jsc.sc().listenerBus().waitUntilEmpty()
+    finally:
+        spark.streams.removeListener(listener)
+    return metrics.errors_by_type(store.read_dead_letters(spark, letters), spark.read.schema(health.FAILURE).parquet(failures))
+
+
 # --- metrics ------------------------------------------------------------------
 
 
@@ -710,8 +870,9 @@ def metrics_dlq(spark, sf_dir):
 @registered("metrics_lag")
 def metrics_lag(spark, sf_dir):
     """Three tenths of the log are still unread."""
-    log = events_table(spark, sf_dir).select(F.col("event_id").alias("msg_id"))
-    return metrics.consumer_lag(log, log.where(F.col("msg_id") % 10 < 7))
+    number = F.col("event_id")
+    log = events_table(spark, sf_dir).select((number % 10).alias("source"), F.floor(number / 10).alias("offset"))
+    return metrics.consumer_lag(log, log.where(F.col("source") < 7))
 
 
 @registered("latency_histogram")

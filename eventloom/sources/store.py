@@ -236,8 +236,42 @@ def time_slice(events: DataFrame, start: Column, end: Column, event_type: str |
 
 
 def decode_stored(rows: DataFrame) -> DataFrame:
-    """Rows whose `properties` are JSON text, as typed events."""
-    return rows.withColumn("properties", F.from_json("properties", PROPERTIES))
+    """Rows whose `properties` are JSON text, as typed events.
+
+    A text that is no object, or has a value that its column can't hold, fails the read instead of becoming null;
+    `stored_problems` finds such rows without failing.
+    """
+    problem = stored_problem(F.col("properties"))
+    message = F.concat(F.lit("Stored event "), F.col("event_id"), F.lit(": "), problem)
+    typed = F.from_json("properties", PROPERTIES)
+    return rows.withColumn("properties", F.when(problem.isNull(), typed).otherwise(F.raise_error(message)))
+
+
+def stored_problems(rows: DataFrame) -> DataFrame:
+    """The rows that can't be read, with their `problem`."""
+    problem = stored_problem(F.col("properties"))
+    return rows.withColumn("problem", problem).where(problem.isNotNull())
+
+
+def stored_problem(text: Column) -> Column:
+    """What a JSON text of properties has that its columns can't hold; null if nothing."""
+    given = F.from_json(text, T.StructType([T.StructField(x.name, T.StringType()) for x in PROPERTIES]))
+    typed = F.from_json(text, PROPERTIES)
+    lost = [
+        F.when(given[x.name].isNotNull() & typed[x.name].isNull(), F.lit(x.name)) for x in PROPERTIES
+    ]
+    whole = [
+        F.when(given[x.name].isNotNull() & ~given[x.name].rlike(r"\A-?\d+\z"), F.lit(x.name))
+        for x in PROPERTIES
+        if isinstance(x.dataType, (T.LongType, T.IntegerType))
+    ]
+    no_object = ~F.trim(text).startswith("{") | F.try_parse_json(text).isNull()
+    names = F.array_distinct(F.array_compact(F.array(*lost, *whole)))
+    return F.when(text.isNull(), F.lit(None).cast("string")).otherwise(
+        F.when(no_object, F.lit("properties are no object")).when(
+            F.size(names) > 0, F.concat(F.lit("unreadable "), F.array_join(names, ", "))
+        )
+    )
 
 
 # --- one-off: legacy layout ---------------------------------------------------

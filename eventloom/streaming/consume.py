@@ -95,7 +95,9 @@ def without_duplicates(events: DataFrame, max_age_days: int = 30) -> DataFrame:
 
     An id is remembered for as long as the acceptance window is wide.  Age is
     counted by `created_at`, the time of receipt: a sender sets `timestamp`, and a
-    single event from the far future would make all others late.
+    single event from the far future would make all others late.  Start the query
+    within `streaming.state.state_on_disk`, so that a month of ids need not fit into
+    memory; rows that come too late are counted in the health reports.
     """
     return events.withWatermark("created_at", f"{max_age_days} days").dropDuplicatesWithinWatermark(
         ["event_id"]
