@@ -13,7 +13,8 @@ No link is lost.
    reducer no more records than there are blocks.
 3. `groups`: classes that share a signature; of groups with the same classes one is kept. Large groups are cut into
    chunks, and pairs of chunks are compared in blocks. Parity sketches, a bit per hash with the parity of the set's
-   shingles there, bound the difference of two sets from below, so they rule out pairs without loss.
+   shingles there, bound the difference of two sets from below, so they rule out pairs without loss. In the first round
+   a pair that has several signatures in common is left to the smallest one that both classes take along.
 4. Two rounds of exact verification on whole sets: first, of each group, only a forest of the closest pairs; then, after
    components have been formed, whatever is left between different components. So the pairs that are verified grow with
    the classes, not with the square of a group.
@@ -43,6 +44,8 @@ BUCKET_BYTES = 8 << 20
 #: Classes of a group that are compared at once.
 CHUNK = 512
 BAND = 1.5
+#: A class takes along so many of its smallest signatures; a group looks at the most common ones, one for each bit.
+CARRIED = 6
 ODD = np.uint64(0x9FB21C651E98DF25)
 
 
@@ -225,6 +228,11 @@ def close_pairs(groups: DataFrame, sets: DataFrame, bands: Bands, roots: DataFra
     Without `roots`, of each group only a forest of the closest pairs; with them, all between different components.
     """
     members_ = groups.join(sets.select("key", "n", "sketch"), "key")
+    if roots is None:
+        least = F.slice(F.sort_array(F.collect_list("sig")), 1, CARRIED).alias("least")  # a class has few hundred at most
+        members_ = members_.join(groups.groupBy("key").agg(least), "key")
+    else:  # few are left, which does not make up for what they would take along
+        members_ = members_.withColumn("least", F.array().cast("array<long>"))
     if roots is None:
         members_ = members_.withColumn("root", F.col("key"))
     else:
@@ -245,7 +253,7 @@ def close_pairs(groups: DataFrame, sets: DataFrame, bands: Bands, roots: DataFra
             pairs = np.unique(np.concatenate([np.empty((0, 2), np.int64), *found]), axis=0)
             yield pa.RecordBatch.from_arrays([pa.array(pairs[:, 0]), pa.array(pairs[:, 1])], ["a", "b"])
 
-    columns = ["sig", "low", "high", "own", "key", "root", "n", "sketch"]
+    columns = ["sig", "low", "high", "own", "key", "root", "n", "sketch", "least"]
     sorted_ = members_.select(*columns).repartition("sig", "low", "high").sortWithinPartitions("sig", "low", "high", "key")
     return sorted_.mapInArrow(run, "a long, b long").distinct()
 
@@ -268,8 +276,15 @@ def whole_groups(batches: Iterable[pa.RecordBatch], by: tuple[str, ...]) -> Iter
 
 
 def split(table: pa.Table, cuts: list[int]) -> list[dict]:
-    columns = {c: table.column(c).to_numpy() if c != "sketch" else table.column(c).to_pylist() for c in table.column_names}
-    return [{c: x[a:b] for c, x in columns.items()} for a, b in zip(cuts[:-1], cuts[1:], strict=True)]
+    table = table.combine_chunks()
+    columns = {c: table.column(c).to_numpy() for c in table.column_names if c not in ("sketch", "least")}
+    columns["sketch"] = table.column("sketch").to_pylist()
+    least = table.column("least").chunk(0)
+    ends, flat = least.offsets.to_numpy(), least.values.to_numpy()
+    return [
+        {c: x[a:b] for c, x in columns.items()} | {"least": flat[ends[a] : ends[b]], "carried": np.diff(ends[a : b + 1])}
+        for a, b in zip(cuts[:-1], cuts[1:], strict=True)
+    ]
 
 
 def allowed(group: dict, bands: Bands, forest: bool) -> np.ndarray | None:
@@ -281,6 +296,7 @@ def allowed(group: dict, bands: Bands, forest: bool) -> np.ndarray | None:
     bits = np.stack([folded(x, size) for x in group["sketch"]])
     n, key, root, own = group["n"], group["key"], group["root"], group["own"]
     across = group["low"][0] != group["high"][0]
+    held = earlier_signatures(group["least"], group["carried"], group["sig"][0])
     step = max(1, (16 << 20) // (m * size))
     found = []
     for i in range(0, m - 1, step):
@@ -291,6 +307,8 @@ def allowed(group: dict, bands: Bands, forest: bool) -> np.ndarray | None:
         near &= root[a, None] != root[None, :]
         if across:
             near &= own[a, None] != own[None, :]
+        if held is not None:
+            near &= (held[a, None] & held[None, :]) == 0
         left, right = np.nonzero(np.triu(near, i + 1))
         found.append(np.stack([apart[left, right], left + i, right], 1))
     pairs = np.concatenate(found)
@@ -308,6 +326,22 @@ def allowed(group: dict, bands: Bands, forest: bool) -> np.ndarray | None:
     return np.stack([np.minimum(a, b), np.maximum(a, b)], 1)
 
 
+def earlier_signatures(least: np.ndarray, carried: np.ndarray, sig: int) -> np.ndarray | None:
+    """A bit for each smaller signature that a member has: two with the same bit meet in that one's group as well."""
+    owner, many = np.repeat(np.arange(len(carried)), carried), len(carried)
+    owner, least = owner[least < sig], least[least < sig]
+    values, which, count = np.unique(least, return_inverse=True, return_counts=True)
+    common = np.argsort(-count, kind="stable")[:64]
+    common = common[count[common] > 1]
+    if not len(common):
+        return None
+    bit = np.zeros(len(values), dtype=np.uint64)
+    bit[common] = np.uint64(1) << np.arange(len(common), dtype=np.uint64)
+    held = np.zeros(many, dtype=np.uint64)
+    np.bitwise_or.at(held, owner, bit[which])
+    return held
+
+
 def top(parent: list[int], x: int) -> int:
     while parent[x] != x:
         parent[x] = parent[parent[x]]
