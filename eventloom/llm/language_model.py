@@ -1,27 +1,35 @@
 """Language-model scoring by a hashed maximum-entropy model with a class-factored softmax.
 
-The probability of a token is that of its class, given the tokens before it, times that of the token in its class.
-
-* Classes: each of the `SHORT` most frequent tokens is a class of its own; all others fall into `TAIL` classes by a hash
-  of their last bytes. Token counts are gathered from all training documents, combined in each block before the shuffle.
-* A class's probability is a softmax over the weights of the context's features, each hashed to one of `ROWS` rows: the
-  last token, the one before it (skipping one), both together, and the one before those with the last (skipping one).
-* In a tail class, a known token has its share of the class's count, after a share for unknown tokens that is the share
-  of tokens seen once (all unknown tokens of a class are one event, as they are in the base score).
+The vocabulary is factored into classes of classes: a tree with up to 16 branches at each node, so that a token is a path
+of nodes, and its probability, given the tokens before it, is the product of one softmax over the branches of each node.
+Every softmax on the path depends on the context, down to the token itself.
+
+* Tree: the `FREQUENT` most frequent tokens are leaves of a Huffman tree by their counts, one leaf of which stands for all
+  other tokens. Below that one, tokens part by the digits of their hash, as many as leave about `LEAF` of them together; so
+  the tree is as deep as the vocabulary asks for. Token counts are gathered from all training documents, combined in each
+  block before the shuffle. Tokens that share a leaf have their share of its count, after a share for unknown tokens that
+  is the share of tokens seen once among those that are not frequent (all unknown tokens of a leaf are one event, as they
+  are in the base score).
+* Features: the last token (bigrams), and the one before it (skipping one). At each node, each is hashed to a row of
+  weights, one per branch; the rows grow with the training tokens up to 2**`ROW_BITS[1]`, so that they may be broadcast. To
+  them comes the logarithm of the branches' counts.
 
 Weights are trained by distributed gradient updates: in each of `ROUNDS`, every task takes its part of the training
 documents through sparse numpy batches, from the weights of the round before, and sends the change of the rows that it
-touched; changes are averaged row by row. Every training document is used once and whole. The weights have a fixed size,
-so they are broadcast. For scoring, the documents are dealt into blocks by a hash of their id, the distinct tokens of a
-block are joined with the counts of the corpus, and the answers meet the block again.
-
-Tokens are told apart by 64-bit hashes. Null and empty texts are the end token alone. Repeated rows are scored alike
-and, where they train, count each. With no training documents at all, all tokens are unknown and classes equally likely.
-A null doc_id counts as an empty text for the fold. An empty table gives an empty result; other columns are ignored.
+touched; changes are averaged row by row. There are a few tasks per core, whatever the input, so what they send doesn't
+grow with it. Every training document is used once and whole. For scoring, the documents are dealt into blocks by a hash
+of their id and text, the distinct tokens of a block are joined with the counts of the corpus, and the answers meet the
+block again.
+
+Tokens are told apart by 62-bit hashes. Null and empty texts are the end token alone. Repeated rows are scored alike and,
+where they train, count each. With no training documents at all, all tokens are unknown, which is certain. A null doc_id
+counts as an empty text for the fold. An empty table gives an empty result; other columns are ignored. Of a very long text
+no more is held than some 100 bytes a token.
 """
 
 from __future__ import annotations
 
+import heapq
 import zlib
 from collections.abc import Iterable, Iterator
 from dataclasses import dataclass
@@ -35,15 +43,20 @@ from eventloom.llm.shared import blocks, fold, stored, texts_of
 from eventloom.llm.words import encoded, hashed, joined, mix, spans
 
 FOLDS = 10
-SHORT = 48
-TAIL = 16
-ROWS = 1 << 15
+FREQUENT = 16_384
+LEAF = 4
+WIDTH = 16
+#: Logarithms of the least and the greatest number of rows, and of the training tokens for each.
+ROW_BITS = (15, 18)
+TOKENS_PER_ROW = 5
 ROUNDS = 2
-BATCH = 16_384
-RATE = 0.4
+BATCH = 4096
+RATE = 0.5
 BLOCK_BYTES = 8 << 20
 #: Rows of weights that are summed together.
-PART = 1024
+PART = 4096
+#: Training tasks for each core.
+TASKS_PER_CORE = 4
 END = np.uint64(0xA5A5_0F0F_3C3C_9696)
 START = np.uint64(0x5EED_5EED_5EED_5EED)
 ODD = np.uint64(0x9FB21C651E98DF25)
@@ -52,171 +65,268 @@ SCORES = (
 )
 
 
-def tokens(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Every token (words, then one end, of each text), its tail class, and the number of tokens of each text."""
+def tokens(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+    """Every token (words, then one end, of each text), and the number of tokens of each text."""
     data, begin = joined(texts)
     starts, ends = spans(data)
     counts = np.diff(np.searchsorted(starts, begin))
-    last = data[ends - 1].astype(np.uint64)
-    before = np.where(ends - starts > 1, data[np.maximum(ends - 2, 0)], 0).astype(np.uint64)
-    tails = (mix(last << np.uint64(8) | before) % np.uint64(TAIL)).astype(np.int8)
-    at = np.cumsum(counts)
-    return np.insert(hashed(data, starts, ends), at, END), np.insert(tails, at, 0), counts + 1
+    return np.insert(hashed(data, starts, ends), np.cumsum(counts), END), counts + 1
 
 
-def features(token: np.ndarray, counts: np.ndarray) -> np.ndarray:
-    """The rows of weights of each token's context, one line per kind of feature."""
+def contexts(token: np.ndarray, counts: np.ndarray) -> np.ndarray:
+    """A hash for each feature of each token's context, one line per kind of feature."""
     first = np.cumsum(counts) - counts
     place = np.arange(len(token)) - np.repeat(first, counts)
-    past = [np.where(place >= k, np.roll(token, k), START) for k in (1, 2, 3)]
-    kinds = [past[0], past[1] * ODD, mix(past[0] * ODD) ^ past[1], mix(past[0] * ODD + np.uint64(1)) ^ past[2]]
-    return np.stack([(mix(x + np.uint64(k << 50)) % np.uint64(ROWS)).astype(np.int64) for k, x in enumerate(kinds)])
+    one, two = (np.where(place >= k, np.roll(token, k), START) for k in (1, 2))
+    return np.stack([mix(one), mix(two * ODD)])
+
+
+def huffman(weights: list[int]) -> tuple[list[list[tuple[int, int]]], list[list[int]]]:
+    """The path (node, branch) of each symbol from the root, and the weight of each node's branches."""
+    heap = [(w, k) for k, w in enumerate(weights)]
+    heap += [(0, -k) for k in range(1, 1 + -(len(weights) - 1) % (WIDTH - 1))]  # of no symbol, so that all nodes are full
+    heapq.heapify(heap)
+    parents: dict[int, tuple[int, int]] = {}
+    nodes = []
+    while len(heap) > 1:
+        some = [heapq.heappop(heap) for _ in range(WIDTH)]
+        number = len(nodes)
+        for branch, (_, k) in enumerate(some):
+            parents[k] = (number, branch)
+        nodes.append([w for w, _ in some])
+        heapq.heappush(heap, (sum(nodes[-1]), len(weights) + number))
+    paths = []
+    for k in range(len(weights)):
+        path = []
+        while k in parents:
+            path.append(parents[k])
+            k = len(weights) + path[-1][0]
+        paths.append(path[::-1])
+    return paths, nodes
 
 
 @dataclass
-class Counts:
-    """What the model knows of the corpus besides the counts of single tokens; of a fixed size."""
+class Tree:
+    """What the model knows of the corpus besides the counts of single tokens; of a bounded size."""
 
     total: int  # training tokens
     distinct: int
-    short: np.ndarray  # the most frequent tokens, sorted
-    prior: np.ndarray  # log probability of each class without context
-    tail_total: np.ndarray
-    unknown: np.ndarray  # share of unknown tokens in each tail class
+    unknown: float  # share of unknown tokens in each leaf of hashed tokens
+    digits: int  # nodes on the path of a hashed token below the leaf that stands for all of them
+    frequent: np.ndarray  # hashes of the frequent tokens, sorted, and a line behind them for all others
+    depth: np.ndarray  # how many nodes lead to each of these
+    node: np.ndarray  # the nodes, and the branches taken
+    branch: np.ndarray
+    prior: np.ndarray  # logarithm of the share of each branch of each node; a last line for nodes of hashed tokens
+
+    @property
+    def bits(self) -> int:
+        return int(np.clip((self.total // TOKENS_PER_ROW).bit_length(), *ROW_BITS))
+
+    def line(self, token: np.ndarray) -> np.ndarray:
+        """The line of each token in the tables: the last one for those that are not frequent."""
+        many = len(self.frequent)
+        if not many:
+            return np.zeros(len(token), np.int64)
+        at = np.minimum(np.searchsorted(self.frequent, token), many - 1)
+        return np.where(self.frequent[at] == token, at, many)
+
+    def paths(self, token: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+        """Every node on the tokens' paths: which token, the node's hash, its line of `prior`, and the branch taken."""
+        line = self.line(token)
+        each = self.depth[line]
+        owner = np.repeat(np.arange(len(token)), each)
+        level = np.arange(len(owner)) - np.repeat(np.cumsum(each) - each, each)
+        at = line[owner]
+        node, branch = self.node[at, level], self.branch[at, level]
+        tail = np.flatnonzero(line == len(self.frequent))
+        below = np.tile(np.arange(self.digits, dtype=np.uint64), len(tail))
+        hashed_ = np.repeat(token[tail], self.digits)
+        shift = np.uint64(60) - np.uint64(4) * below
+        prefix = (hashed_ >> shift) >> np.uint64(4)
+        digit = ((hashed_ >> shift) & np.uint64(15)).astype(np.int64)
+        last = len(self.prior) - 1
+        return (
+            np.concatenate([owner, np.repeat(tail, self.digits)]),
+            mix(np.concatenate([node.astype(np.uint64), prefix * ODD + below + np.uint64(1 << 40)])),
+            np.concatenate([node, np.full(len(below), last)]),
+            np.concatenate([branch, digit]),
+        )
 
-    def classes(self, token: np.ndarray, tails: np.ndarray) -> np.ndarray:
-        if not len(self.short):
-            return tails.astype(np.int64)
-        at = np.minimum(np.searchsorted(self.short, token), len(self.short) - 1)
-        return np.where(self.short[at] == token, at + TAIL, tails)
+    def leaf(self, token):
+        """The leaf of a hashed token, as its leading digits; also of a column."""
+        return token >> np.uint64(64 - 4 * self.digits) if self.digits else token * np.uint64(0)
 
 
 def token_counts(docs: DataFrame) -> DataFrame:
-    """Rows (word, tail, n) over all training documents."""
+    """Rows (word, n) over all training documents."""
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for block in blocks(batches, BLOCK_BYTES):
-            token, tails, _ = tokens(encoded(block.column("text")))
-            words, one, n = np.unique(token, return_index=True, return_counts=True)
-            columns = [pa.array(words.view(np.int64)), pa.array(tails[one].astype(np.int32)), pa.array(n)]
-            yield from pa.Table.from_arrays(columns, ["word", "tail", "n"]).to_batches(max_chunksize=20_000)
+            words, n = np.unique(tokens(encoded(block.column("text")))[0], return_counts=True)
+            columns = [pa.array(words.view(np.int64)), pa.array(n)]
+            yield from pa.Table.from_arrays(columns, ["word", "n"]).to_batches(max_chunksize=20_000)
 
     training = texts_of(docs).where(fold("doc_id", FOLDS) != 0).select("text")
-    return training.mapInArrow(run, "word long, tail int, n long").groupBy("word", "tail").agg(F.sum("n").alias("n"))
-
-
-def summary(counts: DataFrame) -> Counts:
-    """One row per tail class and at most SHORT tokens come to the driver."""
-    top = counts.orderBy(F.desc("n"), "word").limit(SHORT).collect()
-    short = np.sort(np.array([x.word for x in top], dtype=np.int64).view(np.uint64))
-    n_of = {np.int64(x.word).view(np.uint64): x.n for x in top}
-    tail_total, tail_once, distinct = np.zeros(TAIL), np.zeros(TAIL), 0
-    once = F.sum(F.when(F.col("n") == 1, 1).otherwise(0)).alias("once")
-    for row in counts.groupBy("tail").agg(F.sum("n").alias("n"), once, F.count("*").alias("v")).collect():
-        tail_total[row.tail], tail_once[row.tail] = row.n, row.once
-        distinct += row.v
-    total = int(tail_total.sum())
-    for x in top:
-        tail_total[x.tail] -= x.n
-        tail_once[x.tail] -= x.n == 1
-    unknown = np.clip((tail_once + 0.1) / (tail_total + 0.2), 1e-6, 0.5)
-    mass = np.concatenate([tail_total, [n_of[x] for x in short]]) + 0.1
-    return Counts(total, distinct, short, np.log(mass / mass.sum()), tail_total, unknown)
-
-
-def log_softmax(weights: np.ndarray, prior: np.ndarray, rows: np.ndarray) -> np.ndarray:
-    """The log probability of every class for some contexts."""
-    z = weights[rows[0]] + prior
-    for own in rows[1:]:
-        z += weights[own]
-    z -= z.max(axis=1, keepdims=True)
-    z -= np.log(np.exp(z).sum(axis=1, keepdims=True))
+    return training.mapInArrow(run, "word long, n long").groupBy("word").agg(F.sum("n").alias("n"))
+
+
+def tree(counts: DataFrame) -> Tree:
+    """The tree of the corpus; at most FREQUENT tokens come to the driver."""
+    top = counts.orderBy(F.desc("n"), "word").limit(FREQUENT).collect()
+    once = F.sum(F.when(F.col("n") == 1, 1).otherwise(0))
+    total, distinct, single = counts.agg(F.sum("n"), F.count("*"), once).first()
+    total, single = total or 0, single or 0
+    others, other_total = distinct - len(top), total - sum(x.n for x in top)
+    single -= sum(x.n == 1 for x in top)
+    top.sort(key=lambda x: x.word % (1 << 64))
+    paths, nodes = huffman([*(x.n for x in top), max(1, other_total)])
+    depth = np.array([len(x) for x in paths])
+    node, branch = (np.zeros((len(paths), max(1, depth.max())), np.int64) for _ in range(2))
+    for k, path in enumerate(paths):
+        for level, (a, b) in enumerate(path):
+            node[k, level], branch[k, level] = a, b
+    prior = np.zeros((len(nodes) + 1, WIDTH))
+    for k, masses in enumerate(nodes):
+        prior[k] = np.where(np.array(masses) > 0, np.log(np.maximum(masses, 1) / sum(masses)), -30)  # none for no symbol
+    digits = 0
+    while WIDTH**digits * LEAF < others:
+        digits += 1
+    unknown = float(np.clip((single + 0.1) / (other_total + 0.2), 1e-6, 0.5)) if others else 1.0
+    frequent = np.array([x.word for x in top], dtype=np.int64).view(np.uint64)
+    return Tree(total, distinct, unknown, digits, frequent, depth, node, branch, prior.astype(np.float32))
+
+
+def shares(counts: DataFrame, own: Tree) -> DataFrame:
+    """Rows (word, n, leaf_n): the counts of all training tokens, and of their leaves; a frequent one is a leaf itself."""
+    most = counts.orderBy(F.desc("n"), "word").limit(FREQUENT).select("word", F.lit(True).alias("_frequent"))
+    marked = counts.join(most, "word", "left")
+    leaf = F.shiftrightunsigned("word", 64 - 4 * own.digits) if own.digits else F.lit(0).cast("long")
+    marked = stored(marked.select("word", "n", F.when(F.col("_frequent").isNull(), leaf).alias("leaf")), "leaves")
+    sums = marked.where("leaf IS NOT NULL").groupBy("leaf").agg(F.sum("n").alias("leaf_n"))
+    return marked.join(sums, "leaf", "left").select("word", "n", F.coalesce("leaf_n", "n").alias("leaf_n"))
+
+
+def log_softmax(weights: np.ndarray, prior: np.ndarray, rows: list[np.ndarray]) -> np.ndarray:
+    """The log probability of every branch; `prior` is used up."""
+    z = prior
+    for own in rows:
+        z += weights.take(own, axis=0)
+    np.minimum(z, 60, out=z)  # exponentials then fit into 32 bits, unless all are far below
+    total = np.exp(z) @ np.ones(WIDTH, np.float32)
+    far = np.flatnonzero(total < 1e-30)
+    if len(far):
+        top = z[far].max(axis=1, keepdims=True)
+        z[far] -= top
+        total[far] = np.exp(z[far]).sum(axis=1)
+    z -= np.log(total)[:, None]
     return z
 
 
-def learn(weights: np.ndarray, squares: np.ndarray, prior: np.ndarray, rows: np.ndarray, truth: np.ndarray) -> None:
-    """One gradient update in place; rows that share a feature are summed before they are applied."""
+def rows_of(context: np.ndarray, owner: np.ndarray, node: np.ndarray, bits: int) -> list[np.ndarray]:
+    """The row of each feature at each node of a path."""
+    shift = np.uint64(64 - bits)
+    return [((kind[owner] ^ node) * ODD >> shift).astype(np.int64) for kind in context]
+
+
+def learn(weights: np.ndarray, squares: np.ndarray, prior: np.ndarray, rows: list[np.ndarray], truth: np.ndarray) -> None:
+    """One gradient update in place; places that share a row are summed before they are applied."""
     p = np.exp(log_softmax(weights, prior, rows))
     p[np.arange(len(truth)), truth] -= 1
+    running = np.zeros((len(truth) + 1, WIDTH))
     for own in rows:
-        order = np.argsort(own, kind="stable")
-        starts = np.flatnonzero(np.diff(own[order], prepend=-1))
-        touched = own[order][starts]
-        slope = np.add.reduceat(p[order], starts, axis=0)
-        squares[touched] += slope**2
-        weights[touched] -= RATE * slope / np.sqrt(squares[touched])
+        order = np.argsort(own)
+        sorted_ = own.take(order)
+        starts = np.flatnonzero(np.append(True, sorted_[1:] != sorted_[:-1]))
+        touched = sorted_.take(starts)
+        np.cumsum(p.take(order, axis=0), axis=0, dtype=np.float64, out=running[1:])
+        upto = running.take(np.append(starts, len(truth)), axis=0)
+        slope = (upto[1:] - upto[:-1]).astype(np.float32)
+        squared = squares.take(touched) + np.einsum("ij,ij->i", slope, slope)
+        squares[touched] = squared
+        weights[touched] = weights.take(touched, axis=0) - slope * (RATE / np.sqrt(squared))[:, None]
+
+
+def batches_of_tokens(texts: list[bytes], own: Tree) -> Iterator[tuple[np.ndarray, int, int, tuple]]:
+    """Contexts, first token, its number of tokens, and paths, of some tokens at a time."""
+    token, sizes = tokens(texts)
+    context = contexts(token, sizes)
+    for i in range(0, len(token), BATCH):
+        yield context[:, i : i + BATCH], i, min(BATCH, len(token) - i), own.paths(token[i : i + BATCH])
 
 
-def trained(docs: DataFrame, counts: Counts) -> np.ndarray:
+def trained(docs: DataFrame, own: Tree) -> np.ndarray:
     """The weights, after all rounds."""
     spark = docs.sparkSession
-    shape = (ROWS, len(counts.prior))
+    shape = (1 << own.bits, WIDTH)
     weights = np.zeros(shape, dtype=np.float32)
     training = texts_of(docs).where(fold("doc_id", FOLDS) != 0)
     for turn in range(ROUNDS):
-        shared = spark.sparkContext.broadcast((weights, counts))
+        shared = spark.sparkContext.broadcast((weights, own))
 
         def update(batches: Iterable[pa.RecordBatch], shared=shared) -> Iterator[pa.RecordBatch]:
             begin, own = shared.value
-            now, prior = begin.copy(), own.prior.astype(np.float32)
-            squares = np.ones(begin.shape, dtype=np.float32)
+            now = begin.copy()
+            squares = np.ones(len(begin), dtype=np.float32)
             used = np.zeros(len(begin), dtype=bool)
             for block in blocks(batches, BLOCK_BYTES // 2):
-                token, tails, sizes = tokens(encoded(block.column("text")))
-                rows, truth = features(token, sizes), own.classes(token, tails)
-                for i in range(0, len(token), BATCH):
-                    learn(now, squares, prior, rows[:, i : i + BATCH], truth[i : i + BATCH])
-                used[rows.ravel()] = True
+                for context, _, _, (owner, node, line, branch) in batches_of_tokens(encoded(block.column("text")), own):
+                    rows = rows_of(context, owner, node, own.bits)
+                    learn(now, squares, own.prior.take(line, axis=0), rows, branch)
+                    for x in rows:
+                        used[x] = True
             for part in range(0, len(begin), PART):
-                if used[part : part + PART].any():
-                    change = (now[part : part + PART] - begin[part : part + PART]).tobytes()
+                on = used[part : part + PART]
+                if on.any():
+                    change = (now[part : part + PART] - begin[part : part + PART]).astype(np.float16).tobytes()
                     yield pa.RecordBatch.from_arrays(
-                        [pa.array([part], pa.int32()), pa.array([change]), pa.array([used[part : part + PART].tobytes()])],
+                        [pa.array([part], pa.int32()), pa.array([change]), pa.array([np.packbits(on).tobytes()])],
                         ["part", "change", "used"],
                     )
 
-        def add(batches: Iterable[pa.RecordBatch], width: int = shape[1]) -> Iterator[pa.RecordBatch]:
+        def add(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             sums: dict[int, list[np.ndarray]] = {}
             for batch in batches:
                 for part, change, used in zip(*(batch.column(x).to_pylist() for x in ("part", "change", "used")), strict=True):
-                    change, used = np.frombuffer(change, np.float32), np.frombuffer(used, np.uint8)
+                    change, used = np.frombuffer(change, np.float16), np.unpackbits(np.frombuffer(used, np.uint8))
                     if part not in sums:
                         sums[part] = [np.zeros(len(change)), np.zeros(len(used))]
                     sums[part][0] += change
                     sums[part][1] += used
             for part, (change, used) in sums.items():
-                mean = (change.reshape(-1, width) / np.maximum(1, used)[:, None]).astype(np.float32)
+                mean = (change.reshape(-1, WIDTH) / np.maximum(1, used)[:, None]).astype(np.float32)
                 yield pa.RecordBatch.from_arrays([pa.array([part], pa.int32()), pa.array([mean.tobytes()])], ["part", "change"])
 
-        some = training.where(F.pmod(F.xxhash64("doc_id"), F.lit(ROUNDS)) == turn).select("text")
-        changes = some.mapInArrow(update, "part int, change binary, used binary").repartition(ROWS // PART, "part")
+        some = training.where(F.pmod(F.xxhash64("doc_id", "text"), F.lit(ROUNDS)) == turn).select("text")
+        some = some.coalesce(TASKS_PER_CORE * spark.sparkContext.defaultParallelism)
+        changes = some.mapInArrow(update, "part int, change binary, used binary").repartition(shape[0] // PART, "part")
         weights = weights.copy()
         for row in changes.mapInArrow(add, "part int, change binary").collect():  # as large as the weights
-            mean = np.frombuffer(row.change, np.float32).reshape(-1, shape[1])
+            mean = np.frombuffer(row.change, np.float32).reshape(-1, WIDTH)
             weights[row.part : row.part + len(mean)] += mean
         shared.unpersist()
     return weights
 
 
-def score_block(texts: list[bytes], known: dict[str, np.ndarray], weights: np.ndarray, own: Counts) -> dict[str, np.ndarray]:
-    """Per text: tokens, known tokens, base score and score; `known` has the sorted words of the block and their counts."""
-    token, tails, sizes = tokens(texts)
+def score_block(texts: list[bytes], known: dict[str, np.ndarray], weights: np.ndarray, own: Tree) -> dict[str, np.ndarray]:
+    """Per text: tokens, known tokens, base score and score.
+
+    `known` has the sorted words of the block that training has seen, their counts and those of their leaves.
+    """
+    token, sizes = tokens(texts)
     text = np.repeat(np.arange(len(texts)), sizes)
-    n = np.zeros(len(token))
+    n, leaf_n = np.zeros(len(token)), np.ones(len(token))
     if len(known["word"]):
         at = np.minimum(np.searchsorted(known["word"], token), len(known["word"]) - 1)
-        n = np.where(known["word"][at] == token, known["n"][at], 0).astype(np.float64)
+        seen = known["word"][at] == token
+        n, leaf_n = np.where(seen, known["n"][at], 0).astype(np.float64), np.where(seen, known["leaf_n"][at], 1)
     base = np.log10((n + 0.1) / (own.total + 0.1 * (own.distinct + 1)))
-    classes, rows = own.classes(token, tails), features(token, sizes)
-    prior = own.prior.astype(np.float32)
-    score = np.empty(len(token))
-    for i in range(0, len(token), BATCH):
-        part = slice(i, i + BATCH)
-        z = log_softmax(weights, prior, rows[:, part])
-        score[part] = z[np.arange(len(z)), classes[part]]
-    tail = np.minimum(classes, TAIL - 1)
-    share = np.where(n > 0, (1 - own.unknown[tail]) * np.maximum(n, 1) / np.maximum(own.tail_total[tail], 1), own.unknown[tail])
-    score += np.where(classes < TAIL, np.log(share), 0.0)
+    tail = own.line(token) == len(own.frequent)
+    share = np.where(n > 0, (1 - own.unknown) * np.maximum(n, 1) / leaf_n, own.unknown)
+    score = np.where(tail, np.log(share), 0.0)
+    for context, first, many, (owner, node, line, branch) in batches_of_tokens(texts, own):
+        z = log_softmax(weights, own.prior.take(line, axis=0), rows_of(context, owner, node, own.bits))
+        score[first : first + many] += np.bincount(owner, z[np.arange(len(z)), branch], many)
     count = len(texts)
     return {
         "n_tokens": sizes.astype(np.int64),
@@ -226,27 +336,26 @@ def score_block(texts: list[bytes], known: dict[str, np.ndarray], weights: np.nd
     }
 
 
-def scored(docs: DataFrame, counts: DataFrame, own: Counts, weights: np.ndarray) -> DataFrame:
+def scored(docs: DataFrame, counts: DataFrame, own: Tree, weights: np.ndarray) -> DataFrame:
+    """`counts` as from `shares`."""
     spark = docs.sparkSession
     shared = spark.sparkContext.broadcast((weights, own))
     texts = texts_of(docs)
     total = texts.agg(F.sum(F.octet_length("text"))).first()[0] or 0
     many = max(1, -(-total // BLOCK_BYTES))
-    texts = texts.withColumn("block", F.pmod(F.xxhash64("doc_id"), F.lit(many)).cast("int"))
+    # by the text as well, so that rows without an id, or of one id, don't fill a block
+    texts = texts.withColumn("block", F.pmod(F.xxhash64("doc_id", "text"), F.lit(many)).cast("int"))
 
     def distinct(block: pa.Table) -> pa.Table:
-        token, _, _ = tokens(encoded(block.column("text")))
-        words = np.unique(token)
+        words = np.unique(tokens(encoded(block.column("text")))[0])
         number = block.column("block")[0].as_py()
         return pa.table({"block": pa.array(np.full(len(words), number, np.int32)), "word": pa.array(words.view(np.int64))})
 
     def run(block: pa.Table, words: pa.Table) -> pa.Table:
         weights, own = shared.value
         order = np.argsort(words.column("word").to_numpy().view(np.uint64))
-        known = {
-            "word": words.column("word").to_numpy().view(np.uint64)[order],
-            "n": words.column("n").to_numpy()[order],
-        }
+        known = {x: words.column(x).to_numpy()[order] for x in ("word", "n", "leaf_n")}
+        known["word"] = known["word"].view(np.uint64)
         out = score_block(encoded(block.column("text")), known, weights, own)
         doc = block.column("doc_id").to_pylist()
         held = [zlib.crc32(b"" if x is None else str(x).encode()) % FOLDS == 0 for x in doc]
@@ -263,12 +372,12 @@ def scored(docs: DataFrame, counts: DataFrame, own: Counts, weights: np.ndarray)
         )
 
     words = texts.groupBy("block").applyInArrow(distinct, "block int, word long")
-    known = words.join(counts.select("word", "n"), "word").select("block", "word", "n")
+    known = words.join(counts, "word").select("block", "word", "n", "leaf_n")
     return texts.groupBy("block").cogroup(known.groupBy("block")).applyInArrow(run, SCORES)
 
 
 def score_documents(docs: DataFrame) -> DataFrame:
     """Train on all documents outside the held-out fold and score all."""
     counts = stored(token_counts(docs), "counts")
-    own = summary(counts)
-    return scored(docs, counts, own, trained(docs, own))
+    own = tree(counts)
+    return scored(docs, stored(shares(counts, own), "shares"), own, trained(docs, own))

@@ -1,6 +1,7 @@
 """Top-k search against brute force; learned models by their counts, their normalisation and held-out accuracy."""
 
 import math
+import random
 import re
 import zlib
 from collections import Counter
@@ -9,6 +10,7 @@ import numpy as np
 import pytest
 from eventloom.llm import labelled, language_model, quality, top_k, toxicity
 from eventloom.llm.subword import Shape, Training, train
+from eventloom.llm.words import mix
 from helpers import awkward, empty, pairs  # noqa: F401
 
 
@@ -67,30 +69,105 @@ def test_base_scores(awkward, empty):
     assert language_model.score_documents(empty).count() == 0
 
 
-def test_model_is_a_distribution():
-    """Over all known tokens and one unknown token of each tail class, the chances after any context sum to 1."""
-    rng = np.random.default_rng(3)
-    known = [f"k{i}" for i in range(300)]
-    token, tails, _ = language_model.tokens([w.encode() for w in known])
-    words, one = np.unique(token, return_index=True)
-    n = rng.integers(1, 50, len(words)).astype(np.int64)
-    short = np.sort(words[np.argsort(-n)[:20]])
-    rest = ~np.isin(words, short)
-    tail_total = np.bincount(tails[one][rest], n[rest], language_model.TAIL)
-    unknown = np.full(language_model.TAIL, 0.07)
-    own = language_model.Counts(int(n.sum()), len(words), short, rng.normal(size=language_model.TAIL + 20), tail_total, unknown)
-    weights = rng.normal(size=(language_model.ROWS, language_model.TAIL + 20)).astype(np.float32)
-    context = language_model.features(np.array([7, 8, 9, 10], np.uint64), np.array([4]))
-    classes = np.exp(language_model.log_softmax(weights, own.prior.astype(np.float32), context))[3]
-    assert classes.sum() == pytest.approx(1, abs=1e-5)
-    total = classes[language_model.TAIL :].sum()
-    for t in range(language_model.TAIL):
-        if tail_total[t]:
-            shares = (1 - unknown[t]) * n[rest & (tails[one] == t)] / tail_total[t]
-            total += classes[t] * (shares.sum() + unknown[t])
-        else:
-            total += classes[t]
-    assert total == pytest.approx(1, abs=1e-5)
+def model(spark, texts, monkeypatch, frequent=20):
+    """A tree and weights over some texts, few of whose tokens are frequent."""
+    monkeypatch.setattr(language_model, "FREQUENT", frequent)
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    counts = language_model.token_counts(docs).persist()
+    own = language_model.tree(counts)
+    return docs, counts, own, language_model.trained(docs, own)
+
+
+def texts_of_few_words(many):
+    rng = random.Random(3)
+    words = [f"k{i}" for i in range(400)]
+    return [" ".join(words[min(int(rng.paretovariate(0.7)) - 1, 399)] for _ in range(rng.randint(0, 60))) for _ in range(many)]
+
+
+def plain_path(own, token):
+    """Nodes and branches of a token, by plain integers."""
+    place = {int(x): k for k, x in enumerate(own.frequent)}.get(token)
+    line = len(own.frequent) if place is None else place
+    path = [(int(own.node[line, k]), int(own.branch[line, k]), int(own.node[line, k])) for k in range(int(own.depth[line]))]
+    if place is None:
+        for k in range(own.digits):
+            prefix, digit = token >> (64 - 4 * k), token >> (60 - 4 * k) & 15
+            path.append(((prefix * int(language_model.ODD) + k + (1 << 40)) % (1 << 64), digit, len(own.prior) - 1))
+    return path
+
+
+def plain_chances(own, weights, node, line, past):
+    """The softmax of a node after two tokens."""
+    one, two = past
+    kinds = [one, two * int(language_model.ODD) % (1 << 64), node]
+    *mixed, at = [int(x) for x in mix(np.array(kinds, np.uint64))]
+    z = own.prior[line].astype(float)
+    for kind in mixed:
+        row = ((kind ^ at) * int(language_model.ODD) % (1 << 64)) >> (64 - own.bits)
+        z = z + weights[row]
+    e = np.exp(z - z.max())
+    return e / e.sum()
+
+
+def test_scores_by_brute_force(spark, monkeypatch):
+    docs, counts, own, weights = model(spark, texts_of_few_words(150), monkeypatch)
+    assert own.digits >= 2 and np.abs(weights).max() > 0.1
+    n = {x.word % (1 << 64): x.n for x in counts.collect()}
+    frequent, digits = {int(x) for x in own.frequent}, own.digits
+    leaves = Counter()
+    for token, k in n.items():
+        if token not in frequent:
+            leaves[token >> (64 - 4 * digits)] += k
+    found = language_model.scored(docs, language_model.shares(counts, own), own, weights).collect()
+    assert len(found) == 150
+    texts = dict(map(tuple, docs.collect()))
+    for x in found[:40]:
+        token = [int(t) for t in language_model.tokens([texts[x.doc_id].encode()])[0]]
+        score, start = 0.0, int(language_model.START)
+        for k, t in enumerate(token):
+            past = (token[k - 1] if k else start, token[k - 2] if k > 1 else start)
+            for node, branch, line in plain_path(own, t):
+                score += math.log10(plain_chances(own, weights, node, line, past)[branch])
+            if t not in frequent:
+                known = t in n
+                score += math.log10((1 - own.unknown) * n[t] / leaves[t >> (64 - 4 * digits)] if known else own.unknown)
+        assert x.score == pytest.approx(score, rel=1e-4, abs=1e-3)
+
+
+def test_model_is_a_distribution(spark, monkeypatch):
+    """After any context the chances of all known tokens, of one unknown token a leaf, and of empty leaves sum to 1."""
+    _, counts, own, weights = model(spark, texts_of_few_words(60), monkeypatch)
+    n = {x.word % (1 << 64): x.n for x in counts.collect()}
+    frequent = {int(x) for x in own.frequent}
+    leaves = Counter()
+    for token, k in n.items():
+        if token not in frequent:
+            leaves[token >> (64 - 4 * own.digits)] += k
+
+    def chance(token, past):
+        out = 1.0
+        for node, branch, line in plain_path(own, token):
+            out *= plain_chances(own, weights, node, line, past)[branch]
+        return out
+
+    for past in ((7, 9), (int(own.frequent[0]), int(own.frequent[1]))):
+        total = sum(chance(t, past) for t in frequent)
+        for leaf in range(16**own.digits):
+            mass = chance(leaf << (64 - 4 * own.digits), past)
+            tokens = [t for t in n if t not in frequent and t >> (64 - 4 * own.digits) == leaf]
+            total += sum(mass * (1 - own.unknown) * n[t] / leaves[leaf] for t in tokens)
+            total += mass * (own.unknown if tokens else 1)
+        assert total == pytest.approx(1, abs=1e-4)
+
+
+def test_paths_of_a_huffman_tree():
+    weights = [1000, 500, *range(1, 60)]
+    paths, nodes = language_model.huffman(weights)
+    assert len({tuple(x) for x in paths}) == len(weights)
+    assert len(paths[0]) == 1 and max(map(len, paths)) == 3 or len(paths[2]) >= 2
+    for path, w in zip(paths, weights, strict=True):
+        assert nodes[path[-1][0]][path[-1][1]] == w
+    assert language_model.huffman([5]) == ([[]], [])
 
 
 def test_language_model_beats_the_base_on_held_out_texts(spark):
