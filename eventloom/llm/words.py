@@ -127,31 +127,6 @@ def hashed(
     return out
 
 
-def alike(data: np.ndarray, starts: np.ndarray, ends: np.ndarray, first: np.ndarray) -> bool:
-    """Whether every span has the bytes of another one, whose number `first` has."""
-    lengths = ends - starts
-    if (lengths != lengths[first]).any():
-        return False
-    other = np.flatnonzero(first != np.arange(len(first)))
-    for i in other[lengths[other] > _STEP].tolist():
-        at = starts[first[i]]
-        if not np.array_equal(data[starts[i] : ends[i]], data[at : at + lengths[i]]):
-            return False
-    other = other[lengths[other] <= _STEP]
-    upto = np.cumsum(lengths[other])
-    i = 0
-    while i < len(other):  # about a million bytes at once
-        end = max(i + 1, int(np.searchsorted(upto, (upto[i - 1] if i else 0) + (1 << 20), side="right")))
-        some = other[i:end]
-        each = lengths[some]
-        within = np.arange(int(each.sum())) - np.repeat(np.cumsum(each) - each, each)
-        own, theirs = np.repeat(starts[some], each), np.repeat(starts[first[some]], each)
-        if (data[own + within] != data[theirs + within]).any():
-            return False
-        i = end
-    return True
-
-
 def words(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
     """The hash of every word, and how many words each text has."""
     data, begin = joined(texts)
