@@ -417,7 +417,7 @@ def split_points(texts: DataFrame, buckets: int, documents: int) -> np.ndarray:
                 yield pa.RecordBatch.from_arrays([pa.array([x.tobytes() for x in around[:, LEFT : LEFT + GRAM]], pa.binary())], schema=schema)
 
     share = min(1.0, SAMPLE * buckets / max(1, documents))
-    sample = texts.where(F.pmod(F.xxhash64("doc_id", F.lit("sample")), F.lit(1 << 30)) < int(share * (1 << 30)))
+    sample = texts.where(F.pmod(F.xxhash64("doc_id", "text", F.lit("sample")), F.lit(1 << 30)) < int(share * (1 << 30)))
     order = F.xxhash64("head", F.monotonically_increasing_id())
     found = sample.mapInArrow(heads, "head binary").orderBy(order).limit(64 * buckets).toArrow()
     values = np.sort(np.array(found.column("head").to_pylist(), dtype=f"S{GRAM}"))
@@ -443,7 +443,8 @@ def in_blocks(docs: DataFrame) -> tuple[DataFrame, dict[str, int]]:
     size = plain.agg(F.count("*").alias("n"), F.sum(F.octet_length("text")).alias("bytes")).first()
     blocks = max(1, -(-(size.bytes or 0) // BLOCK_BYTES))
     buckets = min(BUCKETS, max(1, -(-(size.bytes or 0) // BUCKET_BYTES)))
-    placed = plain.withColumn("block", F.pmod(F.xxhash64("doc_id"), F.lit(blocks)).cast("int"))
+    # by the text as well, so that rows without an id, or of one id, don't fill a block
+    placed = plain.withColumn("block", F.pmod(F.xxhash64("doc_id", "text"), F.lit(blocks)).cast("int"))
     return placed, {"blocks": blocks, "buckets": int(buckets), "documents": size.n}
 
 
@@ -484,7 +485,7 @@ def without_repeats(docs: DataFrame, hot: int = HOT, number: str = "doc_id") ->
     others = F.struct(*[F.col(f"`{x}`") for x in kept if x != "text"]).alias("others")
     result = docs.select([F.col(f"`{x}`") for x in kept]).schema
     rows = docs.select(key, F.coalesce(F.col("text"), F.lit("")).alias("text"), others)
-    rows = rows.withColumn("block", F.pmod(F.xxhash64("doc_id"), F.lit(sizes["blocks"])).cast("int"))
+    rows = rows.withColumn("block", F.pmod(F.xxhash64("doc_id", "text"), F.lit(sizes["blocks"])).cast("int"))
     schema = to_arrow_schema(result)
     return rows.groupBy("block").cogroup(found.groupBy("block")).applyInArrow(
         lambda x, y: cleaned(x, y, schema), result

@@ -236,6 +236,19 @@ def test_texts_without_repeated_strings_keep_their_columns(awkward, empty):
     assert suffix_dedup.without_repeats(empty).schema == empty.schema
 
 
+def test_rows_without_an_id_are_spread_over_the_blocks(spark, monkeypatch):
+    monkeypatch.setattr(suffix_dedup, "BLOCK_BYTES", 2_000)
+    rng = random.Random(12)
+    passage = "".join(rng.choices("abcdefgh ", k=120))
+    rows = [(None if k % 3 == 0 else k // 2, "".join(rng.choices("ijklmn ", k=90)) + passage * (k % 4 == 1)) for k in range(90)]
+    frame = spark.createDataFrame(rows, "doc_id long, text string")
+    placed, sizes = suffix_dedup.in_blocks(frame)
+    assert sizes["blocks"] > 3
+    assert placed.where("doc_id IS NULL").select("block").distinct().count() > 3
+    found = Counter(map(tuple, suffix_dedup.deduplicated(frame).collect()))
+    assert found == strings_brute([(d, t) for d, t in rows], suffix_dedup.LENGTH)
+
+
 def test_multikey_order():
     rng = np.random.default_rng(6)
     rows = rng.integers(0, 3, (500, 21), dtype=np.uint8)
