@@ -34,6 +34,12 @@ def dead_letter_size(letters: DataFrame) -> DataFrame:
 
 
 def consumer_lag(appended: DataFrame, processed: DataFrame) -> DataFrame:
+    """Messages on the log that have not been consumed, where they are known by their ids only."""
+    unread = appended.select("msg_id").join(processed.select("msg_id"), "msg_id", "left_anti")
+    return unread.agg(F.count("*").alias("lag"))
+
+
+def lag_by_marks(appended: DataFrame, processed: DataFrame) -> DataFrame:
     """Messages on the log that have not been consumed, by high-water marks.
 
     Both have `source` (a partition or file of the log) and `offset`, counted from 0 within it, and are read in this order;

@@ -872,7 +872,7 @@ def metrics_lag(spark, sf_dir):
     """Three tenths of the log are still unread."""
     number = F.col("event_id")
     log = events_table(spark, sf_dir).select((number % 10).alias("source"), F.floor(number / 10).alias("offset"))
-    return metrics.consumer_lag(log, log.where(F.col("source") < 7))
+    return metrics.lag_by_marks(log, log.where(F.col("source") < 7))
 
 
 @registered("latency_histogram")

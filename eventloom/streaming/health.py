@@ -28,11 +28,14 @@ HEALTH = T.StructType(
         T.StructField("empty_messages", T.LongType()),
         T.StructField("duration_seconds", T.DoubleType()),
         T.StructField("behind_offsets", T.StringType()),
-        T.StructField("state_rows", T.LongType()),
-        T.StructField("late_rows", T.LongType()),
     ]
 )
 
+# With what the query's state holds, and the rows that came too late for it.
+REPORT = T.StructType(
+    [*HEALTH.fields, T.StructField("state_rows", T.LongType()), T.StructField("late_rows", T.LongType())]
+)
+
 GAUGE = T.StructType(
     [
         T.StructField("taken_at", T.StringType()),
@@ -56,7 +59,7 @@ def health_rows(spark: SparkSession, progresses: Iterable[StreamingQueryProgress
     Spark keeps a bounded number of reports per query
     (`spark.sql.streaming.numRecentProgressUpdates`).
     """
-    return spark.createDataFrame([_row(progress) for progress in progresses], HEALTH)
+    return spark.createDataFrame([_row(progress) for progress in progresses], REPORT)
 
 
 def _row(progress: StreamingQueryProgress) -> tuple:
@@ -124,8 +127,8 @@ class HealthLog(StreamingQueryListener):
 
 def reported(spark: SparkSession, path: str) -> DataFrame:
     """What a `HealthLog` has written, one row per micro-batch: a replayed one reports again."""
-    rows = spark.read.schema(HEALTH).parquet(path)
-    last = F.max_by(F.struct(*HEALTH.fieldNames()), "reported_at").alias("_row")
+    rows = spark.read.schema(REPORT).parquet(path)
+    last = F.max_by(F.struct(*REPORT.fieldNames()), "reported_at").alias("_row")
     return rows.groupBy("query_id", "batch_id").agg(last).select("_row.*")
 
 

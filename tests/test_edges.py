@@ -204,7 +204,7 @@ def test_removed_projects_lose_their_events(spark, folder, monkeypatch):
 
 def test_projects_are_removed_from_parts_in_one_job(spark, folder):
     path, other = folder("store"), KNOWN[:-1] + "2"
-    day = seconds(86_400)
+    day = timedelta(days=1)
     for batch_id in range(6):
         rows = [event(10 * batch_id + k, project=other if k == batch_id else KNOWN, at=NOW - k * day) for k in range(4)]
         rows.append(event(10 * batch_id + 9, project=KNOWN, at=NOW))
