@@ -213,7 +213,7 @@ def log_softmax(weights: np.ndarray, prior: np.ndarray, rows: list[np.ndarray])
     for own in rows:
         z += weights.take(own, axis=0)
     np.minimum(z, 60, out=z)  # exponentials then fit into 32 bits, unless all are far below
-    total = np.exp(z) @ np.ones(WIDTH, np.float32)
+    total = np.einsum("ij->i", np.exp(z))  # a matrix product would set many threads to work
     far = np.flatnonzero(total < 1e-30)
     if len(far):
         top = z[far].max(axis=1, keepdims=True)
