@@ -45,7 +45,7 @@ BUCKET_BYTES = 8 << 20
 CHUNK = 512
 BAND = 1.5
 #: A class takes along so many of its smallest signatures; a group looks at the most common ones, one for each bit.
-CARRIED = 6
+CARRIED = 3
 ODD = np.uint64(0x9FB21C651E98DF25)
 
 
