@@ -127,3 +127,13 @@ def test_micro_batches_carry_their_use_over(spark, folder):
             for _ in range(2):  # a replay changes nothing
                 quota_batch(part, batch_id, decisions, ledger, LIMITS, anchored)
         assert found(spark.read.parquet(decisions)) == expected
+
+
+def test_empty_micro_batches_are_judged(spark, folder):
+    """A part of a log without rows, as the first micro-batch, between others and as the last."""
+    rows = sorted(traffic(600, 400, 3), key=lambda r: (r[2], r[0]))
+    for anchored, expected in [(False, by_fixed_windows(rows)), (True, by_anchored_windows(rows)[0])]:
+        decisions, ledger = folder(f"decisions-{anchored}"), folder(f"ledger-{anchored}")
+        for batch_id, part in enumerate([[], rows[:300], [], rows[300:], []]):
+            quota_batch(spark.createDataFrame(part, SCHEMA), batch_id, decisions, ledger, LIMITS, anchored)
+        assert found(spark.read.parquet(decisions)) == expected
