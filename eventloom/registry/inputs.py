@@ -12,7 +12,7 @@ from eventloom.model import EVENT_COLUMNS, PROPERTIES
 from eventloom.operators.wire import encode_events
 from eventloom.plans.ingest import accepted_events, outcomes
 from eventloom.plans.scratch import fresh_path
-from eventloom.plans.spread import spread
+from eventloom.plans.spread import ROWS_PER_TASK, spread, tasks_for
 from eventloom.settings import Settings
 from eventloom.sources.store import append_events, read_events
 
@@ -30,7 +30,7 @@ def as_of() -> Column:
 
 def events_table(spark: SparkSession, sf_dir: str) -> DataFrame:
     events = spark.read.parquet(f"{sf_dir}/events.parquet")
-    return with_mapping(spread(events))
+    return with_mapping(spread(events, events.count()))
 
 
 def with_mapping(events: DataFrame) -> DataFrame:
@@ -216,7 +216,10 @@ def messages(mapped: DataFrame) -> DataFrame:
 # The days that the parts of the streamed log begin on.
 STREAM_PARTS = ["2024-01-08", "2024-01-16", "2024-01-24"]
 
-_streamed: dict[tuple[str, str], str] = {}
+# Events in a file of such a part.
+PART_FILE_ROWS = 1_000_000
+
+_streamed: dict[tuple[str, str], tuple[str, int, int]] = {}
 
 
 def stream_part(ts: Column) -> Column:
@@ -234,12 +237,34 @@ def stream_events(spark: SparkSession, sf_dir: str) -> DataFrame:
     events = spark.read.parquet(f"{sf_dir}/events.parquet")
     if key not in _streamed:
         path = fresh_path(spark, "streamed")
-        part = stream_part(F.col("ts").cast("timestamp"))
-        for number in range(len(STREAM_PARTS) + 1):
-            events.where(part == number).write.parquet(f"{path}/part={number}")
-        _streamed[key] = path
-    files = spark.readStream.schema(events.schema).option("maxFilesPerTrigger", 1).parquet(f"{_streamed[key]}/*")
-    return with_mapping(files)
+        _streamed[key] = (path, *write_parts(events, path))
+    path, files, most = _streamed[key]
+    reader = spark.readStream.schema(events.schema).option("maxFilesPerTrigger", files)
+    return with_mapping(spread_stream(reader.parquet(f"{path}/*"), most))
+
+
+def write_parts(events: DataFrame, path: str) -> tuple[int, int]:
+    """Write the parts of the log, all as the same number of files: that number, and the rows of the largest part.
+
+    So a part is one micro-batch whatever its size.  What is missing to the number, as tasks without rows write no
+    file, are empty files.
+    """
+    spark, part = events.sparkSession, stream_part(F.col("ts").cast("timestamp"))
+    counts = [row["count"] for row in events.groupBy(part).count().collect()]
+    most = max(counts, default=0)
+    files = max(1, -(-most // PART_FILE_ROWS))
+    none = spark.createDataFrame([], events.schema).coalesce(1)
+    for number in range(len(STREAM_PARTS) + 1):
+        place = f"{path}/part={number}"
+        events.where(part == number).repartition(files).write.parquet(place)
+        for _ in range(files - len(spark.read.schema(events.schema).parquet(place).inputFiles())):
+            none.write.mode("append").parquet(place)
+    return files, most
+
+
+def spread_stream(files: DataFrame, rows: int) -> DataFrame:
+    """A stream of files whose micro-batches have so many rows; large ones are dealt to tasks of a bounded size."""
+    return files.repartition(tasks_for(files, rows)) if rows > ROWS_PER_TASK else files
 
 
 _stored: dict[tuple[str, str], str] = {}

@@ -803,7 +803,8 @@ def stream_lag(spark, sf_dir):
     given = spark.read.parquet(f"{sf_dir}/events.parquet")
     part = inputs.stream_part(F.col("ts").cast("timestamp"))
     given.where(part < 3).write.parquet(f"{log}/part=0")
-    files = inputs.with_mapping(spark.readStream.schema(given.schema).parquet(f"{log}/*"))
+    files = spark.readStream.schema(given.schema).parquet(f"{log}/*")
+    files = inputs.with_mapping(inputs.spread_stream(files, given.where(part < 3).count()))
     consume.consume(inputs.messages(files), fresh_path(spark, "consumed"), letters, checkpoint).awaitTermination()
     given.where(part == 3).write.parquet(f"{log}/part=1")
     lag = health.unread(spark.read.schema(given.schema).parquet(f"{log}/*"), checkpoint)

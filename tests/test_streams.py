@@ -7,6 +7,8 @@ from test_store import wire
 
 from eventloom.operators import metrics
 from eventloom.operators.wire import decode_messages, decoded_events
+from eventloom.plans import spread
+from eventloom.registry import inputs
 from eventloom.settings import Settings
 from eventloom.sources import raw, store
 from eventloom.streaming import consume, health
@@ -116,3 +118,25 @@ def test_health_log(spark, folder):
 
     log.onQueryProgress(Event)
     assert spark.read.parquet(folder("health")).first().messages == 1
+
+
+def test_a_part_is_one_micro_batch_of_several_files(spark, folder, monkeypatch):
+    """Whatever the size of the parts; the third has no rows, the last fewer than there are files."""
+    monkeypatch.setattr(inputs, "PART_FILE_ROWS", 40)
+    days = ["2024-01-01"] * 200 + ["2024-01-09"] * 130 + ["2024-01-30"] * 2 + [None]
+    rows = [(n, day, n % 7, "view", 1.0, '{"k": 1}') for n, day in enumerate(days)]
+    events = spark.createDataFrame(rows, "event_id long, ts string, user_id long, event_type string, value double, props string")
+    events.withColumn("ts", F.col("ts").cast("timestamp")).repartition(3).write.parquet(folder("sf/events.parquet"))
+    seen = {}
+    stream = inputs.stream_events(spark, folder("sf"))
+    handle = lambda batch, n: seen.update({n: sorted(row.event_id for row in batch.collect())})
+    consume.start(stream, handle, folder("checkpoint")).awaitTermination()
+    assert seen == {0: [*range(200), 332], 1: [*range(200, 330)], 2: [], 3: [330, 331]}
+
+
+def test_large_inputs_are_dealt_to_tasks_of_a_bounded_size(spark, folder):
+    spark.range(5).coalesce(1).write.parquet(folder("ids"))
+    scan, rows = spark.read.parquet(folder("ids")), 40 * spread.ROWS_PER_TASK
+    assert spread.spread(scan).rdd.getNumPartitions() == spark.sparkContext.defaultParallelism
+    assert spread.spread(scan, rows - 1).rdd.getNumPartitions() == 40
+    assert inputs.spread_stream(scan, rows).rdd.getNumPartitions() == 40
