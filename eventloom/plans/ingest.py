@@ -18,6 +18,7 @@ from eventloom.operators.rejects import default_message, quota_message
 from eventloom.operators.requests import open_requests, parse_bodies
 from eventloom.operators.tenants import resolve_tenants
 from eventloom.operators.validate import check_events, failure, is_valid
+from eventloom.plans.fence import fenced
 from eventloom.settings import Settings
 
 # A valid event cannot be written in fewer characters than its three required
@@ -33,17 +34,20 @@ def sized_items(requests: DataFrame, settings: Settings) -> DataFrame:
     Every item takes exactly one of the two branches.
     """
     limit = settings.max_batch
-    # Not fenced, so the filter on it reaches the unparsed bodies.
+    # Body and document are fenced, so that they are computed once; the body's length
+    # is not, so the filter on it reaches the unparsed bodies.
     long_body = (F.col("kind") == "batch") & (F.length("body") > _SHORTEST_EVENT * limit)
     long_body = F.coalesce(long_body, F.lit(False))
-    opened = open_requests(parse_bodies(requests.withColumn("long_body", long_body)))
-    items = check_events(opened, settings, ("unreadable", "request_errors", "raw_items", "pos"))
+    sized = fenced(requests, "body").withColumn("long_body", long_body)
+    opened = open_requests(fenced(parse_bodies(sized), "doc"))
 
+    # Told apart before the items are checked, which is what takes the time.
     long_list = F.col("long_body") & (F.col("raw_items") > limit)
-    regular = items.where(~long_list).withColumn("oversized", F.lit(False))
+    computed = ("unreadable", "request_errors", "raw_items", "pos")
+    regular = check_events(opened.where(~long_list), settings, computed).withColumn("oversized", F.lit(False))
     # A window holds the items of one body, which one task has opened before.
     valid = F.count_if(is_valid()).over(Window.partitionBy("request_id"))
-    long_lists = items.where(long_list).withColumn("oversized", valid > limit)
+    long_lists = check_events(opened.where(long_list), settings, computed).withColumn("oversized", valid > limit)
     return regular.unionByName(long_lists).drop("long_body")
 
 
