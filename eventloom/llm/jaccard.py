@@ -13,11 +13,12 @@ No link is lost.
    reducer no more records than there are blocks.
 3. `groups`: classes that share a signature; of groups with the same classes one is kept. Large groups are cut into
    chunks, and pairs of chunks are compared in blocks. Parity sketches, a bit per hash with the parity of the set's
-   shingles there, bound the difference of two sets from below, so they rule out pairs without loss. In the first round
-   a pair that has several signatures in common is left to the smallest one that both classes take along.
-4. Two rounds of exact verification on whole sets: first, of each group, only a forest of the closest pairs; then, after
-   components have been formed, whatever is left between different components. So the pairs that are verified grow with
-   the classes, not with the square of a group.
+   shingles there, bound the difference of two sets from below, so they rule out pairs without loss.
+4. Three rounds of exact verification on whole sets, with components formed after each. First a class takes part in its
+   `FEW` largest groups only, each chunk of which gives a forest of its closest pairs: no more than `FEW` pairs for each
+   class. Then all groups and all pairs of chunks give a forest between the components that they hold; a group whose
+   classes are one component by now gives none. Last comes whatever is left between different components. So as long as
+   what the sketches let pass also links, the pairs grow with the classes, not with the square of a group.
 
 Shingles and sets are told apart by 64-bit hashes. A document with fewer words than a shingle has one shingle, all its
 words; one without words (null, empty or white space) has none and links with nothing. Repeated rows and equal texts
@@ -44,8 +45,8 @@ BUCKET_BYTES = 8 << 20
 #: Classes of a group that are compared at once.
 CHUNK = 512
 BAND = 1.5
-#: A class takes along so many of its smallest signatures; a group looks at the most common ones, one for each bit.
-CARRIED = 3
+#: Groups that a class takes part in in the first round.
+FEW = 2
 ODD = np.uint64(0x9FB21C651E98DF25)
 
 
@@ -222,17 +223,24 @@ def sets_of(docs: DataFrame, classes: DataFrame, groups: DataFrame, width: int)
     return sets.dropDuplicates(["key"])
 
 
-def close_pairs(groups: DataFrame, sets: DataFrame, bands: Bands, roots: DataFrame | None = None) -> DataFrame:
+def largest_groups(groups: DataFrame) -> DataFrame:
+    """Of each class, the `FEW` groups that most classes share."""
+    sizes = stored(groups.groupBy("sig").agg(F.count("*").alias("m")), "sizes")
+    # a class has few hundred at most
+    largest = F.slice(F.sort_array(F.collect_list(F.struct("m", "sig")), asc=False), 1, FEW).alias("_largest")
+    own = groups.join(sizes, "sig").groupBy("key").agg(largest)
+    return stored(own.select(F.explode("_largest.sig").alias("sig"), "key"), "largest")
+
+
+def close_pairs(
+    groups: DataFrame, sets: DataFrame, bands: Bands, roots: DataFrame | None = None, forest: bool = True
+) -> DataFrame:
     """Pairs (a, b) of classes of a group that their sizes and sketches allow to link.
 
-    Without `roots`, of each group only a forest of the closest pairs; with them, all between different components.
+    Without `roots`, of each chunk only a forest of the closest pairs, and none between chunks. With them, pairs between
+    different components in all pairs of chunks: a forest of components, or all.
     """
     members_ = groups.join(sets.select("key", "n", "sketch"), "key")
-    if roots is None:
-        least = F.slice(F.sort_array(F.collect_list("sig")), 1, CARRIED).alias("least")  # a class has few hundred at most
-        members_ = members_.join(groups.groupBy("key").agg(least), "key")
-    else:  # few are left, which does not make up for what they would take along
-        members_ = members_.withColumn("least", F.array().cast("array<long>"))
     if roots is None:
         members_ = members_.withColumn("root", F.col("key"))
     else:
@@ -242,10 +250,10 @@ def close_pairs(groups: DataFrame, sets: DataFrame, bands: Bands, roots: DataFra
     chunks = F.ceil(F.count("*") / CHUNK).cast("int").alias("chunks")
     sizes = members_.groupBy("sig").agg(chunks, F.min("root").alias("_low"), F.max("root").alias("_high"))
     sizes = stored(sizes.where("_low <> _high").select("sig", "chunks"), "sizes")
-    members_ = members_.join(sizes, "sig").withColumn("own", F.pmod(F.xxhash64("key"), "chunks").cast("int"))
-    members_ = members_.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("chunks") - 1)))
+    members_ = members_.join(sizes, "sig").withColumn("own", F.pmod(F.xxhash64("key", "sig"), "chunks").cast("int"))
+    others = F.array("own") if roots is None else F.sequence(F.lit(0), F.col("chunks") - 1)
+    members_ = members_.withColumn("other", F.explode(others))
     members_ = members_.withColumns({"low": F.least("own", "other"), "high": F.greatest("own", "other")})
-    forest = roots is None
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for some in whole_groups(batches, ("sig", "low", "high")):
@@ -253,7 +261,7 @@ def close_pairs(groups: DataFrame, sets: DataFrame, bands: Bands, roots: DataFra
             pairs = np.unique(np.concatenate([np.empty((0, 2), np.int64), *found]), axis=0)
             yield pa.RecordBatch.from_arrays([pa.array(pairs[:, 0]), pa.array(pairs[:, 1])], ["a", "b"])
 
-    columns = ["sig", "low", "high", "own", "key", "root", "n", "sketch", "least"]
+    columns = ["sig", "low", "high", "own", "key", "root", "n", "sketch"]
     sorted_ = members_.select(*columns).repartition("sig", "low", "high").sortWithinPartitions("sig", "low", "high", "key")
     return sorted_.mapInArrow(run, "a long, b long").distinct()
 
@@ -277,18 +285,13 @@ def whole_groups(batches: Iterable[pa.RecordBatch], by: tuple[str, ...]) -> Iter
 
 def split(table: pa.Table, cuts: list[int]) -> list[dict]:
     table = table.combine_chunks()
-    columns = {c: table.column(c).to_numpy() for c in table.column_names if c not in ("sketch", "least")}
+    columns = {c: table.column(c).to_numpy() for c in table.column_names if c != "sketch"}
     columns["sketch"] = table.column("sketch").to_pylist()
-    least = table.column("least").chunk(0)
-    ends, flat = least.offsets.to_numpy(), least.values.to_numpy()
-    return [
-        {c: x[a:b] for c, x in columns.items()} | {"least": flat[ends[a] : ends[b]], "carried": np.diff(ends[a : b + 1])}
-        for a, b in zip(cuts[:-1], cuts[1:], strict=True)
-    ]
+    return [{c: x[a:b] for c, x in columns.items()} for a, b in zip(cuts[:-1], cuts[1:], strict=True)]
 
 
 def allowed(group: dict, bands: Bands, forest: bool) -> np.ndarray | None:
-    """The pairs of a group (or of two chunks of one) that may link; with `forest`, enough of them to connect it."""
+    """The pairs of a group (or of two chunks of one) that may link; with `forest`, enough of them to connect its roots."""
     m = len(group["key"])
     if m < 2:
         return None
@@ -296,7 +299,6 @@ def allowed(group: dict, bands: Bands, forest: bool) -> np.ndarray | None:
     bits = np.stack([folded(x, size) for x in group["sketch"]])
     n, key, root, own = group["n"], group["key"], group["root"], group["own"]
     across = group["low"][0] != group["high"][0]
-    held = earlier_signatures(group["least"], group["carried"], group["sig"][0])
     step = max(1, (16 << 20) // (m * size))
     found = []
     for i in range(0, m - 1, step):
@@ -307,17 +309,16 @@ def allowed(group: dict, bands: Bands, forest: bool) -> np.ndarray | None:
         near &= root[a, None] != root[None, :]
         if across:
             near &= own[a, None] != own[None, :]
-        if held is not None:
-            near &= (held[a, None] & held[None, :]) == 0
         left, right = np.nonzero(np.triu(near, i + 1))
         found.append(np.stack([apart[left, right], left + i, right], 1))
     pairs = np.concatenate(found)
     if forest:
         pairs = pairs[np.lexsort((pairs[:, 2], pairs[:, 1], pairs[:, 0]))]
-        parent = list(range(m))
+        names, of = np.unique(root, return_inverse=True)
+        parent, of = list(range(len(names))), of.tolist()
         kept = []
         for at, (_, x, y) in enumerate(pairs.tolist()):
-            x, y = top(parent, x), top(parent, y)
+            x, y = top(parent, of[x]), top(parent, of[y])
             if x != y:
                 parent[max(x, y)] = min(x, y)
                 kept.append(at)
@@ -326,22 +327,6 @@ def allowed(group: dict, bands: Bands, forest: bool) -> np.ndarray | None:
     return np.stack([np.minimum(a, b), np.maximum(a, b)], 1)
 
 
-def earlier_signatures(least: np.ndarray, carried: np.ndarray, sig: int) -> np.ndarray | None:
-    """A bit for each smaller signature that a member has: two with the same bit meet in that one's group as well."""
-    owner, many = np.repeat(np.arange(len(carried)), carried), len(carried)
-    owner, least = owner[least < sig], least[least < sig]
-    values, which, count = np.unique(least, return_inverse=True, return_counts=True)
-    common = np.argsort(-count, kind="stable")[:64]
-    common = common[count[common] > 1]
-    if not len(common):
-        return None
-    bit = np.zeros(len(values), dtype=np.uint64)
-    bit[common] = np.uint64(1) << np.arange(len(common), dtype=np.uint64)
-    held = np.zeros(many, dtype=np.uint64)
-    np.bitwise_or.at(held, owner, bit[which])
-    return held
-
-
 def top(parent: list[int], x: int) -> int:
     while parent[x] != x:
         parent[x] = parent[parent[x]]
@@ -384,10 +369,12 @@ def linked(docs: DataFrame, of: DataFrame, width: int, percent: int) -> DataFram
     one = shared.groupBy("sig").agg(*content).groupBy("m", "h", "x").agg(F.min("sig").alias("sig")).select("sig")
     groups = stored(shared.join(one, "sig", "left_semi"), "groups")
     sets = stored(sets_of(docs, classes, groups, width), "sets")
-    links = stored(verified(stored(close_pairs(groups, sets, bands), "pairs"), sets, percent), "verified")
+    links = stored(verified(stored(close_pairs(largest_groups(groups), sets, bands), "pairs"), sets, percent), "verified")
+    for forest in (True, False):
+        roots = components(links)
+        more = verified(stored(close_pairs(groups, sets, bands, roots, forest), "pairs"), sets, percent)
+        links = links.union(stored(more, "verified"))
     roots = components(links)
-    more = verified(stored(close_pairs(groups, sets, bands, roots), "pairs"), sets, percent)
-    roots = components(links.union(stored(more, "verified")))
     placed = classes.join(roots.withColumnRenamed("node", "key"), "key", "left")
     return placed.withColumn("root", F.coalesce("root", "key"))
 

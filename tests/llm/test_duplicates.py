@@ -147,6 +147,24 @@ def test_near_duplicates(spark, awkward, monkeypatch, width, percent, chunk):
     assert Counter(map(tuple, jaccard.near_duplicates(frame, width, percent).collect())) == near_brute(rows, width, percent)
 
 
+def test_pairs_of_a_large_group_grow_with_its_classes(spark, monkeypatch):
+    monkeypatch.setattr(jaccard, "CHUNK", 8)
+    words = [f"w{k}" for k in range(160)]
+    rows = [(k, " ".join([*words[:k], "other", *words[k + 1 :]])) for k in range(150)]  # all of them link
+    compared, whole = [], jaccard.stored
+
+    def counted(frame, label):
+        frame = whole(frame, label)
+        if label == "pairs":
+            compared.append(frame.count())
+        return frame
+
+    monkeypatch.setattr(jaccard, "stored", counted)
+    found = jaccard.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string"), 5, 80).collect()
+    assert {x.component_id for x in found} == {0} and len(found) == len(rows)
+    assert sum(compared) <= 3 * len(rows)
+
+
 def test_near_duplicates_of_nothing(empty):
     assert jaccard.near_duplicates(empty).count() == 0
     assert jaccard.one_of_each(empty).columns == empty.columns
