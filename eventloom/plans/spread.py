@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 
 #: Events that one task parses or decodes, whatever the size of the files they come in.
-ROWS_PER_TASK = 100_000
+ROWS_PER_TASK = 20_000
 
 
 def spread(scan: DataFrame, rows: int = 0) -> DataFrame:

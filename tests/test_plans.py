@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from eventloom.operators import analytics, quota, tenants
 from eventloom.plans import scratch
 from eventloom.plans.ingest import accepted_events, outcomes
-from eventloom.plans.spread import spread
+from eventloom.plans.spread import spread, tasks_for
 from eventloom.registry import inputs
 from eventloom.sources import store
 
@@ -95,3 +95,10 @@ def test_scratch_uses_the_shared_folder(spark):
     base = spark.conf.get("spark.checkpoint.dir")
     assert scratch.fresh_path(spark, "x").startswith(base)
     assert scratch.fresh_path(spark, "x") != scratch.fresh_path(spark, "x")
+
+
+def test_tasks_that_parse_are_small_before_the_input_is_large(spark):
+    """A task of 100,000 events takes many seconds, more than ten times one of the smallest tables."""
+    scan = spark.range(10)
+    assert tasks_for(scan, 600_000) >= 30
+    assert spread(scan, 600_000).rdd.getNumPartitions() == tasks_for(scan, 600_000)
