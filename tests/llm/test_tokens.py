@@ -1,5 +1,6 @@
 """Byte-level BPE and packing against the public libraries."""
 
+import gc
 import hashlib
 import random
 import zlib
@@ -82,6 +83,18 @@ def test_pieces_join_to_the_text_and_the_cache_may_start_anew(library):
     assert tight.ids([]) == []
 
 
+def test_the_garbage_collector_pauses_while_pieces_are_told_apart():
+    runs = []
+    own = Pieces(PATTERN, lambda words: [b"\0\0\0\0"] * len(words))
+    gc.callbacks.append(lambda phase, info: runs.append(phase))
+    try:
+        before = len(runs)
+        assert len(own.ids([b" ".join(b"w%d." % k for k in range(50_000))])) == 1
+        assert len(runs) == before and gc.isenabled()
+    finally:
+        gc.callbacks.pop()
+
+
 def test_encode_documents(awkward, empty, library):
     found = byte_bpe.encode_documents(awkward, RANKS, PATTERN, ids=True).collect()
     expected = Counter()
