@@ -33,6 +33,7 @@ import heapq
 import zlib
 from collections.abc import Iterable, Iterator
 from dataclasses import dataclass
+from functools import cached_property
 
 import numpy as np
 import pyarrow as pa
@@ -51,6 +52,8 @@ ROW_BITS = (15, 18)
 TOKENS_PER_ROW = 5
 ROUNDS = 2
 BATCH = 4096
+#: Nodes whose softmax is taken at once, so that their branches stay in a core's cache.
+STEP = 2048
 RATE = 0.5
 BLOCK_BYTES = 8 << 20
 #: Rows of weights that are summed together.
@@ -81,6 +84,30 @@ def contexts(token: np.ndarray, counts: np.ndarray) -> np.ndarray:
     return np.stack([mix(one), mix(two * ODD)])
 
 
+class Places:
+    """Where some hashes stand in a sorted list of distinct ones; by their leading bits, as hashes spread evenly."""
+
+    def __init__(self, hashes: np.ndarray):
+        bits = len(hashes).bit_length() + 1
+        self.hashes, self.shift = hashes, np.uint64(64 - bits)
+        self.start = np.searchsorted(hashes >> self.shift, np.arange((1 << bits) + 1, dtype=np.uint64))
+
+    def of(self, some: np.ndarray) -> np.ndarray:
+        """The place of each; the length of the list for those that are not in it."""
+        bucket = (some >> self.shift).astype(np.int64)
+        at, end = self.start.take(bucket), self.start.take(bucket + 1)
+        out = np.full(len(some), len(self.hashes))
+        left = np.flatnonzero(at < end)
+        at, end, some = at.take(left), end.take(left), some.take(left)
+        while len(left):
+            same = self.hashes.take(at) == some
+            out[left[same]] = at[same]
+            at += 1
+            on = np.flatnonzero(~same & (at < end))
+            left, at, end, some = left.take(on), at.take(on), end.take(on), some.take(on)
+        return out
+
+
 def huffman(weights: list[int]) -> tuple[list[list[tuple[int, int]]], list[list[int]]]:
     """The path (node, branch) of each symbol from the root, and the weight of each node's branches."""
     heap = [(w, k) for k, w in enumerate(weights)]
@@ -123,34 +150,36 @@ class Tree:
     def bits(self) -> int:
         return int(np.clip((self.total // TOKENS_PER_ROW).bit_length(), *ROW_BITS))
 
+    @cached_property
+    def places(self) -> Places:
+        return Places(self.frequent)
+
+    @cached_property
+    def steps(self) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+        """The paths of all lines one after the other: where each begins, the nodes, their hashes, the branches."""
+        on = np.arange(self.node.shape[1]) < self.depth[:, None]
+        node = self.node[on]
+        return np.cumsum(self.depth) - self.depth, node, mix(node.astype(np.uint64)), self.branch[on]
+
     def line(self, token: np.ndarray) -> np.ndarray:
         """The line of each token in the tables: the last one for those that are not frequent."""
-        many = len(self.frequent)
-        if not many:
-            return np.zeros(len(token), np.int64)
-        at = np.minimum(np.searchsorted(self.frequent, token), many - 1)
-        return np.where(self.frequent[at] == token, at, many)
+        return self.places.of(token)
 
-    def paths(self, token: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    def paths(self, token: np.ndarray, line: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
         """Every node on the tokens' paths: which token, the node's hash, its line of `prior`, and the branch taken."""
-        line = self.line(token)
-        each = self.depth[line]
+        begin, node, hashes, branch = self.steps
+        each = self.depth.take(line)
         owner = np.repeat(np.arange(len(token)), each)
-        level = np.arange(len(owner)) - np.repeat(np.cumsum(each) - each, each)
-        at = line[owner]
-        node, branch = self.node[at, level], self.branch[at, level]
+        at = (begin.take(line) - np.cumsum(each) + each).take(owner) + np.arange(len(owner))
         tail = np.flatnonzero(line == len(self.frequent))
-        below = np.tile(np.arange(self.digits, dtype=np.uint64), len(tail))
-        hashed_ = np.repeat(token[tail], self.digits)
-        shift = np.uint64(60) - np.uint64(4) * below
-        prefix = (hashed_ >> shift) >> np.uint64(4)
-        digit = ((hashed_ >> shift) & np.uint64(15)).astype(np.int64)
-        last = len(self.prior) - 1
+        below = np.arange(self.digits, dtype=np.uint64)
+        parts = token.take(tail)[:, None] >> (np.uint64(60) - np.uint64(4) * below)
+        prefix = (parts >> np.uint64(4)) * ODD + (below + np.uint64(1 << 40))
         return (
             np.concatenate([owner, np.repeat(tail, self.digits)]),
-            mix(np.concatenate([node.astype(np.uint64), prefix * ODD + below + np.uint64(1 << 40)])),
-            np.concatenate([node, np.full(len(below), last)]),
-            np.concatenate([branch, digit]),
+            np.concatenate([hashes.take(at), mix(prefix.ravel())]),
+            np.concatenate([node.take(at), np.full(parts.size, len(self.prior) - 1)]),
+            np.concatenate([branch.take(at), (parts & np.uint64(15)).astype(np.int64).ravel()]),
         )
 
     def leaf(self, token):
@@ -207,52 +236,88 @@ def shares(counts: DataFrame, own: Tree) -> DataFrame:
     return marked.join(sums, "leaf", "left").select("word", "n", F.coalesce("leaf_n", "n").alias("leaf_n"))
 
 
-def log_softmax(weights: np.ndarray, prior: np.ndarray, rows: list[np.ndarray]) -> np.ndarray:
-    """The log probability of every branch; `prior` is used up."""
-    z = prior
+def log_softmax(z: np.ndarray, weights: np.ndarray, prior: np.ndarray, line: np.ndarray, rows: list[np.ndarray]) -> np.ndarray:
+    """The logarithm of each softmax's sum; `z` becomes what it is the sum of the exponentials of, one line per node."""
+    held = np.empty_like(z)
+    np.take(prior, line, axis=0, out=z, mode="clip")
     for own in rows:
-        z += weights.take(own, axis=0)
-    np.minimum(z, 60, out=z)  # exponentials then fit into 32 bits, unless all are far below
-    total = np.einsum("ij->i", np.exp(z))  # a matrix product would set many threads to work
+        z += np.take(weights, own, axis=0, out=held, mode="clip")
+    if z.max(initial=0) > 60:
+        np.minimum(z, 60, out=z)  # exponentials then fit into 32 bits, unless all are far below
+    total = np.einsum("ij->i", np.exp(z, out=held))  # a matrix product would set many threads to work
     far = np.flatnonzero(total < 1e-30)
     if len(far):
         top = z[far].max(axis=1, keepdims=True)
         z[far] -= top
         total[far] = np.exp(z[far]).sum(axis=1)
-    z -= np.log(total)[:, None]
-    return z
+    return np.log(total)
+
+
+def in_lines(weights: np.ndarray) -> np.ndarray:
+    """A copy whose rows each fill one line of the CPU's cache, rather than parts of two."""
+    line = WIDTH * weights.itemsize
+    room = np.empty(weights.nbytes + line, dtype=np.uint8)
+    out = room[-room.ctypes.data % line :][: weights.nbytes].view(weights.dtype).reshape(weights.shape)
+    out[:] = weights
+    return out
+
+
+def in_rows(weights: np.ndarray) -> np.ndarray:
+    """The same weights, a row as one value."""
+    return weights.view(f"V{WIDTH * weights.itemsize}").reshape(-1)
 
 
 def rows_of(context: np.ndarray, owner: np.ndarray, node: np.ndarray, bits: int) -> list[np.ndarray]:
     """The row of each feature at each node of a path."""
     shift = np.uint64(64 - bits)
-    return [((kind[owner] ^ node) * ODD >> shift).astype(np.int64) for kind in context]
-
-
-def learn(weights: np.ndarray, squares: np.ndarray, prior: np.ndarray, rows: list[np.ndarray], truth: np.ndarray) -> None:
+    return [((kind.take(owner) ^ node) * ODD >> shift).astype(np.int64) for kind in context]
+
+
+def summed(p: np.ndarray, own: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The distinct rows among `own`, and the sum of the lines of `p` that each stands beside."""
+    key = np.sort(own << 32 | np.arange(len(own)))
+    row, order = key >> 32, key & 0xFFFF_FFFF
+    first = np.ones(len(key) + 1, dtype=bool)
+    np.not_equal(row[1:], row[:-1], out=first[1:-1])
+    starts = np.flatnonzero(first[:-1])
+    sums = p.take(order.take(starts), axis=0)
+    again = ~(first[:-1] & first[1:])  # in order, places whose row has others
+    several = np.flatnonzero(again)
+    if len(several):  # most rows have one line, so that only those of the others are added up
+        group = np.cumsum(first.take(several)) - 1
+        cell = (WIDTH * group[:, None] + np.arange(WIDTH)).reshape(-1)
+        more = np.bincount(cell, p.take(order.take(several), axis=0).reshape(-1)).astype(np.float32)
+        np.put(in_rows(sums), np.flatnonzero(again.take(starts)), in_rows(more.reshape(-1, WIDTH)))
+    return row.take(starts), sums
+
+
+def learn(
+    weights: np.ndarray, squares: np.ndarray, used: np.ndarray, prior: np.ndarray, line: np.ndarray, rows: list[np.ndarray], truth: np.ndarray
+) -> None:
     """One gradient update in place; places that share a row are summed before they are applied."""
-    p = np.exp(log_softmax(weights, prior, rows))
-    p[np.arange(len(truth)), truth] -= 1
-    running = np.zeros((len(truth) + 1, WIDTH))
+    p = np.empty((len(truth), WIDTH), dtype=np.float32)
+    for i in range(0, len(p), STEP):
+        z = p[i : i + STEP]
+        z -= log_softmax(z, weights, prior, line[i : i + STEP], [x[i : i + STEP] for x in rows])[:, None]
+        np.exp(z, out=z)
+    p.reshape(-1)[np.arange(0, p.size, WIDTH) + truth] -= 1
     for own in rows:
-        order = np.argsort(own)
-        sorted_ = own.take(order)
-        starts = np.flatnonzero(np.append(True, sorted_[1:] != sorted_[:-1]))
-        touched = sorted_.take(starts)
-        np.cumsum(p.take(order, axis=0), axis=0, dtype=np.float64, out=running[1:])
-        upto = running.take(np.append(starts, len(truth)), axis=0)
-        slope = (upto[1:] - upto[:-1]).astype(np.float32)
+        touched, slope = summed(p, own)
         squared = squares.take(touched) + np.einsum("ij,ij->i", slope, slope)
-        squares[touched] = squared
-        weights[touched] = weights.take(touched, axis=0) - slope * (RATE / np.sqrt(squared))[:, None]
+        np.put(squares, touched, squared)
+        np.put(used, touched, True)
+        slope *= (RATE / np.sqrt(squared))[:, None]
+        np.put(in_rows(weights), touched, in_rows(weights.take(touched, axis=0) - slope))
 
 
-def batches_of_tokens(texts: list[bytes], own: Tree) -> Iterator[tuple[np.ndarray, int, int, tuple]]:
+def batches_of_tokens(
+    token: np.ndarray, sizes: np.ndarray, line: np.ndarray, own: Tree
+) -> Iterator[tuple[np.ndarray, int, int, tuple]]:
     """Contexts, first token, its number of tokens, and paths, of some tokens at a time."""
-    token, sizes = tokens(texts)
     context = contexts(token, sizes)
     for i in range(0, len(token), BATCH):
-        yield context[:, i : i + BATCH], i, min(BATCH, len(token) - i), own.paths(token[i : i + BATCH])
+        some = slice(i, i + BATCH)
+        yield context[:, some], i, min(BATCH, len(token) - i), own.paths(token[some], line[some])
 
 
 def trained(docs: DataFrame, own: Tree) -> np.ndarray:
@@ -266,15 +331,13 @@ def trained(docs: DataFrame, own: Tree) -> np.ndarray:
 
         def update(batches: Iterable[pa.RecordBatch], shared=shared) -> Iterator[pa.RecordBatch]:
             begin, own = shared.value
-            now = begin.copy()
+            now = in_lines(begin)
             squares = np.ones(len(begin), dtype=np.float32)
             used = np.zeros(len(begin), dtype=bool)
             for block in blocks(batches, BLOCK_BYTES // 2):
-                for context, _, _, (owner, node, line, branch) in batches_of_tokens(encoded(block.column("text")), own):
-                    rows = rows_of(context, owner, node, own.bits)
-                    learn(now, squares, own.prior.take(line, axis=0), rows, branch)
-                    for x in rows:
-                        used[x] = True
+                token, sizes = tokens(encoded(block.column("text")))
+                for context, _, _, (owner, node, line, branch) in batches_of_tokens(token, sizes, own.line(token), own):
+                    learn(now, squares, used, own.prior, line, rows_of(context, owner, node, own.bits), branch)
             for part in range(0, len(begin), PART):
                 on = used[part : part + PART]
                 if on.any():
@@ -314,24 +377,28 @@ def score_block(texts: list[bytes], known: dict[str, np.ndarray], weights: np.nd
     `known` has the sorted words of the block that training has seen, their counts and those of their leaves.
     """
     token, sizes = tokens(texts)
-    text = np.repeat(np.arange(len(texts)), sizes)
-    n, leaf_n = np.zeros(len(token)), np.ones(len(token))
-    if len(known["word"]):
-        at = np.minimum(np.searchsorted(known["word"], token), len(known["word"]) - 1)
-        seen = known["word"][at] == token
-        n, leaf_n = np.where(seen, known["n"][at], 0).astype(np.float64), np.where(seen, known["leaf_n"][at], 1)
+    text, line = np.repeat(np.arange(len(texts)), sizes), own.line(token)
+    at = Places(known["word"]).of(token)
+    seen = at < len(known["word"])
+    # of each known word, and last of one that training has not seen
+    n, leaf_n = (np.append(known[x], y).astype(np.float64) for x, y in (("n", 0), ("leaf_n", 1)))
     base = np.log10((n + 0.1) / (own.total + 0.1 * (own.distinct + 1)))
-    tail = own.line(token) == len(own.frequent)
-    share = np.where(n > 0, (1 - own.unknown) * np.maximum(n, 1) / leaf_n, own.unknown)
-    score = np.where(tail, np.log(share), 0.0)
-    for context, first, many, (owner, node, line, branch) in batches_of_tokens(texts, own):
-        z = log_softmax(weights, own.prior.take(line, axis=0), rows_of(context, owner, node, own.bits))
-        score[first : first + many] += np.bincount(owner, z[np.arange(len(z)), branch], many)
+    share = np.log(np.where(n > 0, (1 - own.unknown) * np.maximum(n, 1) / leaf_n, own.unknown))
+    score = np.where(line == len(own.frequent), share.take(at), 0.0)
+    for context, first, many, (owner, node, place, branch) in batches_of_tokens(token, sizes, line, own):
+        rows = rows_of(context, owner, node, own.bits)
+        found = np.empty(len(owner), dtype=np.float32)
+        for i in range(0, len(owner), STEP):
+            some = slice(i, i + STEP)
+            z = np.empty((len(owner[some]), WIDTH), dtype=np.float32)
+            total = log_softmax(z, weights, own.prior, place[some], [x[some] for x in rows])
+            found[some] = z.reshape(-1).take(np.arange(0, z.size, WIDTH) + branch[some]) - total
+        score[first : first + many] += np.bincount(owner, found, many)
     count = len(texts)
     return {
         "n_tokens": sizes.astype(np.int64),
-        "n_known": np.bincount(text, n > 0, count).astype(np.int64),
-        "base_score": np.bincount(text, base, count),
+        "n_known": np.bincount(text, seen, count).astype(np.int64),
+        "base_score": np.bincount(text, base.take(at), count),
         "score": np.bincount(text, score / np.log(10), count),
     }
 

@@ -15,12 +15,13 @@ import numpy as np
 
 _LOWER = np.arange(256, dtype=np.uint8)
 _LOWER[65:91] += 32
-_SPACE = np.zeros(256, dtype=bool)
-_SPACE[[0x20, 0x09, 0x0A, 0x0B, 0x0C, 0x0D]] = True
 _PRIME = (1 << 31) - 1
 _P = np.uint64(_PRIME)
 #: Bytes whose running sums are held at once.
 _STEP = 1 << 16
+#: Bytes of the words that are hashed byte by byte rather than by running sums; spans at a time for these.
+_SHORT = 32
+_SPANS = 1 << 15
 
 
 def _fold(x: np.ndarray) -> np.ndarray:
@@ -39,6 +40,8 @@ class _Polynomial:
         self.powers = self._table(self.base)
         self.inverse = pow(self.base, -1, _PRIME)
         self.inverses = self._table(self.inverse)
+        #: What each letter adds at each place of a short word.
+        self.places = self.letters * self.powers[:_SHORT, None] % _P
 
     @staticmethod
     def _table(base: int) -> np.ndarray:
@@ -100,7 +103,7 @@ def joined(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
 
 def spans(data: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Start and end of every word of a byte array that ends with a space."""
-    inside = ~_SPACE[data]
+    inside = (data != 0x20) & (data - np.uint8(0x09) > 4)  # what is below 0x09 wraps around
     edges = np.flatnonzero(inside[1:] != inside[:-1]) + 1
     if len(inside) and inside[0]:
         edges = np.concatenate([[0], edges])
@@ -112,18 +115,49 @@ def hashed(
 ) -> np.ndarray:
     """A hash of each span, in ascending order; `letters` gives the byte that counts for each, `seed` another hash.
 
-    Besides 8 bytes a span, no more is held than the running sums of a fixed number of bytes.
+    Besides 8 bytes a span, no more is held than the running sums of a fixed number of bytes, and a copy of long spans
+    that are few among the others.
     """
     out = np.empty(len(starts), dtype=np.uint64)
     step = 1 << 18  # spans at a time
     one, two = _polynomials(seed)
-    for i in range(0, len(starts), step):
-        a, b = starts[i : i + step], ends[i : i + step]
+    tables = one.places.take(letters, axis=1), two.places.take(letters, axis=1)
+    for i in range(0, len(starts), _SPANS):
+        a, b = starts[i : i + _SPANS], ends[i : i + _SPANS]
+        out[i : i + _SPANS] = _ended(_short(data, a, np.where(b - a > _SHORT, 0, b - a), tables), b - a)
+    long = np.flatnonzero(ends - starts > _SHORT)
+    for i in range(0, len(long), step):
+        some = long[i : i + step]
+        a, b = starts[some], ends[some]
         low, high = int(a[0]), int(b[-1])
-        own = data[low:high]
+        own, sizes = data[low:high], b - a
         a, b = a - low, b - low
+        if 4 * sizes.sum() < high - low:  # few and far between
+            own = np.concatenate([own[x:y] for x, y in zip(a, b, strict=True)])
+            b = np.cumsum(sizes)
+            a = b - sizes
         x = one.values(own, letters, a, b) << np.uint64(31) | two.values(own, letters, a, b)
-        out[i : i + step] = mix(x + (b - a).astype(np.uint64) * np.uint64(0xD6E8FEB86659FD93))
+        out[some] = _ended(x, sizes)
+    return out
+
+
+def _ended(x: np.ndarray, sizes: np.ndarray) -> np.ndarray:
+    return mix(x + sizes.astype(np.uint64) * np.uint64(0xD6E8FEB86659FD93))
+
+
+def _short(data: np.ndarray, starts: np.ndarray, sizes: np.ndarray, tables: tuple[np.ndarray, np.ndarray]) -> np.ndarray:
+    """Both polynomials of spans of at most `_SHORT` bytes, whose terms add up to less than 2**64."""
+    order = np.argsort((_SHORT - sizes).astype(np.uint8), kind="stable")
+    begin = starts.take(order)
+    many = len(sizes) - np.cumsum(np.bincount(sizes, minlength=_SHORT + 1))  # spans of more than so many bytes
+    one, two = (np.zeros(len(sizes), dtype=np.uint64) for _ in range(2))
+    for k in range(int(sizes.max(initial=0))):
+        n = int(many[k])
+        letter = data.take(begin[:n] + k).astype(np.intp)
+        one[:n] += tables[0][k].take(letter)
+        two[:n] += tables[1][k].take(letter)
+    out = np.empty(len(sizes), dtype=np.uint64)
+    out[order] = one % _P << np.uint64(31) | two % _P
     return out
 
 
