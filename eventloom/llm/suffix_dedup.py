@@ -14,6 +14,8 @@ every string has one, so nothing is missed.
    go on; the others are known to be repeated. Anchors are range-partitioned by their leading bytes, between splitters
    sampled from the corpus. Anchors of a hot gram go string by string instead, each to where its hash leads, so that no
    task gets more of one than there are blocks.
+   What goes from one block to one bucket is one line. There are as many of these as blocks times buckets, the only
+   thing that grows with the square of the input, so nothing but packing and unpacking is done line by line.
 3. A bucket sorts its suffixes by multikey quicksort on characters of eight bytes, and what precedes them likewise, and
    compares neighbours. For each offset of a string to its anchor, runs of neighbours that agree long enough on both
    sides are equal strings; all but those of the run's smallest document are repeated. Splitters are no longer than a
@@ -30,10 +32,12 @@ from __future__ import annotations
 import hashlib
 from collections.abc import Iterator
 from dataclasses import dataclass
+from functools import cached_property
 
 import numpy as np
 import pyarrow as pa
 import zstandard
+from numpy.lib.stride_tricks import sliding_window_view
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.pandas.types import to_arrow_schema
@@ -55,10 +59,13 @@ SEGMENT = 1 << 20
 LEFT = LENGTH - GRAM
 WIDTH = LEFT + LENGTH
 SMALLEST = -(1 << 63)
-ANCHORS = "bucket int, block int, known boolean, around binary, left binary, right binary, doc binary, row binary, pos binary, mask binary"
-FOUND = "block int, row binary, pos binary, mask binary"
+GRAMS = "bucket int, block int, grams binary, sizes binary"
+TOLD = "block int, grams binary, hot binary"
+ANCHORS = "bucket int, block int, known boolean, n int, packed binary"
+FOUND = "block int, n int, packed binary"
 RESULT = "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string"
 C1, C2, C3 = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xC2B2AE3D27D4EB4F), np.uint64(0x165667B19E3779F9)
+_COMPRESSOR, _DECOMPRESSOR = zstandard.ZstdCompressor(level=1), zstandard.ZstdDecompressor()
 
 
 def eights(data: np.ndarray) -> np.ndarray:
@@ -111,7 +118,6 @@ class Block:
     docs: np.ndarray
     starts: np.ndarray
     data: np.ndarray
-    room: np.ndarray
 
     @classmethod
     def of(cls, table: pa.Table) -> Block:
@@ -121,50 +127,81 @@ class Block:
         order = np.array(sorted(range(len(texts)), key=lambda i: (docs[i], marks[i])), dtype=np.int64)
         texts = [texts[i] for i in order]
         lengths = np.fromiter(map(len, texts), np.int64, len(texts))
-        ends = np.cumsum(lengths)
         data = np.frombuffer(b"".join(texts), dtype=np.uint8)
-        room = np.repeat(ends, lengths) - np.arange(len(data))
-        return cls(order, texts, docs[order], ends - lengths, data, room)
+        return cls(order, texts, docs[order], np.cumsum(lengths) - lengths, data)
 
+    @cached_property
+    def room(self) -> np.ndarray:
+        """Bytes from each position to its text's end."""
+        ends = np.append(self.starts[1:], len(self.data))
+        return np.repeat(ends, ends - self.starts) - np.arange(len(self.data))
 
-def blob(x: np.ndarray, kind: str) -> bytes:
-    """Numbers on their way through a shuffle: neighbours are sorted and much alike, so they compress well."""
-    return zstandard.ZstdCompressor(level=1).compress(np.ascontiguousarray(x.astype(kind)).tobytes()) if len(x) else b""
 
+def bytes_of(x: np.ndarray) -> np.ndarray:
+    """Numbers of eight bytes, as a line for each of these: all lowest bytes, all next ones, and so on."""
+    return np.ascontiguousarray(x.astype("<i8").view(np.uint8).reshape(-1, 8).T)
 
-def numbers(x: bytes, kind: str) -> np.ndarray:
-    return np.frombuffer(zstandard.ZstdDecompressor().decompress(x) if x else b"", kind)
 
+def numbers_of(lines: list[np.ndarray]) -> np.ndarray:
+    return np.ascontiguousarray(np.concatenate(lines, axis=1).T).view("<i8").ravel()
 
-def own_grams(block: pa.Table, buckets: int) -> Iterator[dict]:
+
+def packed(*parts: np.ndarray) -> bytes:
+    """Some columns on their way through a shuffle: neighbours are sorted and much alike, so they compress well."""
+    return _COMPRESSOR.compress(b"".join([x.tobytes() for x in parts]))
+
+
+def unpacked(whole: bytes, n: int, *widths: int) -> list[np.ndarray]:
+    """The columns of `packed`, of so many bytes a line, one behind another."""
+    data = np.frombuffer(_DECOMPRESSOR.decompress(whole), np.uint8)
+    ends = np.cumsum(widths) * n
+    return [data[end - width * n : end] for end, width in zip(ends.tolist(), widths, strict=True)]
+
+
+def runs(data: np.ndarray, lengths: np.ndarray) -> pa.Array:
+    """Numbers as a column of bytes, so many in each row."""
+    ends = np.concatenate([[0], np.cumsum(lengths)]) * data.itemsize
+    buffers = [None, pa.py_buffer(ends.astype(np.int64)), pa.py_buffer(np.ascontiguousarray(data))]
+    return pa.Array.from_buffers(pa.large_binary(), len(lengths), buffers).cast(pa.binary())
+
+
+def flat(column: pa.ChunkedArray, kind: str) -> tuple[np.ndarray, np.ndarray]:
+    """The reverse of `runs`."""
+    parts, lengths = [np.empty(0, kind)], [np.empty(0, np.int64)]
+    for chunk in column.cast(pa.large_binary()).chunks:
+        if not len(chunk):
+            continue
+        ends = np.frombuffer(chunk.buffers()[1], np.int64)[chunk.offset : chunk.offset + len(chunk) + 1]
+        lengths.append(np.diff(ends) // np.dtype(kind).itemsize)
+        if ends[-1] > ends[0]:
+            parts.append(np.frombuffer(chunk.buffers()[2], kind, int(lengths[-1].sum()), int(ends[0])))
+    return np.concatenate(parts), np.concatenate(lengths)
+
+
+def own_grams(block: pa.Table, buckets: int) -> pa.Table:
     """What a block sends first: its distinct grams, and the logarithm of how many anchors each has."""
     own = Block.of(block)
-    number = block.column("block")[0].as_py()
     grams, counts = np.unique(anchors(own.data, own.room)[1], return_counts=True)
     size = np.ceil(np.log2(counts)).astype(np.uint8)
-    which = grams % np.uint64(buckets)
+    which = (grams % np.uint64(buckets)).astype(np.min_scalar_type(buckets))
     order = np.argsort(which, kind="stable")
-    cuts = np.searchsorted(which[order], np.arange(buckets + 1))
-    for b in range(buckets):
-        part = order[cuts[b] : cuts[b + 1]]
-        if len(part):
-            yield {"bucket": b, "block": number, "grams": grams[part].tobytes(), "sizes": blob(size[part], "u1")}
+    each = np.bincount(which, minlength=buckets)
+    held = np.flatnonzero(each)
+    number = pa.array(np.full(len(held), block.column("block")[0].as_py()), pa.int32())
+    columns = [pa.array(held, pa.int32()), number, runs(grams[order], each[held]), runs(size[order], each[held])]
+    return pa.Table.from_arrays(columns, schema=arrow(GRAMS))
 
 
-def shared_grams(rows: pa.Table, hot: int) -> Iterator[dict]:
+def shared_grams(rows: pa.Table, hot: int) -> pa.Table:
     """For each block, its grams that other blocks have, and those of them that are hot anywhere."""
-    blocks = rows.column("block").to_pylist()
-    grams = [np.frombuffer(x, np.uint64) for x in rows.column("grams").to_pylist()]
-    sizes = [numbers(x, "u1") for x in rows.column("sizes").to_pylist()]
-    distinct, at, counts = np.unique(np.concatenate(grams), return_inverse=True, return_counts=True)
-    total = np.bincount(at, np.exp2(np.concatenate(sizes).astype(np.float64)), len(distinct))
-    several, many = distinct[counts > 1], distinct[total > hot]
-    for number, own in zip(blocks, grams, strict=True):
-        yield {
-            "block": number,
-            "grams": own[np.isin(own, several)].tobytes(),
-            "hot": own[np.isin(own, many)].tobytes(),
-        }
+    grams, lengths = flat(rows.column("grams"), "<u8")
+    sizes, _ = flat(rows.column("sizes"), "u1")
+    distinct, at, counts = np.unique(grams, return_inverse=True, return_counts=True)
+    total = np.bincount(at, np.exp2(sizes.astype(np.float64)), len(distinct))
+    line = np.repeat(np.arange(len(lengths)), lengths)
+    several, many = (counts > 1)[at], (total > hot)[at]
+    told = [runs(grams[x], np.bincount(line[x], minlength=len(lengths))) for x in (several, many)]
+    return pa.Table.from_arrays([rows.column("block").combine_chunks(), *told], schema=arrow(TOLD))
 
 
 def surroundings(own: Block, at: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -172,9 +209,11 @@ def surroundings(own: Block, at: np.ndarray) -> tuple[np.ndarray, np.ndarray, np
     row = np.searchsorted(own.starts, at, side="right") - 1
     left = np.minimum(LEFT, at - own.starts[row])
     right = np.minimum(LENGTH, own.room[at])
+    wide = np.concatenate([np.zeros(LEFT, np.uint8), own.data, np.zeros(LENGTH, np.uint8)])
+    around = sliding_window_view(wide, WIDTH)[at]
+    edge = np.flatnonzero((left < LEFT) | (right < LENGTH))
     offsets = np.arange(-LEFT, LENGTH)
-    around = own.data[np.clip(at[:, None] + offsets, 0, len(own.data) - 1)]
-    around[(offsets < -left[:, None]) | (offsets >= right[:, None])] = 0
+    around[edge] *= (offsets >= -left[edge, None]) & (offsets < right[edge, None])
     return around, left, right
 
 
@@ -196,72 +235,74 @@ def sent_anchors(block: pa.Table, answers: pa.Table, splitters: np.ndarray, buck
     if not len(at):
         return
     row = np.searchsorted(own.starts, at, side="right") - 1
-    told = [np.frombuffer(x, np.uint64) for x in answers.column("grams").to_pylist()]
-    hot = [np.frombuffer(x, np.uint64) for x in answers.column("hot").to_pylist()]
-    asked = np.isin(grams, np.concatenate([np.empty(0, np.uint64), *told]))
+    asked = np.isin(grams, flat(answers.column("grams"), "<u8")[0])
     order = np.lexsort((own.docs[row], grams))
     starts = np.flatnonzero(np.diff(grams[order], prepend=grams[order][0] ^ np.uint64(1)))
     docs = own.docs[row[order]]
     mixed = np.minimum.reduceat(docs, starts) != np.maximum.reduceat(docs, starts)
     asked[order] |= np.repeat(mixed, np.diff(np.append(starts, len(order))))
-    hot_gram = np.isin(grams, np.concatenate([np.empty(0, np.uint64), *hot]))
+    hot_gram = np.isin(grams, flat(answers.column("hot"), "<u8")[0])
 
-    plain = np.flatnonzero(asked & ~hot_gram)
-    yield from sent(own, number, at[plain], row[plain], buckets, splitters, string=False)
-    # every string through a hot anchor, by its start
+    plain = at[asked & ~hot_gram]
+    heads = sliding_window_view(own.data, GRAM)[plain].view(f"S{GRAM}").ravel()
+    yield from sent(own, number, plain, np.searchsorted(splitters, heads, side="right"), buckets, string=False)
+    # every string through a hot anchor, by its start; equal ones follow each other, so that they are met as such
     some = at[asked & hot_gram]
-    begins = np.unique((some[:, None] - np.arange(LEFT + 1)).ravel())
-    begins = begins[begins >= 0]
+    through = np.zeros(len(own.data) + 1, dtype=np.int32)
+    np.add.at(through, np.maximum(some - LEFT, 0), 1)
+    np.add.at(through, some + 1, -1)
+    begins = np.flatnonzero(np.cumsum(through[:-1], dtype=np.int32) > 0)
     begins = begins[own.room[begins] >= LENGTH]
-    for i in range(0, len(begins), SEGMENT // 8):
-        part = begins[i : i + SEGMENT // 8]
-        row = np.searchsorted(own.starts, part, side="right") - 1
-        yield from sent(own, number, part, row, buckets, splitters, string=True)
+    if not len(begins):
+        return
+    words = np.ndarray(len(own.data) - 7, dtype="<u8", buffer=own.data, strides=(1,))
+    code = np.zeros(len(begins), dtype=np.uint64)
+    for k in [*range(0, LENGTH - 8, 8), LENGTH - 8]:
+        code = mix(code * C1 + words[begins + k])
+    which = (code % np.uint64(buckets)).astype(np.min_scalar_type(buckets))
+    order = np.argsort(which, kind="stable")
+    for i in range(0, len(order), SEGMENT // 8):
+        part = order[i : i + SEGMENT // 8]
+        yield from sent(own, number, begins[part], which[part], buckets, string=True)
 
 
-def sent(
-    own: Block, number: int, at: np.ndarray, row: np.ndarray, buckets: int, splitters: np.ndarray, string: bool
-) -> Iterator[dict]:
+def sent(own: Block, number: int, at: np.ndarray, which: np.ndarray, buckets: int, string: bool) -> Iterator[dict]:
+    """Some positions with their surroundings, or with the string that starts there, each to a bucket."""
     if not len(at):
         return
+    row = np.searchsorted(own.starts, at, side="right") - 1
     around, left, right = surroundings(own, at)
     if string:  # only the string that starts there
         left = np.zeros_like(left)
         around[:, :LEFT] = 0
-    key = np.concatenate([around, left[:, None].astype(np.uint8), right[:, None].astype(np.uint8)], axis=1)
+        key = around[:, LEFT:]
+    else:
+        key = np.concatenate([around, left[:, None].astype(np.uint8), right[:, None].astype(np.uint8)], axis=1)
     order, alike = multikey_order(key)
     run = np.cumsum(np.concatenate([[True], alike < key.shape[1]])) - 1
     docs = own.docs[row[order]]
     first = np.full(run[-1] + 1, np.iinfo(np.int64).max)
     np.minimum.at(first, run, docs)
     later = docs > first[run]
-    pos = at - own.starts[row]
-    mask = offsets_of(left, right)
     gone = order[later]
     if len(gone):
+        mask = offsets_of(left[gone], right[gone])
         yield {
-            "bucket": number % buckets, "block": number, "known": True, "around": b"", "left": b"", "right": b"", "doc": b"",
-            "row": blob(row[gone], "<i4"), "pos": blob(pos[gone], "<i4"), "mask": blob(mask[gone], "<i8"),
+            "bucket": number % buckets, "block": number, "known": True, "n": len(gone),
+            "packed": packed(bytes_of(at[gone]), bytes_of(mask)),
         }
     kept = order[~later]
-    if string:
-        words = eights_of(around[kept][:, LEFT:])
-        code = np.zeros(len(kept), dtype=np.uint64)
-        for k in range(words.shape[1]):
-            code = mix(code * C1 + words[:, k])
-        which = (code % np.uint64(buckets)).astype(np.int64)
-    else:
-        heads = np.ascontiguousarray(around[kept][:, LEFT : LEFT + GRAM]).view(f"S{GRAM}").ravel()
-        which = np.searchsorted(splitters, heads, side="right")
-    by = np.argsort(which, kind="stable")
-    cuts = np.flatnonzero(np.diff(which[by], prepend=-1))
-    for part in np.split(by, cuts[1:]) if len(by) else []:
-        own_part = kept[part]
+    kept = kept[np.argsort(which[kept].astype(np.min_scalar_type(buckets)), kind="stable")]
+    which, around, left, right = which[kept], around[kept], left[kept].astype(np.uint8), right[kept].astype(np.uint8)
+    doc, at = bytes_of(own.docs[row[kept]]), bytes_of(at[kept])
+    cuts = [*np.flatnonzero(which[1:] != which[:-1]).tolist(), len(kept) - 1]
+    begin = 0
+    for end in (x + 1 for x in cuts):
         yield {
-            "bucket": int(which[part[0]]), "block": number, "known": False, "around": blob(around[own_part], "u1"),
-            "left": blob(left[own_part], "u1"), "right": blob(right[own_part], "u1"), "doc": blob(own.docs[row[own_part]], "<i8"),
-            "row": blob(row[own_part], "<i4"), "pos": blob(pos[own_part], "<i4"), "mask": b"",
+            "bucket": int(which[begin]), "block": number, "known": False, "n": end - begin,
+            "packed": packed(*(x[begin:end] for x in (around, left, right)), *(x[:, begin:end] for x in (doc, at))),
         }
+        begin = end
 
 
 def eights_of(rows: np.ndarray) -> np.ndarray:
@@ -304,10 +345,13 @@ def repeated(around: np.ndarray, left: np.ndarray, right: np.ndarray, doc: np.nd
         sides.append(multikey_order(np.ascontiguousarray(rows)))
     mask = np.zeros(len(doc), dtype=np.int64)
     classes = np.empty((2, len(doc)), dtype=np.int64)
+    paired = np.empty((2, len(doc)), dtype=bool)  # not alone in their class
     for o in range(LEFT + 1):
-        for side, (order, alike), reach in zip(classes, sides, (LENGTH - o, o), strict=True):
-            side[order] = np.cumsum(np.concatenate([[False], alike < reach]))
-        use = np.flatnonzero((left >= o) & (right >= LENGTH - o))
+        for side, pair, (order, alike), reach in zip(classes, paired, sides, (LENGTH - o, o), strict=True):
+            apart = np.concatenate([[True], alike < reach, [True]])
+            side[order] = np.cumsum(apart[:-1])
+            pair[order] = ~(apart[:-1] & apart[1:])
+        use = np.flatnonzero((left >= o) & (right >= LENGTH - o) & paired[0] & paired[1])
         if len(use) < 2:
             continue
         code = classes[0, use] * (len(doc) + 1) + classes[1, use]
@@ -321,28 +365,25 @@ def repeated(around: np.ndarray, left: np.ndarray, right: np.ndarray, doc: np.nd
 
 def sorted_bucket(rows: pa.Table) -> Iterator[dict]:
     """Per block, which strings of its anchors are repeated."""
-    known = rows.column("known").to_pylist()
-    of = {c: rows.column(c).to_pylist() for c in ("block", "around", "left", "right", "doc", "row", "pos", "mask")}
+    known, block, n, whole = (rows.column(c).to_pylist() for c in ("known", "block", "n", "packed"))
     for i, passed in enumerate(known):
         if passed:
-            yield {c: of[c][i] for c in ("block", "row", "pos", "mask")}
+            yield {"block": block[i], "n": n[i], "packed": whole[i]}
     fresh = [i for i, passed in enumerate(known) if not passed]
     if not fresh:
         return
-    row, pos = ([numbers(of[c][i], "<i4") for i in fresh] for c in ("row", "pos"))
-    left, right, doc, around = (
-        np.concatenate([numbers(of[c][i], kind) for i in fresh])
-        for c, kind in (("left", "u1"), ("right", "u1"), ("doc", "<i8"), ("around", "u1"))
-    )
-    around = around.reshape(-1, WIDTH)
-    mask = repeated(around, left, right, doc)
-    begin = 0
-    for i, r, p in zip(fresh, row, pos, strict=True):
-        own = mask[begin : begin + len(r)]
-        begin += len(r)
-        hit = own != 0
-        if hit.any():
-            yield {"block": of["block"][i], "row": blob(r[hit], "<i4"), "pos": blob(p[hit], "<i4"), "mask": blob(own[hit], "<i8")}
+    parts = [unpacked(whole[i], n[i], WIDTH, 1, 1, 8, 8) for i in fresh]
+    around, left, right = (np.concatenate([x[k] for x in parts]) for k in range(3))
+    doc = numbers_of([x[3].reshape(8, -1) for x in parts])
+    mask = repeated(around.reshape(-1, WIDTH), left, right, doc)
+    ends = np.cumsum([n[i] for i in fresh])
+    hits = np.flatnonzero(mask)
+    held = bytes_of(mask[hits])
+    cuts = [0, *np.searchsorted(hits, ends).tolist()]
+    for i, x, end, a, b in zip(fresh, parts, ends.tolist(), cuts, cuts[1:], strict=False):
+        if b > a:
+            at = x[4].reshape(8, -1)[:, hits[a:b] - (end - n[i])]
+            yield {"block": block[i], "n": b - a, "packed": packed(at, held[:, a:b])}
 
 
 def cut(block: pa.Table, found: pa.Table) -> Iterator[dict]:
@@ -350,16 +391,15 @@ def cut(block: pa.Table, found: pa.Table) -> Iterator[dict]:
     if not block.num_rows:
         return
     own = Block.of(block)
-    n = len(own.data)
-    cover = np.zeros(n + 1, dtype=np.int32)
-    for r, p, m in zip(*(found.column(c).to_pylist() for c in ("row", "pos", "mask")), strict=True):
-        start = own.starts[numbers(r, "<i4")] + numbers(p, "<i4")
-        bits = numbers(m, "<i8")
+    cover = np.zeros(len(own.data) + 1, dtype=np.int32)
+    parts = [unpacked(x, n, 8, 8) for x, n in zip(found.column("packed").to_pylist(), found.column("n").to_pylist(), strict=True)]
+    if parts:
+        start, bits = (numbers_of([x[k].reshape(8, -1) for x in parts]) for k in range(2))
+        first, last = bits & ~(bits << 1), bits & ~(bits >> 1)  # strings of neighbouring offsets cover one range
         for o in range(LEFT + 1):
-            at = start[(bits >> o) & 1 == 1] - o
-            np.add.at(cover, at, 1)
-            np.add.at(cover, at + LENGTH, -1)
-    gone = np.cumsum(cover[:-1]) > 0
+            np.add.at(cover, start[(last >> o) & 1 == 1] - o, 1)
+            np.add.at(cover, start[(first >> o) & 1 == 1] - o + LENGTH, -1)
+    gone = np.cumsum(cover[:-1], dtype=np.int32) > 0
     ids = block.column("doc_id").to_pylist()
     for i, (begin, text) in enumerate(zip(own.starts.tolist(), own.texts, strict=True)):
         flags = gone[begin : begin + len(text)]
@@ -427,10 +467,9 @@ def split_points(texts: DataFrame, buckets: int, documents: int) -> np.ndarray:
 def found_in(plain: DataFrame, blocks: int, buckets: int, documents: int, hot: int) -> DataFrame:
     """The repeated strings of each block. `plain`: doc_id, text and block."""
     splitters = plain.sparkSession.sparkContext.broadcast(split_points(plain, buckets, documents))  # GRAM bytes a bucket
-    gram_ddl, told_ddl = "bucket int, block int, grams binary, sizes binary", "block int, grams binary, hot binary"
     by_block = plain.groupBy("block")
-    grams = by_block.applyInArrow(lambda x: as_table(own_grams(x, buckets), arrow(gram_ddl)), gram_ddl)
-    told = grams.groupBy("bucket").applyInArrow(lambda x: as_table(shared_grams(x, hot), arrow(told_ddl)), told_ddl)
+    grams = by_block.applyInArrow(lambda x: own_grams(x, buckets), GRAMS)
+    told = grams.groupBy("bucket").applyInArrow(lambda x: shared_grams(x, hot), TOLD)
     chosen = by_block.cogroup(told.groupBy("block")).applyInArrow(
         lambda x, y: as_table(sent_anchors(x, y, splitters.value, buckets), arrow(ANCHORS)), ANCHORS
     )

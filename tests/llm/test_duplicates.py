@@ -278,6 +278,63 @@ def test_multikey_order():
         assert a[:n] == b[:n] and (n == 21 or a[n] != b[n])
 
 
+def test_grams_of_many_blocks_are_told_in_one_pass(monkeypatch):
+    rng = np.random.default_rng(7)
+    own = [np.unique(rng.integers(0, 100_000, 200, dtype=np.uint64)) for _ in range(2_000)]
+    sizes = [rng.integers(0, 3, len(x)).astype(np.uint8) for x in own]
+    columns = [[0] * len(own), range(len(own)), [x.tobytes() for x in own], [x.tobytes() for x in sizes]]
+    rows = pa.table([pa.array(x, y) for x, y in zip(columns, suffix_dedup.arrow(suffix_dedup.GRAMS).types, strict=True)], ["bucket", "block", "grams", "sizes"])
+    blocks, total = Counter(), Counter()
+    for grams, logs in zip(own, sizes, strict=True):
+        blocks.update(grams.tolist())
+        total.update(dict(zip(grams.tolist(), (1 << logs.astype(int)).tolist(), strict=True)))
+    searches = []
+    monkeypatch.setattr(np, "isin", lambda *x, isin=np.isin, **y: searches.append(x) or isin(*x, **y))
+    told = suffix_dedup.shared_grams(rows, 8).to_pylist()
+    assert len(searches) <= 2  # not all shared grams for each block anew
+    assert [x["block"] for x in told] == list(range(len(own)))
+    for grams, x in zip(own, told, strict=True):
+        assert np.frombuffer(x["grams"], np.uint64).tolist() == [g for g in grams.tolist() if blocks[g] > 1]
+        assert np.frombuffer(x["hot"], np.uint64).tolist() == [g for g in grams.tolist() if total[g] > 8]
+
+
+def test_strings_of_hot_grams_go_to_each_bucket_once(monkeypatch):
+    monkeypatch.setattr(suffix_dedup, "SEGMENT", 1 << 13)  # a part has an eighth of it
+    rng = random.Random(14)
+    texts = ["".join(rng.choices("abcdefgh ", k=300)) + "the " * 60 for _ in range(40)]
+    block = pa.table({"doc_id": range(40), "text": texts, "block": pa.array([3] * 40, pa.int32())})
+    own = suffix_dedup.Block.of(block)
+    grams = np.unique(suffix_dedup.anchors(own.data, own.room)[1]).tobytes()
+    answers = pa.table({"block": [3], "grams": [grams], "hot": [grams]})
+    lines = [x for x in suffix_dedup.sent_anchors(block, answers, np.empty(0, "S16"), 7) if not x["known"]]
+    assert len(lines) <= 7 + len(own.data) // 1024
+    sent = set()
+    for x in lines:
+        around, left, _, doc, _ = suffix_dedup.unpacked(x["packed"], x["n"], suffix_dedup.WIDTH, 1, 1, 8, 8)
+        strings = [y[suffix_dedup.LEFT :].tobytes() for y in around.reshape(-1, suffix_dedup.WIDTH)]
+        docs = suffix_dedup.numbers_of([doc.reshape(8, -1)]).tolist()
+        assert not left.any()
+        sent |= set(zip(strings, docs, strict=True))
+    first = {}
+    for doc, text in enumerate(texts):
+        for p in range(len(text) - suffix_dedup.LENGTH + 1):
+            first.setdefault(text[p : p + suffix_dedup.LENGTH].encode(), doc)
+    assert set(first.items()) <= sent
+
+
+def test_columns_of_runs_and_packed_lines():
+    data, lengths = np.arange(9, dtype=np.uint64), np.array([0, 4, 0, 5, 0])
+    column = pa.chunked_array([suffix_dedup.runs(data, lengths), pa.array([], pa.binary()), suffix_dedup.runs(data, lengths)[1:4]])
+    found, each = suffix_dedup.flat(column, "<u8")
+    assert found.tolist() == [*range(9), *range(9)] and each.tolist() == [0, 4, 0, 5, 0, 4, 0, 5]
+    assert [x.tolist() for x in suffix_dedup.flat(pa.chunked_array([], pa.binary()), "u1")] == [[], []]
+    numbers = np.array([-(1 << 63), -1, 0, 5, (1 << 40) + 3])
+    wide = np.arange(10, dtype=np.uint8).reshape(5, 2)
+    one, two = suffix_dedup.unpacked(suffix_dedup.packed(wide, suffix_dedup.bytes_of(numbers)), 5, 2, 8)
+    assert one.reshape(-1, 2).tolist() == wide.tolist()
+    assert suffix_dedup.numbers_of([two.reshape(8, -1)]).tolist() == numbers.tolist()
+
+
 def every_run(own, least, words):
     """All runs of sentences, not only the shortest ones: first, behind the last, and content."""
     found = []
