@@ -60,7 +60,7 @@ LEFT = LENGTH - GRAM
 WIDTH = LEFT + LENGTH
 SMALLEST = -(1 << 63)
 GRAMS = "bucket int, block int, grams binary, sizes binary"
-TOLD = "block int, grams binary, hot binary"
+TOLD = "bucket int, block int, grams binary, hot binary"
 ANCHORS = "bucket int, block int, known boolean, n int, packed binary"
 FOUND = "block int, n int, packed binary"
 RESULT = "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string"
@@ -178,30 +178,44 @@ def flat(column: pa.ChunkedArray, kind: str) -> tuple[np.ndarray, np.ndarray]:
     return np.concatenate(parts), np.concatenate(lengths)
 
 
+def dealt(grams: np.ndarray, buckets: int) -> tuple[np.ndarray, np.ndarray]:
+    """The bucket of each gram, and 32 bits that stand for it there.
+
+    A gram that shares them with another one may be asked for in vain, or be dealt as hot, everywhere alike; no string is lost.
+    """
+    which = (grams % np.uint64(buckets)).astype(np.min_scalar_type(buckets))
+    return which, (grams // np.uint64(buckets)).astype(np.uint32)
+
+
+def placed_at(which: np.ndarray, code: np.ndarray) -> np.ndarray:
+    """Bucket and bits as one number."""
+    return which.astype(np.uint64) << np.uint64(32) | code
+
+
 def own_grams(block: pa.Table, buckets: int) -> pa.Table:
     """What a block sends first: its distinct grams, and the logarithm of how many anchors each has."""
     own = Block.of(block)
     grams, counts = np.unique(anchors(own.data, own.room)[1], return_counts=True)
     size = np.ceil(np.log2(counts)).astype(np.uint8)
-    which = (grams % np.uint64(buckets)).astype(np.min_scalar_type(buckets))
+    which, code = dealt(grams, buckets)
     order = np.argsort(which, kind="stable")
     each = np.bincount(which, minlength=buckets)
     held = np.flatnonzero(each)
     number = pa.array(np.full(len(held), block.column("block")[0].as_py()), pa.int32())
-    columns = [pa.array(held, pa.int32()), number, runs(grams[order], each[held]), runs(size[order], each[held])]
+    columns = [pa.array(held, pa.int32()), number, runs(code[order], each[held]), runs(size[order], each[held])]
     return pa.Table.from_arrays(columns, schema=arrow(GRAMS))
 
 
 def shared_grams(rows: pa.Table, hot: int) -> pa.Table:
     """For each block, its grams that other blocks have, and those of them that are hot anywhere."""
-    grams, lengths = flat(rows.column("grams"), "<u8")
+    grams, lengths = flat(rows.column("grams"), "<u4")
     sizes, _ = flat(rows.column("sizes"), "u1")
     distinct, at, counts = np.unique(grams, return_inverse=True, return_counts=True)
     total = np.bincount(at, np.exp2(sizes.astype(np.float64)), len(distinct))
     line = np.repeat(np.arange(len(lengths)), lengths)
     several, many = (counts > 1)[at], (total > hot)[at]
     told = [runs(grams[x], np.bincount(line[x], minlength=len(lengths))) for x in (several, many)]
-    return pa.Table.from_arrays([rows.column("block").combine_chunks(), *told], schema=arrow(TOLD))
+    return pa.Table.from_arrays([rows.column(c).combine_chunks() for c in ("bucket", "block")] + told, schema=arrow(TOLD))
 
 
 def surroundings(own: Block, at: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -225,6 +239,13 @@ def offsets_of(left: np.ndarray, right: np.ndarray) -> np.ndarray:
     return mask
 
 
+def told_of(mark: np.ndarray, answers: pa.Table, column: str) -> np.ndarray:
+    """Which of some grams are among the answers."""
+    code, lengths = flat(answers.column(column), "<u4")
+    which = np.repeat(answers.column("bucket").to_numpy(), lengths)
+    return np.isin(mark, placed_at(which, code))
+
+
 def sent_anchors(block: pa.Table, answers: pa.Table, splitters: np.ndarray, buckets: int) -> Iterator[dict]:
     """What a block sends second: anchors with their surroundings, and what it knows to be repeated."""
     if not block.num_rows:
@@ -235,13 +256,13 @@ def sent_anchors(block: pa.Table, answers: pa.Table, splitters: np.ndarray, buck
     if not len(at):
         return
     row = np.searchsorted(own.starts, at, side="right") - 1
-    asked = np.isin(grams, flat(answers.column("grams"), "<u8")[0])
+    mark = placed_at(*dealt(grams, buckets))
+    asked, hot_gram = (told_of(mark, answers, x) for x in ("grams", "hot"))
     order = np.lexsort((own.docs[row], grams))
     starts = np.flatnonzero(np.diff(grams[order], prepend=grams[order][0] ^ np.uint64(1)))
     docs = own.docs[row[order]]
     mixed = np.minimum.reduceat(docs, starts) != np.maximum.reduceat(docs, starts)
     asked[order] |= np.repeat(mixed, np.diff(np.append(starts, len(order))))
-    hot_gram = np.isin(grams, flat(answers.column("hot"), "<u8")[0])
 
     plain = at[asked & ~hot_gram]
     heads = sliding_window_view(own.data, GRAM)[plain].view(f"S{GRAM}").ravel()

@@ -280,7 +280,7 @@ def test_multikey_order():
 
 def test_grams_of_many_blocks_are_told_in_one_pass(monkeypatch):
     rng = np.random.default_rng(7)
-    own = [np.unique(rng.integers(0, 100_000, 200, dtype=np.uint64)) for _ in range(2_000)]
+    own = [np.unique(rng.integers(0, 100_000, 200, dtype=np.uint32)) for _ in range(2_000)]
     sizes = [rng.integers(0, 3, len(x)).astype(np.uint8) for x in own]
     columns = [[0] * len(own), range(len(own)), [x.tobytes() for x in own], [x.tobytes() for x in sizes]]
     rows = pa.table([pa.array(x, y) for x, y in zip(columns, suffix_dedup.arrow(suffix_dedup.GRAMS).types, strict=True)], ["bucket", "block", "grams", "sizes"])
@@ -294,8 +294,8 @@ def test_grams_of_many_blocks_are_told_in_one_pass(monkeypatch):
     assert len(searches) <= 2  # not all shared grams for each block anew
     assert [x["block"] for x in told] == list(range(len(own)))
     for grams, x in zip(own, told, strict=True):
-        assert np.frombuffer(x["grams"], np.uint64).tolist() == [g for g in grams.tolist() if blocks[g] > 1]
-        assert np.frombuffer(x["hot"], np.uint64).tolist() == [g for g in grams.tolist() if total[g] > 8]
+        assert np.frombuffer(x["grams"], np.uint32).tolist() == [g for g in grams.tolist() if blocks[g] > 1]
+        assert np.frombuffer(x["hot"], np.uint32).tolist() == [g for g in grams.tolist() if total[g] > 8]
 
 
 def test_strings_of_hot_grams_go_to_each_bucket_once(monkeypatch):
@@ -304,8 +304,9 @@ def test_strings_of_hot_grams_go_to_each_bucket_once(monkeypatch):
     texts = ["".join(rng.choices("abcdefgh ", k=300)) + "the " * 60 for _ in range(40)]
     block = pa.table({"doc_id": range(40), "text": texts, "block": pa.array([3] * 40, pa.int32())})
     own = suffix_dedup.Block.of(block)
-    grams = np.unique(suffix_dedup.anchors(own.data, own.room)[1]).tobytes()
-    answers = pa.table({"block": [3], "grams": [grams], "hot": [grams]})
+    which, code = suffix_dedup.dealt(np.unique(suffix_dedup.anchors(own.data, own.room)[1]), 7)
+    grams = [code[which == b].tobytes() for b in range(7)]
+    answers = pa.table({"bucket": range(7), "block": [3] * 7, "grams": grams, "hot": grams})
     lines = [x for x in suffix_dedup.sent_anchors(block, answers, np.empty(0, "S16"), 7) if not x["known"]]
     assert len(lines) <= 7 + len(own.data) // 1024
     sent = set()
@@ -322,6 +323,59 @@ def test_strings_of_hot_grams_go_to_each_bucket_once(monkeypatch):
     assert set(first.items()) <= sent
 
 
+def test_grams_that_share_their_bits_lose_nothing(spark, monkeypatch):
+    rows = string_rows()
+    frame = spark.createDataFrame(rows, "doc_id long, text string")
+    with monkeypatch.context() as few:  # two bits for each gram
+        few.setattr(suffix_dedup, "BLOCK_BYTES", 5_000)
+        few.setattr(suffix_dedup, "BUCKET_BYTES", 2_500)
+        plain, sizes = suffix_dedup.in_blocks(frame)
+        blocks = [pa.Table.from_pylist([x.asDict() for x in own], schema=pa.schema([("doc_id", pa.int64()), ("text", pa.string()), ("block", pa.int32())])) for own in grouped(plain.collect())]
+        few.setattr(suffix_dedup, "dealt", lambda grams, buckets, own=suffix_dedup.dealt: (own(grams, buckets)[0], own(grams, buckets)[1] & np.uint32(3)))
+        assert sizes["blocks"] > 3
+        found = list(suffix_found(blocks, sizes["buckets"], 3))
+    assert Counter(found) == strings_brute(rows, suffix_dedup.LENGTH)
+
+
+def grouped(rows):
+    out = defaultdict(list)
+    for x in rows:
+        out[x.block].append(x)
+    return list(out.values())
+
+
+def suffix_found(blocks, buckets, hot):
+    """All steps on some blocks, without Spark."""
+
+    def by(tables, key):
+        table = pa.concat_tables(tables)
+        return {k: table.filter(np.array(table.column(key).to_pylist()) == k) for k in set(table.column(key).to_pylist())}
+
+    def table(lines, ddl):
+        return suffix_dedup.as_table(lines, suffix_dedup.arrow(ddl))
+
+    grams = by([suffix_dedup.own_grams(x, buckets) for x in blocks], "bucket")
+    told = by([suffix_dedup.shared_grams(x, hot) for x in grams.values()], "block")
+    none = suffix_dedup.arrow(suffix_dedup.TOLD).empty_table()
+    splitters = np.array([b"a", b"c", b"e"], "S16")
+    sent = [table(suffix_dedup.sent_anchors(x, told.get(x.column("block")[0].as_py(), none), splitters, buckets), suffix_dedup.ANCHORS) for x in blocks]
+    found = by([table(suffix_dedup.sorted_bucket(x), suffix_dedup.FOUND) for x in by(sent, "bucket").values()], "block")
+    none = suffix_dedup.arrow(suffix_dedup.FOUND).empty_table()
+    for x in blocks:
+        for line in suffix_dedup.digests(x, found.get(x.column("block")[0].as_py(), none)).to_pylist():
+            yield tuple(line.values())
+
+
+def test_grams_are_dealt_and_told_by_bucket_and_bits():
+    grams = np.array([7, 7 + (5 << 32), 12], dtype=np.uint64)  # the first two are one in their bucket
+    which, code = suffix_dedup.dealt(grams, 5)
+    mark = suffix_dedup.placed_at(which, code)
+    assert mark[0] == mark[1] != mark[2]
+    answers = pa.table({"bucket": [2, 3], "grams": [code[:1].tobytes(), b""]})
+    assert suffix_dedup.told_of(mark, answers, "grams").tolist() == [True, True, False]
+    assert suffix_dedup.told_of(mark, answers.slice(0, 0), "grams").tolist() == [False] * 3
+
+
 def test_columns_of_runs_and_packed_lines():
     data, lengths = np.arange(9, dtype=np.uint64), np.array([0, 4, 0, 5, 0])
     column = pa.chunked_array([suffix_dedup.runs(data, lengths), pa.array([], pa.binary()), suffix_dedup.runs(data, lengths)[1:4]])
